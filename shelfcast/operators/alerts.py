@@ -50,9 +50,12 @@ def _t(template: str, d: Column, q: Column) -> Column:
     return F.concat(*parts) if len(parts) > 1 else parts[0]
 
 
-def alert_message(risk: Column, days: Column, reorder: Column, qty: Column) -> Column:
-    """AL2: message by (risk, reorder, days); quantity with no decimals."""
-    d, q = days.cast("string"), py_fmt(qty, 0)
+def alert_message(risk: Column, days: Column, reorder: Column, qty_text: Column) -> Column:
+    """AL2: message by (risk, reorder, days).
+
+    ``qty_text`` is the quantity printed with no decimals (``py_fmt(q, 0)``).
+    """
+    d, q = days.cast("string"), qty_text
     r = F.upper(risk)
     high = F.when(reorder, F.concat(
         F.when(days > 0, _t(_URGENT_DAYS, d, q)).otherwise(F.lit(_URGENT_NOW)),
@@ -115,12 +118,13 @@ def alerts(plan: DataFrame, forecast_7day: str | None = "forecast_7day",
                        reorder.alias("_reorder"), qty.alias("_qty"),
                        forecast_7day_estimate(given, inv, days, ltd).alias("_f7"))
     inv, days, reorder, qty, f7 = (F.col(c) for c in ("_inv", "_days", "_reorder", "_qty", "_f7"))
-    risk = alert_risk(days)
-    cov = coverage_days(inv, f7)
+    base = base.select("*", alert_risk(days).alias("_risk"), py_fmt(qty, 0).alias("_qty_s"),
+                       coverage_days(inv, f7).alias("_cov"))
+    risk, cov = F.col("_risk"), F.col("_cov")
     return base.select(
         *[F.col(c) for c in keep],
         risk.alias("risk_level"),
-        alert_message(risk, days, reorder, qty).alias("alert_message"),
+        alert_message(risk, days, reorder, F.col("_qty_s")).alias("alert_message"),
         overstock(inv, f7).alias("overstock_flag"),
         days.alias("days_to_stockout"),
         reorder.alias("reorder_needed"),

@@ -111,9 +111,13 @@ def _fill(template: str, **parts: Column) -> Column:
 
 def recommendation_text(reorder: Column, qty: Column, risk: Column, days: Column,
                         inv: Column, rop: Column) -> Column:
-    """I8: message by (reorder, risk, days); numbers unrounded, one decimal."""
-    p = dict(inv=py_fmt(inv, 1), rop=py_fmt(rop, 1), qty=py_fmt(qty, 1),
-             days=days.cast("string"))
+    """I8: message by (reorder, risk, days).
+
+    ``inv``, ``rop`` and ``qty`` are the *formatted* numbers (unrounded values
+    printed with one decimal, ``py_fmt(x, 1)``); pass them as columns of a
+    previous projection so each number is formatted once per row.
+    """
+    p = dict(inv=inv, rop=rop, qty=qty, days=days.cast("string"))
     stockout = F.when(days > 0, _fill(_EXPECTED, **p)).otherwise(F.lit(""))
     estimated = F.when(days > 0, _fill(_ESTIMATED, **p)).otherwise(F.lit(""))
     return (F.when(reorder & (risk == "high"),
@@ -156,8 +160,10 @@ def inventory_plan(df: DataFrame, forecast: str = "forecast",
     s4 = s3.select("*", (inv <= rop).alias("reorder_status"),
                    reorder_quantity(inv, rop).alias("_qty"),
                    decision_risk(inv, rop, days, lead).alias("risk_level"))
+    s5 = s4.select("*", py_fmt(inv, 1).alias("_inv_s"), py_fmt(rop, 1).alias("_rop_s"),
+                   py_fmt(F.col("_qty"), 1).alias("_qty_s"))
     reorder, qty, risk = F.col("reorder_status"), F.col("_qty"), F.col("risk_level")
-    return s4.select(
+    return s5.select(
         *[F.col(c) for c in keep], lead,
         py_round(F.col("_ltd"), 2).alias("lead_time_demand"),
         py_round(F.col("_ss"), 2).alias("safety_stock"),
@@ -167,5 +173,6 @@ def inventory_plan(df: DataFrame, forecast: str = "forecast",
         days,
         risk,
         py_round(inv, 2).alias("current_inventory"),
-        recommendation_text(reorder, qty, risk, days, inv, rop).alias("recommendation"),
+        recommendation_text(reorder, F.col("_qty_s"), risk, days, F.col("_inv_s"),
+                            F.col("_rop_s")).alias("recommendation"),
     )
