@@ -128,10 +128,11 @@ def plan_ctes(src: str, keep: list[str], kind: str = "scalar"):
         prev = f"({prev} + {v})"
         cum_cols.append(f"{prev} AS c{i}")
     cums = ", ".join(cum_cols)
+    src_vals = "fs" if kind == "scalar" else ", ".join(f"f{i}" for i in range(1, 8))
     days_when = " ".join(f"WHEN c{i} >= inv THEN {i}" for i in range(1, 8))
     return [
         ("p0", f"""
-SELECT {k}, inv, lead, {ltd} AS ltd, {f7} AS forecast_7day,
+SELECT {k}, {src_vals}, inv, lead, {ltd} AS ltd, {f7} AS forecast_7day,
        {cums}
 FROM {src}"""),
         ("p1", f"""
@@ -226,3 +227,408 @@ SELECT product_id, risk_level, alert_message, overstock_flag, days AS days_to_st
        reorder_status AS reorder_needed, reorder_quantity, inventory_coverage_days,
        forecast_7day_total, estimated_daily_demand, current_inventory
 FROM alerts""")
+
+
+# ---------------------------------------------------------------------------
+# Shared CTEs
+# ---------------------------------------------------------------------------
+LAGS = (1, 2, 3, 4, 5, 6, 7, 14, 21, 28, 30)
+MEANS = (3, 7, 14, 21, 30)
+STDS = (7, 14, 30)
+KEYS = "product_id, date, src_order, src_line"
+PW = f"PARTITION BY product_id ORDER BY {ORD}"
+TGT = [f"demand_t{i}" for i in range(1, 8)]
+LAG_C = [f"lag_{k}" for k in LAGS]
+MEAN_C = [f"rolling_mean_{n}" for n in MEANS]
+STD_C = [f"rolling_std_{n}" for n in STDS]
+CAL = ("CAST(isodow(date) - 1 AS INTEGER) AS day_of_week, CAST(weekofyear(date) AS INTEGER) AS week_of_year, "
+       "CAST(month(date) AS INTEGER) AS month, CASE WHEN isodow(date) >= 6 THEN 1 ELSE 0 END AS is_weekend")
+
+
+def feat_cte():
+    cols = [f"lag(units_sold, {k}) OVER ({PW}) AS lag_{k}" for k in LAGS]
+    cols += [f"avg(units_sold) OVER ({PW} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS rolling_mean_{n}"
+             for n in MEANS]
+    cols += [f"stddev_samp(units_sold) OVER ({PW} ROWS BETWEEN {n} PRECEDING AND 1 PRECEDING) AS rolling_std_{n}"
+             for n in STDS]
+    cols += [f"lead(units_sold, {i}) OVER ({PW}) AS demand_t{i}" for i in range(1, 8)]
+    return ("feat", f"SELECT *, {', '.join(cols)}, {CAL} FROM sales")
+
+
+def tf_cte():
+    cond = " AND ".join(f"{t} IS NOT NULL" for t in TGT)
+    return ("tf", f"SELECT * FROM feat WHERE {cond}")
+
+
+def numbered2_cte():
+    return ("numbered", f"""
+SELECT *, row_number() OVER (PARTITION BY product_id ORDER BY {ORD_DESC}) AS rd,
+          row_number() OVER (PARTITION BY product_id ORDER BY {ORD}) AS ra,
+          count(*) OVER (PARTITION BY product_id) AS n_rows
+FROM sales""")
+
+
+def std_replace(cols=STD_C, n=6):
+    return "REPLACE (" + ", ".join(f"{pyr(c, n)} AS {c}" for c in cols) + ")"
+
+
+def info_ctes():
+    return [("info", f"""
+SELECT product_id AS sku,
+       max(CASE WHEN ra = 1 THEN category END) AS category,
+       max(CASE WHEN ra = 1 THEN region END) AS region,
+       concat_ws(' - ', coalesce(max(CASE WHEN ra = 1 THEN category END), 'Unknown'), product_id) AS product_name,
+       max(CASE WHEN ra = 1 THEN store_id END) AS store_id,
+       avg(price) AS average_price_raw
+FROM numbered GROUP BY product_id"""),
+            ("info6", f"SELECT * EXCLUDE (average_price_raw), {pyr('average_price_raw', 6)} AS average_price FROM info")]
+
+
+def base(*extra):
+    return [sales_cte(), ("messages", MESSAGES_SQL), *extra]
+
+
+def q(*ctes, body):
+    return with_ctes(*ctes, body=body)
+
+
+Q = QUERIES
+Q["sales_scan"] = q(sales_cte(), body="SELECT * FROM sales")
+Q["sku_filter"] = q(*base(), body="SELECT * FROM sales WHERE product_id IN (SELECT product_id FROM messages)")
+Q["sku_membership"] = q(*base(), body="""
+SELECT m.message_id, m.product_id, (k.product_id IS NOT NULL) AS known,
+       CASE WHEN k.product_id IS NOT NULL THEN m.product_id ELSE (SELECT min(product_id) FROM sales) END AS resolved_sku
+FROM messages m LEFT JOIN (SELECT DISTINCT product_id FROM sales) k ON m.product_id = k.product_id""")
+
+Q["zero_profile"] = q(sales_cte(), ("z", """
+SELECT count(*) AS total_rows, count(*) FILTER (WHERE units_sold = 0) AS zero_rows FROM sales"""), body="""
+SELECT total_rows, zero_rows, CAST(zero_rows AS DOUBLE) / CAST(total_rows AS DOUBLE) * 100 AS zero_pct,
+       total_rows - zero_rows AS nonzero_rows,
+       CAST(100 AS DOUBLE) - CAST(zero_rows AS DOUBLE) / CAST(total_rows AS DOUBLE) * 100 AS nonzero_pct
+FROM z""")
+Q["zero_by_product"] = q(sales_cte(), body="""
+SELECT product_id, count(*) FILTER (WHERE units_sold = 0) AS zero_count FROM sales
+WHERE product_id IS NOT NULL GROUP BY product_id""")
+_zt = " UNION ALL ".join(
+    f"SELECT 'demand_t+{i}' AS target, count(*) FILTER (WHERE demand_t{i} = 0) AS zero_count, "
+    f"count(demand_t{i}) AS total_count FROM tf" for i in range(1, 8))
+Q["zero_targets"] = q(sales_cte(), feat_cte(), tf_cte(), ("zt", _zt), body="""
+SELECT target, zero_count, total_count, CAST(zero_count AS DOUBLE) / CAST(total_count AS DOUBLE) * 100 AS zero_pct
+FROM zt WHERE total_count > 0""")
+Q["sku_list"] = q(sales_cte(), body="SELECT DISTINCT product_id FROM sales")
+Q["product_info"] = q(sales_cte(), numbered2_cte(), *info_ctes(), body="SELECT * FROM info6")
+Q["sku_catalog"] = q(sales_cte(), numbered2_cte(), *info_ctes(), ("ranked", """
+SELECT *, CAST(row_number() OVER (ORDER BY sku) AS INTEGER) AS position FROM info6"""), body="""
+SELECT *, position <= 20 AS displayed, greatest((SELECT count(*) FROM info6) - 20, 0) AS more_products
+FROM ranked WHERE position <= 50""")
+
+FEAT = (sales_cte(), feat_cte())
+Q["lag_features"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(LAG_C)} FROM feat")
+Q["rolling_mean"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(MEAN_C)} FROM feat")
+Q["rolling_std"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(pyr(c, 6) + ' AS ' + c for c in STD_C)} FROM feat")
+Q["demand_targets"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(TGT)} FROM feat")
+Q["calendar_features"] = q(sales_cte(), body=f"SELECT {KEYS}, {CAL} FROM sales")
+Q["training_frame"] = q(*FEAT, tf_cte(), body=f"SELECT * {std_replace()} FROM tf")
+_inc = " OR ".join(f"{t} IS NULL" for t in TGT)
+Q["dropped_rows"] = q(*FEAT, body=f"""
+SELECT count(*) AS initial_rows, count(*) FILTER (WHERE {_inc}) AS dropped_rows,
+       count(*) FILTER (WHERE NOT ({_inc})) AS final_rows FROM feat""")
+
+MANIFEST = ("inventory_level units_sold units_ordered price discount promotion competitor_pricing epidemic "
+            "demand").split() + LAG_C + MEAN_C + STD_C + ["is_weekend"]
+_mi = ", ".join(f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}" for c in MANIFEST)
+Q["model_input"] = q(*FEAT, tf_cte(), ("mi", f"SELECT {KEYS}, {_mi} FROM tf"),
+                     body=f"SELECT * {std_replace()} FROM mi")
+
+PASS = "inventory_level units_ordered price discount promotion competitor_pricing epidemic".split()
+
+
+def serving_sql(mode: str) -> str:
+    aggs = ["max(n_rows) AS n", "max(CASE WHEN rd = 1 THEN date END) AS date",
+            "max(CASE WHEN rd = 1 THEN units_sold END) AS lu"]
+    aggs += [f"max(CASE WHEN rd = 1 THEN {c} END) AS {c}" for c in PASS + ["demand"]]
+    if mode == "reference":
+        aggs += [f"max(CASE WHEN rd = least({k}, n_rows) THEN units_sold END) AS l{k}" for k in LAGS]
+        aggs += [f"avg(CASE WHEN rd <= least({w}, n_rows - 1) THEN units_sold END) AS m{w}" for w in MEANS]
+        aggs += [f"stddev_samp(CASE WHEN rd <= least({w}, n_rows - 1) THEN units_sold END) AS s{w}" for w in STDS]
+    else:
+        aggs += [f"max(CASE WHEN rd = {k + 1} THEN units_sold END) AS l{k}" for k in LAGS]
+        aggs += [f"avg(CASE WHEN rd BETWEEN 2 AND {w + 1} THEN units_sold END) AS m{w}" for w in MEANS]
+        aggs += [f"stddev_samp(CASE WHEN rd BETWEEN 2 AND {w + 1} THEN units_sold END) AS s{w}" for w in STDS]
+    g = ("g", f"SELECT product_id, {', '.join(aggs)} FROM numbered GROUP BY product_id")
+    if mode == "reference":
+        cols = [f"CASE WHEN n = 1 THEN lu ELSE l{k} END AS lag_{k}" for k in LAGS]
+        cols += [f"CASE WHEN n = 1 THEN lu ELSE m{w} END AS rolling_mean_{w}" for w in MEANS]
+        cols += [f"coalesce(s{w}, CAST(0 AS DOUBLE)) AS rolling_std_{w}" for w in STDS]
+        cols += [f"coalesce({c}, CAST(0 AS DOUBLE)) AS {c}" for c in PASS]
+    else:
+        cols = [f"l{k} AS lag_{k}" for k in LAGS] + [f"m{w} AS rolling_mean_{w}" for w in MEANS]
+        cols += [f"s{w} AS rolling_std_{w}" for w in STDS] + PASS + ["lu AS units_sold", "demand"]
+    sv = ("sv", f"SELECT product_id, date, {', '.join(cols)}, {CAL} FROM g")
+    return sales_cte(), numbered2_cte(), g, sv
+
+
+Q["serving_features"] = q(*serving_sql("reference"), body=f"SELECT * {std_replace()} FROM sv")
+Q["serving_features_aligned"] = q(*serving_sql("aligned"), body=f"SELECT * {std_replace()} FROM sv")
+_vec_cols = ", ".join((f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}" if c not in ("units_sold", "demand")
+                       else f"CAST(0 AS DOUBLE) AS {c}") for c in MANIFEST)
+Q["serving_vector"] = q(*serving_sql("reference"), ("vec", f"SELECT product_id, {_vec_cols} FROM sv"),
+                        body=f"SELECT product_id, [{', '.join(pyr(c, 6) for c in MANIFEST)}] AS feature_vector FROM vec")
+Q["latest_row"] = q(sales_cte(), numbered2_cte(), body="SELECT * EXCLUDE (rd, ra, n_rows) FROM numbered WHERE rd = 1")
+Q["recent_sales"] = q(sales_cte(), numbered2_cte(), body="""
+SELECT product_id, list(units_sold ORDER BY rd DESC) AS daily_sales_history
+FROM numbered WHERE rd <= 14 GROUP BY product_id""")
+Q["append_latest"] = q(sales_cte(), numbered2_cte(), body=f"""
+SELECT {KEYS}, units_sold, false AS appended FROM sales
+UNION ALL SELECT {KEYS}, units_sold, true AS appended FROM numbered WHERE rd = 1""")
+Q["forecast_clamp"] = q(*FEAT, tf_cte(), ("fc", f"""
+SELECT {KEYS}, CAST(2.0 AS DOUBLE) * coalesce(lag_1, CAST(0 AS DOUBLE)) - coalesce(rolling_mean_7, CAST(0 AS DOUBLE))
+       AS raw_prediction FROM tf"""), body=f"""
+SELECT {KEYS}, raw_prediction, greatest(CAST(0 AS DOUBLE), raw_prediction) AS forecast FROM fc""")
+
+SPLIT = (*FEAT, tf_cte(), ("sp", f"""
+SELECT *, CASE WHEN row_number() OVER (ORDER BY date, product_id, src_order, src_line)
+                    <= floor((SELECT count(*) FROM tf) * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE)))
+               THEN 'train' ELSE 'val' END AS split
+FROM tf"""))
+Q["time_split"] = q(*SPLIT, body=f"SELECT {KEYS}, split FROM sp")
+Q["cv_folds"] = q(*SPLIT, ("tr", """
+SELECT *, row_number() OVER (ORDER BY date, product_id, src_order, src_line) AS r,
+       count(*) OVER () AS n FROM sp WHERE split = 'train'"""), ("fs", """
+SELECT *, n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END AS s0,
+          n // 3 + CASE WHEN n % 3 > 1 THEN 1 ELSE 0 END AS s1 FROM tr"""), body=f"""
+SELECT {KEYS}, CASE WHEN r <= s0 THEN 0 WHEN r <= s0 + s1 THEN 1 ELSE 2 END AS fold FROM fs""")
+
+_preds = " UNION ALL ".join(
+    f"SELECT {i} AS horizon, split, CAST(demand_t{i} AS DOUBLE) AS y, "
+    f"CAST(coalesce(rolling_mean_7, CAST(0 AS DOUBLE)) AS DOUBLE) AS prediction FROM sp" for i in range(1, 8))
+PREDS = (*SPLIT, ("preds", _preds))
+
+
+def metrics_ctes(zero_pairs="skip"):
+    den = "((abs(y) + abs(prediction)) / 2.0)"
+    term = (f"CASE WHEN {den} = 0 THEN NULL ELSE abs(prediction - y) / {den} END" if zero_pairs == "skip"
+            else f"CASE WHEN {den} = 0 THEN CAST('NaN' AS DOUBLE) ELSE abs(prediction - y) / {den} END")
+    aggs = []
+    for s in ("train", "val"):
+        aggs += [f"sqrt(avg(CASE WHEN split = '{s}' THEN pow(y - prediction, 2) END)) AS {s}_rmse",
+                 f"avg(CASE WHEN split = '{s}' THEN abs(y - prediction) END) AS {s}_mae",
+                 f"avg(CASE WHEN split = '{s}' THEN {term} END) * 100 AS {s}_smape"]
+    return (*PREDS, ("m", f"SELECT 'demand_t+' || CAST(horizon AS VARCHAR) AS target, horizon, {', '.join(aggs)} "
+                          "FROM preds GROUP BY horizon"))
+
+
+MCOLS = [f"{s}_{m}" for s in ("train", "val") for m in ("rmse", "mae", "smape")]
+Q["metrics_by_horizon"] = q(*metrics_ctes(), body=f"SELECT target, horizon, {', '.join(pyr(c, 6) + ' AS ' + c for c in MCOLS)} FROM m")
+Q["eval_smape"] = q(*metrics_ctes("nan"), body=f"SELECT target, {pyr('train_smape', 6)} AS train_smape, {pyr('val_smape', 6)} AS val_smape FROM m")
+Q["fit_diagnosis"] = q(*metrics_ctes(), ("d", """
+SELECT target, horizon, train_rmse - val_rmse AS rmse_gap, train_mae - val_mae AS mae_gap,
+       CASE WHEN val_rmse > train_rmse * 1.2 THEN 'val_worse' WHEN val_rmse < train_rmse THEN 'val_better' ELSE 'ok' END AS fit,
+       CASE WHEN val_rmse > train_rmse * 1.2 THEN 'Possible underfitting detected'
+            WHEN val_rmse < train_rmse THEN 'Validation RMSE is lower than training RMSE (unusual, may indicate data leakage)'
+            ELSE 'Model performance looks reasonable' END AS note,
+       CASE WHEN val_rmse > train_rmse * 1.2 THEN (val_rmse / train_rmse - 1) * 100 END AS val_excess_pct
+FROM m"""), body=f"""
+SELECT target, horizon, {pyr('rmse_gap', 6)} AS rmse_gap, {pyr('mae_gap', 6)} AS mae_gap, fit, note,
+       {pyr('val_excess_pct', 6)} AS val_excess_pct FROM d""")
+Q["prediction_range"] = q(*PREDS, body="""
+SELECT horizon, least(min(y), min(prediction)) AS min_val, greatest(max(y), max(prediction)) AS max_val
+FROM preds WHERE split = 'val' GROUP BY horizon""")
+Q["last_validation_row"] = q(*SPLIT, body=f"""
+SELECT {KEYS}, units_sold, inventory_level, {', '.join(TGT)} FROM sp WHERE split = 'val'
+ORDER BY date DESC, product_id DESC, src_order DESC, src_line DESC LIMIT 1""")
+
+_z = "CAST(0 AS DOUBLE)"
+Q["forecast_array"] = q(*FEAT, body=f"""
+SELECT {KEYS}, [{', '.join(f'coalesce({t}, {_z})' for t in TGT)}] AS days_from_map,
+       [{', '.join(f'coalesce({t}, {_z})' for t in TGT)}] AS days_from_list,
+       [{', '.join([f'coalesce(rolling_mean_7, {_z})'] * 7)}] AS days_from_scalar
+FROM feat""")
+
+ALIGNED = (sales_cte(), numbered2_cte(), aligned_serving_cte())
+_tot = "(((((((CAST(0 AS DOUBLE) + r) + r) + r) + r) + r) + r) + r)"
+Q["forecast_summary"] = q(*ALIGNED, ("cf", f"SELECT product_id, coalesce(rolling_mean_7, {_z}) AS r FROM aligned"),
+                          ("t", f"SELECT product_id, {_tot} AS total_7day FROM cf"), body="""
+SELECT product_id, total_7day, total_7day / CAST(7 AS DOUBLE) AS average_daily,
+       total_7day / CAST(7 AS DOUBLE) AS average_per_key FROM t""")
+
+Q["status_labels"] = constant_plan_sql("""
+SELECT product_id,
+       CASE WHEN reorder_status THEN 'Yes' ELSE 'No' END AS reorder_needed_label,
+       CASE WHEN reorder_status THEN 'YES - Reorder Needed' ELSE 'NO - Sufficient Stock' END AS reorder_status_label,
+       CASE WHEN days > 0 THEN CAST(days AS VARCHAR) ELSE 'Beyond forecast horizon' END AS stockout_label,
+       upper(decision_risk) AS risk_label
+FROM plan""")
+
+_keys_l = ["product_id", "date", "src_order", "src_line"]
+BT = (*FEAT, tf_cte(), ("bsrc", f"SELECT {KEYS}, {', '.join(f'{t} AS f{i}' for i, t in enumerate(TGT, 1))}, "
+                                "inventory_level AS inv, 3 AS lead FROM tf"),
+      *plan_ctes("bsrc", _keys_l, "list"))
+Q["backtest_decisions"] = q(*BT, body=f"""
+SELECT {KEYS}, lead_time_demand, safety_stock, reorder_point, reorder_status, reorder_quantity,
+       days AS days_to_stockout, decision_risk, risk_level, overstock_flag, inventory_coverage_days, current_inventory
+FROM alerts""")
+for _name, _col in [("lead_time_demand", "lead_time_demand"), ("safety_stock", "safety_stock"),
+                    ("reorder_point", "reorder_point"), ("reorder_flag", "reorder_status"),
+                    ("reorder_quantity", "reorder_quantity"), ("days_to_stockout", "days AS days_to_stockout"),
+                    ("decision_risk", "decision_risk"), ("recommendation_text", "recommendation"),
+                    ("alert_risk", "risk_level"), ("alert_message", "alert_message"),
+                    ("overstock", "overstock_flag"), ("coverage_days", "inventory_coverage_days")]:
+    Q[_name] = q(*BT, body=f"SELECT {KEYS}, {_col} FROM alerts")
+
+Q["forecast_7day_estimate"] = q(*BT, ("e0", f"""
+SELECT {KEYS}, current_inventory, CASE WHEN days > 0 AND days <= 7 THEN (current_inventory / CAST(days AS DOUBLE)) * CAST(7 AS DOUBLE)
+            WHEN lead_time_demand > 0 THEN (lead_time_demand / CAST(3 AS DOUBLE)) * CAST(7 AS DOUBLE)
+            ELSE {_z} END AS f7e FROM plan"""), ("e1", f"""
+SELECT *, CASE WHEN f7e > 0 AND f7e / CAST(7 AS DOUBLE) > 0 THEN current_inventory / (f7e / CAST(7 AS DOUBLE))
+               ELSE CAST(-1 AS DOUBLE) END AS cov FROM e0"""), body=f"""
+SELECT {KEYS}, {pyr('f7e')} AS forecast_7day_total,
+       CASE WHEN f7e <= 0 THEN false ELSE current_inventory > CAST(2.0 AS DOUBLE) * f7e END AS overstock_flag,
+       CASE WHEN cov > 0 THEN {pyr('cov')} ELSE CAST(-1 AS DOUBLE) END AS inventory_coverage_days FROM e1""")
+
+# -- context ----------------------------------------------------------------
+CTX = (sales_cte(), ("messages", MESSAGES_SQL), numbered2_cte(), aligned_serving_cte(), *info_ctes(),
+       ("csrc", f"SELECT product_id, {', '.join(f'coalesce(rolling_mean_7, {_z}) AS f{i}' for i in range(1, 8))}, "
+                "inventory_level AS inv, 3 AS lead FROM aligned"),
+       *plan_ctes("csrc", ["product_id"], "list"),
+       ("lr", "SELECT product_id, inventory_level AS l_inv, price AS l_price FROM numbered WHERE rd = 1"),
+       ("recent", "SELECT product_id, list(units_sold ORDER BY rd DESC) AS daily_sales_history "
+                  "FROM numbered WHERE rd <= 14 GROUP BY product_id"),
+       ("ctx0", """
+SELECT a.product_id AS sku, coalesce(i.product_name, a.product_id) AS product_name,
+       coalesce(i.category, 'Unknown') AS category, coalesce(i.region, 'Unknown') AS region,
+       l.l_inv AS current_inventory, coalesce(l.l_price, i.average_price_raw, CAST(0 AS DOUBLE)) AS price_raw,
+       a.f1, a.f2, a.f3, a.f4, a.f5, a.f6, a.f7,
+       a.days AS days_to_stockout, a.risk_level, a.reorder_status AS reorder_needed,
+       a.reorder_quantity AS recommended_reorder_quantity, coalesce(r.daily_sales_history, []) AS daily_sales_history,
+       a.lead AS lead_time_days, a.safety_stock, a.reorder_point, a.lead_time_demand, a.inventory_coverage_days,
+       coalesce(i.average_price_raw, coalesce(l.l_price, i.average_price_raw, CAST(0 AS DOUBLE))) AS avg_raw,
+       a.overstock_flag, a.alert_message, a.current_inventory AS inv_rounded
+FROM alerts a LEFT JOIN info i ON a.product_id = i.sku LEFT JOIN lr l ON a.product_id = l.product_id
+LEFT JOIN recent r ON a.product_id = r.product_id"""),
+       ("ctx", f"SELECT *, {pyr('price_raw', 6)} AS current_price, {pyr('avg_raw', 6)} AS average_price FROM ctx0"))
+
+Q["sku_snapshot"] = q(sales_cte(), numbered2_cte(), *info_ctes(), body="""
+SELECT l.product_id, l.date, l.units_sold, l.inventory_level, l.price, i.category, i.region, i.product_name,
+       i.store_id, i.average_price
+FROM numbered l JOIN info6 i ON l.product_id = i.sku WHERE l.rd = 1""")
+Q["sku_context"] = q(*CTX, body=f"""
+SELECT sku, product_name, category, region, current_inventory, current_price,
+       {', '.join(f'f{i} AS forecast_t{i}' for i in range(1, 8))},
+       days_to_stockout, risk_level, reorder_needed, recommended_reorder_quantity, daily_sales_history,
+       lead_time_days, safety_stock, reorder_point, lead_time_demand, inventory_coverage_days, average_price
+FROM ctx""")
+_fmap = "MAP {" + ", ".join(f"'t+{i}': f{i}" for i in range(1, 8)) + "}"
+Q["context_json"] = q(*CTX, body=f"""
+SELECT sku, to_json({{'sku': sku, 'product_name': product_name, 'category': category, 'region': region,
+  'current_inventory': current_inventory, 'current_price': current_price, 'forecast': {_fmap},
+  'days_to_stockout': days_to_stockout, 'risk_level': risk_level, 'reorder_needed': reorder_needed,
+  'recommended_reorder_quantity': recommended_reorder_quantity, 'daily_sales_history': daily_sales_history,
+  'metadata': {{'lead_time_days': lead_time_days, 'safety_stock': safety_stock, 'reorder_point': reorder_point,
+               'lead_time_demand': lead_time_demand, 'inventory_coverage_days': inventory_coverage_days,
+               'average_price': average_price}}}}) AS context_json
+FROM ctx""")
+Q["sales_trend"] = q(*CTX, body="""
+SELECT sku, CAST(len(daily_sales_history) AS INTEGER) AS history_days,
+       daily_sales_history[greatest(len(daily_sales_history) - 6, 1):greatest(len(daily_sales_history) - 6, 1) + 6] AS last_7_days,
+       CASE WHEN len(daily_sales_history) = 0 THEN NULL
+            ELSE list_reduce(list_prepend(CAST(0 AS DOUBLE), daily_sales_history), (a, x) -> a + x) / CAST(len(daily_sales_history) AS DOUBLE) END AS average,
+       CASE WHEN len(daily_sales_history) = 0 THEN NULL
+            WHEN daily_sales_history[-1] > daily_sales_history[1] THEN 'Increasing'
+            WHEN daily_sales_history[-1] < daily_sales_history[1] THEN 'Decreasing' ELSE 'Stable' END AS trend
+FROM ctx""")
+
+_tot7 = "(((((((CAST(0 AS DOUBLE) + f1) + f2) + f3) + f4) + f5) + f6) + f7)"
+EX = (*CTX, ("ex0", f"SELECT *, {_tot7} AS tot FROM ctx"),
+      ("ex1", f"SELECT *, tot / 7.0 AS avg7, {pyr('tot')} AS total_7day, {pyr('tot / 7.0')} AS average_daily FROM ex0"))
+_dbd = " || ', ' || ".join(f"'t+{i}=' || {pyf(f'f{i}', 1)}" for i in range(1, 8))
+Q["explain_forecast"] = q(*EX, body=f"""
+SELECT sku, '7-day demand forecast generated. Total expected demand: ' || {pyf('tot', 1)} || ' units (' ||
+       {pyf('avg7', 1)} || ' units/day average). Day-by-day: ' || {_dbd} || '.' AS forecast_explanation,
+       total_7day, average_daily FROM ex1""")
+Q["explain_inventory"] = q(*EX, body=f"""
+SELECT sku, CASE WHEN current_inventory IS NULL THEN '{'Cannot generate inventory recommendation without forecast and inventory data.'}' ELSE
+  'Inventory status: ' || {pyf('inv_rounded', 0)} || ' units on hand. Reorder point: ' || {pyf('reorder_point', 0)} || ' units. ' ||
+  CASE WHEN reorder_needed THEN 'REORDER NEEDED. Recommended quantity: ' || {pyf('recommended_reorder_quantity', 0)} || ' units. '
+       ELSE 'No reorder needed at this time. ' END ||
+  CASE WHEN days_to_stockout > 0 THEN 'Estimated stockout in ' || CAST(days_to_stockout AS VARCHAR) || ' days.'
+       ELSE 'Stockout beyond forecast horizon.' END END AS inventory_explanation FROM ex1""")
+Q["explain_risk"] = q(*EX, body="""
+SELECT sku, 'Risk Level: ' || risk_level || '. ' || alert_message || ' ' ||
+       CASE WHEN overstock_flag THEN 'OVERSTOCK DETECTED: Inventory exceeds 2x forecasted demand.' ELSE '' END AS risk_explanation
+FROM ex1""")
+Q["explain_summary"] = q(*EX, body=f"""
+SELECT sku, 'OPERATIONAL SUMMARY' || chr(10) || 'Forecast: ' || {pyf('total_7day', 0)} || ' units expected over next 7 days (' ||
+       {pyf('average_daily', 1)} || ' units/day).' || chr(10) || 'Inventory: ' || {pyf('inv_rounded', 0)} ||
+       ' units on hand. Reorder point: ' || {pyf('reorder_point', 0)} || ' units. ' ||
+       CASE WHEN reorder_needed THEN 'REORDER NEEDED: ' || {pyf('recommended_reorder_quantity', 0)} || ' units.' || chr(10)
+            ELSE 'No reorder needed.' || chr(10) END ||
+       'Risk: ' || risk_level || '. Stockout in ' || CAST(days_to_stockout AS VARCHAR) || ' days. ' ||
+       CASE WHEN overstock_flag THEN 'OVERSTOCK detected.' ELSE '' END AS summary_explanation
+FROM ex1""")
+
+_NL = "chr(10)"
+
+
+def _pylist(a: str) -> str:
+    return ("'[' || array_to_string(list_transform(" + a + ", x -> CASE WHEN x IS NULL OR isnan(x) THEN 'nan' "
+            "WHEN abs(x) < 1e16 AND x = floor(x) THEN printf('%.1f', x) ELSE CAST(x AS VARCHAR) END), ', ') || ']'")
+
+
+_fc_lines = f" || {_NL} || ".join(f"'  t+{i}: ' || {pyf(f'f{i}', 2)} || ' units'" for i in range(1, 8))
+Q["prompt_context"] = q(*EX, body=f"""
+SELECT sku, concat_ws({_NL},
+  'Product Name: ' || product_name, 'SKU: ' || sku, 'Category: ' || category, 'Region: ' || region,
+  CASE WHEN current_price IS NOT NULL AND current_price <> 0 THEN 'Current Price: $' || {pyf('current_price', 2)} END,
+  {_NL} || 'INVENTORY STATUS:',
+  'Current Inventory: ' || {pyf('current_inventory', 2)} || ' units',
+  'Days to Stockout: ' || CAST(days_to_stockout AS VARCHAR),
+  'Risk Level: ' || risk_level,
+  'Reorder Needed: ' || CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END,
+  CASE WHEN reorder_needed THEN 'Recommended Reorder Quantity: ' || {pyf('recommended_reorder_quantity', 2)} || ' units' END,
+  {_NL} || '7-DAY DEMAND FORECAST:' || {_NL} || {_fc_lines} || {_NL} || '  Total (7-day): ' || {pyf('tot', 2)} || ' units'
+      || {_NL} || '  Average daily: ' || {pyf('avg7', 2)} || ' units/day',
+  CASE WHEN len(daily_sales_history) > 0 THEN {_NL} || 'RECENT SALES HISTORY (last ' || CAST(len(daily_sales_history) AS VARCHAR)
+      || ' days):' || {_NL} || '  ' || {_pylist('daily_sales_history')} END,
+  {_NL} || 'ADDITIONAL METRICS:' || {_NL} || '  Lead Time: ' || CAST(lead_time_days AS VARCHAR) || ' days' || {_NL}
+      || '  Safety Stock: ' || {pyf('safety_stock', 2)} || ' units' || {_NL} || '  Reorder Point: ' || {pyf('reorder_point', 2)}
+      || ' units' || {_NL} || '  Lead Time Demand: ' || {pyf('lead_time_demand', 2)} || ' units' || {_NL}
+      || '  Inventory Coverage: ' || {pyf('inventory_coverage_days', 1)} || ' days') AS prompt
+FROM ex1""")
+
+def _any(words):
+    return " OR ".join(f"contains(lower(query), '{w}')" for w in words)
+
+
+_INTENT = f"""CASE
+  WHEN {_any(['forecast', 'demand', 'prediction', 'predict', 'future', 'next week'])} THEN 'forecast'
+  WHEN {_any(['risk', 'alert', 'danger', 'critical', 'urgent', 'warning'])} THEN 'risk'
+  WHEN {_any(['reorder', 'order', 'purchase', 'buy', 'restock', 'stock'])} THEN 'reorder'
+  ELSE 'summary' END"""
+Q["detect_intent"] = q(*base(), body=f"SELECT message_id, query, {_INTENT} AS intent FROM messages")
+
+
+def _body_expr(name: str) -> str:
+    """Extract the explanation expression of an explain_* query body."""
+    body = Q[name].rsplit("\nSELECT sku, ", 1)[1]
+    expr = body.rsplit(f" AS {name.replace('explain_', '')}_explanation", 1)[0]
+    return expr
+
+
+_EXQ = ("exq", f"""
+SELECT sku, {_body_expr('explain_forecast')} AS forecast_explanation,
+       {_body_expr('explain_inventory')} AS inventory_explanation,
+       {_body_expr('explain_risk')} AS risk_explanation,
+       {_body_expr('explain_summary')} AS summary_explanation,
+       tot, reorder_point, risk_level
+FROM ex1""")
+Q["respond"] = q(*EX, _EXQ, ("mi", f"SELECT message_id, product_id, {_INTENT} AS intent FROM messages"), body="""
+SELECT m.message_id, m.product_id, m.intent,
+  CASE m.intent WHEN 'forecast' THEN coalesce(e.forecast_explanation, 'Cannot generate forecast without latest data.')
+                WHEN 'reorder' THEN coalesce(e.inventory_explanation, 'Cannot generate inventory recommendation without forecast and inventory data.')
+                WHEN 'risk' THEN coalesce(e.risk_explanation, 'Cannot generate inventory recommendation without forecast and inventory data.')
+                ELSE coalesce(e.summary_explanation, 'Unable to generate summary without forecast.') END AS response_text,
+  CASE WHEN e.sku IS NOT NULL AND m.intent IN ('forecast', 'summary') THEN e.tot END AS forecast_total,
+  CASE WHEN e.sku IS NOT NULL AND m.intent IN ('reorder', 'risk', 'summary') THEN e.reorder_point END AS inventory_reorder_point,
+  CASE WHEN e.sku IS NOT NULL AND m.intent IN ('risk', 'summary') THEN e.risk_level END AS alerts_risk_level
+FROM mi m LEFT JOIN exq e ON m.product_id = e.sku""")

@@ -2,8 +2,10 @@
 
 Each query takes ``(spark, sf_dir)`` and returns a DataFrame over the whole
 test tables.  Column names match the oracle SQL in ``duck_oracle.py``.
-Nested results are flattened to scalar columns where a struct would only
-be a container, so engines can be compared value by value.
+Nested results are flattened to scalar columns where a struct is only a
+container, so two engines can be compared value by value.  Sample standard
+deviations and averages of non-integer values are reported rounded to
+1e-6 (summation order differs between engines in the last bits).
 """
 
 from __future__ import annotations
@@ -13,10 +15,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from shelfcast.functions.forecast import forecast_total, seven_days
+from shelfcast.functions.pynum import py_round
+from shelfcast.functions.text import detect_intent
+from shelfcast.operators import context as ctxops
+from shelfcast.operators import evaluation as ev
+from shelfcast.operators import profile as prof
+from shelfcast.operators.features import (LAG_COLS, MEAN_COLS, STD_COLS, feature_frame,
+                                          model_input, serving_features, training_frame)
+from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
+from shelfcast.operators.split import contiguous_folds, time_split
 from shelfcast.plans.decisions import constant_forecast, plan_and_alerts
-from shelfcast.sources import sales_view
+from shelfcast.schema import CALENDAR, FEATURES_V1, TARGETS
+from shelfcast.sources import messages_view, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+KEYS = ("product_id", "date", "src_order", "src_line")
 
 
 def query(name: str):
@@ -26,13 +40,273 @@ def query(name: str):
     return deco
 
 
-def _constant_decisions(spark, sf_dir):
-    return plan_and_alerts(constant_forecast(sales_view(spark, sf_dir)))
+def _r6(c):
+    return py_round(F.col(c), 6).alias(c)
+
+
+# ---------------------------------------------------------------- sources
+@query("sales_scan")
+def q_sales_scan(spark, sf):
+    """The sales view over all test tables."""
+    return sales_view(spark, sf)
+
+
+@query("sku_filter")
+def q_sku_filter(spark, sf):
+    """Rows of every product somebody asked about (left-semi join)."""
+    return prof.sku_filter(sales_view(spark, sf), messages_view(spark, sf))
+
+
+@query("sku_membership")
+def q_sku_membership(spark, sf):
+    """P10: requested SKU known? unknown → first SKU."""
+    return prof.sku_membership(messages_view(spark, sf), sales_view(spark, sf))
+
+
+# -------------------------------------------------------------- profiling
+@query("zero_profile")
+def q_zero_profile(spark, sf):
+    return prof.zero_profile(sales_view(spark, sf))
+
+
+@query("zero_by_product")
+def q_zero_by_product(spark, sf):
+    return prof.zero_by_product(sales_view(spark, sf))
+
+
+@query("zero_targets")
+def q_zero_targets(spark, sf):
+    return prof.zero_targets(training_frame(sales_view(spark, sf)))
+
+
+@query("sku_list")
+def q_sku_list(spark, sf):
+    return prof.sku_list(sales_view(spark, sf))
+
+
+@query("product_info")
+def q_product_info(spark, sf):
+    """A5/T1."""
+    return product_info(sales_view(spark, sf)).withColumn(
+        "average_price", py_round(F.col("average_price"), 6))
+
+
+@query("sku_catalog")
+def q_sku_catalog(spark, sf):
+    """O3: first 50 products (a top-k listing), 20 displayed, rest counted."""
+    info = product_info(sales_view(spark, sf)).withColumn(
+        "average_price", py_round(F.col("average_price"), 6))
+    return prof.sku_catalog(info)
+
+
+# --------------------------------------------------------------- features
+def _ff(spark, sf):
+    return feature_frame(sales_view(spark, sf))
+
+
+@query("lag_features")
+def q_lag_features(spark, sf):
+    return _ff(spark, sf).select(*KEYS, "units_sold", *LAG_COLS)
+
+
+@query("rolling_mean")
+def q_rolling_mean(spark, sf):
+    return _ff(spark, sf).select(*KEYS, "units_sold", *MEAN_COLS)
+
+
+@query("rolling_std")
+def q_rolling_std(spark, sf):
+    return _ff(spark, sf).select(*KEYS, "units_sold", *[_r6(c) for c in STD_COLS])
+
+
+@query("demand_targets")
+def q_demand_targets(spark, sf):
+    return _ff(spark, sf).select(*KEYS, "units_sold", *TARGETS)
+
+
+@query("calendar_features")
+def q_calendar(spark, sf):
+    from shelfcast.functions.calendar import calendar_columns
+    return sales_view(spark, sf).select(*KEYS, *calendar_columns(F.col("date")))
+
+
+def _tf_out(df):
+    drop = {"pos", "n_rows"}
+    return df.select(*[_r6(c) if c in STD_COLS else F.col(c) for c in df.columns if c not in drop])
+
+
+@query("training_frame")
+def q_training_frame(spark, sf):
+    """W5 + P2."""
+    return _tf_out(training_frame(sales_view(spark, sf)))
+
+
+@query("dropped_rows")
+def q_dropped_rows(spark, sf):
+    from shelfcast.operators.features import dropped_rows
+    return dropped_rows(sales_view(spark, sf))
+
+
+@query("model_input")
+def q_model_input(spark, sf):
+    """The 29-feature manifest, NULL → 0.0."""
+    tf = training_frame(sales_view(spark, sf))
+    cols = model_input(tf, FEATURES_V1)
+    return tf.select(*KEYS, *[py_round(c, 6).alias(n) if n in STD_COLS else c
+                              for c, n in zip(cols, FEATURES_V1)])
+
+
+@query("serving_features")
+def q_serving_features(spark, sf):
+    """W8/P8 (reference recipe)."""
+    s = serving_features(sales_view(spark, sf), mode="reference")
+    return s.select(*[_r6(c) if c in STD_COLS else F.col(c) for c in s.columns])
+
+
+@query("serving_features_aligned")
+def q_serving_aligned(spark, sf):
+    """W8 aligned mode: the training recipe at the latest row."""
+    s = serving_features(sales_view(spark, sf), mode="aligned")
+    return s.select(*[_r6(c) if c in STD_COLS else F.col(c) for c in s.columns])
+
+
+@query("serving_vector")
+def q_serving_vector(spark, sf):
+    """Manifest-ordered vector; units_sold and demand absent → 0.0."""
+    s = serving_features(sales_view(spark, sf), mode="reference")
+    cols = model_input(s, FEATURES_V1)
+    return s.select("product_id", F.array(*[py_round(c, 6) for c in cols]).alias("feature_vector"))
+
+
+@query("latest_row")
+def q_latest_row(spark, sf):
+    return latest_row(sales_view(spark, sf))
+
+
+@query("recent_sales")
+def q_recent_sales(spark, sf):
+    return recent_sales(sales_view(spark, sf), 14)
+
+
+@query("append_latest")
+def q_append_latest(spark, sf):
+    """History with the latest row appended again (bag union)."""
+    s = sales_view(spark, sf)
+    hist = s.select(*KEYS, "units_sold", F.lit(False).alias("appended"))
+    last = latest_row(s).select(*KEYS, "units_sold", F.lit(True).alias("appended"))
+    return hist.unionByName(last)
+
+
+@query("forecast_clamp")
+def q_forecast_clamp(spark, sf):
+    """P9 on a deterministic trend predictor 2·lag_1 − rolling_mean_7."""
+    tf = training_frame(sales_view(spark, sf))
+    raw = (F.lit(2.0) * F.coalesce(F.col("lag_1"), F.lit(0.0))
+           - F.coalesce(F.col("rolling_mean_7"), F.lit(0.0)))
+    return tf.select(*KEYS, raw.alias("raw_prediction"),
+                     F.greatest(F.lit(0.0), raw).alias("forecast"))
+
+
+# ------------------------------------------------------------ split / eval
+def _split_frame(spark, sf):
+    tf = training_frame(sales_view(spark, sf)).persist()
+    return time_split(tf, 0.2)
+
+
+@query("time_split")
+def q_time_split(spark, sf):
+    return _split_frame(spark, sf).select(*KEYS, "split")
+
+
+@query("cv_folds")
+def q_cv_folds(spark, sf):
+    """M2 folds: three contiguous blocks of the time-ordered training rows."""
+    tr = _split_frame(spark, sf).where(F.col("split") == "train").persist()
+    return contiguous_folds(tr, 3).select(*KEYS, "fold")
+
+
+def _baseline_preds(spark, sf):
+    """Deterministic predictor for the metric operators: rolling_mean_7 (NULL → 0)."""
+    return ev.long_predictions(_split_frame(spark, sf),
+                               F.coalesce(F.col("rolling_mean_7"), F.lit(0.0)))
+
+
+def _metrics(spark, sf, zero_pairs="skip"):
+    return ev.metrics_by_horizon(_baseline_preds(spark, sf), zero_pairs)
+
+
+@query("metrics_by_horizon")
+def q_metrics(spark, sf):
+    """A7-A9, A11."""
+    m = _metrics(spark, sf)
+    return m.select("target", "horizon", *[_r6(c) for c in m.columns if c not in ("target", "horizon")])
+
+
+@query("eval_smape")
+def q_eval_smape(spark, sf):
+    """A9 in the original 0/0 mode: any y = p = 0 pair makes the mean NaN."""
+    m = _metrics(spark, sf, zero_pairs="nan")
+    return m.select("target", _r6("train_smape"), _r6("val_smape"))
+
+
+@query("fit_diagnosis")
+def q_fit_diagnosis(spark, sf):
+    d = ev.fit_diagnosis(_metrics(spark, sf))
+    return d.select("target", "horizon", _r6("rmse_gap"), _r6("mae_gap"), "fit", "note",
+                    _r6("val_excess_pct"))
+
+
+@query("prediction_range")
+def q_prediction_range(spark, sf):
+    return ev.prediction_range(_baseline_preds(spark, sf))
+
+
+@query("prediction_sample")
+def q_prediction_sample(spark, sf):
+    """O6 (random; rows-only check)."""
+    return ev.prediction_sample(_baseline_preds(spark, sf), 5000)
+
+
+@query("last_validation_row")
+def q_last_validation_row(spark, sf):
+    sp = _split_frame(spark, sf)
+    v = sp.where(F.col("split") == "val").select(*KEYS, "units_sold", "inventory_level", *TARGETS)
+    return ev.last_row(v, ["date", "product_id", "src_order", "src_line"])
+
+
+# -------------------------------------------------------- forecast shapes
+@query("forecast_array")
+def q_forecast_array(spark, sf):
+    """Map (missing keys → 0), list (first 7) and scalar (repeated)."""
+    ff = _ff(spark, sf)
+    m = F.map_filter(F.map_from_arrays(F.array(*[F.lit(f"t+{i}") for i in range(1, 8)]),
+                                       F.array(*[F.col(t) for t in TARGETS])),
+                     lambda k, v: v.isNotNull())
+    lst = F.array(*[F.col(t) for t in TARGETS])
+    sc = F.coalesce(F.col("rolling_mean_7"), F.lit(0.0))
+    return ff.select(*KEYS, seven_days(m, "map").alias("days_from_map"),
+                     seven_days(lst, "array").alias("days_from_list"),
+                     seven_days(sc, "scalar").alias("days_from_scalar"))
+
+
+@query("forecast_summary")
+def q_forecast_summary(spark, sf):
+    """7-day total, /7 average and /size average of a forecast map."""
+    cf = constant_forecast(sales_view(spark, sf), as_map=True)
+    tot = forecast_total(F.col("forecast"), "map")
+    return cf.select("product_id", tot.alias("total_7day"), (tot / 7.0).alias("average_daily"),
+                     (tot / F.size("forecast")).alias("average_per_key"))
+
+
+# ------------------------------------------------ decisions: constant rate
+def _constant_decisions(spark, sf, as_map=False):
+    return plan_and_alerts(constant_forecast(sales_view(spark, sf), as_map=as_map))
 
 
 @query("inventory_plan")
-def q_inventory_plan(spark, sf_dir):
-    d = _constant_decisions(spark, sf_dir)
+def q_inventory_plan(spark, sf):
+    """I9 (latest row, constant daily rate, lead 3)."""
+    d = _constant_decisions(spark, sf)
     return d.select("product_id", "lead_time_days", "lead_time_demand", "safety_stock",
                     "reorder_point", "reorder_status", "reorder_quantity", "days_to_stockout",
                     F.col("decision_risk").alias("risk_level"), "current_inventory",
@@ -40,11 +314,165 @@ def q_inventory_plan(spark, sf_dir):
 
 
 @query("alerts")
-def q_alerts(spark, sf_dir):
-    d = _constant_decisions(spark, sf_dir)
+def q_alerts(spark, sf):
+    """AL6/AL7 payload (latest row, constant daily rate)."""
+    d = _constant_decisions(spark, sf)
     return d.select("product_id", "risk_level", "alert_message", "overstock_flag",
-                    "days_to_stockout", F.col("reorder_needed"), "reorder_quantity",
+                    "days_to_stockout", "reorder_needed", "reorder_quantity",
                     "inventory_coverage_days",
                     F.col("forecast_summary.forecast_7day_total").alias("forecast_7day_total"),
                     F.col("forecast_summary.estimated_daily_demand").alias("estimated_daily_demand"),
                     "current_inventory")
+
+
+@query("status_labels")
+def q_status_labels(spark, sf):
+    return ctxops.status_labels(_constant_decisions(spark, sf))
+
+
+# ------------------------------------------ decisions: realised backtest
+def _backtest(spark, sf):
+    """Plan + alerts at every training row with the realised next 7 days."""
+    tf = training_frame(sales_view(spark, sf))
+    rf = tf.select(*KEYS, F.array(*[F.col(t) for t in TARGETS]).alias("forecast"),
+                   F.col("inventory_level").alias("current_inventory"))
+    return plan_and_alerts(rf, keep=KEYS)
+
+
+@query("backtest_decisions")
+def q_backtest(spark, sf):
+    d = _backtest(spark, sf)
+    return d.select(*KEYS, "lead_time_demand", "safety_stock", "reorder_point", "reorder_status",
+                    "reorder_quantity", "days_to_stockout", "decision_risk", "risk_level",
+                    "overstock_flag", "inventory_coverage_days", "current_inventory")
+
+
+def _bt_col(name, *cols):
+    def fn(spark, sf):
+        return _backtest(spark, sf).select(*KEYS, *cols)
+    fn.__name__ = f"q_{name}"
+    QUERIES[name] = fn
+
+
+_bt_col("lead_time_demand", "lead_time_demand")                       # I1
+_bt_col("safety_stock", "safety_stock")                               # I2
+_bt_col("reorder_point", "reorder_point")                             # I3
+_bt_col("reorder_flag", "reorder_status")                             # I4
+_bt_col("reorder_quantity", "reorder_quantity")                       # I5
+_bt_col("days_to_stockout", "days_to_stockout")                       # I6 / W9
+_bt_col("decision_risk", "decision_risk")                             # I7
+_bt_col("recommendation_text", "recommendation")                      # I8
+_bt_col("alert_risk", "risk_level")                                   # AL1
+_bt_col("alert_message", "alert_message")                             # AL2
+_bt_col("overstock", "overstock_flag")                                # AL3
+_bt_col("coverage_days", "inventory_coverage_days")                   # AL5
+
+
+@query("forecast_7day_estimate")
+def q_forecast_7day_estimate(spark, sf):
+    """AL4: alerts built without a forecast total (estimated from the plan)."""
+    from shelfcast.operators.alerts import alerts
+    from shelfcast.operators.inventory import inventory_plan
+    tf = training_frame(sales_view(spark, sf))
+    src = tf.select(*KEYS, F.array(*[F.col(t) for t in TARGETS]).alias("forecast"),
+                    F.col("inventory_level").alias("current_inventory"))
+    plan = inventory_plan(src, keep=KEYS)
+    a = alerts(plan, forecast_7day=None, keep=KEYS)
+    return a.select(*KEYS, F.col("forecast_summary.forecast_7day_total").alias("forecast_7day_total"),
+                    "overstock_flag", "inventory_coverage_days")
+
+
+# ------------------------------------------------------ context / answers
+def _context(spark, sf):
+    s = sales_view(spark, sf)
+    cf = constant_forecast(s, as_map=True)
+    dec = plan_and_alerts(cf)
+    return ctxops.sku_context(cf, dec, product_info(s), latest_row(s), recent_sales(s, 14))
+
+
+@query("sku_snapshot")
+def q_sku_snapshot(spark, sf):
+    """Latest row joined with product info."""
+    s = sales_view(spark, sf)
+    info = product_info(s).withColumn("average_price", py_round(F.col("average_price"), 6))
+    lr = latest_row(s).select("product_id", "date", "units_sold", "inventory_level", "price")
+    return lr.join(info.withColumnRenamed("sku", "product_id"), "product_id")
+
+
+@query("sku_context")
+def q_sku_context(spark, sf):
+    """C2/C3 (constant-rate forecast as the model stand-in), flattened."""
+    c = _context(spark, sf)
+    return c.select(
+        "sku", "product_name", "category", "region", "current_inventory",
+        _r6("current_price"),
+        *[F.col("forecast")[f"t+{i}"].alias(f"forecast_t{i}") for i in range(1, 8)],
+        "days_to_stockout", "risk_level", "reorder_needed", "recommended_reorder_quantity",
+        "daily_sales_history",
+        F.col("metadata.lead_time_days").alias("lead_time_days"),
+        F.col("metadata.safety_stock").alias("safety_stock"),
+        F.col("metadata.reorder_point").alias("reorder_point"),
+        F.col("metadata.lead_time_demand").alias("lead_time_demand"),
+        F.col("metadata.inventory_coverage_days").alias("inventory_coverage_days"),
+        py_round(F.col("metadata.average_price"), 6).alias("average_price"))
+
+
+@query("context_json")
+def q_context_json(spark, sf):
+    """The context document as JSON text (prices at 1e-6)."""
+    c = _context(spark, sf)
+    c = c.withColumn("current_price", py_round(F.col("current_price"), 6)).withColumn(
+        "metadata", F.col("metadata").withField("average_price",
+                                                py_round(F.col("metadata.average_price"), 6)))
+    return ctxops.context_json(c)
+
+
+@query("sales_trend")
+def q_sales_trend(spark, sf):
+    return ctxops.sales_trend(_context(spark, sf))
+
+
+def _explanations(spark, sf):
+    return ctxops.explanations(_context(spark, sf))
+
+
+@query("explain_forecast")
+def q_explain_forecast(spark, sf):
+    return _explanations(spark, sf).select("sku", "forecast_explanation", "total_7day", "average_daily")
+
+
+@query("explain_inventory")
+def q_explain_inventory(spark, sf):
+    return _explanations(spark, sf).select("sku", "inventory_explanation")
+
+
+@query("explain_risk")
+def q_explain_risk(spark, sf):
+    return _explanations(spark, sf).select("sku", "risk_explanation")
+
+
+@query("explain_summary")
+def q_explain_summary(spark, sf):
+    return _explanations(spark, sf).select("sku", "summary_explanation")
+
+
+@query("prompt_context")
+def q_prompt_context(spark, sf):
+    c = _context(spark, sf).withColumn("current_price", py_round(F.col("current_price"), 6))
+    return ctxops.prompt_context(c)
+
+
+@query("detect_intent")
+def q_detect_intent(spark, sf):
+    m = messages_view(spark, sf)
+    return m.select("message_id", "query", detect_intent(F.col("query")).alias("intent"))
+
+
+@query("respond")
+def q_respond(spark, sf):
+    """Answers for every message (flattened presence of the parts)."""
+    r = ctxops.respond(messages_view(spark, sf), _context(spark, sf))
+    return r.select("message_id", "product_id", "intent", "response_text",
+                    F.aggregate(F.map_values("forecast"), F.lit(0.0), lambda a, x: a + x).alias("forecast_total"),
+                    F.col("inventory.reorder_point").alias("inventory_reorder_point"),
+                    F.col("alerts.risk_level").alias("alerts_risk_level"))

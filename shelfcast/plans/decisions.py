@@ -14,18 +14,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from shelfcast.functions.forecast import forecast_total, forecast_kind
+from shelfcast.functions.forecast import forecast_kind, forecast_map, forecast_total
 from shelfcast.operators.alerts import alerts
 from shelfcast.operators.features import serving_features
 from shelfcast.operators.inventory import inventory_plan
-from shelfcast.schema import DEFAULT_LEAD_TIME, TARGETS
+from shelfcast.schema import DEFAULT_LEAD_TIME, HORIZONS, TARGETS
 
 
-def constant_forecast(sales: DataFrame) -> DataFrame:
-    """(product_id, forecast DOUBLE, current_inventory) at the latest row."""
+def constant_forecast(sales: DataFrame, as_map: bool = False) -> DataFrame:
+    """(product_id, forecast, current_inventory) at the latest row.
+
+    The daily rate is the latest row's mean of its previous 7 rows; as a
+    scalar (X3) or as the map ``t+1..t+7`` a model would return (X5).
+    """
     s = serving_features(sales, mode="aligned")
-    return s.select("product_id",
-                    F.coalesce(F.col("rolling_mean_7"), F.lit(0.0)).alias("forecast"),
+    rate = F.coalesce(F.col("rolling_mean_7"), F.lit(0.0))
+    fc = forecast_map(F.array_repeat(rate, HORIZONS)) if as_map else rate
+    return s.select("product_id", fc.alias("forecast"),
                     F.col("inventory_level").alias("current_inventory"))
 
 
