@@ -532,7 +532,7 @@ Q["sales_trend"] = q(*CTX, body="""
 SELECT sku, CAST(len(daily_sales_history) AS INTEGER) AS history_days,
        daily_sales_history[greatest(len(daily_sales_history) - 6, 1):greatest(len(daily_sales_history) - 6, 1) + 6] AS last_7_days,
        CASE WHEN len(daily_sales_history) = 0 THEN NULL
-            ELSE list_reduce(list_prepend(CAST(0 AS DOUBLE), daily_sales_history), (a, x) -> a + x) / CAST(len(daily_sales_history) AS DOUBLE) END AS average,
+            ELSE list_reduce(list_prepend(CAST(0 AS DOUBLE), daily_sales_history), lambda a, x: a + x) / CAST(len(daily_sales_history) AS DOUBLE) END AS average,
        CASE WHEN len(daily_sales_history) = 0 THEN NULL
             WHEN daily_sales_history[-1] > daily_sales_history[1] THEN 'Increasing'
             WHEN daily_sales_history[-1] < daily_sales_history[1] THEN 'Decreasing' ELSE 'Stable' END AS trend
@@ -571,7 +571,7 @@ _NL = "chr(10)"
 
 
 def _pylist(a: str) -> str:
-    return ("'[' || array_to_string(list_transform(" + a + ", x -> CASE WHEN x IS NULL OR isnan(x) THEN 'nan' "
+    return ("'[' || array_to_string(list_transform(" + a + ", lambda x: CASE WHEN x IS NULL OR isnan(x) THEN 'nan' "
             "WHEN abs(x) < 1e16 AND x = floor(x) THEN printf('%.1f', x) ELSE CAST(x AS VARCHAR) END), ', ') || ']'")
 
 
