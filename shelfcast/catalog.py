@@ -476,3 +476,44 @@ def q_respond(spark, sf):
                     F.aggregate(F.map_values("forecast"), F.lit(0.0), lambda a, x: a + x).alias("forecast_total"),
                     F.col("inventory.reorder_point").alias("inventory_reorder_point"),
                     F.col("alerts.risk_level").alias("alerts_risk_level"))
+
+
+# ------------------------------------------------------- model (rows only)
+_TRAINED: dict = {}
+
+
+def _trained(spark, sf):
+    """Seven untuned GBT models (the original ``tune=False`` settings),
+    trained once per session and scale on the full training frame."""
+    from shelfcast.plans.models import train_models
+    key = (id(spark), sf)
+    if key not in _TRAINED:
+        _TRAINED[key] = train_models(training_frame(sales_view(spark, sf)), path=None, tune=False)
+    return _TRAINED[key]
+
+
+@query("forecast_next_7_days")
+def q_forecast_next_7_days(spark, sf):
+    """Seven-horizon forecast map for every product (model output)."""
+    from shelfcast.plans.models import forecast_next_7_days
+    res = _trained(spark, sf)
+    return forecast_next_7_days(serving_features(sales_view(spark, sf), "reference"), res["models"])
+
+
+@query("model_metrics")
+def q_model_metrics(spark, sf):
+    """M5/A11 on the trained models: RMSE/MAE/SMAPE per horizon and split."""
+    return _trained(spark, sf)["metrics"]
+
+
+@query("sku_context_model")
+def q_sku_context_model(spark, sf):
+    """C2 with the model forecast: plan, alerts and context per product."""
+    from shelfcast.plans.models import forecast_next_7_days
+    s = sales_view(spark, sf)
+    fc = forecast_next_7_days(serving_features(s, "reference"), _trained(spark, sf)["models"])
+    cur = latest_row(s).select("product_id", F.col("inventory_level").alias("current_inventory"))
+    src = fc.join(cur, "product_id")
+    dec = plan_and_alerts(src)
+    c = ctxops.sku_context(src, dec, product_info(s), latest_row(s), recent_sales(s, 14))
+    return ctxops.context_json(c)

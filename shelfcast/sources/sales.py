@@ -21,16 +21,18 @@ def read_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFr
     """Read a sales file: CSV with the original headers, or Parquet/JSON."""
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        csv_schema = T.StructType([
-            T.StructField(CSV_HEADERS[f.name],
-                          T.StringType() if f.name == "date" else f.dataType, True)
-            for f in SALES.fields
-        ])
-        raw = (spark.read.schema(csv_schema).option("header", True)
-               .option("enforceSchema", False).csv(path))
-        renamed = raw.select(*[F.col(f"`{CSV_HEADERS[f.name]}`").alias(f.name)
-                               for f in SALES.fields])
-        return normalise_sales(renamed.withColumn("date", F.to_date("date")))
+        # Header names only (no inference pass); known columns are cast with
+        # try_cast, so a malformed value becomes NULL instead of failing.
+        raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
+        by_header = {v: k for k, v in CSV_HEADERS.items()}
+        cols = []
+        for c in raw.columns:
+            name = by_header.get(c, c if c in CSV_HEADERS else None)
+            if name is None:
+                continue
+            dtype = "date" if name == "date" else SALES[name].dataType.simpleString()
+            cols.append(F.col(f"`{c}`").try_cast(dtype).alias(name))
+        return normalise_sales(raw.select(*cols))
     return normalise_sales(spark.read.format(fmt).load(path))
 
 

@@ -1,0 +1,8 @@
+"""Structured Streaming entry points.
+
+The original application has no streaming operator; its decisions are
+stateless row expressions, so the same operators run unchanged on a
+streaming DataFrame of forecasts (no watermark or state store involved).
+"""
+
+from shelfcast.streaming.decisions import decision_stream, start_decision_stream  # noqa: F401
