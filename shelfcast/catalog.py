@@ -384,10 +384,13 @@ def q_forecast_7day_estimate(spark, sf):
 
 # ------------------------------------------------------ context / answers
 def _context(spark, sf):
-    s = sales_view(spark, sf)
-    cf = constant_forecast(s, as_map=True)
-    dec = plan_and_alerts(cf)
-    return ctxops.sku_context(cf, dec, product_info(s), latest_row(s), recent_sales(s, 14))
+    """C2 with the constant-rate forecast as a map (the model stand-in)."""
+    from shelfcast.functions.forecast import forecast_map
+    from shelfcast.operators.features import product_state
+    st = product_state(sales_view(spark, sf))
+    rate = F.coalesce(F.col("_al_mean_7"), F.lit(0.0))
+    fc = ctxops.with_state_forecast(st, forecast_map(F.array_repeat(rate, 7)))
+    return ctxops.sku_context(ctxops.decide_for_context(fc))
 
 
 @query("sku_snapshot")
@@ -508,12 +511,11 @@ def q_model_metrics(spark, sf):
 
 @query("sku_context_model")
 def q_sku_context_model(spark, sf):
-    """C2 with the model forecast: plan, alerts and context per product."""
+    """C2 with the model forecast: plan, alerts and context per product (JSON)."""
+    from shelfcast.operators.features import product_state, serving_columns
     from shelfcast.plans.models import forecast_next_7_days
-    s = sales_view(spark, sf)
-    fc = forecast_next_7_days(serving_features(s, "reference"), _trained(spark, sf)["models"])
-    cur = latest_row(s).select("product_id", F.col("inventory_level").alias("current_inventory"))
-    src = fc.join(cur, "product_id")
-    dec = plan_and_alerts(src)
-    c = ctxops.sku_context(src, dec, product_info(s), latest_row(s), recent_sales(s, 14))
-    return ctxops.context_json(c)
+    st = product_state(sales_view(spark, sf))
+    serving = st.select("*", *serving_columns("reference"))
+    fc = forecast_next_7_days(serving, _trained(spark, sf)["models"], keep=st.columns)
+    src = fc.withColumn("current_inventory", F.col("latest.inventory_level"))
+    return ctxops.context_json(ctxops.sku_context(ctxops.decide_for_context(src)))

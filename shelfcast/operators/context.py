@@ -21,35 +21,43 @@ def forecast_values(m: Column) -> Column:
     return F.array(*[F.coalesce(F.try_element_at(m, F.lit(k)), F.lit(0.0)) for k in FORECAST_KEYS])
 
 
-def sku_context(forecasts: DataFrame, decisions: DataFrame, info: DataFrame,
-                latest: DataFrame, recent: DataFrame) -> DataFrame:
-    """One nested context row per product.
+def with_state_forecast(state: DataFrame, forecast: Column) -> DataFrame:
+    """Attach a forecast and the latest stock to ``product_state`` rows."""
+    return state.select("*", forecast.alias("forecast"),
+                        F.col("latest.inventory_level").alias("current_inventory"))
 
-    forecasts: (product_id, forecast map); decisions: ``plan_and_alerts``
-    output; info: ``product_info``; latest: ``latest_row``; recent:
-    ``recent_sales``.
+
+STATE_KEEP = ("product_id", "_fc", "latest", "first", "average_price", "recent", "n_rows")
+
+
+def decide_for_context(state_fc: DataFrame, lead_time: int = 3) -> DataFrame:
+    """Plan + alerts over state rows, keeping the state for the context."""
+    from shelfcast.plans.decisions import plan_and_alerts
+    return plan_and_alerts(state_fc.withColumn("_fc", F.col("forecast")), lead_time, keep=STATE_KEEP)
+
+
+def sku_context(dec: DataFrame) -> DataFrame:
+    """One nested context row per product from ``decide_for_context``.
+
+    One linear plan: no join back to product info, latest row or history —
+    they travel in the ``product_state`` columns.
     """
-    j = (forecasts.select("product_id", "forecast")
-         .join(decisions, "product_id")
-         .join(info.withColumnRenamed("sku", "product_id"), "product_id", "left")
-         .join(latest.select("product_id", F.col("inventory_level").alias("_inv"),
-                             F.col("price").alias("_price")), "product_id", "left")
-         .join(recent, "product_id", "left"))
-    price = F.coalesce(F.col("_price"), F.col("average_price"), F.lit(0.0))
-    return j.select(
+    cat = F.col("first.category")
+    price = F.coalesce(F.col("latest.price"), F.col("average_price"), F.lit(0.0))
+    return dec.select(
         F.col("product_id").alias("sku"),
-        F.coalesce(F.col("product_name"), F.col("product_id")).alias("product_name"),
-        F.coalesce(F.col("category"), F.lit("Unknown")).alias("category"),
-        F.coalesce(F.col("region"), F.lit("Unknown")).alias("region"),
-        F.col("_inv").alias("current_inventory"),
+        F.concat_ws(" - ", F.coalesce(cat, F.lit("Unknown")), F.col("product_id")).alias("product_name"),
+        F.coalesce(cat, F.lit("Unknown")).alias("category"),
+        F.coalesce(F.col("first.region"), F.lit("Unknown")).alias("region"),
+        F.col("latest.inventory_level").alias("current_inventory"),
         price.alias("current_price"),
         F.map_from_arrays(F.array(*[F.lit(k) for k in FORECAST_KEYS]),
-                          forecast_values(F.col("forecast"))).alias("forecast"),
+                          forecast_values(F.col("_fc"))).alias("forecast"),
         F.col("days_to_stockout"),
         F.col("risk_level"),
         F.col("reorder_status").alias("reorder_needed"),
         F.col("reorder_quantity").alias("recommended_reorder_quantity"),
-        F.coalesce(F.col("daily_sales_history"), F.array().cast("array<double>")).alias("daily_sales_history"),
+        F.coalesce(F.col("recent"), F.array().cast("array<double>")).alias("daily_sales_history"),
         F.struct(F.col("lead_time_days"), F.col("safety_stock"), F.col("reorder_point"),
                  F.col("lead_time_demand"), F.col("inventory_coverage_days"),
                  F.coalesce(F.col("average_price"), price).alias("average_price")).alias("metadata"),

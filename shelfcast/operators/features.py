@@ -49,14 +49,27 @@ def feature_frame(sales: DataFrame, *, lags: bool = True, means: bool = True,
     """Every sales row with its window features (``prepare_features``).
 
     ``drop_incomplete=True`` is P2: rows without all seven future targets go.
-    Result keeps ``pos``/``n_rows`` (row index and count inside the product).
+    The result carries ``pos``/``n_rows`` (row index and count in the product).
+
+    Skew: products with at most ``chunk_rows`` rows use one window per
+    product (one exchange by product_id, bounded per task by construction).
+    Hotter products, if any, take the chunked path of ``sequence`` so that no
+    task ever holds a whole hot product.  Which path exists is decided from a
+    partial aggregate of the row counts; the hot-product list joined to the
+    data is at most ``rows / chunk_rows`` ids, which bounds its broadcast.
     """
-    positioned = with_positions(sales)
     lookahead = HORIZONS if targets else 0
-    halo, w = chunked_window(positioned, [], lookback=MAX_LOOKBACK,
-                             lookahead=lookahead, chunk_rows=chunk_rows)
-    out = finish_chunked(halo.select(
-        "*", *_window_columns(w, lags, means, stds, targets)))
+    cols = dict(lags=lags, means=means, stds=stds, targets=targets)
+    counts = sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
+    hot = counts.where(F.col("_n") > chunk_rows).select("product_id")
+    if hot.isEmpty():
+        out = _direct_features(sales, **cols)
+    else:
+        hot_ids = F.broadcast(hot)
+        cold = _direct_features(sales.join(hot_ids, "product_id", "left_anti"), **cols)
+        hot_part = _chunked_features(sales.join(hot_ids, "product_id", "left_semi"),
+                                     lookahead, chunk_rows, **cols)
+        out = cold.unionByName(hot_part)
     if calendar:
         out = out.select("*", *calendar_columns(F.col("date")))
     if drop_incomplete and targets:
@@ -64,6 +77,22 @@ def feature_frame(sales: DataFrame, *, lags: bool = True, means: bool = True,
     return out
 
 
+def _direct_features(sales: DataFrame, **cols) -> DataFrame:
+    w = Window.partitionBy("product_id").orderBy(*order_columns(sales))
+    return sales.select("*", F.row_number().over(w).cast("long").alias("pos"),
+                        F.count(F.lit(1)).over(Window.partitionBy("product_id")).alias("n_rows"),
+                        *_window_columns(w, **cols))
+
+
+def _chunked_features(sales: DataFrame, lookahead: int, chunk_rows: int, **cols) -> DataFrame:
+    positioned = with_positions(sales)
+    halo, w = chunked_window(positioned, [], lookback=MAX_LOOKBACK,
+                             lookahead=lookahead, chunk_rows=chunk_rows)
+    out = finish_chunked(halo.select("*", *_window_columns(w, **cols)))
+    first = [c for c in sales.columns] + ["pos", "n_rows"]
+    return out.select(*first, *[c for c in out.columns if c not in first])
+
+
 def training_frame(sales: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W5 + P2: the model's training rows (all features and seven targets)."""
     return feature_frame(sales, drop_incomplete=True, chunk_rows=chunk_rows)
@@ -104,16 +133,51 @@ def tail_rows(sales: DataFrame, k: int) -> DataFrame:
             .where(F.col("rd") <= k))
 
 
-def product_extent(sales: DataFrame) -> DataFrame:
-    """Per product: row count and the first row's units (partial aggregate)."""
-    return sales.groupBy("product_id").agg(
+RECENT = 14
+
+
+def product_state(sales: DataFrame) -> DataFrame:
+    """One row per product with everything the latest-row jobs need.
+
+    Two passes over ``sales``, both skew-safe: the last 31 rows per product
+    (map-side top-k) and a partial aggregate (row count, first row, average
+    price).  The two per-product results are joined and folded into:
+    ``n_rows``, ``first`` (units/category/region/store of the first row),
+    ``average_price``, ``latest`` (the whole latest row), ``recent`` (last
+    14 units, oldest first) and the serving aggregates of both recipes.
+    """
+    reach = MAX_LOOKBACK + 1
+    tail = tail_rows(sales, reach)
+    ordv = _ord_struct(sales)
+    ext = sales.groupBy("product_id").agg(
         F.count(F.lit(1)).alias("n_rows"),
-        F.min_by("units_sold", _ord_struct(sales)).alias("first_units"),
-    )
+        F.min_by(F.struct("units_sold", "category", "region", "store_id"), ordv).alias("first"),
+        F.avg("price").alias("average_price"))
+    t = tail.join(ext, "product_id")
+    u, rd, n = F.col("units_sold"), F.col("rd"), F.col("n_rows")
+    fields = [c for c in sales.columns if c != "product_id"]
+    aggs: list[Column] = [
+        F.min_by(F.struct(*[F.col(c) for c in fields]), rd).alias("latest"),
+        F.first("n_rows").alias("n_rows"), F.first("first").alias("first"),
+        F.first("average_price").alias("average_price"),
+        F.sort_array(F.collect_list(F.when(rd <= RECENT, F.struct(rd.alias("rd"), u.alias("u")))),
+                     asc=False).alias("_recent"),
+    ]
+    for k in LAGS:
+        aggs.append(F.max(F.when(rd == F.least(F.lit(k), n), u)).alias(f"_ref_lag_{k}"))
+        aggs.append(F.max(F.when(rd == k + 1, u)).alias(f"_al_lag_{k}"))
+    for w in ROLLING_MEAN_WINDOWS:
+        aggs.append(F.avg(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_mean_{w}"))
+        aggs.append(F.avg(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_mean_{w}"))
+    for w in ROLLING_STD_WINDOWS:
+        aggs.append(F.stddev_samp(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_std_{w}"))
+        aggs.append(F.stddev_samp(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_std_{w}"))
+    g = t.groupBy("product_id").agg(*aggs)
+    return g.select("*", F.transform("_recent", lambda x: x["u"]).alias("recent")).drop("_recent")
 
 
-def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
-    """One feature row per product for its latest row.
+def serving_columns(mode: str = "reference") -> list[Column]:
+    """W8 feature columns over a ``product_state`` row.
 
     ``mode="reference"`` reproduces the original inference recipe, which
     appends the latest row to a history that already contains it: with the
@@ -123,6 +187,7 @@ def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     * ``rolling_mean_w`` = mean of rd <= least(w, N-1); N = 1 → latest units
     * ``rolling_std_w`` = sample std of the same rows, missing → 0.0
     * no ``units_sold``/``demand`` (the model sees 0.0 for them)
+    * pass-through numerics of the latest row, missing → 0.0 (P8)
 
     ``mode="aligned"`` gives the training recipe's values for the latest row
     (lags from rd = k+1, windows over rd in 2..w+1, NULL where undefined)
@@ -130,54 +195,31 @@ def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     """
     if mode not in ("reference", "aligned"):
         raise ValueError("mode must be 'reference' or 'aligned'")
-    reach = MAX_LOOKBACK + 1
-    tail = tail_rows(sales, reach)
-    ext = product_extent(sales)
-    t = tail.join(ext, "product_id")
-    u, rd, n = F.col("units_sold"), F.col("rd"), F.col("n_rows")
-    latest = F.max_by(F.struct(*[F.col(c) for c in ("date", *PASS_THROUGH, "units_sold", "demand")]),
-                      -rd).alias("_latest")
-    aggs: list[Column] = [latest, F.first(n).alias("n_rows"),
-                          F.first("first_units").alias("first_units")]
-    if mode == "reference":
-        for k in LAGS:
-            aggs.append(F.max(F.when(rd == F.least(F.lit(k), n), u)).alias(f"_lag_{k}"))
-        for w in ROLLING_MEAN_WINDOWS:
-            aggs.append(F.avg(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_mean_{w}"))
-        for w in ROLLING_STD_WINDOWS:
-            aggs.append(F.stddev_samp(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_std_{w}"))
-    else:
-        for k in LAGS:
-            aggs.append(F.max(F.when(rd == k + 1, u)).alias(f"_lag_{k}"))
-        for w in ROLLING_MEAN_WINDOWS:
-            aggs.append(F.avg(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_mean_{w}"))
-        for w in ROLLING_STD_WINDOWS:
-            aggs.append(F.stddev_samp(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_std_{w}"))
-    g = t.groupBy("product_id").agg(*aggs)
-
-    lu = F.col("_latest.units_sold")
-    cols: list[Column] = [F.col("product_id"), F.col("_latest.date").alias("date")]
+    lu = F.col("latest.units_sold")
+    cols: list[Column] = [F.col("latest.date").alias("date")]
     if mode == "reference":
         single = F.col("n_rows") == 1
-        cols += [F.when(single, lu).otherwise(F.col(f"_lag_{k}")).alias(f"lag_{k}") for k in LAGS]
-        cols += [F.when(single, lu).otherwise(F.col(f"_mean_{w}")).alias(f"rolling_mean_{w}")
+        cols += [F.when(single, lu).otherwise(F.col(f"_ref_lag_{k}")).alias(f"lag_{k}") for k in LAGS]
+        cols += [F.when(single, lu).otherwise(F.col(f"_ref_mean_{w}")).alias(f"rolling_mean_{w}")
                  for w in ROLLING_MEAN_WINDOWS]
-        cols += [F.coalesce(F.col(f"_std_{w}"), F.lit(0.0)).alias(f"rolling_std_{w}")
+        cols += [F.coalesce(F.col(f"_ref_std_{w}"), F.lit(0.0)).alias(f"rolling_std_{w}")
                  for w in ROLLING_STD_WINDOWS]
     else:
-        cols += [F.col(f"_lag_{k}").alias(f"lag_{k}") for k in LAGS]
-        cols += [F.col(f"_mean_{w}").alias(f"rolling_mean_{w}") for w in ROLLING_MEAN_WINDOWS]
-        cols += [F.col(f"_std_{w}").alias(f"rolling_std_{w}") for w in ROLLING_STD_WINDOWS]
-    cols += calendar_columns(F.col("_latest.date"))
-    # Latest-row value, NaN/NULL → 0.0 (reference); aligned keeps NULL
-    # here and the model input fills it.
+        cols += [F.col(f"_al_lag_{k}").alias(f"lag_{k}") for k in LAGS]
+        cols += [F.col(f"_al_mean_{w}").alias(f"rolling_mean_{w}") for w in ROLLING_MEAN_WINDOWS]
+        cols += [F.col(f"_al_std_{w}").alias(f"rolling_std_{w}") for w in ROLLING_STD_WINDOWS]
+    cols += calendar_columns(F.col("latest.date"))
     for c in PASS_THROUGH:
-        v = F.col(f"_latest.{c}")
+        v = F.col(f"latest.{c}")
         cols.append((F.coalesce(v, F.lit(0.0)) if mode == "reference" else v).alias(c))
     if mode == "aligned":
-        cols += [F.col("_latest.units_sold").alias("units_sold"),
-                 F.col("_latest.demand").alias("demand")]
-    return g.select(*cols)
+        cols += [lu.alias("units_sold"), F.col("latest.demand").alias("demand")]
+    return cols
+
+
+def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
+    """One feature row per product for its latest row (see ``serving_columns``)."""
+    return product_state(sales).select("product_id", *serving_columns(mode))
 
 
 def model_input(df: DataFrame, features) -> DataFrame:

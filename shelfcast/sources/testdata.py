@@ -27,13 +27,23 @@ def load_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
+def _padded(prefix: str, k, width: int) -> F.Column:
+    """``prefix`` + key zero-padded to ``width`` digits (never truncated).
+
+    ``lpad`` stays in generated code; ``format_string`` would call Java's
+    formatter once per row.
+    """
+    s = k.cast("string")
+    return F.concat(F.lit(prefix), F.when(F.length(s) >= width, s).otherwise(F.lpad(s, width, "0")))
+
+
 def product_key(k) -> F.Column:
-    """``P`` + zero-padded key (at least 6 digits, never truncated)."""
-    return F.format_string("P%06d", k)
+    """``P`` + zero-padded key (at least 6 digits)."""
+    return _padded("P", k, 6)
 
 
 def store_key(k) -> F.Column:
-    return F.format_string("S%04d", k)
+    return _padded("S", k, 4)
 
 
 def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
