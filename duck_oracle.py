@@ -632,3 +632,8 @@ SELECT m.message_id, m.product_id, m.intent,
   CASE WHEN e.sku IS NOT NULL AND m.intent IN ('reorder', 'risk', 'summary') THEN e.reorder_point END AS inventory_reorder_point,
   CASE WHEN e.sku IS NOT NULL AND m.intent IN ('risk', 'summary') THEN e.risk_level END AS alerts_risk_level
 FROM mi m LEFT JOIN exq e ON m.product_id = e.sku""")
+
+Q["eval_metrics"] = q(*metrics_ctes(), body=f"""
+SELECT target, {', '.join(pyr(c, 6) + ' AS ' + c for c in ('train_rmse', 'train_mae', 'val_rmse', 'val_mae'))} FROM m""")
+_fm = "MAP {" + ", ".join(f"'t+{i}': demand_t{i}" for i in range(1, 8)) + "}"
+Q["forecast_map"] = q(*FEAT, tf_cte(), body=f"SELECT {KEYS}, {_fm} AS forecast FROM tf")

@@ -41,7 +41,7 @@ def query(name: str):
 
 
 def _r6(c):
-    return py_round(F.col(c), 6).alias(c)
+    return py_round(f"`{c}`", 6).alias(c)
 
 
 # ---------------------------------------------------------------- sources
@@ -88,14 +88,14 @@ def q_sku_list(spark, sf):
 def q_product_info(spark, sf):
     """A5/T1."""
     return product_info(sales_view(spark, sf)).withColumn(
-        "average_price", py_round(F.col("average_price"), 6))
+        "average_price", py_round("average_price", 6))
 
 
 @query("sku_catalog")
 def q_sku_catalog(spark, sf):
     """O3: first 50 products (a top-k listing), 20 displayed, rest counted."""
     info = product_info(sales_view(spark, sf)).withColumn(
-        "average_price", py_round(F.col("average_price"), 6))
+        "average_price", py_round("average_price", 6))
     return prof.sku_catalog(info)
 
 
@@ -242,6 +242,13 @@ def q_metrics(spark, sf):
     return m.select("target", "horizon", *[_r6(c) for c in m.columns if c not in ("target", "horizon")])
 
 
+@query("eval_metrics")
+def q_eval_metrics(spark, sf):
+    """RMSE and MAE per horizon for train and validation."""
+    m = _metrics(spark, sf)
+    return m.select("target", *[_r6(c) for c in ("train_rmse", "train_mae", "val_rmse", "val_mae")])
+
+
 @query("eval_smape")
 def q_eval_smape(spark, sf):
     """A9 in the original 0/0 mode: any y = p = 0 pair makes the mean NaN."""
@@ -289,6 +296,14 @@ def q_forecast_array(spark, sf):
                      seven_days(sc, "scalar").alias("days_from_scalar"))
 
 
+@query("forecast_map")
+def q_forecast_map(spark, sf):
+    """The ``t+1``…``t+7`` map from seven values (realised next seven days)."""
+    from shelfcast.functions.forecast import forecast_map
+    tf = training_frame(sales_view(spark, sf))
+    return tf.select(*KEYS, forecast_map(F.array(*[F.col(t) for t in TARGETS])).alias("forecast"))
+
+
 @query("forecast_summary")
 def q_forecast_summary(spark, sf):
     """7-day total, /7 average and /size average of a forecast map."""
@@ -397,7 +412,7 @@ def _context(spark, sf):
 def q_sku_snapshot(spark, sf):
     """Latest row joined with product info."""
     s = sales_view(spark, sf)
-    info = product_info(s).withColumn("average_price", py_round(F.col("average_price"), 6))
+    info = product_info(s).withColumn("average_price", py_round("average_price", 6))
     lr = latest_row(s).select("product_id", "date", "units_sold", "inventory_level", "price")
     return lr.join(info.withColumnRenamed("sku", "product_id"), "product_id")
 
@@ -417,16 +432,16 @@ def q_sku_context(spark, sf):
         F.col("metadata.reorder_point").alias("reorder_point"),
         F.col("metadata.lead_time_demand").alias("lead_time_demand"),
         F.col("metadata.inventory_coverage_days").alias("inventory_coverage_days"),
-        py_round(F.col("metadata.average_price"), 6).alias("average_price"))
+        py_round("metadata.average_price", 6).alias("average_price"))
 
 
 @query("context_json")
 def q_context_json(spark, sf):
     """The context document as JSON text (prices at 1e-6)."""
     c = _context(spark, sf)
-    c = c.withColumn("current_price", py_round(F.col("current_price"), 6)).withColumn(
+    c = c.withColumn("current_price", py_round("current_price", 6)).withColumn(
         "metadata", F.col("metadata").withField("average_price",
-                                                py_round(F.col("metadata.average_price"), 6)))
+                                                py_round("metadata.average_price", 6)))
     return ctxops.context_json(c)
 
 
@@ -461,7 +476,7 @@ def q_explain_summary(spark, sf):
 
 @query("prompt_context")
 def q_prompt_context(spark, sf):
-    c = _context(spark, sf).withColumn("current_price", py_round(F.col("current_price"), 6))
+    c = _context(spark, sf).withColumn("current_price", py_round("current_price", 6))
     return ctxops.prompt_context(c)
 
 
@@ -519,3 +534,11 @@ def q_sku_context_model(spark, sf):
     fc = forecast_next_7_days(serving, _trained(spark, sf)["models"], keep=st.columns)
     src = fc.withColumn("current_inventory", F.col("latest.inventory_level"))
     return ctxops.context_json(ctxops.sku_context(ctxops.decide_for_context(src)))
+
+
+@query("sample_forecast")
+def q_sample_forecast(spark, sf):
+    """M8: forecast from the last validation row (training-style features)."""
+    from shelfcast.plans.models import sample_forecast
+    res = _trained(spark, sf)
+    return sample_forecast(res["split"], res["models"])

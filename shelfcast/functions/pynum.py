@@ -28,10 +28,34 @@ def _col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def _round_sql(x: str, n: int) -> str:
+    """The rounding below as one Spark SQL expression over the SQL text ``x``."""
+    s = f"CAST({float(10 ** n)!r} AS DOUBLE)"
+    a = f"abs({x})"
+    c = f"({a} * CAST({_SPLIT!r} AS DOUBLE))"
+    hi = f"({c} - ({c} - {a}))"
+    lo = f"({a} - {hi})"
+    p = f"({a} * {s})"
+    err = f"(({hi} * {s} - {p}) + {lo} * {s})"
+    f = f"CAST(floor({p}) AS DOUBLE)"
+    d = f"({p} - {f})"
+    k = (f"CASE WHEN {d} > 0.5D THEN {f} + 1.0D WHEN {d} < 0.5D THEN {f} "
+         f"WHEN {err} > 0.0D THEN {f} + 1.0D WHEN {err} < 0.0D THEN {f} "
+         f"WHEN floor({f} / 2.0D) * 2.0D = {f} THEN {f} ELSE {f} + 1.0D END")
+    return (f"CASE WHEN isnan({x}) OR {p} >= CAST({_EXACT_LIMIT!r} AS DOUBLE) THEN {x} "
+            f"WHEN {x} = 0.0D THEN {x} ELSE (({k}) / {s}) * signum({x}) END")
+
+
 def py_round(x, n: int = 2) -> Column:
-    """``round(x, n)`` with Python semantics (exact value, ties to even)."""
+    """``round(x, n)`` with Python semantics (exact value, ties to even).
+
+    ``x`` is a column name / SQL expression (one parsed expression, cheap
+    to build) or a Column (built node by node).
+    """
     if not 0 <= n <= 8:
         raise ValueError("py_round supports 0..8 decimals")
+    if isinstance(x, str):
+        return F.expr(_round_sql(f"CAST(({x}) AS DOUBLE)", n))
     x = _col(x).cast("double")
     s = float(10 ** n)
     a = F.abs(x)
@@ -57,4 +81,6 @@ def py_round(x, n: int = 2) -> Column:
 
 def py_fmt(x, n: int = 2) -> Column:
     """``f"{x:.nf}"`` with Python semantics."""
+    if isinstance(x, str):
+        return F.expr(f"format_string('%.{n}f', {_round_sql(f'CAST(({x}) AS DOUBLE)', n)})")
     return F.format_string(f"%.{n}f", py_round(x, n))

@@ -118,7 +118,7 @@ def alerts(plan: DataFrame, forecast_7day: str | None = "forecast_7day",
                        reorder.alias("_reorder"), qty.alias("_qty"),
                        forecast_7day_estimate(given, inv, days, ltd).alias("_f7"))
     inv, days, reorder, qty, f7 = (F.col(c) for c in ("_inv", "_days", "_reorder", "_qty", "_f7"))
-    base = base.select("*", alert_risk(days).alias("_risk"), py_fmt(qty, 0).alias("_qty_s"),
+    base = base.select("*", alert_risk(days).alias("_risk"), py_fmt("_qty", 0).alias("_qty_s"),
                        coverage_days(inv, f7).alias("_cov"))
     risk, cov = F.col("_risk"), F.col("_cov")
     return base.select(
@@ -128,10 +128,10 @@ def alerts(plan: DataFrame, forecast_7day: str | None = "forecast_7day",
         overstock(inv, f7).alias("overstock_flag"),
         days.alias("days_to_stockout"),
         reorder.alias("reorder_needed"),
-        py_round(qty, 2).alias("reorder_quantity"),
-        F.when(cov > 0, py_round(cov, 2)).otherwise(F.lit(-1.0)).alias("inventory_coverage_days"),
-        F.struct(py_round(f7, 2).alias("forecast_7day_total"),
-                 F.when(f7 > 0, py_round(f7 / F.lit(7.0), 2)).otherwise(F.lit(0.0))
+        py_round("_qty", 2).alias("reorder_quantity"),
+        F.when(cov > 0, py_round("_cov", 2)).otherwise(F.lit(-1.0)).alias("inventory_coverage_days"),
+        F.struct(py_round("_f7", 2).alias("forecast_7day_total"),
+                 F.when(f7 > 0, py_round("_f7 / 7.0D", 2)).otherwise(F.lit(0.0))
                  .alias("estimated_daily_demand")).alias("forecast_summary"),
-        py_round(inv, 2).alias("current_inventory"),
+        py_round("_inv", 2).alias("current_inventory"),
     )

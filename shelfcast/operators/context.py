@@ -94,29 +94,37 @@ _NO_INVENTORY = "Cannot generate inventory recommendation without forecast and i
 _NO_SUMMARY = "Unable to generate summary without forecast."
 
 
-def explanations(ctx: DataFrame) -> DataFrame:
-    """Forecast, inventory, risk and summary sentences for every product."""
+def explanations(ctx: DataFrame, keep: tuple = ()) -> DataFrame:
+    """Forecast, inventory, risk and summary sentences for every product.
+
+    ``keep`` passes further columns (expressions over ``ctx``) through.
+    """
     vals = forecast_values(F.col("forecast"))
     total = array_sum(vals)
     base = ctx.select("*", total.alias("_total"), vals.alias("_vals"))
     t = F.col("_total")
+    base = base.select("*", (t / 7.0).alias("_avg"), py_round("_total", 2).alias("_total2"),
+                       py_round("_total / 7.0D", 2).alias("_avg2"))
+    # every number is formatted once, from a column name (one parsed expression each)
     base = base.select(
-        "*", (t / 7.0).alias("_avg"), py_round(t, 2).alias("_total2"),
-        py_round(t / 7.0, 2).alias("_avg2"))
-    day_by_day = F.array_join(F.transform(
-        F.arrays_zip(F.array(*[F.lit(k) for k in FORECAST_KEYS]).alias("k"), F.col("_vals").alias("v")),
-        lambda z: F.concat(z["k"], F.lit("="), py_fmt(z["v"], 1))), ", ")
+        "*", py_fmt("_total", 1).alias("_t1"), py_fmt("_avg", 1).alias("_a1"),
+        py_fmt("_total2", 0).alias("_t0"), py_fmt("_avg2", 1).alias("_a21"),
+        py_fmt("_inv_rounded", 0).alias("_i0"), py_fmt("_rop", 0).alias("_r0"),
+        py_fmt("recommended_reorder_quantity", 0).alias("_q0"),
+        *[py_fmt(f"_vals[{i}]", 1).alias(f"_v{i}") for i in range(len(FORECAST_KEYS))])
+    day_by_day = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"_v{i}"))
+                                     for i, k in enumerate(FORECAST_KEYS)])
     forecast_text = F.concat(
-        F.lit("7-day demand forecast generated. Total expected demand: "), py_fmt(t, 1),
-        F.lit(" units ("), py_fmt(F.col("_avg"), 1), F.lit(" units/day average). Day-by-day: "),
+        F.lit("7-day demand forecast generated. Total expected demand: "), F.col("_t1"),
+        F.lit(" units ("), F.col("_a1"), F.lit(" units/day average). Day-by-day: "),
         day_by_day, F.lit("."))
-    inv, rop = F.col("_inv_rounded"), F.col("_rop")
-    qty, days = F.col("recommended_reorder_quantity"), F.col("days_to_stockout")
+    i0, r0, q0 = F.col("_i0"), F.col("_r0"), F.col("_q0")
+    days = F.col("days_to_stockout")
     reorder = F.col("reorder_needed")
     inventory_text = F.concat(
-        F.lit("Inventory status: "), py_fmt(inv, 0), F.lit(" units on hand. Reorder point: "),
-        py_fmt(rop, 0), F.lit(" units. "),
-        F.when(reorder, F.concat(F.lit("REORDER NEEDED. Recommended quantity: "), py_fmt(qty, 0),
+        F.lit("Inventory status: "), i0, F.lit(" units on hand. Reorder point: "),
+        r0, F.lit(" units. "),
+        F.when(reorder, F.concat(F.lit("REORDER NEEDED. Recommended quantity: "), q0,
                                  F.lit(" units. ")))
          .otherwise(F.lit("No reorder needed at this time. ")),
         F.when(days > 0, F.concat(F.lit("Estimated stockout in "), days.cast("string"), F.lit(" days.")))
@@ -126,17 +134,17 @@ def explanations(ctx: DataFrame) -> DataFrame:
         F.when(F.col("_overstock"), F.lit("OVERSTOCK DETECTED: Inventory exceeds 2x forecasted demand."))
          .otherwise(F.lit("")))
     summary_text = F.concat(
-        F.lit("OPERATIONAL SUMMARY\nForecast: "), py_fmt(F.col("_total2"), 0),
-        F.lit(" units expected over next 7 days ("), py_fmt(F.col("_avg2"), 1), F.lit(" units/day).\n"),
-        F.lit("Inventory: "), py_fmt(inv, 0), F.lit(" units on hand. Reorder point: "), py_fmt(rop, 0),
+        F.lit("OPERATIONAL SUMMARY\nForecast: "), F.col("_t0"),
+        F.lit(" units expected over next 7 days ("), F.col("_a21"), F.lit(" units/day).\n"),
+        F.lit("Inventory: "), i0, F.lit(" units on hand. Reorder point: "), r0,
         F.lit(" units. "),
-        F.when(reorder, F.concat(F.lit("REORDER NEEDED: "), py_fmt(qty, 0), F.lit(" units.\n")))
+        F.when(reorder, F.concat(F.lit("REORDER NEEDED: "), q0, F.lit(" units.\n")))
          .otherwise(F.lit("No reorder needed.\n")),
         F.lit("Risk: "), F.col("risk_level"), F.lit(". Stockout in "), days.cast("string"), F.lit(" days. "),
         F.when(F.col("_overstock"), F.lit("OVERSTOCK detected.")).otherwise(F.lit("")))
     missing_inv = F.col("current_inventory").isNull()
     return base.select(
-        "sku",
+        "sku", *keep,
         forecast_text.alias("forecast_explanation"),
         F.col("_total2").alias("total_7day"), F.col("_avg2").alias("average_daily"),
         F.when(missing_inv, F.lit(_NO_INVENTORY)).otherwise(inventory_text).alias("inventory_explanation"),
@@ -151,17 +159,16 @@ def respond(messages: DataFrame, ctx: DataFrame) -> DataFrame:
     forecast → forecast only; reorder → inventory only; risk → inventory and
     alerts; summary → all three.  Unknown products get the missing-data text.
     """
-    ex = explanations(ctx)
-    parts = ctx.select(
-        F.col("sku"), F.col("forecast"),
+    parts = (
+        F.col("forecast"),
         F.struct("days_to_stockout", "reorder_needed", "recommended_reorder_quantity",
                  F.col("_rop").alias("reorder_point"), F.col("_inv_rounded").alias("current_inventory"))
          .alias("inventory"),
         F.struct("risk_level", F.col("_alert_message").alias("alert_message"),
                  F.col("_overstock").alias("overstock_flag")).alias("alerts"))
+    ex = explanations(ctx, keep=parts)     # one pass over the context
     m = (messages.select("message_id", "product_id", "query", detect_intent(F.col("query")).alias("intent"))
-         .join(ex.withColumnRenamed("sku", "product_id"), "product_id", "left")
-         .join(parts.withColumnRenamed("sku", "product_id"), "product_id", "left"))
+         .join(ex.withColumnRenamed("sku", "product_id"), "product_id", "left"))
     i = F.col("intent")
     known = F.col("forecast").isNotNull()
     text = (F.when(i == "forecast", F.coalesce(F.col("forecast_explanation"), F.lit(_NO_FORECAST)))
@@ -178,14 +185,24 @@ def respond(messages: DataFrame, ctx: DataFrame) -> DataFrame:
 def prompt_context(ctx: DataFrame) -> DataFrame:
     """The prompt text per product; empty sections are left out."""
     vals = forecast_values(F.col("forecast"))
-    total = array_sum(vals)
+    base = ctx.select("*", vals.alias("_pv"))
+    base = base.select("*", array_sum(F.col("_pv")).alias("_ptot"),
+                       F.size("daily_sales_history").alias("_n"),
+                       array_sum(F.col("daily_sales_history")).alias("_hsum"))
+    base = base.select(
+        "*", *[py_fmt(f"_pv[{i}]", 2).alias(f"_p{i}") for i in range(len(FORECAST_KEYS))],
+        py_fmt("_ptot", 2).alias("_pt"), py_fmt("_ptot / 7.0D", 2).alias("_pa"),
+        py_fmt("_hsum / CAST(_n AS DOUBLE)", 2).alias("_havg"),
+        py_fmt("current_price", 2).alias("_price"), py_fmt("current_inventory", 2).alias("_inv"),
+        py_fmt("recommended_reorder_quantity", 2).alias("_qty"),
+        py_fmt("metadata.safety_stock", 2).alias("_ss"), py_fmt("metadata.reorder_point", 2).alias("_rop2"),
+        py_fmt("metadata.lead_time_demand", 2).alias("_ltd"),
+        py_fmt("metadata.inventory_coverage_days", 1).alias("_cov"))
     hist = F.col("daily_sales_history")
-    n = F.size(hist)
-    md = F.col("metadata")
+    n = F.col("_n")
     price = F.col("current_price")
-    fc_lines = F.array_join(F.transform(
-        F.arrays_zip(F.array(*[F.lit(k) for k in FORECAST_KEYS]).alias("k"), vals.alias("v")),
-        lambda z: F.concat(F.lit("  "), z["k"], F.lit(": "), py_fmt(z["v"], 2), F.lit(" units"))), "\n")
+    fc_lines = F.concat_ws("\n", *[F.concat(F.lit(f"  {k}: "), F.col(f"_p{i}"), F.lit(" units"))
+                                   for i, k in enumerate(FORECAST_KEYS)])
     last7 = F.slice(hist, F.greatest(n - 6, F.lit(1)), 7)
     trend = (F.when(F.try_element_at(hist, F.lit(-1)) > F.try_element_at(hist, F.lit(1)), F.lit("Increasing"))
              .when(F.try_element_at(hist, F.lit(-1)) < F.try_element_at(hist, F.lit(1)), F.lit("Decreasing"))
@@ -194,33 +211,32 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
         F.lit("\nRECENT SALES HISTORY (last "), n.cast("string"), F.lit(" days):\n"),
         F.when(n <= 14, F.concat(F.lit("  "), py_list_repr(hist))).otherwise(F.concat(
             F.lit("  Last 7 days: "), py_list_repr(last7), F.lit("\n  Average: "),
-            py_fmt(array_sum(hist) / n.cast("double"), 2), F.lit(" units/day\n  Trend: "), trend))))
+            F.col("_havg"), F.lit(" units/day\n  Trend: "), trend))))
     lines = [
         F.concat(F.lit("Product Name: "), F.col("product_name")),
         F.concat(F.lit("SKU: "), F.col("sku")),
         F.concat(F.lit("Category: "), F.col("category")),
         F.concat(F.lit("Region: "), F.col("region")),
-        F.when(price.isNotNull() & (price != 0), F.concat(F.lit("Current Price: $"), py_fmt(price, 2))),
+        F.when(price.isNotNull() & (price != 0), F.concat(F.lit("Current Price: $"), F.col("_price"))),
         F.lit("\nINVENTORY STATUS:"),
-        F.concat(F.lit("Current Inventory: "), py_fmt(F.col("current_inventory"), 2), F.lit(" units")),
+        F.concat(F.lit("Current Inventory: "), F.col("_inv"), F.lit(" units")),
         F.concat(F.lit("Days to Stockout: "), F.col("days_to_stockout").cast("string")),
         F.concat(F.lit("Risk Level: "), F.col("risk_level")),
         F.concat(F.lit("Reorder Needed: "), F.when(F.col("reorder_needed"), "Yes").otherwise("No")),
         F.when(F.col("reorder_needed"), F.concat(F.lit("Recommended Reorder Quantity: "),
-                                                 py_fmt(F.col("recommended_reorder_quantity"), 2),
-                                                 F.lit(" units"))),
+                                                 F.col("_qty"), F.lit(" units"))),
         F.concat(F.lit("\n7-DAY DEMAND FORECAST:\n"), fc_lines,
-                 F.lit("\n  Total (7-day): "), py_fmt(total, 2), F.lit(" units"),
-                 F.lit("\n  Average daily: "), py_fmt(total / 7.0, 2), F.lit(" units/day")),
+                 F.lit("\n  Total (7-day): "), F.col("_pt"), F.lit(" units"),
+                 F.lit("\n  Average daily: "), F.col("_pa"), F.lit(" units/day")),
         history,
-        F.concat(F.lit("\nADDITIONAL METRICS:\n  Lead Time: "), md["lead_time_days"].cast("string"),
-                 F.lit(" days\n  Safety Stock: "), py_fmt(md["safety_stock"], 2),
-                 F.lit(" units\n  Reorder Point: "), py_fmt(md["reorder_point"], 2),
-                 F.lit(" units\n  Lead Time Demand: "), py_fmt(md["lead_time_demand"], 2),
-                 F.lit(" units\n  Inventory Coverage: "), py_fmt(md["inventory_coverage_days"], 1),
+        F.concat(F.lit("\nADDITIONAL METRICS:\n  Lead Time: "), F.col("metadata.lead_time_days").cast("string"),
+                 F.lit(" days\n  Safety Stock: "), F.col("_ss"),
+                 F.lit(" units\n  Reorder Point: "), F.col("_rop2"),
+                 F.lit(" units\n  Lead Time Demand: "), F.col("_ltd"),
+                 F.lit(" units\n  Inventory Coverage: "), F.col("_cov"),
                  F.lit(" days")),
     ]
-    return ctx.select("sku", F.concat_ws("\n", *lines).alias("prompt"))
+    return base.select("sku", F.concat_ws("\n", *lines).alias("prompt"))
 
 
 def status_labels(decisions: DataFrame) -> DataFrame:

@@ -160,19 +160,19 @@ def inventory_plan(df: DataFrame, forecast: str = "forecast",
     s4 = s3.select("*", (inv <= rop).alias("reorder_status"),
                    reorder_quantity(inv, rop).alias("_qty"),
                    decision_risk(inv, rop, days, lead).alias("risk_level"))
-    s5 = s4.select("*", py_fmt(inv, 1).alias("_inv_s"), py_fmt(rop, 1).alias("_rop_s"),
-                   py_fmt(F.col("_qty"), 1).alias("_qty_s"))
+    s5 = s4.select("*", py_fmt("_inv", 1).alias("_inv_s"), py_fmt("_rop", 1).alias("_rop_s"),
+                   py_fmt("_qty", 1).alias("_qty_s"))
     reorder, qty, risk = F.col("reorder_status"), F.col("_qty"), F.col("risk_level")
     return s5.select(
         *[F.col(c) for c in keep], lead,
-        py_round(F.col("_ltd"), 2).alias("lead_time_demand"),
-        py_round(F.col("_ss"), 2).alias("safety_stock"),
-        py_round(rop, 2).alias("reorder_point"),
+        py_round("_ltd", 2).alias("lead_time_demand"),
+        py_round("_ss", 2).alias("safety_stock"),
+        py_round("_rop", 2).alias("reorder_point"),
         reorder,
-        F.when(reorder, py_round(qty, 2)).otherwise(F.lit(0.0)).alias("reorder_quantity"),
+        F.when(reorder, py_round("_qty", 2)).otherwise(F.lit(0.0)).alias("reorder_quantity"),
         days,
         risk,
-        py_round(inv, 2).alias("current_inventory"),
+        py_round("_inv", 2).alias("current_inventory"),
         recommendation_text(reorder, F.col("_qty_s"), risk, days, F.col("_inv_s"),
                             F.col("_rop_s")).alias("recommendation"),
     )
