@@ -402,7 +402,7 @@ def _context(spark, sf):
     """C2 with the constant-rate forecast as a map (the model stand-in)."""
     from shelfcast.functions.forecast import forecast_map
     from shelfcast.operators.features import product_state
-    st = product_state(sales_view(spark, sf))
+    st = product_state(sales_view(spark, sf), modes=("aligned",), columns=("rolling_mean_7",))
     rate = F.coalesce(F.col("_al_mean_7"), F.lit(0.0))
     fc = ctxops.with_state_forecast(st, forecast_map(F.array_repeat(rate, 7)))
     return ctxops.sku_context(ctxops.decide_for_context(fc))
@@ -529,7 +529,7 @@ def q_sku_context_model(spark, sf):
     """C2 with the model forecast: plan, alerts and context per product (JSON)."""
     from shelfcast.operators.features import product_state, serving_columns
     from shelfcast.plans.models import forecast_next_7_days
-    st = product_state(sales_view(spark, sf))
+    st = product_state(sales_view(spark, sf), modes=("reference",))
     serving = st.select("*", *serving_columns("reference"))
     fc = forecast_next_7_days(serving, _trained(spark, sf)["models"], keep=st.columns)
     src = fc.withColumn("current_inventory", F.col("latest.inventory_level"))

@@ -136,7 +136,8 @@ def tail_rows(sales: DataFrame, k: int) -> DataFrame:
 RECENT = 14
 
 
-def product_state(sales: DataFrame) -> DataFrame:
+def product_state(sales: DataFrame, modes=("reference", "aligned"),
+                  columns: tuple[str, ...] | None = None) -> DataFrame:
     """One row per product with everything the latest-row jobs need.
 
     Two passes over ``sales``, both skew-safe: the last 31 rows per product
@@ -144,9 +145,17 @@ def product_state(sales: DataFrame) -> DataFrame:
     price).  The two per-product results are joined and folded into:
     ``n_rows``, ``first`` (units/category/region/store of the first row),
     ``average_price``, ``latest`` (the whole latest row), ``recent`` (last
-    14 units, oldest first) and the serving aggregates of both recipes.
+    14 units, oldest first) and the serving aggregates of the requested
+    recipes (``modes``), restricted to ``columns`` (feature names) if given.
     """
+    def want(name):
+        return columns is None or name in columns
+
     reach = MAX_LOOKBACK + 1
+    if columns is not None and "reference" not in modes:
+        # aligned windows reach w + 1 rows back; the recent history needs 14
+        need = [int(c.rsplit("_", 1)[1]) + 1 for c in columns if c.rsplit("_", 1)[-1].isdigit()]
+        reach = max([RECENT, *need])
     tail = tail_rows(sales, reach)
     ordv = _ord_struct(sales)
     ext = sales.groupBy("product_id").agg(
@@ -163,15 +172,22 @@ def product_state(sales: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.when(rd <= RECENT, F.struct(rd.alias("rd"), u.alias("u")))),
                      asc=False).alias("_recent"),
     ]
+    ref, al = "reference" in modes, "aligned" in modes
     for k in LAGS:
-        aggs.append(F.max(F.when(rd == F.least(F.lit(k), n), u)).alias(f"_ref_lag_{k}"))
-        aggs.append(F.max(F.when(rd == k + 1, u)).alias(f"_al_lag_{k}"))
+        if ref and want(f"lag_{k}"):
+            aggs.append(F.max(F.when(rd == F.least(F.lit(k), n), u)).alias(f"_ref_lag_{k}"))
+        if al and want(f"lag_{k}"):
+            aggs.append(F.max(F.when(rd == k + 1, u)).alias(f"_al_lag_{k}"))
     for w in ROLLING_MEAN_WINDOWS:
-        aggs.append(F.avg(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_mean_{w}"))
-        aggs.append(F.avg(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_mean_{w}"))
+        if ref and want(f"rolling_mean_{w}"):
+            aggs.append(F.avg(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_mean_{w}"))
+        if al and want(f"rolling_mean_{w}"):
+            aggs.append(F.avg(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_mean_{w}"))
     for w in ROLLING_STD_WINDOWS:
-        aggs.append(F.stddev_samp(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_std_{w}"))
-        aggs.append(F.stddev_samp(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_std_{w}"))
+        if ref and want(f"rolling_std_{w}"):
+            aggs.append(F.stddev_samp(F.when(rd <= F.least(F.lit(w), n - 1), u)).alias(f"_ref_std_{w}"))
+        if al and want(f"rolling_std_{w}"):
+            aggs.append(F.stddev_samp(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_std_{w}"))
     g = t.groupBy("product_id").agg(*aggs)
     return g.select("*", F.transform("_recent", lambda x: x["u"]).alias("recent")).drop("_recent")
 
@@ -219,7 +235,7 @@ def serving_columns(mode: str = "reference") -> list[Column]:
 
 def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     """One feature row per product for its latest row (see ``serving_columns``)."""
-    return product_state(sales).select("product_id", *serving_columns(mode))
+    return product_state(sales, modes=(mode,)).select("product_id", *serving_columns(mode))
 
 
 def model_input(df: DataFrame, features) -> DataFrame:

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.forecast import forecast_kind, forecast_map, forecast_total
 from shelfcast.operators.alerts import alerts
-from shelfcast.operators.features import serving_features
+from shelfcast.operators.features import product_state
 from shelfcast.operators.inventory import inventory_plan
 from shelfcast.schema import DEFAULT_LEAD_TIME, HORIZONS, TARGETS
 
@@ -27,11 +27,11 @@ def constant_forecast(sales: DataFrame, as_map: bool = False) -> DataFrame:
     The daily rate is the latest row's mean of its previous 7 rows; as a
     scalar (X3) or as the map ``t+1..t+7`` a model would return (X5).
     """
-    s = serving_features(sales, mode="aligned")
-    rate = F.coalesce(F.col("rolling_mean_7"), F.lit(0.0))
+    st = product_state(sales, modes=("aligned",), columns=("rolling_mean_7",))
+    rate = F.coalesce(F.col("_al_mean_7"), F.lit(0.0))
     fc = forecast_map(F.array_repeat(rate, HORIZONS)) if as_map else rate
-    return s.select("product_id", fc.alias("forecast"),
-                    F.col("inventory_level").alias("current_inventory"))
+    return st.select("product_id", fc.alias("forecast"),
+                     F.col("latest.inventory_level").alias("current_inventory"))
 
 
 def plan_and_alerts(forecasts: DataFrame, lead_time: int = DEFAULT_LEAD_TIME,
