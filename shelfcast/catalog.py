@@ -501,12 +501,20 @@ _TRAINED: dict = {}
 
 
 def _trained(spark, sf):
-    """Seven untuned GBT models (the original ``tune=False`` settings),
-    trained once per session and scale on the full training frame."""
-    from shelfcast.plans.models import train_models
+    """Seven untuned GBT models (the original ``tune=False`` settings) on the
+    full training frame.  They are saved under the checkpoint folder, keyed
+    by the input tables, and reloaded by later queries and sessions."""
+    from shelfcast.plans.models import (evaluate_models, load_models, models_present,
+                                        train_models)
+    from shelfcast.sources.testdata import _materialized_path
     key = (id(spark), sf)
     if key not in _TRAINED:
-        _TRAINED[key] = train_models(training_frame(sales_view(spark, sf)), path=None, tune=False)
+        path = _materialized_path(spark, sf).replace("shelfcast-sales", "shelfcast-models")
+        tf = training_frame(sales_view(spark, sf))
+        if models_present(path):
+            _TRAINED[key] = evaluate_models(tf, load_models(path))
+        else:
+            _TRAINED[key] = train_models(tf, path=path, tune=False)
     return _TRAINED[key]
 
 

@@ -198,45 +198,40 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
         py_fmt("metadata.safety_stock", 2).alias("_ss"), py_fmt("metadata.reorder_point", 2).alias("_rop2"),
         py_fmt("metadata.lead_time_demand", 2).alias("_ltd"),
         py_fmt("metadata.inventory_coverage_days", 1).alias("_cov"))
-    hist = F.col("daily_sales_history")
-    n = F.col("_n")
-    price = F.col("current_price")
-    fc_lines = F.concat_ws("\n", *[F.concat(F.lit(f"  {k}: "), F.col(f"_p{i}"), F.lit(" units"))
-                                   for i, k in enumerate(FORECAST_KEYS)])
-    last7 = F.slice(hist, F.greatest(n - 6, F.lit(1)), 7)
-    trend = (F.when(F.try_element_at(hist, F.lit(-1)) > F.try_element_at(hist, F.lit(1)), F.lit("Increasing"))
-             .when(F.try_element_at(hist, F.lit(-1)) < F.try_element_at(hist, F.lit(1)), F.lit("Decreasing"))
-             .otherwise(F.lit("Stable")))
-    history = F.when(n > 0, F.concat(
-        F.lit("\nRECENT SALES HISTORY (last "), n.cast("string"), F.lit(" days):\n"),
-        F.when(n <= 14, F.concat(F.lit("  "), py_list_repr(hist))).otherwise(F.concat(
-            F.lit("  Last 7 days: "), py_list_repr(last7), F.lit("\n  Average: "),
-            F.col("_havg"), F.lit(" units/day\n  Trend: "), trend))))
-    lines = [
-        F.concat(F.lit("Product Name: "), F.col("product_name")),
-        F.concat(F.lit("SKU: "), F.col("sku")),
-        F.concat(F.lit("Category: "), F.col("category")),
-        F.concat(F.lit("Region: "), F.col("region")),
-        F.when(price.isNotNull() & (price != 0), F.concat(F.lit("Current Price: $"), F.col("_price"))),
-        F.lit("\nINVENTORY STATUS:"),
-        F.concat(F.lit("Current Inventory: "), F.col("_inv"), F.lit(" units")),
-        F.concat(F.lit("Days to Stockout: "), F.col("days_to_stockout").cast("string")),
-        F.concat(F.lit("Risk Level: "), F.col("risk_level")),
-        F.concat(F.lit("Reorder Needed: "), F.when(F.col("reorder_needed"), "Yes").otherwise("No")),
-        F.when(F.col("reorder_needed"), F.concat(F.lit("Recommended Reorder Quantity: "),
-                                                 F.col("_qty"), F.lit(" units"))),
-        F.concat(F.lit("\n7-DAY DEMAND FORECAST:\n"), fc_lines,
-                 F.lit("\n  Total (7-day): "), F.col("_pt"), F.lit(" units"),
-                 F.lit("\n  Average daily: "), F.col("_pa"), F.lit(" units/day")),
-        history,
-        F.concat(F.lit("\nADDITIONAL METRICS:\n  Lead Time: "), F.col("metadata.lead_time_days").cast("string"),
-                 F.lit(" days\n  Safety Stock: "), F.col("_ss"),
-                 F.lit(" units\n  Reorder Point: "), F.col("_rop2"),
-                 F.lit(" units\n  Lead Time Demand: "), F.col("_ltd"),
-                 F.lit(" units\n  Inventory Coverage: "), F.col("_cov"),
-                 F.lit(" days")),
-    ]
-    return base.select("sku", F.concat_ws("\n", *lines).alias("prompt"))
+    # The template is one SQL expression (parsed once) over the staged
+    # columns above; NULL lines are skipped by concat_ws.
+    fc_lines = ", ".join(f"concat('  {k}: ', _p{i}, ' units')" for i, k in enumerate(FORECAST_KEYS))
+    item = ("CASE WHEN x IS NULL OR isnan(x) THEN 'nan' "
+            "WHEN abs(x) < 1e16 AND x = floor(x) THEN format_string('%.1f', x) "
+            "ELSE CAST(x AS STRING) END")
+    hist_repr = f"concat('[', array_join(transform(daily_sales_history, x -> {item}), ', '), ']')"
+    last7 = "slice(daily_sales_history, greatest(_n - 6, 1), 7)"
+    last7_repr = f"concat('[', array_join(transform({last7}, x -> {item}), ', '), ']')"
+    first, last = "try_element_at(daily_sales_history, 1)", "try_element_at(daily_sales_history, -1)"
+    trend = (f"CASE WHEN {last} > {first} THEN 'Increasing' WHEN {last} < {first} THEN 'Decreasing' "
+             "ELSE 'Stable' END")
+    prompt = f"""concat_ws('\\n',
+      concat('Product Name: ', product_name),
+      concat('SKU: ', sku),
+      concat('Category: ', category),
+      concat('Region: ', region),
+      CASE WHEN current_price IS NOT NULL AND current_price != 0 THEN concat('Current Price: $', _price) END,
+      '\\nINVENTORY STATUS:',
+      concat('Current Inventory: ', _inv, ' units'),
+      concat('Days to Stockout: ', CAST(days_to_stockout AS STRING)),
+      concat('Risk Level: ', risk_level),
+      concat('Reorder Needed: ', CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END),
+      CASE WHEN reorder_needed THEN concat('Recommended Reorder Quantity: ', _qty, ' units') END,
+      concat('\\n7-DAY DEMAND FORECAST:\\n', concat_ws('\\n', {fc_lines}),
+             '\\n  Total (7-day): ', _pt, ' units', '\\n  Average daily: ', _pa, ' units/day'),
+      CASE WHEN _n > 0 THEN concat('\\nRECENT SALES HISTORY (last ', CAST(_n AS STRING), ' days):\\n',
+        CASE WHEN _n <= 14 THEN concat('  ', {hist_repr})
+             ELSE concat('  Last 7 days: ', {last7_repr}, '\\n  Average: ', _havg,
+                         ' units/day\\n  Trend: ', {trend}) END) END,
+      concat('\\nADDITIONAL METRICS:\\n  Lead Time: ', CAST(metadata.lead_time_days AS STRING),
+             ' days\\n  Safety Stock: ', _ss, ' units\\n  Reorder Point: ', _rop2,
+             ' units\\n  Lead Time Demand: ', _ltd, ' units\\n  Inventory Coverage: ', _cov, ' days'))"""
+    return base.select("sku", F.expr(prompt).alias("prompt"))
 
 
 def status_labels(decisions: DataFrame) -> DataFrame:
