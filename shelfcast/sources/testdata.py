@@ -64,6 +64,12 @@ def sales_view(spark: SparkSession, sf_dir: str, materialize: bool = True) -> Da
     hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
     fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     if not fs.exists(hpath):
+        # A tiny input (one file, one row group) joined with broadcast sides
+        # stays in one partition; write it as several files so later scans
+        # run in parallel.  Large inputs are already spread by their joins.
+        target = spark.sparkContext.defaultParallelism
+        if view.rdd.getNumPartitions() < target:
+            view = view.repartition(target)
         view.write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
