@@ -25,8 +25,8 @@ from shelfcast.operators.features import (LAG_COLS, MEAN_COLS, STD_COLS, feature
                                           model_input, serving_features, training_frame)
 from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
 from shelfcast.operators.split import contiguous_folds, time_split
-from shelfcast.plans.decisions import constant_forecast, plan_and_alerts
-from shelfcast.schema import CALENDAR, FEATURES_V1, TARGETS
+from shelfcast.plans.decisions import constant_forecast, plan_and_alerts, realised_forecast
+from shelfcast.schema import FEATURES_V1, TARGETS
 from shelfcast.sources import messages_view, sales_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -348,9 +348,7 @@ def q_status_labels(spark, sf):
 # ------------------------------------------ decisions: realised backtest
 def _backtest(spark, sf):
     """Plan + alerts at every training row with the realised next 7 days."""
-    tf = training_frame(sales_view(spark, sf))
-    rf = tf.select(*KEYS, F.array(*[F.col(t) for t in TARGETS]).alias("forecast"),
-                   F.col("inventory_level").alias("current_inventory"))
+    rf = realised_forecast(training_frame(sales_view(spark, sf)), KEYS)
     return plan_and_alerts(rf, keep=KEYS)
 
 

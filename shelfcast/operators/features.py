@@ -2,10 +2,11 @@
 
 Windows are row-count frames inside one product (not calendar ranges),
 ordered by a total order (``order_columns``).  Training features (W1-W5)
-use the skew-safe chunked window of ``sequence``; everything is one Window
-node per chunk partition.  Serving features (W8) only need the last rows
-of each product and are computed with a top-k filter (which Spark turns
-into a map-side ``WindowGroupLimit``) plus a conditional aggregation.
+are one Window node per product, or — for products hotter than
+``chunk_rows`` — per (product, chunk) with the halo rows of ``sequence``.
+Serving features (W8) only need the last rows of each product and come
+from ``product_state``: a top-k filter (planned as a map-side
+``WindowGroupLimit``) plus partial and conditional aggregations.
 """
 
 from __future__ import annotations
@@ -86,7 +87,7 @@ def _direct_features(sales: DataFrame, **cols) -> DataFrame:
 
 def _chunked_features(sales: DataFrame, lookahead: int, chunk_rows: int, **cols) -> DataFrame:
     positioned = with_positions(sales)
-    halo, w = chunked_window(positioned, [], lookback=MAX_LOOKBACK,
+    halo, w = chunked_window(positioned, lookback=MAX_LOOKBACK,
                              lookahead=lookahead, chunk_rows=chunk_rows)
     out = finish_chunked(halo.select("*", *_window_columns(w, **cols)))
     first = [c for c in sales.columns] + ["pos", "n_rows"]
@@ -238,7 +239,7 @@ def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     return product_state(sales, modes=(mode,)).select("product_id", *serving_columns(mode))
 
 
-def model_input(df: DataFrame, features) -> DataFrame:
+def model_input(df: DataFrame, features) -> list[Column]:
     """Manifest-ordered numeric features, absent → 0.0, NULL → 0.0."""
     have = set(df.columns)
     cols = [(F.coalesce(F.col(c).cast("double"), F.lit(0.0)) if c in have else F.lit(0.0))

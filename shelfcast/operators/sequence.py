@@ -25,7 +25,7 @@ never materialises a whole product in one task:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from shelfcast.sources.sales import order_columns
@@ -53,14 +53,13 @@ def with_positions(sales: DataFrame, order: list[str] | None = None) -> DataFram
             .drop("_day_offset", "_rank_in_day"))
 
 
-def chunked_window(positioned: DataFrame, columns: dict[str, Column] | list[Column],
-                   lookback: int, lookahead: int,
+def chunked_window(positioned: DataFrame, lookback: int, lookahead: int,
                    chunk_rows: int = DEFAULT_CHUNK_ROWS) -> tuple[DataFrame, Window]:
     """Return (halo frame, window spec) to evaluate row-count window columns.
 
     Use as::
 
-        halo, w = chunked_window(pos_df, ..., lookback=30, lookahead=7)
+        halo, w = chunked_window(pos_df, lookback=30, lookahead=7)
         out = finish_chunked(halo.select("*", F.lag("x", 3).over(w).alias("l3")))
     """
     if chunk_rows < max(lookback, lookahead, 1):

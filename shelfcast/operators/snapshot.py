@@ -10,7 +10,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.operators.features import tail_rows
-from shelfcast.schema import SALES
 from shelfcast.sources.sales import order_columns
 
 
@@ -55,5 +54,3 @@ def product_info(sales: DataFrame) -> DataFrame:
         F.col("average_price"),
     )
 
-
-SALES_COLUMNS = tuple(f.name for f in SALES.fields)

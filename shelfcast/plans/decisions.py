@@ -48,8 +48,8 @@ def plan_and_alerts(forecasts: DataFrame, lead_time: int = DEFAULT_LEAD_TIME,
                               "recommendation", "forecast_7day"))
 
 
-def realised_forecast(training: DataFrame) -> DataFrame:
-    """Every training row with its seven realised future values as a list."""
-    return training.select("product_id", "date", "pos",
-                           F.array(*[F.col(t) for t in TARGETS]).alias("forecast"),
+def realised_forecast(training: DataFrame, keys=("product_id", "date", "src_order", "src_line")) -> DataFrame:
+    """Every training row with its seven realised future values as a list
+    (perfect-foresight backtest provider)."""
+    return training.select(*keys, F.array(*[F.col(t) for t in TARGETS]).alias("forecast"),
                            F.col("inventory_level").alias("current_inventory"))
