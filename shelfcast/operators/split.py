@@ -27,17 +27,25 @@ def _key_cols(frame: DataFrame) -> list[str]:
     return ["date", "product_id", *[c for c in TIE_BREAKERS if c in frame.columns]]
 
 
-def boundary_key(frame: DataFrame, k: int) -> tuple | None:
-    """Key of the row with 0-based global rank ``k`` (None when k ≥ rows)."""
-    keys = _key_cols(frame)
-    by_date = frame.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+def _day_cut(by_date: DataFrame, k_expr: Column):
+    """The date holding 0-based rank ``k`` and the rank inside that date.
+
+    ``by_date`` has one row per date (``n`` rows); the running total is a
+    window over that small summary.
+    """
     cum = by_date.select("date", "n", F.sum("n").over(
-        Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
-    row = cum.where(F.col("cum") > k).orderBy("date").select("date", "n", "cum").first()
+        Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"),
+        F.sum("n").over(Window.partitionBy()).alias("total"))
+    row = (cum.where(F.col("cum") > k_expr).orderBy("date")
+           .select("date", "n", "cum", k_expr.alias("k")).first())
     if row is None:
         return None
-    d, before = row["date"], row["cum"] - row["n"]
-    r = k - before                                  # rank inside that date
+    return row["date"], row["k"] - (row["cum"] - row["n"])
+
+
+def _key_within_date(frame: DataFrame, d, r: int) -> tuple:
+    """Key of the row with rank ``r`` (0-based) inside date ``d``."""
+    keys = _key_cols(frame)
     by_prod = (frame.where(F.col("date") == F.lit(d)).groupBy("product_id")
                .agg(F.count(F.lit(1)).alias("n")))
     cump = by_prod.select("product_id", "n", F.sum("n").over(
@@ -55,6 +63,18 @@ def boundary_key(frame: DataFrame, k: int) -> tuple | None:
     return (d, p, *[trow[c] for c in tie])
 
 
+def _by_date(frame: DataFrame) -> DataFrame:
+    return frame.groupBy("date").agg(F.count(F.lit(1)).alias("n"))
+
+
+def boundary_key(frame: DataFrame, k: int) -> tuple | None:
+    """Key of the row with 0-based global rank ``k`` (None when k ≥ rows)."""
+    cut = _day_cut(_by_date(frame), F.lit(k).cast("long"))
+    if cut is None:
+        return None
+    return _key_within_date(frame, *cut)
+
+
 def key_at_or_after(frame: DataFrame, key: tuple) -> Column:
     """Lexicographic ``(date, product_id, tie…) >= key`` as a literal predicate."""
     cols = _key_cols(frame)[:len(key)]
@@ -66,9 +86,11 @@ def key_at_or_after(frame: DataFrame, key: tuple) -> Column:
 
 def time_split(frame: DataFrame, test_size: float = 0.2) -> DataFrame:
     """``split`` = 'train' for the first ``int(n·(1-test_size))`` rows, else 'val'."""
-    n = frame.count()
-    k = int(n * (1 - test_size))
-    key = boundary_key(frame, k)
+    # k = int(n · (1 - test_size)) is computed next to the per-date running
+    # total, so the row count needs no job of its own.
+    k_expr = F.floor(F.col("total") * F.lit(1 - test_size)).cast("long")
+    cut = _day_cut(_by_date(frame), k_expr)
+    key = None if cut is None else _key_within_date(frame, *cut)
     if key is None:
         return frame.withColumn("split", F.lit("train"))
     return frame.withColumn("split", F.when(key_at_or_after(frame, key), F.lit("val"))
