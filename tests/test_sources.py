@@ -42,3 +42,17 @@ def test_context_json_round_trip(spark):
     assert r.product_name is None and r.metadata.average_price is None
     back = json.loads(df.select(F.to_json(F.struct(*df.columns))).first()[0])
     assert back["forecast"] == doc["forecast"] and back["metadata"]["reorder_point"] == 7.2
+
+
+def test_parquet_scan_normalises(spark):
+    import datetime as dt
+    d = tempfile.mkdtemp(prefix="shelfcast-test-")
+    p = os.path.join(d, "sales.parquet")
+    df = spark.createDataFrame(
+        [(dt.date(2024, 1, 1), "P1", float("nan"), 3.0), (dt.date(2024, 1, 2), "P1", 2.0, None)],
+        "date date, product_id string, units_sold double, inventory_level double")
+    df.write.parquet(p)
+    got = read_sales(spark, p).orderBy("date").collect()
+    assert got[0].units_sold is None and got[1].units_sold == 2.0   # NaN → NULL
+    assert got[1].inventory_level is None                          # present column: no default
+    assert got[0].price is None and got[0].demand is None          # absent columns: typed NULL
