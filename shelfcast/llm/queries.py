@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from shelfcast.llm.bpe import op9_bpe_tree_concat
+from shelfcast.llm.language import op6_language_id
+from shelfcast.llm.mixing import op5_mix_sources
 from shelfcast.llm.simhash import op8_simhash_near_dedup
+from shelfcast.llm.substrings import op3_substring_dedup
 
 QUERIES = {
+    "op3_substring_dedup": op3_substring_dedup,
+    "op5_mix_sources": op5_mix_sources,
+    "op6_language_id": op6_language_id,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
+    "op9_bpe_tree_concat": op9_bpe_tree_concat,
 }
 
 ORACLE: dict[str, str] = {}

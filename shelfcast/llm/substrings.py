@@ -120,19 +120,23 @@ def _texts(packed: pa.Array) -> pa.Array:
     return pa.array([inflate(z) if z is not None else None for z in packed.to_pylist()], type=pa.binary())
 
 
-def pack(docs: DataFrame) -> DataFrame:
-    """(rk, doc_id, z): a row key, the id, and the compressed text that both joins shuffle."""
-    source = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+def pack(docs: DataFrame, keep: list[str]) -> DataFrame:
+    """(rk, doc_id, z, k0, k1, ...): a row key, the id, the compressed text that both joins shuffle, and the kept columns."""
+    names = [f"k{i}" for i in range(len(keep))]
+    source = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+                         *[F.col(c).alias(n) for c, n in zip(keep, names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         deflate = zstandard.ZstdCompressor(level=1).compress
         for batch in batches:
             for part in slices(batch):
                 z = [deflate(t.encode()) if t is not None else None for t in part.column("text").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("rk"), part.column("doc_id"), pa.array(z, pa.binary())],
-                                                 names=["rk", "doc_id", "z"])
+                yield pa.RecordBatch.from_arrays(
+                    [part.column("rk"), part.column("doc_id"), pa.array(z, pa.binary()), *[part.column(n) for n in names]],
+                    names=["rk", "doc_id", "z", *names])
 
-    return source.mapInArrow(run, "rk long not null, doc_id long, z binary")
+    return source.mapInArrow(run, ", ".join(["rk long not null", "doc_id long", "z binary",
+                                             *[f"{n} {source.schema[n].dataType.simpleString()}" for n in names]]))
 
 
 def _stems(docs: DataFrame, window: int, per_row: bool) -> DataFrame:
@@ -257,7 +261,8 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
 
 
 def _cut(marked: DataFrame, window: int) -> DataFrame:
-    """Remove the covered words of each text."""
+    """Remove the covered words of each text; kept columns stay."""
+    kept_names = [c for c in marked.columns if c not in ("rk", "doc_id", "z", "blobs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -285,18 +290,20 @@ def _cut(marked: DataFrame, window: int) -> DataFrame:
                 out = [data[a:b].decode() if v else None for a, b, v in zip(kept[:-1].tolist(), kept[1:].tolist(), valid)]
                 removed = np.concatenate(([0], np.cumsum(gone)))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rk"), part.column("doc_id"), pa.array(out, pa.string()), pa.array(np.diff(words.first)),
-                     pa.array(np.diff(removed[words.first]))], names=["rk", "doc_id", "text", "n_words", "n_removed"])
+                    [part.column("doc_id"), pa.array(out, pa.string()), pa.array(np.diff(words.first)),
+                     pa.array(np.diff(removed[words.first])), *[part.column(c) for c in kept_names]],
+                    names=["doc_id", "text", "n_words", "n_removed", *kept_names])
 
-    return marked.mapInArrow(run, "rk long, doc_id long, text string, n_words long, n_removed long")
+    return marked.mapInArrow(run, ", ".join(["doc_id long", "text string", "n_words long", "n_removed long",
+                                             *[f"{c} {marked.schema[c].dataType.simpleString()}" for c in kept_names]]))
 
 
-def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT) -> DataFrame:
-    """(rk, doc_id, text, n_words, n_removed) for every row of ``docs``; ``text`` without repeated passages.
+def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIMIT, keep: list[str] | None = None) -> DataFrame:
+    """(doc_id, text, n_words, n_removed, k0, k1, ...) for every row of ``docs``; ``text`` without repeated passages.
 
-    ``rk`` is ``xxhash64(doc_id, text)`` of the input row.
+    ``k0, k1, ...`` are the columns named by ``keep``.
     """
-    packed = pack(docs)
+    packed = pack(docs, keep or [])
     repeated = (_stems(docs, window, per_row=False).groupBy("stem").agg(F.sum("n").alias("n")).where("n > 1")
                 .select("stem", (F.col("n") > limit).alias("hot")))
     per_row = _stems(docs, window, per_row=True).join(repeated, "stem")
@@ -305,17 +312,16 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIM
     found = packed.join(candidates, "rk").select("rk", F.coalesce("doc_id", smallest).alias("id"), "z", "stems")
     repeats = _repeats(_suffixes(found, window))
     blobs = repeats.groupBy("rk").agg(F.collect_list("blob").alias("blobs"))
-    return _cut(packed.join(blobs, "rk", "left").select("rk", "doc_id", "z", "blobs"), window)
+    return _cut(packed.join(blobs, "rk", "left"), window)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:
     """``docs`` with repeated passages cut from ``text`` and ``n_chars`` set to the new length; all rows stay."""
-    cut = remove_repeats(docs, window)
-    columns = [c for c in docs.columns if c not in ("text", "n_chars")]
-    rest = docs.select(F.xxhash64("doc_id", "text").alias("_rk"), *columns).withColumn("_i", F.lit(1))
-    texts = cut.select(F.col("rk").alias("_rk"), "text").dropDuplicates(["_rk"])
-    joined = rest.join(texts, "_rk").withColumn("n_chars", F.length("text").cast("long"))
-    return joined.select([c for c in docs.columns])
+    keep = [c for c in docs.columns if c not in ("doc_id", "text", "n_chars")]
+    cut = remove_repeats(docs, window, keep=keep)
+    own = {"doc_id": F.col("doc_id"), "text": F.col("text"), "n_chars": F.length("text").cast("long"),
+           **{c: F.col(f"k{i}") for i, c in enumerate(keep)}}
+    return cut.select([own[c].alias(c) for c in docs.columns])
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
