@@ -4,16 +4,25 @@ from __future__ import annotations
 
 from shelfcast.llm.bpe import op9_bpe_tree_concat
 from shelfcast.llm.language import op6_language_id
+from shelfcast.llm.merkle import op7_merkle_fingerprint
 from shelfcast.llm.mixing import op5_mix_sources
+from shelfcast.llm.pages import op2_site_style_tree
+from shelfcast.llm.quality import ORACLE_SQL as QUALITY_SQL
+from shelfcast.llm.quality import op10_quality_cascade
 from shelfcast.llm.simhash import op8_simhash_near_dedup
 from shelfcast.llm.substrings import op3_substring_dedup
 
 QUERIES = {
+    "op2_site_style_tree": op2_site_style_tree,
     "op3_substring_dedup": op3_substring_dedup,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
+    "op7_merkle_fingerprint": op7_merkle_fingerprint,
     "op8_simhash_near_dedup": op8_simhash_near_dedup,
     "op9_bpe_tree_concat": op9_bpe_tree_concat,
+    "op10_quality_cascade": op10_quality_cascade,
 }
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {
+    "op10_quality_cascade": QUALITY_SQL,
+}
