@@ -24,9 +24,12 @@ rows each return a row; other columns are ignored.
 
 from __future__ import annotations
 
-import json
+import os
 import re
-from collections.abc import Iterator
+from array import array
+from collections.abc import Callable, Iterator
+from functools import lru_cache
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
@@ -39,8 +42,8 @@ from shelfcast.llm.common import read_table, slices
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 2048
 LONG_TEXT = 1 << 20
-CACHE = 150_000
-_SPACE = " \t\n\r\x0b\x0c"
+CACHE = 200_000
+_MARKS = tuple(bytes([b]) for b in b".,:;!?|")
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -49,23 +52,39 @@ def vocabulary_path(name: str = VOCABULARY) -> str:
     return public_tokenizers.path(name)
 
 
+def _byte_letters() -> list[str]:
+    """The printable letter that byte-level BPE uses for each byte."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    other = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(other)) for b in range(256)]
+
+
+@lru_cache(maxsize=2)
+def codec(path: str, leaf: int = LEAF) -> "Codec":
+    """The worker's codec: workers are reused, so a vocabulary is loaded once and the cache outlives a task."""
+    return Codec(path, leaf)
+
+
 class Codec:
     """Encoder and decoder over one vocabulary file, for one worker."""
 
     def __init__(self, path: str, leaf: int = LEAF):
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        spec["truncation"] = spec["padding"] = None
-        self.whole = Tokenizer.from_str(json.dumps(spec))
-        bare = dict(spec, normalizer=None, pre_tokenizer=None, post_processor=None, added_tokens=[])
-        self.bare = Tokenizer.from_str(json.dumps(bare))
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"   # Spark runs one worker per core
+        self.whole = Tokenizer.from_file(path)
+        self.whole.no_truncation()
+        self.whole.no_padding()
+        if self.whole.decoder is not None:
+            raise ValueError("decoding here joins tokens by a space: the vocabulary must have no decoder of its own")
+        self.bare = Tokenizer(self.whole.model)           # the model alone: no normaliser, no splitter
         size = self.whole.get_vocab_size(with_added_tokens=True)
         self.token = [self.whole.id_to_token(i) or "" for i in range(size)]
-        special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
+        special = sorted((t.content for t in self.whole.get_added_tokens_decoder().values()), key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, special)) + ")") if special else None
-        self.suffix = len(spec["model"].get("end_of_word_suffix") or "")
+        self.suffix = len(self.whole.model.end_of_word_suffix or "")
+        self.letters = _byte_letters()
         self.leaf = leaf
-        self.cache: dict[bytes, bytes] = {}
+        self.cache: dict[bytes, bytes] = {}   # piece -> ids
+        self.words: dict[str, bytes] = {}     # lower-case word -> ids
 
     def _lengths(self, ids: list[int]) -> list[int]:
         """Characters of the unit that each token covers (the unit's end mark has none)."""
@@ -131,32 +150,60 @@ class Codec:
                     out += self.unit(unit)
         return out
 
+    @staticmethod
+    def _plain(piece: bytes) -> tuple[str, bytes] | None:
+        """(lower-case word, mark) if a piece is a word of Latin letters with at most one mark after it.
+
+        The normaliser and splitter then do no more than lower its case and part the mark, as no letter
+        here has a context-dependent lower case and a single mark after an ASCII letter stands alone.
+        """
+        mark = b""
+        if piece[-1:] in _MARKS and piece[-2:-1].isalpha():
+            piece, mark = piece[:-1], piece[-1:]
+        if piece.isalpha():
+            return piece.decode().lower(), mark
+        word = piece.decode()
+        if word.isalpha() and max(word) < "\u0250" and is_normalized("NFC", word):
+            lower = word.lower()
+            if lower.isalpha():
+                return lower, mark
+        return None
+
+    def _learn(self, pieces: list[bytes]) -> None:
+        """Put the ids of new pieces into the cache."""
+        if len(self.words) > CACHE * 3 // 2:
+            self.words.clear()
+        plain = {p: found for p in pieces if (found := self._plain(p))}
+        new = list(dict.fromkeys(x for w, m in plain.values() for x in (w, m.decode()) if x not in self.words))
+        units = [w if w.isascii() else "".join([self.letters[b] for b in w.encode()]) for w in new]
+        for w, e in zip(new, self.bare.encode_batch_fast(units, add_special_tokens=False)):
+            self.words[w] = array("I", e.ids).tobytes()
+        for p, (w, m) in plain.items():
+            self.cache[p] = self.words[w] + self.words[m.decode()] if m else self.words[w]
+        rest = [p for p in pieces if p not in plain]
+        for p, e in zip(rest, self.whole.encode_batch_fast([p.decode() for p in rest], add_special_tokens=False)):
+            self.cache[p] = array("I", e.ids).tobytes()
+
     def encode(self, texts: list[bytes]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of each text (UTF-8)."""
-        cache = self.cache
-        if len(cache) > CACHE:
-            cache.clear()
+        cache, leaf = self.cache, self.leaf
         split = [t.split() for t in texts]
-        new = list(dict.fromkeys(p for pieces in split for p in pieces if p not in cache))
-        plain = [p for p in new if len(p) <= self.leaf]
-        for at in range(0, len(plain), 20_000):
-            part = plain[at: at + 20_000]
-            for p, e in zip(part, self.whole.encode_batch_fast([p.decode() for p in part], add_special_tokens=False)):
-                cache[p] = np.array(e.ids, dtype="<u4").tobytes()
-        long = {p: np.array(self._piece(p.decode()), dtype="<u4").tobytes() for p in new if len(p) > self.leaf}
-        if long:
-            return [b"".join([long[p] if len(p) > self.leaf else cache[p] for p in pieces]) for pieces in split]
-        return [b"".join([cache[p] for p in pieces]) for pieces in split]
-
-    def decode(self, ids: list[int]) -> str:
+        pieces = dict.fromkeys(p for words in split for p in words)
+        short = [p for p in pieces if len(p) <= leaf]
+        new = [p for p in short if p not in cache]
+        if len(cache) + len(new) > CACHE:     # the cache starts anew with what this slice needs
+            cache.clear()
+            new = short
+        if new:
+            self._learn(new)
+        if len(short) < len(pieces):
+            long = {p: array("I", self._piece(p.decode())).tobytes() for p in pieces if len(p) > leaf}
+            return [b"".join([long[p] if p in long else cache[p] for p in words]) for words in split]
+        return [b"".join([cache[p] for p in words]) for words in split]
+
+    def decode(self, ids: bytes) -> str:
         token = self.token
-        return " ".join([token[i] for i in ids])
-
-
-def _check_decoder(path: str) -> None:
-    with open(path, encoding="utf-8") as f:
-        if json.load(f).get("decoder") is not None:
-            raise ValueError("decoding here joins tokens by a space: the vocabulary must have no decoder of its own")
+        return " ".join([token[i] for i in array("I", ids)])
 
 
 def spans(text: bytes, size: int) -> list[bytes]:
@@ -171,24 +218,44 @@ def spans(text: bytes, size: int) -> list[bytes]:
     return [*out, text[at:]]
 
 
-def _encoded(source: DataFrame, path: str, schema: str, leaf: int) -> DataFrame:
-    names = [f.split()[0] for f in schema.split(", ")]
+def _map(source: DataFrame, path: str, leaf: int, carried: list[str], make: Callable[[Codec, pa.RecordBatch], dict[str, list]],
+         made: str, column: str) -> DataFrame:
+    """Slices of ``source`` through ``make``; ``carried`` columns stay, ``made`` names the new ones with their types."""
+    names = [m.split()[0] for m in made.split(", ")]
+    kinds = {"binary": pa.binary(), "string": pa.string()}
+    types = [kinds[m.split()[1]] for m in made.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path, leaf)
         for batch in batches:
-            for part in slices(batch, limit=2 << 20):
-                ids = codec.encode([t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()])
-                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in names[:-1]], pa.array(ids, pa.binary())], names=names)
+            for part in slices(batch, column, 2 << 20):
+                new = make(codec(path, leaf), part)
+                yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], *[pa.array(new[n], t) for n, t in zip(names, types)]],
+                                                 names=[*carried, *names])
 
-    return source.mapInArrow(run, schema)
+    fields = [f"{c} {source.schema[c].dataType.simpleString()}" for c in carried]
+    return source.mapInArrow(run, ", ".join([*fields, made]))
 
 
-def encode(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
-    """(doc_id, ids): ``ids`` is a binary of little-endian unsigned 32-bit integers, one row per row of ``docs``."""
+def _texts(part: pa.RecordBatch) -> list[bytes]:
+    return [t or b"" for t in part.column("text").cast(pa.binary()).to_pylist()]
+
+
+def _encode(by: Codec, part: pa.RecordBatch) -> dict[str, list]:
+    return {"ids": by.encode(_texts(part))}
+
+
+def _decode(by: Codec, part: pa.RecordBatch) -> dict[str, list]:
+    return {"text": [by.decode(i or b"") for i in part.column("ids").to_pylist()]}
+
+
+def _both(by: Codec, part: pa.RecordBatch) -> dict[str, list]:
+    ids = by.encode(_texts(part))
+    return {"ids": ids, "text": [by.decode(i) for i in ids]}
+
+
+def _long_encoded(docs: DataFrame, path: str, long_text: int, leaf: int) -> DataFrame:
+    """(doc_id, ids) of texts of over ``long_text`` characters: spans of a text are encoded as rows of their own."""
     kind = docs.schema["doc_id"].dataType.simpleString()
-    is_long = F.coalesce(F.length("text") > long_text, F.lit(False))
-    short = _encoded(docs.select("doc_id", "text").where(~is_long), path, f"doc_id {kind}, ids binary", leaf)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -198,30 +265,38 @@ def encode(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = L
                                                       pa.array([k], pa.int32()), pa.array([p], pa.binary())],
                                                      names=["doc_id", "row", "part", "text"])
 
-    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text").where(is_long)
+    rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
     rows = rows.mapInArrow(cut, f"doc_id {kind}, row long, part int, text binary")
-    parts = _encoded(rows.repartition("row", "part"), path, f"doc_id {kind}, row long, part int, ids binary", leaf)
-    joined = (parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("part", "ids"))).alias("p"),
-                                       F.count_if(F.col("part") == 0).cast("int").alias("copies"))
-              .select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
-                      F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc_id", "ids"))
-    return short.unionByName(joined)
+    parts = _map(rows.repartition("row", "part"), path, leaf, ["doc_id", "row", "part"], _encode, "ids binary", "text")
+    # equal rows share a row key: their equal parts are one, and the row comes back as often as its first part
+    return (parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("part", "ids"))).alias("p"),
+                                     F.count_if(F.col("part") == 0).cast("int").alias("copies"))
+            .select("doc_id", F.aggregate("p", F.lit(b""), lambda a, x: F.concat(a, x["ids"])).alias("ids"),
+                    F.explode(F.array_repeat(F.lit(1), F.col("copies")))).select("doc_id", "ids"))
 
 
-def decode(encoded: DataFrame, path: str) -> DataFrame:
+def _parts(docs: DataFrame, long_text: int) -> tuple[DataFrame, DataFrame]:
+    rows = docs.select("doc_id", "text")
+    is_long = F.coalesce(F.length("text") > long_text, F.lit(False))
+    return rows.where(~is_long), rows.where(is_long)
+
+
+def encode(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
+    """(doc_id, ids): ``ids`` is a binary of little-endian unsigned 32-bit integers, one row per row of ``docs``."""
+    short, long = _parts(docs, long_text)
+    return _map(short, path, leaf, ["doc_id"], _encode, "ids binary", "text").unionByName(_long_encoded(long, path, long_text, leaf))
+
+
+def decode(encoded: DataFrame, path: str, leaf: int = LEAF) -> DataFrame:
     """(doc_id, ids, text): the text that the library's ``decode`` gives for the ids."""
-    _check_decoder(path)
-    kind = encoded.schema["doc_id"].dataType.simpleString()
+    return _map(encoded.select("doc_id", "ids"), path, leaf, ["doc_id", "ids"], _decode, "text string", "ids")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(path)
-        for batch in batches:
-            for part in slices(batch, "ids", 2 << 20):
-                texts = [codec.decode(np.frombuffer(i or b"", dtype="<u4").tolist()) for i in part.column("ids").to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("ids"), pa.array(texts, pa.string())],
-                                                 names=["doc_id", "ids", "text"])
 
-    return encoded.select("doc_id", "ids").mapInArrow(run, f"doc_id {kind}, ids binary, text string")
+def round_trip(docs: DataFrame, path: str, long_text: int = LONG_TEXT, leaf: int = LEAF) -> DataFrame:
+    """``decode(encode(docs))`` with one Python worker per task where a text is encoded whole."""
+    short, long = _parts(docs, long_text)
+    return _map(short, path, leaf, ["doc_id"], _both, "ids binary, text string", "text").unionByName(
+        decode(_long_encoded(long, path, long_text, leaf), path, leaf))
 
 
 def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
@@ -232,4 +307,4 @@ def digests(decoded: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
 
 def op9_bpe_tree_concat(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = vocabulary_path()
-    return digests(decode(encode(read_table(spark, sf_dir, "documents"), path), path))
+    return digests(round_trip(read_table(spark, sf_dir, "documents"), path))
