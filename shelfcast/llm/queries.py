@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from shelfcast.llm.bpe import op9_bpe_tree_concat
 from shelfcast.llm.language import op6_language_id
+from shelfcast.llm.licences import op1_license_scan
 from shelfcast.llm.merkle import op7_merkle_fingerprint
 from shelfcast.llm.mixing import op5_mix_sources
 from shelfcast.llm.pages import op2_site_style_tree
@@ -11,10 +12,13 @@ from shelfcast.llm.quality import ORACLE_SQL as QUALITY_SQL
 from shelfcast.llm.quality import op10_quality_cascade
 from shelfcast.llm.simhash import op8_simhash_near_dedup
 from shelfcast.llm.substrings import op3_substring_dedup
+from shelfcast.llm.toxicity import op4_toxicity_gbt
 
 QUERIES = {
+    "op1_license_scan": op1_license_scan,
     "op2_site_style_tree": op2_site_style_tree,
     "op3_substring_dedup": op3_substring_dedup,
+    "op4_toxicity_gbt": op4_toxicity_gbt,
     "op5_mix_sources": op5_mix_sources,
     "op6_language_id": op6_language_id,
     "op7_merkle_fingerprint": op7_merkle_fingerprint,
