@@ -37,9 +37,7 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids, ids_sha256, decoded_sha256 of every document of the mix."""
-    path = bpe.vocabulary_path()
-    decoded = bpe.decode(bpe.encode(docs, path), path)
-    return bpe.digests(decoded, keep=("ids",))
+    return bpe.digests(bpe.round_trip(docs, bpe.vocabulary_path()), keep=("ids",))
 
 
 STAGES = [
