@@ -2,8 +2,7 @@
 
 Windows are row-count frames inside one product (not calendar ranges),
 ordered by a total order (``order_columns``).  Training features (W1-W5)
-are one Window node per product, or — for products hotter than
-``chunk_rows`` — per (product, chunk) with the halo rows of ``sequence``.
+are one Window node per (product, chunk) with the halo rows of ``sequence``.
 Serving features (W8) only need the last rows of each product and come
 from ``product_state``: a top-k filter (planned as a map-side
 ``WindowGroupLimit``) plus partial and conditional aggregations.
@@ -52,25 +51,13 @@ def feature_frame(sales: DataFrame, *, lags: bool = True, means: bool = True,
     ``drop_incomplete=True`` is P2: rows without all seven future targets go.
     The result carries ``pos``/``n_rows`` (row index and count in the product).
 
-    Skew: products with at most ``chunk_rows`` rows use one window per
-    product (one exchange by product_id, bounded per task by construction).
-    Hotter products, if any, take the chunked path of ``sequence`` so that no
-    task ever holds a whole hot product.  Which path exists is decided from a
-    partial aggregate of the row counts; the hot-product list joined to the
-    data is at most ``rows / chunk_rows`` ids, which bounds its broadcast.
+    One plan for all products: row positions, then windows over (product,
+    chunk of ``chunk_rows`` positions) with the neighbours a window can reach
+    (``sequence``).  ``chunk_rows`` bounds a task and changes no row.
     """
-    lookahead = HORIZONS if targets else 0
-    cols = dict(lags=lags, means=means, stds=stds, targets=targets)
-    counts = sales.groupBy("product_id").agg(F.count(F.lit(1)).alias("_n"))
-    hot = counts.where(F.col("_n") > chunk_rows).select("product_id")
-    if hot.isEmpty():
-        out = _direct_features(sales, **cols)
-    else:
-        hot_ids = F.broadcast(hot)
-        cold = _direct_features(sales.join(hot_ids, "product_id", "left_anti"), **cols)
-        hot_part = _chunked_features(sales.join(hot_ids, "product_id", "left_semi"),
-                                     lookahead, chunk_rows, **cols)
-        out = cold.unionByName(hot_part)
+    positioned = with_positions(sales)
+    halo, w = chunked_window(positioned, lookback=MAX_LOOKBACK, lookahead=HORIZONS if targets else 0, chunk_rows=chunk_rows)
+    out = finish_chunked(halo.select("*", *_window_columns(w, lags=lags, means=means, stds=stds, targets=targets)))
     if calendar:
         out = out.select("*", *calendar_columns(F.col("date")))
     if drop_incomplete and targets:
@@ -78,22 +65,6 @@ def feature_frame(sales: DataFrame, *, lags: bool = True, means: bool = True,
     return out
 
 
-def _direct_features(sales: DataFrame, **cols) -> DataFrame:
-    w = Window.partitionBy("product_id").orderBy(*order_columns(sales))
-    return sales.select("*", F.row_number().over(w).cast("long").alias("pos"),
-                        F.count(F.lit(1)).over(Window.partitionBy("product_id")).alias("n_rows"),
-                        *_window_columns(w, **cols))
-
-
-def _chunked_features(sales: DataFrame, lookahead: int, chunk_rows: int, **cols) -> DataFrame:
-    positioned = with_positions(sales)
-    halo, w = chunked_window(positioned, lookback=MAX_LOOKBACK,
-                             lookahead=lookahead, chunk_rows=chunk_rows)
-    out = finish_chunked(halo.select("*", *_window_columns(w, **cols)))
-    first = [c for c in sales.columns] + ["pos", "n_rows"]
-    return out.select(*first, *[c for c in out.columns if c not in first])
-
-
 def training_frame(sales: DataFrame, chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """W5 + P2: the model's training rows (all features and seven targets)."""
     return feature_frame(sales, drop_incomplete=True, chunk_rows=chunk_rows)
@@ -239,6 +210,21 @@ def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     return product_state(sales, modes=(mode,)).select("product_id", *serving_columns(mode))
 
 
+def pass_through_features(latest: DataFrame, sales: DataFrame) -> DataFrame:
+    """The seven pass-through numerics for given latest rows (``product_id`` and any of them).
+
+    A column that ``latest`` has gives its value, one that it lacks the last value of
+    the product's history; a missing value is 0.0.
+    """
+    lacking = [c for c in PASS_THROUGH if c not in latest.columns]
+    out = latest
+    if lacking:
+        last = sales.groupBy("product_id").agg(F.max_by(F.struct(*lacking), _ord_struct(sales)).alias("_last"))
+        out = latest.join(last, "product_id", "left")
+    return out.select("product_id", *[
+        F.coalesce(F.col(f"_last.{c}") if c in lacking else F.col(c).cast("double"), F.lit(0.0)).alias(c) for c in PASS_THROUGH])
+
+
 def model_input(df: DataFrame, features) -> list[Column]:
     """Manifest-ordered numeric features, absent → 0.0, NULL → 0.0."""
     have = set(df.columns)

@@ -7,13 +7,14 @@ sends every row of a product to one task; with one hot product holding a
 third of all rows that task would hold a third of the table.  The plan here
 never materialises a whole product in one task:
 
-1. ``with_positions``: rows per (product, date) are counted with a partial
-   aggregate; a running sum over that *small* table (one row per product and
-   day) gives every day its starting offset.  Rows are ranked within their
-   (product, date) by the tie-breakers and offset into a 1-based position
-   ``pos`` plus the product's row count ``n_rows``.  The big side is
-   exchanged once, on (product_id, date); the window and the join to the
-   offsets share that exchange.
+1. ``with_positions``: rows per (product, day, range of the first tie-breaker)
+   are counted with a partial aggregate.  Running sums over these counts, first
+   within a day, then over a product's days, give every range its
+   starting offset; rows are ranked within their range only, so neither a hot
+   product nor its busiest day is ranked in one task.  The day is carried as a
+   number with a value for a missing date (which sorts first), so the rows of
+   a missing date join their offsets like any other.  The big side is exchanged
+   once: the ranking and the join to the offsets share the keys.
 2. ``chunked_window``: positions are cut into chunks of ``chunk_rows``.
    Each row is also copied into the next chunk when it is among the last
    ``lookback`` rows of its chunk, and into the previous chunk when it is
@@ -25,32 +26,44 @@ never materialises a whole product in one task:
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from shelfcast.sources.sales import order_columns
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 
+TIE_RANGE_BITS = 16     # values of the first tie-breaker that are ranked together: 65,536
+
+
+def _tie_range(sales: DataFrame, ties: list[str]) -> Column:
+    """Order-preserving range number of the first tie-breaker (one range if it is no integer)."""
+    if ties and isinstance(sales.schema[ties[0]].dataType, T.IntegralType):
+        return F.coalesce(F.shiftright(F.col(ties[0]).cast("long"), TIE_RANGE_BITS), F.lit(-(2**63)).cast("long"))
+    return F.lit(0).cast("long")
+
+
 def with_positions(sales: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Add ``pos`` (1-based, by ``order``) and ``n_rows`` within each product."""
+    """Add ``pos`` (1-based, by ``order``, missing values first) and ``n_rows`` within each product."""
     order = order or order_columns(sales)
-    day, tie = order[0], order[1:]
-    day_counts = sales.groupBy("product_id", day).agg(F.count(F.lit(1)).alias("_day_rows"))
-    by_day = Window.partitionBy("product_id").orderBy(day)
-    offsets = day_counts.select(
-        "product_id", day,
-        (F.sum("_day_rows").over(by_day.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-         - F.col("_day_rows")).alias("_day_offset"),
-        F.sum("_day_rows").over(Window.partitionBy("product_id")).alias("n_rows"),
-    )
-    in_day = Window.partitionBy("product_id", day).orderBy(*tie) if tie else \
-        Window.partitionBy("product_id", day).orderBy(day)
-    ranked = sales.withColumn("_rank_in_day", F.row_number().over(in_day))
-    return (ranked.join(offsets, ["product_id", day])
-            .withColumn("pos", (F.col("_day_offset") + F.col("_rank_in_day")).cast("long"))
-            .drop("_day_offset", "_rank_in_day"))
+    day, ties = order[0], order[1:]
+    rows = sales.select("*", F.coalesce(F.datediff(day, F.lit("1970-01-01")), F.lit(-(2**31))).alias("_day"),
+                        _tie_range(sales, ties).alias("_range"))
+    before = (Window.unboundedPreceding, -1)
+    counts = rows.groupBy("product_id", "_day", "_range").agg(F.count(F.lit(1)).alias("_n"))
+    in_day = Window.partitionBy("product_id", "_day").orderBy("_range").rowsBetween(*before)
+    ranges = counts.select("product_id", "_day", "_range", F.coalesce(F.sum("_n").over(in_day), F.lit(0)).alias("_in_day"))
+    of_days = Window.partitionBy("product_id").orderBy("_day").rowsBetween(*before)
+    days = (counts.groupBy("product_id", "_day").agg(F.sum("_n").alias("_n"))
+            .select("product_id", "_day", F.coalesce(F.sum("_n").over(of_days), F.lit(0)).alias("_earlier"),
+                    F.sum("_n").over(Window.partitionBy("product_id")).alias("n_rows")))
+    offsets = ranges.join(days, ["product_id", "_day"])
+    in_range = Window.partitionBy("product_id", "_day", "_range").orderBy(*(ties or [day]))
+    ranked = rows.withColumn("_rank", F.row_number().over(in_range))
+    return (ranked.join(offsets, ["product_id", "_day", "_range"])
+            .select(*sales.columns, (F.col("_earlier") + F.col("_in_day") + F.col("_rank")).cast("long").alias("pos"), "n_rows"))
 
 
 def chunked_window(positioned: DataFrame, lookback: int, lookahead: int,

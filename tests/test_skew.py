@@ -1,5 +1,6 @@
 """One product holding a third of all rows: the chunked path is exact."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from shelfcast.operators.features import feature_frame
@@ -29,3 +30,21 @@ def test_hot_product_chunked_equals_direct(spark):
     assert chunked.exceptAll(direct).count() == 0 and direct.exceptAll(chunked).count() == 0
     plan = chunked._jdf.queryExecution().executedPlan().toString()
     assert "_chunk" in plan
+
+
+def test_missing_dates_units_and_a_hot_day(spark):
+    """No chunk size loses or moves a row: missing dates, missing units, one day with most rows."""
+    import datetime as dt
+    import random
+    rnd = random.Random(2)
+    rows = [(None if rnd.random() < .05 else dt.date(2024, 1, 1) + dt.timedelta(days=5 if rnd.random() < .4 else rnd.randint(0, 90)),
+             p, "s", None if rnd.random() < .1 else float(rnd.randint(0, 50)), rnd.randint(0, 10**6) if rnd.random() < .95 else None, i)
+            for p in ("A", "B") for i in range(300)]
+    df = spark.createDataFrame(rows, "date date, product_id string, store_id string, units_sold double, src_order long, src_line int")
+    out = [sorted(map(str, feature_frame(df, chunk_rows=c, calendar=False).collect())) for c in (40, 97, 10**9)]
+    assert len(out[0]) == 600 and out[0] == out[1] == out[2]
+    plain = Window.partitionBy("product_id").orderBy("date", "src_order", "src_line")
+    cols = ["date", "product_id", "src_line", "pos", "lag_7"]
+    want = df.select("*", F.row_number().over(plain).cast("long").alias("pos"), F.lag("units_sold", 7).over(plain).alias("lag_7"))
+    got = feature_frame(df, chunk_rows=97, calendar=False)
+    assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
