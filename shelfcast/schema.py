@@ -66,6 +66,12 @@ FEATURES_V1 = (
 )
 CALENDAR = ("day_of_week", "week_of_year", "month", "is_weekend")
 
+
+def feature_manifest(include_calendar: bool = False) -> tuple[str, ...]:
+    """P5: the model's features; ``include_calendar`` adds the calendar columns that the default list lacks."""
+    return FEATURES_V1 + (tuple(c for c in CALENDAR if c not in FEATURES_V1) if include_calendar else ())
+
+
 TARGETS = tuple(f"demand_t{i}" for i in range(1, HORIZONS + 1))
 FORECAST_KEYS = tuple(f"t+{i}" for i in range(1, HORIZONS + 1))
 

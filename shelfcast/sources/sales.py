@@ -7,7 +7,7 @@ their own total ordering (``order_columns``).
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -17,21 +17,41 @@ from shelfcast.schema import CSV_HEADERS, DEFAULT_INVENTORY, SALES
 TIE_BREAKERS = ("src_order", "src_line")
 
 
-def read_sales(spark: SparkSession, path: str, fmt: str | None = None) -> DataFrame:
-    """Read a sales file: CSV with the original headers, or Parquet/JSON."""
+DATE_FORMATS = ("yyyy-MM-dd", "M/d/yyyy")
+
+
+def _parsed(raw: Column, name: str, kind: str, date_formats: tuple[str, ...], bad: str) -> Column:
+    """A text column as ``kind``; blank is NULL, and a value that does not parse fails the job or (``bad="null"``) is NULL."""
+    text = F.nullif(F.trim(raw), F.lit(""))
+    value = (F.coalesce(*[F.try_to_timestamp(text, F.lit(f)).cast("date") for f in date_formats]) if kind == "date"
+             else text.try_cast(kind))
+    if bad == "null":
+        return value
+    message = F.concat(F.lit(f"sales file: no {kind} in column {name}: "), text)
+    return F.when(text.isNull() | value.isNotNull(), value).otherwise(F.raise_error(message).cast(kind))
+
+
+def read_sales(spark: SparkSession, path: str, fmt: str | None = None, date_formats: tuple[str, ...] = DATE_FORMATS,
+               bad: str = "fail") -> DataFrame:
+    """Read a sales file: CSV with the original headers, or Parquet/JSON.
+
+    CSV dates take the first of ``date_formats`` that fits.  A value that is there but does not
+    parse fails the job, so no row loses its place in a product's order unseen;
+    ``bad="null"`` reads it as missing.
+    """
+    if bad not in ("fail", "null"):
+        raise ValueError("bad must be 'fail' or 'null'")
     fmt = fmt or ("csv" if path.lower().endswith(".csv") else "parquet")
     if fmt == "csv":
-        # Header names only (no inference pass); known columns are cast with
-        # try_cast, so a malformed value becomes NULL instead of failing.
+        # header names only: no inference pass
         raw = spark.read.option("header", True).option("inferSchema", False).csv(path)
         by_header = {v: k for k, v in CSV_HEADERS.items()}
         cols = []
         for c in raw.columns:
             name = by_header.get(c, c if c in CSV_HEADERS else None)
-            if name is None:
-                continue
-            dtype = "date" if name == "date" else SALES[name].dataType.simpleString()
-            cols.append(F.col(f"`{c}`").try_cast(dtype).alias(name))
+            if name is not None:
+                kind = SALES[name].dataType.simpleString()
+                cols.append(_parsed(F.col(f"`{c}`"), c, kind, date_formats, bad).alias(name))
         return normalise_sales(raw.select(*cols))
     return normalise_sales(spark.read.format(fmt).load(path))
 

@@ -46,49 +46,31 @@ def store_key(k) -> F.Column:
     return _padded("S", k, 4)
 
 
-def sales_view(spark: SparkSession, sf_dir: str, materialize: bool = True) -> DataFrame:
-    """The sales table over the test tables.
-
-    With ``materialize`` (default) the joined view is written once as
-    Parquet under the cluster's checkpoint folder and every later call in
-    the session reads that single table — the flat sales file the original
-    application starts from.  Reads then prune columns and push filters into
-    one scan instead of re-running three joins per query; a lost executor
-    re-reads files instead of recomputing the joins.
+def sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales table over the test tables: a lazy join, so changed input is seen at once."""
+    return build_sales_view(spark, sf_dir)
+
+
+def materialize_sales(spark: SparkSession, sf_dir: str, path: str) -> DataFrame:
+    """Write the joined view to ``path`` (the caller's, shared by the cluster) and read it back.
+
+    For users who run many jobs over one state of the tables; ``read_sales`` takes the path.
     """
-    view = build_sales_view(spark, sf_dir)
-    if not materialize:
-        return view
-    path = _materialized_path(spark, sf_dir)
-    jvm = spark.sparkContext._jvm
-    hpath = jvm.org.apache.hadoop.fs.Path(path + "/_SUCCESS")
-    fs = hpath.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    if not fs.exists(hpath):
-        # A tiny input (one file, one row group) joined with broadcast sides
-        # stays in one partition; write it as several files so later scans
-        # run in parallel.  Large inputs are already spread by their joins.
-        target = spark.sparkContext.defaultParallelism
-        if view.rdd.getNumPartitions() < target:
-            view = view.repartition(target)
-        view.write.mode("overwrite").parquet(path)
+    build_sales_view(spark, sf_dir).write.mode("overwrite").parquet(path)
     return spark.read.parquet(path)
 
 
-def _materialized_path(spark: SparkSession, sf_dir: str) -> str:
+def input_stamp(spark: SparkSession, sf_dir: str) -> str:
+    """Digest of the sales tables' files (path, size, time), through Spark's file systems."""
     import hashlib
-    import os
 
-    from shelfcast.session import ensure_checkpoint_dir
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
     stamp = []
     for t in ("lineitem", "part", "supplier", "nation", "region"):
-        p = f"{sf_dir.rstrip('/')}/{t}.parquet"
-        try:
-            st = os.stat(p)
-            stamp.append(f"{p}:{st.st_size}:{int(st.st_mtime)}")
-        except OSError:
-            stamp.append(p)
-    digest = hashlib.sha1("|".join(stamp).encode()).hexdigest()[:16]
-    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-sales/{digest}"
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{sf_dir.rstrip('/')}/{t}.parquet")
+        for f in path.getFileSystem(conf).listStatus(path):
+            stamp.append(f"{f.getPath()}:{f.getLen()}:{f.getModificationTime()}")
+    return hashlib.sha1("|".join(sorted(stamp)).encode()).hexdigest()[:16]
 
 
 def build_sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:

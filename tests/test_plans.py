@@ -2,7 +2,7 @@
 
 import pytest
 
-import __spark_entry__ as E
+from shelfcast import catalog
 from shelfcast.operators.features import feature_frame, serving_features
 from shelfcast.sources import sales_view
 from tests.conftest import SF_SMALL
@@ -17,9 +17,9 @@ def _plan(df):
 MODEL_QUERIES = {"forecast_next_7_days", "model_metrics", "sku_context_model", "sample_forecast"}
 
 
-@pytest.mark.parametrize("name", sorted(set(E.queries()) - MODEL_QUERIES))
+@pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - MODEL_QUERIES))
 def test_no_python_in_plans(spark, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     plan = _plan(df)
     assert not any(n in plan for n in PY_NODES), name
 
@@ -31,10 +31,20 @@ def test_serving_uses_map_side_top_k(spark):
 
 def test_feature_windows_are_partitioned(spark):
     s = sales_view(spark, SF_SMALL)
-    direct = feature_frame(s)
-    assert "SinglePartition" not in _plan(direct)
-    # with small chunks every product is "hot": windows run per (product, chunk)
-    chunked = feature_frame(s, chunk_rows=30)
-    plan = _plan(chunked)
-    assert "SinglePartition" not in plan
-    assert "_chunk" in plan
+    plan = _plan(feature_frame(s))
+    assert "SinglePartition" not in plan and "_chunk" in plan
+
+
+def test_building_a_query_only_reads_schemas(spark, monkeypatch):
+    """Building a plan starts no job but the one per table in which Parquet footers give the schema."""
+    from pyspark.sql.readwriter import DataFrameReader
+    reads, parquet = [], DataFrameReader.parquet
+    monkeypatch.setattr(DataFrameReader, "parquet", lambda self, *p, **o: reads.append(p) or parquet(self, *p, **o))
+    tracker, group = spark.sparkContext.statusTracker(), "build-only"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        for name in ("sales_scan", "training_frame", "alerts", "respond"):
+            catalog.QUERIES[name](spark, SF_SMALL)
+        assert len(tracker.getJobIdsForGroup(group)) <= len(reads)
+    finally:
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)

@@ -25,6 +25,33 @@ def test_csv_with_original_headers(spark):
     assert rows[("P2", "2024-01-01")].region is None
 
 
+def test_csv_dates_and_bad_values(spark):
+    import pytest
+    p = os.path.join(tempfile.mkdtemp(prefix="shelfcast-test-"), "sales.csv")
+    with open(p, "w") as fh:
+        fh.write("Date,Product ID,Units Sold\n1/2/2024,P1,5\n2024-01-03,P1,\n")
+    assert [str(r.date) for r in read_sales(spark, p).orderBy("date").collect()] == ["2024-01-02", "2024-01-03"]
+    for row in ("someday,P1,5", "2024-01-04,P1,x7"):
+        with open(p, "w") as fh:
+            fh.write(f"Date,Product ID,Units Sold\n{row}\n")
+        with pytest.raises(Exception, match="sales file"):
+            read_sales(spark, p).collect()
+        assert read_sales(spark, p, bad="null").count() == 1
+
+
+def test_changed_input_is_seen(spark):
+    import shutil
+    from shelfcast.sources import sales_view
+    from tests.conftest import SF_SMALL
+    d = tempfile.mkdtemp(prefix="shelfcast-test-")
+    for t in ("part", "supplier", "nation", "region"):
+        shutil.copy(f"{SF_SMALL}/{t}.parquet", d)
+    rows = spark.read.parquet(f"{SF_SMALL}/lineitem.parquet")
+    for n in (200, 50):
+        rows.orderBy("l_orderkey", "l_linenumber").limit(n).write.mode("overwrite").parquet(f"{d}/lineitem.parquet")
+        assert sales_view(spark, f"file://{d}").count() == n
+
+
 def test_context_json_round_trip(spark):
     doc = {"sku": "P9", "current_inventory": 12.0,
            "forecast": {f"t+{i}": float(i) for i in range(1, 8)},
