@@ -20,6 +20,11 @@ def is_weekend(d: Column) -> Column:
     return (F.weekday(d) >= 5).cast("int")
 
 
+def date_text(d: Column) -> Column:
+    """The date as ``yyyy-MM-dd``."""
+    return F.date_format(d, "yyyy-MM-dd")
+
+
 def calendar_columns(d: Column) -> list[Column]:
     return [
         day_of_week(d).alias("day_of_week"),

@@ -80,7 +80,8 @@ def py_round(x, n: int = 2) -> Column:
 
 
 def py_fmt(x, n: int = 2) -> Column:
-    """``f"{x:.nf}"`` with Python semantics."""
+    """``f"{x:.nf}"`` with Python semantics; a missing value gives NULL, whose text is the caller's choice."""
     if isinstance(x, str):
-        return F.expr(f"format_string('%.{n}f', {_round_sql(f'CAST(({x}) AS DOUBLE)', n)})")
-    return F.format_string(f"%.{n}f", py_round(x, n))
+        value = f"CAST(({x}) AS DOUBLE)"
+        return F.expr(f"IF(({x}) IS NULL, NULL, format_string('%.{n}f', {_round_sql(value, n)}))")
+    return F.when(x.isNotNull(), F.format_string(f"%.{n}f", py_round(x, n)))

@@ -1,4 +1,4 @@
-"""Text helpers: intent keywords and Python-style number/list rendering."""
+"""Text helpers: intent keywords and message templates."""
 
 from __future__ import annotations
 
@@ -27,15 +27,16 @@ def detect_intent(query: Column) -> Column:
     return out
 
 
-def py_float_repr(x: Column) -> Column:
-    """``repr(float)`` for whole numbers below 1e16 ("23.0"); other values
-    use Spark's shortest representation; NULL/NaN print as ``nan``."""
-    whole = F.when(F.abs(x) < 1e16, x == F.floor(x)).otherwise(F.lit(False))
-    return (F.when(x.isNull() | F.isnan(x), F.lit("nan"))
-            .when(whole, F.format_string("%.1f", x))
-            .otherwise(x.cast("string")))
-
-
-def py_list_repr(arr: Column) -> Column:
-    """``str(list_of_floats)``, e.g. ``[5.0, 3.0]``."""
-    return F.concat(F.lit("["), F.array_join(F.transform(arr, py_float_repr), ", "), F.lit("]"))
+def fill(template: str, **parts: Column) -> Column:
+    """Template with ``{name}`` placeholders → ``concat`` of literals and columns."""
+    out: list[Column] = []
+    rest = template
+    while "{" in rest:
+        head, tail = rest.split("{", 1)
+        name, rest = tail.split("}", 1)
+        if head:
+            out.append(F.lit(head))
+        out.append(parts[name])
+    if rest:
+        out.append(F.lit(rest))
+    return F.concat(*out)

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from shelfcast.functions.pynum import py_fmt, py_round
+from shelfcast.functions.text import fill
 
 
 def alert_risk(days: Column) -> Column:
@@ -36,20 +37,6 @@ _INFO_DAYS = "INFO: Low risk. Stockout expected in {d} day(s)."
 _INFO_ADEQUATE = "INFO: Inventory levels are adequate."
 
 
-def _t(template: str, d: Column, q: Column) -> Column:
-    parts: list[Column] = []
-    rest = template
-    while "{" in rest:
-        head, tail = rest.split("{", 1)
-        name, rest = tail.split("}", 1)
-        if head:
-            parts.append(F.lit(head))
-        parts.append(d if name == "d" else q)
-    if rest:
-        parts.append(F.lit(rest))
-    return F.concat(*parts) if len(parts) > 1 else parts[0]
-
-
 def alert_message(risk: Column, days: Column, reorder: Column, qty_text: Column) -> Column:
     """AL2: message by (risk, reorder, days).
 
@@ -58,15 +45,15 @@ def alert_message(risk: Column, days: Column, reorder: Column, qty_text: Column)
     d, q = days.cast("string"), qty_text
     r = F.upper(risk)
     high = F.when(reorder, F.concat(
-        F.when(days > 0, _t(_URGENT_DAYS, d, q)).otherwise(F.lit(_URGENT_NOW)),
-        _t(_URGENT_QTY, d, q))).otherwise(_t(_WARNING, d, q))
+        F.when(days > 0, fill(_URGENT_DAYS, d=d, q=q)).otherwise(F.lit(_URGENT_NOW)),
+        fill(_URGENT_QTY, d=d, q=q))).otherwise(fill(_WARNING, d=d, q=q))
     medium = F.when(reorder, F.concat(
-        F.when(days > 0, _t(_ALERT_DAYS, d, q)).otherwise(F.lit(_ALERT_NOW)),
-        _t(_ALERT_QTY, d, q))).otherwise(
-        F.when(days > 0, _t(_NOTICE_DAYS, d, q)).otherwise(F.lit(_NOTICE)))
-    low = (F.when(reorder, _t(_INFO_REORDER, d, q))
+        F.when(days > 0, fill(_ALERT_DAYS, d=d, q=q)).otherwise(F.lit(_ALERT_NOW)),
+        fill(_ALERT_QTY, d=d, q=q))).otherwise(
+        F.when(days > 0, fill(_NOTICE_DAYS, d=d, q=q)).otherwise(F.lit(_NOTICE)))
+    low = (F.when(reorder, fill(_INFO_REORDER, d=d, q=q))
            .when(days == -1, F.lit(_INFO_HEALTHY))
-           .when(days > 0, _t(_INFO_DAYS, d, q))
+           .when(days > 0, fill(_INFO_DAYS, d=d, q=q))
            .otherwise(F.lit(_INFO_ADEQUATE)))
     return F.when(r == "HIGH", high).when(r == "MEDIUM", medium).otherwise(low)
 
@@ -99,15 +86,16 @@ def alerts(plan: DataFrame, forecast_7day: str | None = "forecast_7day",
            keep: tuple[str, ...] | list[str] = ("product_id",)) -> DataFrame:
     """AL7: the alert payload for every plan row.
 
-    Missing metrics take the defaults of the original payload builder:
-    inventory 0, days −1, reorder false, quantity 0, lead-time demand 0.
+    Absent columns take the defaults of the original payload builder:
+    inventory 0, days −1, reorder false, quantity 0, lead-time demand 0.  A
+    row whose stock is missing has no alert: all its payload fields are NULL.
     """
     cols = set(plan.columns)
 
     def get(name, default):
         return F.coalesce(F.col(name), F.lit(default)) if name in cols else F.lit(default)
 
-    inv = get("current_inventory", 0.0).cast("double")
+    inv = (F.col("current_inventory") if "current_inventory" in cols else F.lit(0.0)).cast("double")
     days = get("days_to_stockout", -1).cast("int")
     reorder = get("reorder_status", False).cast("boolean")
     qty = get("reorder_quantity", 0.0).cast("double")
@@ -121,17 +109,18 @@ def alerts(plan: DataFrame, forecast_7day: str | None = "forecast_7day",
     base = base.select("*", alert_risk(days).alias("_risk"), py_fmt("_qty", 0).alias("_qty_s"),
                        coverage_days(inv, f7).alias("_cov"))
     risk, cov = F.col("_risk"), F.col("_cov")
-    return base.select(
-        *[F.col(c) for c in keep],
-        risk.alias("risk_level"),
-        alert_message(risk, days, reorder, F.col("_qty_s")).alias("alert_message"),
-        overstock(inv, f7).alias("overstock_flag"),
-        days.alias("days_to_stockout"),
-        reorder.alias("reorder_needed"),
-        py_round("_qty", 2).alias("reorder_quantity"),
-        F.when(cov > 0, py_round("_cov", 2)).otherwise(F.lit(-1.0)).alias("inventory_coverage_days"),
-        F.struct(py_round("_f7", 2).alias("forecast_7day_total"),
-                 F.when(f7 > 0, py_round("_f7 / 7.0D", 2)).otherwise(F.lit(0.0))
-                 .alias("estimated_daily_demand")).alias("forecast_summary"),
-        py_round("_inv", 2).alias("current_inventory"),
-    )
+    payload = {
+        "risk_level": risk,
+        "alert_message": alert_message(risk, days, reorder, F.col("_qty_s")),
+        "overstock_flag": overstock(inv, f7),
+        "days_to_stockout": days,
+        "reorder_needed": reorder,
+        "reorder_quantity": py_round("_qty", 2),
+        "inventory_coverage_days": F.when(cov > 0, py_round("_cov", 2)).otherwise(F.lit(-1.0)),
+        "forecast_summary": F.struct(
+            py_round("_f7", 2).alias("forecast_7day_total"),
+            F.when(f7 > 0, py_round("_f7 / 7.0D", 2)).otherwise(F.lit(0.0)).alias("estimated_daily_demand")),
+        "current_inventory": py_round("_inv", 2),
+    }
+    known = inv.isNotNull()
+    return base.select(*[F.col(c) for c in keep], *[F.when(known, v).alias(n) for n, v in payload.items()])

@@ -7,13 +7,13 @@ size, otherwise sort-merge).
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.forecast import array_sum
 from shelfcast.functions.pynum import py_fmt, py_round
 from shelfcast.functions.text import detect_intent
-from shelfcast.schema import FORECAST_KEYS
+from shelfcast.schema import CONTEXT, FORECAST_KEYS
 
 
 def forecast_values(m: Column) -> Column:
@@ -36,14 +36,17 @@ def decide_for_context(state_fc: DataFrame, lead_time: int = 3) -> DataFrame:
     return plan_and_alerts(state_fc.withColumn("_fc", F.col("forecast")), lead_time, keep=STATE_KEEP)
 
 
-def sku_context(dec: DataFrame) -> DataFrame:
+def sku_context(dec: DataFrame, price_given: bool = True) -> DataFrame:
     """One nested context row per product from ``decide_for_context``.
 
+    The current price is the latest row's, also where that is missing; only data
+    without a price column (``price_given=False``) falls back to the average.
+
     One linear plan: no join back to product info, latest row or history —
     they travel in the ``product_state`` columns.
     """
     cat = F.col("first.category")
-    price = F.coalesce(F.col("latest.price"), F.col("average_price"), F.lit(0.0))
+    price = F.col("latest.price") if price_given else F.coalesce("average_price", F.lit(0.0))
     return dec.select(
         F.col("product_id").alias("sku"),
         F.concat_ws(" - ", F.coalesce(cat, F.lit("Unknown")), F.col("product_id")).alias("product_name"),
@@ -68,6 +71,16 @@ def sku_context(dec: DataFrame) -> DataFrame:
     )
 
 
+def read_context(spark: SparkSession, path: str) -> DataFrame:
+    """Context documents (one JSON object per file or line) with the declared schema."""
+    return spark.read.schema(CONTEXT).option("multiLine", True).json(path)
+
+
+def parse_context(docs: DataFrame, column: str = "context_json") -> DataFrame:
+    """The context documents of a text column as typed columns."""
+    return docs.select(F.from_json(column, CONTEXT).alias("_c")).select("_c.*")
+
+
 def context_json(ctx: DataFrame) -> DataFrame:
     """The context document as JSON text (``df.write.text`` ready)."""
     fields = [c for c in ctx.columns if not c.startswith("_")]
@@ -92,6 +105,7 @@ def sales_trend(ctx: DataFrame) -> DataFrame:
 _NO_FORECAST = "Cannot generate forecast without latest data."
 _NO_INVENTORY = "Cannot generate inventory recommendation without forecast and inventory data."
 _NO_SUMMARY = "Unable to generate summary without forecast."
+_ERROR_INVENTORY = "Missing forecast or current_inventory in data_inputs"
 
 
 def explanations(ctx: DataFrame, keep: tuple = ()) -> DataFrame:
@@ -142,6 +156,7 @@ def explanations(ctx: DataFrame, keep: tuple = ()) -> DataFrame:
          .otherwise(F.lit("No reorder needed.\n")),
         F.lit("Risk: "), F.col("risk_level"), F.lit(". Stockout in "), days.cast("string"), F.lit(" days. "),
         F.when(F.col("_overstock"), F.lit("OVERSTOCK detected.")).otherwise(F.lit("")))
+    # without stock there is a forecast, but no inventory, risk or summary answer
     missing_inv = F.col("current_inventory").isNull()
     return base.select(
         "sku", *keep,
@@ -149,7 +164,8 @@ def explanations(ctx: DataFrame, keep: tuple = ()) -> DataFrame:
         F.col("_total2").alias("total_7day"), F.col("_avg2").alias("average_daily"),
         F.when(missing_inv, F.lit(_NO_INVENTORY)).otherwise(inventory_text).alias("inventory_explanation"),
         F.when(missing_inv, F.lit(_NO_INVENTORY)).otherwise(risk_text).alias("risk_explanation"),
-        summary_text.alias("summary_explanation"),
+        F.when(missing_inv, F.lit(_NO_INVENTORY)).otherwise(summary_text).alias("summary_explanation"),
+        F.when(missing_inv, F.lit(_ERROR_INVENTORY)).alias("error"),
     )
 
 
@@ -166,11 +182,12 @@ def respond(messages: DataFrame, ctx: DataFrame) -> DataFrame:
          .alias("inventory"),
         F.struct("risk_level", F.col("_alert_message").alias("alert_message"),
                  F.col("_overstock").alias("overstock_flag")).alias("alerts"))
-    ex = explanations(ctx, keep=parts)     # one pass over the context
+    asked = messages.select(F.col("product_id").alias("sku"))
+    ex = explanations(ctx.join(asked, "sku", "left_semi"), keep=parts)     # texts only for products that are asked for
     m = (messages.select("message_id", "product_id", "query", detect_intent(F.col("query")).alias("intent"))
          .join(ex.withColumnRenamed("sku", "product_id"), "product_id", "left"))
     i = F.col("intent")
-    known = F.col("forecast").isNotNull()
+    known, stocked = F.col("forecast").isNotNull(), F.col("error").isNull()
     text = (F.when(i == "forecast", F.coalesce(F.col("forecast_explanation"), F.lit(_NO_FORECAST)))
             .when(i == "reorder", F.coalesce(F.col("inventory_explanation"), F.lit(_NO_INVENTORY)))
             .when(i == "risk", F.coalesce(F.col("risk_explanation"), F.lit(_NO_INVENTORY)))
@@ -178,8 +195,10 @@ def respond(messages: DataFrame, ctx: DataFrame) -> DataFrame:
     return m.select(
         "message_id", "product_id", "query", "intent", text.alias("response_text"),
         F.when(known & i.isin("forecast", "summary"), F.col("forecast")).alias("forecast"),
-        F.when(known & i.isin("reorder", "risk", "summary"), F.col("inventory")).alias("inventory"),
-        F.when(known & i.isin("risk", "summary"), F.col("alerts")).alias("alerts"))
+        F.when(known & stocked & i.isin("reorder", "risk", "summary"), F.col("inventory")).alias("inventory"),
+        F.when(known & stocked & i.isin("risk", "summary"), F.col("alerts")).alias("alerts"),
+        F.when(~known, F.lit("Missing data for the product"))
+         .when(i != "forecast", F.col("error")).alias("error"))
 
 
 def prompt_context(ctx: DataFrame) -> DataFrame:
@@ -198,7 +217,7 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
         py_fmt("metadata.safety_stock", 2).alias("_ss"), py_fmt("metadata.reorder_point", 2).alias("_rop2"),
         py_fmt("metadata.lead_time_demand", 2).alias("_ltd"),
         py_fmt("metadata.inventory_coverage_days", 1).alias("_cov"))
-    # The template is one SQL expression (parsed once) over the staged
+    # The labels of the prompt.  The template is one SQL expression (parsed once) over the staged
     # columns above; NULL lines are skipped by concat_ws.
     fc_lines = ", ".join(f"concat('  {k}: ', _p{i}, ' units')" for i, k in enumerate(FORECAST_KEYS))
     item = ("CASE WHEN x IS NULL OR isnan(x) THEN 'nan' "
@@ -217,7 +236,7 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
       concat('Region: ', region),
       CASE WHEN current_price IS NOT NULL AND current_price != 0 THEN concat('Current Price: $', _price) END,
       '\\nINVENTORY STATUS:',
-      concat('Current Inventory: ', _inv, ' units'),
+      concat('Current Inventory: ', coalesce(_inv, 'unknown'), CASE WHEN _inv IS NULL THEN '' ELSE ' units' END),
       concat('Days to Stockout: ', CAST(days_to_stockout AS STRING)),
       concat('Risk Level: ', risk_level),
       concat('Reorder Needed: ', CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END),

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from shelfcast.functions.forecast import array_sum, forecast_kind, map_value, seven_days
 from shelfcast.functions.pynum import py_fmt, py_round
+from shelfcast.functions.text import fill
 from shelfcast.schema import DEFAULT_LEAD_TIME, FORECAST_KEYS, HORIZONS
 
 
@@ -94,21 +95,6 @@ _ESTIMATED = "Estimated stockout in {days} days."
 _QTY = "Recommended reorder quantity: {qty} units."
 
 
-def _fill(template: str, **parts: Column) -> Column:
-    """Template with ``{name}`` placeholders → ``concat`` of literals and columns."""
-    out: list[Column] = []
-    rest = template
-    while "{" in rest:
-        head, tail = rest.split("{", 1)
-        name, rest = tail.split("}", 1)
-        if head:
-            out.append(F.lit(head))
-        out.append(parts[name])
-    if rest:
-        out.append(F.lit(rest))
-    return F.concat(*out)
-
-
 def recommendation_text(reorder: Column, qty: Column, risk: Column, days: Column,
                         inv: Column, rop: Column) -> Column:
     """I8: message by (reorder, risk, days).
@@ -118,16 +104,16 @@ def recommendation_text(reorder: Column, qty: Column, risk: Column, days: Column
     previous projection so each number is formatted once per row.
     """
     p = dict(inv=inv, rop=rop, qty=qty, days=days.cast("string"))
-    stockout = F.when(days > 0, _fill(_EXPECTED, **p)).otherwise(F.lit(""))
-    estimated = F.when(days > 0, _fill(_ESTIMATED, **p)).otherwise(F.lit(""))
+    stockout = F.when(days > 0, fill(_EXPECTED, **p)).otherwise(F.lit(""))
+    estimated = F.when(days > 0, fill(_ESTIMATED, **p)).otherwise(F.lit(""))
     return (F.when(reorder & (risk == "high"),
-                   F.concat(_fill(_URGENT, **p), stockout, _fill(_QTY, **p)))
+                   F.concat(fill(_URGENT, **p), stockout, fill(_QTY, **p)))
             .when(reorder & (risk == "medium"),
-                  F.concat(_fill(_REORDER, **p), stockout, _fill(_QTY, **p)))
-            .when(reorder, _fill(_CONSIDER, **p))
-            .when(risk == "low", _fill(_HEALTHY, **p))
-            .when(risk == "medium", F.concat(_fill(_MONITOR, **p), estimated))
-            .otherwise(_fill(_STATUS, **p)))
+                  F.concat(fill(_REORDER, **p), stockout, fill(_QTY, **p)))
+            .when(reorder, fill(_CONSIDER, **p))
+            .when(risk == "low", fill(_HEALTHY, **p))
+            .when(risk == "medium", F.concat(fill(_MONITOR, **p), estimated))
+            .otherwise(fill(_STATUS, **p)))
 
 
 PLAN_COLUMNS = ("lead_time_demand", "safety_stock", "reorder_point", "reorder_status",

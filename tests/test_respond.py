@@ -33,3 +33,20 @@ def test_respond_parts_and_unknown_products(spark):
     assert got[7].response_text == got[6].response_text
     assert got[8].response_text == "Unable to generate summary without forecast."
     assert all(got[i].forecast is None and got[i].inventory is None for i in (5, 6, 7, 8))
+
+
+def test_missing_stock_gives_error_not_health(spark):
+    from shelfcast.operators.context import prompt_context
+    ctx = _context(spark, SF_SMALL)
+    sku = ctx.select("sku").orderBy("sku").first().sku
+    gone = ctx.where(F.col("sku") == sku)
+    for c in ("current_inventory", "_inv_rounded"):
+        gone = gone.withColumn(c, F.lit(None).cast("double"))
+    msgs = spark.createDataFrame([(1, sku, "forecast?"), (2, sku, "reorder?"), (3, sku, "risk?"), (4, sku, "summary")],
+                                 "message_id long, product_id string, query string")
+    got = {r.message_id: r for r in respond(msgs, gone).collect()}
+    assert got[1].error is None and got[1].forecast is not None
+    for i in (2, 3, 4):
+        assert got[i].error and got[i].inventory is None and got[i].alerts is None
+        assert got[i].response_text.startswith("Cannot generate inventory recommendation")
+    assert "Current Inventory: unknown" in prompt_context(gone).first().prompt
