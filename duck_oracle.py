@@ -328,6 +328,7 @@ Q["rolling_mean"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(MEAN_C
 Q["rolling_std"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(pyr(c, 6) + ' AS ' + c for c in STD_C)} FROM feat")
 Q["demand_targets"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(TGT)} FROM feat")
 Q["calendar_features"] = q(sales_cte(), body=f"SELECT {KEYS}, {CAL} FROM sales")
+Q["date_text"] = q(sales_cte(), body=f"SELECT {KEYS}, strftime(date, '%Y-%m-%d') AS date_text FROM sales")
 Q["training_frame"] = q(*FEAT, tf_cte(), body=f"SELECT * {std_replace()} FROM tf")
 _inc = " OR ".join(f"{t} IS NULL" for t in TGT)
 Q["dropped_rows"] = q(*FEAT, body=f"""
@@ -340,6 +341,10 @@ _mi = ", ".join(f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}" for c
 Q["model_input"] = q(*FEAT, tf_cte(), ("mi", f"SELECT {KEYS}, {_mi} FROM tf"),
                      body=f"SELECT * {std_replace()} FROM mi")
 
+_cal_names = [c for c in MANIFEST + ["day_of_week", "week_of_year", "month"] if c not in STD_C]
+Q["model_input_calendar"] = q(*FEAT, tf_cte(), body=f"""
+SELECT {KEYS}, {', '.join(f'coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}' for c in _cal_names)} FROM tf""")
+
 PASS = "inventory_level units_ordered price discount promotion competitor_pricing epidemic".split()
 
 
@@ -378,6 +383,10 @@ Q["latest_row"] = q(sales_cte(), numbered2_cte(), body="SELECT * EXCLUDE (rd, ra
 Q["recent_sales"] = q(sales_cte(), numbered2_cte(), body="""
 SELECT product_id, list(units_sold ORDER BY rd DESC) AS daily_sales_history
 FROM numbered WHERE rd <= 14 GROUP BY product_id""")
+_given = ", ".join(f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}" for c in PASS if c != "price")
+Q["partial_row_features"] = q(sales_cte(), numbered2_cte(), body=f"""
+SELECT product_id, (SELECT max(price) + 1 FROM sales s WHERE s.product_id = numbered.product_id) AS price, {_given}
+FROM numbered WHERE rd = 1""")
 Q["append_latest"] = q(sales_cte(), numbered2_cte(), body=f"""
 SELECT {KEYS}, units_sold, false AS appended FROM sales
 UNION ALL SELECT {KEYS}, units_sold, true AS appended FROM numbered WHERE rd = 1""")
@@ -434,6 +443,12 @@ SELECT target, horizon, {pyr('rmse_gap', 6)} AS rmse_gap, {pyr('mae_gap', 6)} AS
 Q["prediction_range"] = q(*PREDS, body="""
 SELECT horizon, least(min(y), min(prediction)) AS min_val, greatest(max(y), max(prediction)) AS max_val
 FROM preds WHERE split = 'val' GROUP BY horizon""")
+_points = " UNION ALL ".join(
+    f"SELECT {i} AS horizon, sample_key, CAST(demand_t{i} AS DOUBLE) AS y, "
+    f"CAST(coalesce(rolling_mean_7, CAST(0 AS DOUBLE)) AS DOUBLE) AS prediction FROM picked" for i in range(1, 8))
+Q["prediction_sample"] = q(*SPLIT, ("picked", f"""
+SELECT *, md5(concat_ws('|', {', '.join(f'CAST({k.strip()} AS VARCHAR)' for k in KEYS.split(','))})) AS sample_key
+FROM sp WHERE split = 'val' ORDER BY sample_key LIMIT 5000"""), body=_points)
 Q["last_validation_row"] = q(*SPLIT, body=f"""
 SELECT {KEYS}, units_sold, inventory_level, {', '.join(TGT)} FROM sp WHERE split = 'val'
 ORDER BY date DESC, product_id DESC, src_order DESC, src_line DESC LIMIT 1""")

@@ -130,6 +130,12 @@ def q_calendar(spark, sf):
     return sales_view(spark, sf).select(*KEYS, *calendar_columns(F.col("date")))
 
 
+@query("date_text")
+def q_date_text(spark, sf):
+    from shelfcast.functions.calendar import date_text
+    return sales_view(spark, sf).select(*KEYS, date_text(F.col("date")).alias("date_text"))
+
+
 def _tf_out(df):
     drop = {"pos", "n_rows"}
     return df.select(*[_r6(c) if c in STD_COLS else F.col(c) for c in df.columns if c not in drop])
@@ -156,6 +162,24 @@ def q_model_input(spark, sf):
                               for c, n in zip(cols, FEATURES_V1)])
 
 
+@query("model_input_calendar")
+def q_model_input_calendar(spark, sf):
+    """P5 with ``include_calendar``: the calendar columns beside the default manifest."""
+    from shelfcast.schema import feature_manifest
+    names = [c for c in feature_manifest(include_calendar=True) if c not in STD_COLS]
+    tf = training_frame(sales_view(spark, sf))
+    return tf.select(*KEYS, *model_input(tf, names))
+
+
+@query("partial_row_features")
+def q_partial_row_features(spark, sf):
+    """Latest rows that only give a price; the rest comes from the history."""
+    from shelfcast.operators.features import pass_through_features
+    s = sales_view(spark, sf)
+    given = s.groupBy("product_id").agg((F.max("price") + 1).alias("price"))
+    return pass_through_features(given, s)
+
+
 @query("serving_features")
 def q_serving_features(spark, sf):
     """W8/P8 (reference recipe)."""
@@ -225,14 +249,17 @@ def q_cv_folds(spark, sf):
     return contiguous_folds(tr, 3).select(*KEYS, "fold")
 
 
-def _baseline_preds(spark, sf):
+def _baseline():
     """Deterministic predictor for the metric operators: rolling_mean_7 (NULL → 0)."""
-    return ev.long_predictions(_split_frame(spark, sf),
-                               F.coalesce(F.col("rolling_mean_7"), F.lit(0.0)))
+    return F.coalesce(F.col("rolling_mean_7"), F.lit(0.0))
+
+
+def _baseline_preds(spark, sf):
+    return ev.long_predictions(_split_frame(spark, sf), _baseline())
 
 
 def _metrics(spark, sf, zero_pairs="skip"):
-    return ev.metrics_by_horizon(_baseline_preds(spark, sf), zero_pairs)
+    return ev.metrics_by_horizon(_split_frame(spark, sf), _baseline(), zero_pairs)
 
 
 @query("metrics_by_horizon")
@@ -270,8 +297,8 @@ def q_prediction_range(spark, sf):
 
 @query("prediction_sample")
 def q_prediction_sample(spark, sf):
-    """O6 (random; rows-only check)."""
-    return ev.prediction_sample(_baseline_preds(spark, sf), 5000)
+    """The 5,000 validation rows with the smallest key hash, all horizons."""
+    return ev.prediction_sample(_split_frame(spark, sf), _baseline(), list(KEYS), 5000)
 
 
 @query("last_validation_row")
@@ -501,13 +528,14 @@ _TRAINED: dict = {}
 def _trained(spark, sf):
     """Seven untuned GBT models (the original ``tune=False`` settings) on the
     full training frame.  They are saved under the checkpoint folder, keyed
-    by the input tables, and reloaded by later queries and sessions."""
-    from shelfcast.plans.models import (evaluate_models, load_models, models_present,
-                                        train_models)
-    from shelfcast.sources.testdata import _materialized_path
-    key = (id(spark), sf)
+    by the state of the input tables, and shared by the model queries of one application."""
+    from shelfcast.plans.models import evaluate_models, load_models, models_present, train_models
+    from shelfcast.session import ensure_checkpoint_dir
+    from shelfcast.sources.testdata import input_stamp
+    stamp = input_stamp(spark, sf)
+    key = (spark.sparkContext.applicationId, stamp)
     if key not in _TRAINED:
-        path = _materialized_path(spark, sf).replace("shelfcast-sales", "shelfcast-models")
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-models/{stamp}"
         tf = training_frame(sales_view(spark, sf))
         if models_present(path):
             _TRAINED[key] = evaluate_models(tf, load_models(path))

