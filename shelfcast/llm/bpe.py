@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from shelfcast.llm.common import read_table, slices
+from shelfcast.llm.common import map_arrow, read_table, slices
 
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 2048
@@ -233,7 +233,7 @@ def _map(source: DataFrame, path: str, leaf: int, carried: list[str], make: Call
                                                  names=[*carried, *names])
 
     fields = [f"{c} {source.schema[c].dataType.simpleString()}" for c in carried]
-    return source.mapInArrow(run, ", ".join([*fields, made]))
+    return map_arrow(source, run, ", ".join([*fields, made]))
 
 
 def _texts(part: pa.RecordBatch) -> list[bytes]:
@@ -266,7 +266,7 @@ def _long_encoded(docs: DataFrame, path: str, long_text: int, leaf: int) -> Data
                                                      names=["doc_id", "row", "part", "text"])
 
     rows = docs.select("doc_id", F.xxhash64("doc_id", "text").alias("row"), "text")
-    rows = rows.mapInArrow(cut, f"doc_id {kind}, row long, part int, text binary")
+    rows = map_arrow(rows, cut, f"doc_id {kind}, row long, part int, text binary")
     parts = _map(rows.repartition("row", "part"), path, leaf, ["doc_id", "row", "part"], _encode, "ids binary", "text")
     # equal rows share a row key: their equal parts are one, and the row comes back as often as its first part
     return (parts.groupBy("row").agg(F.first("doc_id").alias("doc_id"), F.sort_array(F.collect_set(F.struct("part", "ids"))).alias("p"),

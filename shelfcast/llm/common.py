@@ -73,8 +73,15 @@ def fold(doc_id: Column, folds: int = 5) -> Column:
     return F.coalesce(F.crc32(F.encode(doc_id.cast("string"), "UTF-8")) % folds, F.lit(0))
 
 
-def row_key(*columns: str) -> Column:
-    return F.xxhash64(*columns)
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names with as many underscores added as it takes not to clash with a column of ``df``."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
 
 
 def slices(batch: pa.RecordBatch, column: str = "text", limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:

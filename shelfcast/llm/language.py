@@ -27,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import fold, read_table, slices
+from shelfcast.llm.common import fold, fresh, map_arrow, read_table, slices, staged
 
 UNKNOWN = "und"
 TRAIN_ROWS = 10_000
-MAX_WORDS = 200_000
-MAX_GRAMS = 100_000
+MAX_WORDS = 100_000
+MAX_GRAMS = 60_000
 LONGEST, SHORTEST = 5, 1
-CACHE = 200_000
+CACHE = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
 
 
@@ -47,6 +47,9 @@ def letters(text: str | None) -> list[str]:
 
 
 def grams(word: str, n: int) -> list[str]:
+    """n-grams with boundary marks; single letters have none."""
+    if n == 1:
+        return list(word)
     marked = f"<{word}>"
     return [marked[i: i + n] for i in range(len(marked) - n + 1)]
 
@@ -89,10 +92,10 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
                     [pa.array([k[i] for k in keys], pa.string()) for i in range(3)] + [pa.array(list(out.values()), pa.int64())],
                     names=["lang", "kind", "entry", "n"])
 
-    counted = training_rows(docs, rows).mapInArrow(count, "lang string, kind string, entry string, n long")
-    entries = (counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
+    counted = map_arrow(training_rows(docs, rows), count, "lang string, kind string, entry string, n long")
+    entries = staged(counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
                .groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
-               .where("total > 1"))
+               .where("total > 1"), "language-counts")
     top = {kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).select("entry", "by").toArrow()
            for kind, most in (("w", MAX_WORDS), ("g", MAX_GRAMS))}
     return _model(top["w"], top["g"])
@@ -124,9 +127,8 @@ class Scorer:
         self.reset()
 
     def reset(self) -> None:
-        self.row = dict(self.model.words)
-        self.scores = [self.model.scores]
-        self.size = len(self.model.scores)
+        self.unseen: dict[str, int] = {}
+        self.scores = self.model.scores
 
     def _backoff(self, word: str) -> list[int]:
         for n in range(LONGEST, SHORTEST - 1, -1):
@@ -137,12 +139,13 @@ class Scorer:
 
     def documents(self, texts: list[list[str]]) -> np.ndarray:
         """Summed word scores, one row per text."""
-        if self.size > len(self.model.scores) + CACHE:
+        if len(self.unseen) > CACHE:
             self.reset()
-        get = self.row.get
+        get, other = self.model.words.get, self.unseen
         flat = [w for words in texts for w in words]
-        rows = [get(w, -1) for w in flat]
-        new = list(dict.fromkeys(w for w, r in zip(flat, rows) if r < 0))
+        rows = np.array([get(w, -1) for w in flat], dtype=np.int64)
+        missing = np.flatnonzero(rows < 0).tolist()
+        new = list(dict.fromkeys(w for w in map(flat.__getitem__, missing) if w not in other))
         if new:
             known = [self._backoff(w) for w in new]
             sizes = np.array([len(k) for k in known])
@@ -152,16 +155,16 @@ class Scorer:
                 heads = (np.cumsum(sizes) - sizes)[some]
                 index = np.array([i for k in known for i in k])
                 sums[some] = np.add.reduceat(self.model.scores[index], heads) / sizes[some, None]
-            for k, w in enumerate(new):
-                self.row[w] = self.size + k
-            self.size += len(new)
-            self.scores = [np.concatenate([*self.scores, sums])]
-            rows = [get(w) for w in flat]
+            for k, w in enumerate(new, len(self.scores)):
+                other[w] = k
+            self.scores = np.concatenate([self.scores, sums])
+        if missing:
+            rows[missing] = [other[flat[i]] for i in missing]
         out = np.zeros((len(texts), len(self.model.langs)))
         sizes = np.array([len(t) for t in texts])
         some = np.flatnonzero(sizes)
         if len(some):
-            out[some] = np.add.reduceat(self.scores[0][np.array(rows)], (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
+            out[some] = np.add.reduceat(self.scores[rows], (np.cumsum(sizes) - sizes)[some], dtype=np.float64)
         return out
 
 
@@ -189,12 +192,12 @@ def predict(docs: DataFrame, model: Model) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(names, pa.string()), pa.array(score, pa.float64())],
                                                  names=[*part.schema.names, "lang_pred", "score"])
 
-    return source.mapInArrow(run, schema)
+    return map_arrow(source, run, schema)
 
 
 def identified(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
     """``docs`` without the rows in no language (``und``); columns as before."""
-    own = docs.withColumnsRenamed({c: f"own_{c}" for c in docs.columns if c in ("lang_pred", "score")})
+    own = docs.withColumnsRenamed({c: fresh(docs, f"own_{c}")[0] for c in docs.columns if c in ("lang_pred", "score")})
     kept = predict(own, train(docs, rows)).where(F.col("lang_pred") != UNKNOWN)
     return kept.drop("lang_pred", "score").toDF(*docs.columns)
 

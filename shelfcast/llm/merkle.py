@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import read_table, slices
+from shelfcast.llm.common import map_arrow, read_table, slices
 
 PIECE = 160
 SECTION = 8
@@ -154,7 +154,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
                     [part.column("doc_id"), pa.array([fingerprint(t or "") for t in part.column("text").to_pylist()])],
                     names=["doc_id", "fingerprint"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fingerprint string")
+    return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint string")
 
 
 def _in_ranges(docs: DataFrame, rows: int) -> DataFrame:
@@ -211,7 +211,7 @@ def with_next(docs: DataFrame, rows: int = 500) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
 
     names = ["doc_id", "text", "edited_text", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    return walked.mapInArrow(run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string,"
+    return map_arrow(walked, run, "doc_id long, text string, edited_text string, fingerprint string, edited_fingerprint string,"
                                   " near_edited double, near_next double")
 
 

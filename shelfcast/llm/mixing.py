@@ -26,7 +26,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import read_table, staged
+from shelfcast.llm.common import fresh, read_table, staged
 
 WORD = "[^\\x20\\x09-\\x0D]+"
 WEIGHTS = (3, 1, 2)
@@ -97,10 +97,11 @@ def source_cuts(sized: DataFrame, targets: DataFrame) -> DataFrame:
             .select("source", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_size"))
 
 
-def _last_epoch(key: Column, size: Column) -> Column:
-    """Words that the unfinished epoch takes from a row."""
-    share = F.floor(size * F.col("cut_words") / F.col("cut_size"))
-    return F.when(key < F.col("cut_key"), size).when(key == F.col("cut_key"), share).otherwise(F.lit(0)).cast("long")
+def _last_epoch(key: Column, size: Column, names: dict[str, str] | None = None) -> Column:
+    """Words that the unfinished epoch takes from a row; ``names`` maps the cut's columns to other names."""
+    cut_key, cut_words, cut_size = (F.col((names or {}).get(c, c)) for c in ("cut_key", "cut_words", "cut_size"))
+    share = F.floor(size * cut_words / cut_size)
+    return F.when(key < cut_key, size).when(key == cut_key, share).otherwise(F.lit(0)).cast("long")
 
 
 def _cuts(docs: DataFrame, weights: tuple[int, ...], share: float, seed: int) -> tuple[DataFrame, DataFrame]:
@@ -124,15 +125,18 @@ def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, share:
     and ``n_chars`` follows; rows that no epoch takes, and rows without a word, go.
     """
     _, cuts = _cuts(docs, weights, share, seed)
-    rows = docs.withColumn("_key", mix_key(seed)).withColumn("_size", word_count(F.col("text")))
-    rows = rows.join(cuts, rows["source"].eqNullSafe(cuts["_s"]))
-    last = _last_epoch(F.col("_key"), F.col("_size"))
-    whole = F.array_repeat(F.col("_size"), F.col("epochs").cast("int"))
-    rows = rows.where("_size > 0").withColumn("_take", F.explode(F.concat(whole, F.when(last > 0, F.array(last)).otherwise(
-        F.array().cast("array<bigint>")))))
-    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col("_take").cast("int")), " ")
-    text = F.when(F.col("_take") < F.col("_size"), head).otherwise(F.col("text"))
-    out = rows.withColumn("text", text)
+    own = fresh(docs, *cuts.columns)
+    cuts = cuts.toDF(*own)
+    by = dict(zip(("_s", "source_size", "target", "epochs", "cut_key", "cut_words", "cut_size"), own))
+    key, size, take = fresh(docs, "mix_key", "mix_size", "mix_take")
+    rows = docs.withColumn(key, mix_key(seed)).withColumn(size, word_count(F.col("text")))
+    rows = rows.join(cuts, rows["source"].eqNullSafe(cuts[by["_s"]])).where(F.col(size) > 0)
+    last = _last_epoch(F.col(key), F.col(size), by)
+    whole = F.array_repeat(F.col(size), F.col(by["epochs"]).cast("int"))
+    part = F.when(last > 0, F.array(last)).otherwise(F.array().cast("array<bigint>"))
+    rows = rows.withColumn(take, F.explode(F.concat(whole, part)))
+    head = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(WORD), F.lit(0)), F.lit(1), F.col(take).cast("int")), " ")
+    out = rows.withColumn("text", F.when(F.col(take) < F.col(size), head).otherwise(F.col("text")))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(docs.columns)

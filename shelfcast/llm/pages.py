@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import read_table, slices, staged
+from shelfcast.llm.common import map_arrow, read_table, slices, staged
 
 DECAY = 0.9
 LOW = 0.3           # composite importance under which a branch is noise
@@ -213,7 +213,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
                     [*[pa.array([k[i] for k in keys], pa.string()) for i in range(3)], pa.array([k[3] for k in keys], pa.int64()),
                      pa.array(list(counts.values()), pa.int64())], names=["host", "path", "kind", "feature", "n"])
 
-    rows = source.mapInArrow(run, "host string, path string, kind string, feature long, n long")
+    rows = map_arrow(source, run, "host string, path string, kind string, feature long, n long")
     return rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
 
 
@@ -264,7 +264,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())],
                                                  names=["page_id", "url", "text"])
 
-    return rows.mapInArrow(run, f"page_id {kind}, url string, text string")
+    return map_arrow(rows, run, f"page_id {kind}, url string, text string")
 
 
 def op2_site_style_tree(spark: SparkSession, sf_dir: str) -> DataFrame:

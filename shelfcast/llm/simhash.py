@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from shelfcast.llm.common import read_table, slices, staged
+from shelfcast.llm.common import fresh, map_arrow, read_table, slices, staged
 
 PIVOTS = 8
 GROUP_LIMIT = 4096
@@ -80,7 +80,7 @@ def fingerprints(docs: DataFrame, shingle: int = 4, seed: int = 42, keep: tuple[
                 yield pa.RecordBatch.from_arrays([*[part.column(c) for c in carried], pa.array(fp)], names=[*carried, "fp"])
 
     fields = [f"{c} {source.schema[c].dataType.simpleString()}" for c in carried]
-    return source.mapInArrow(run, ", ".join([*fields, "fp long"]))
+    return map_arrow(source, run, ", ".join([*fields, "fp long"]))
 
 
 def hex_fingerprint(fp: Column) -> Column:
@@ -185,7 +185,7 @@ def links(fps: DataFrame, max_distance: int = 4, limit: int = GROUP_LIMIT) -> Da
         if held:
             yield emit(pa.Table.from_batches(held))
 
-    return ordered.mapInArrow(run, "u long, v long")
+    return map_arrow(ordered, run, "u long, v long")
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
@@ -234,15 +234,16 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
 
 def keep_one(docs: DataFrame, shingle: int = 4, max_distance: int = 4) -> DataFrame:
     """One row of ``docs`` per component: the smallest id (null last), then the smallest text hash."""
-    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("_h"))
-    found = near_duplicates(tagged, shingle, max_distance, keep=("_h",))
-    first = found.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_h")).alias("k"))
-    first = first.select(F.col("k.doc_id").alias("_id"), F.col("k._h").alias("_h"))
-    rows = docs.withColumn("_h", F.xxhash64("text"))
-    same = rows["doc_id"].eqNullSafe(first["_id"]) & (rows["_h"] == first["_h"])
-    once = Window.partitionBy("doc_id", "_h").orderBy("_h")
-    return (rows.join(first, same, "left_semi").withColumn("_r", F.row_number().over(once))
-            .where("_r = 1").select(docs.columns))
+    tagged = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
+    found = near_duplicates(tagged, shingle, max_distance, keep=("h",))
+    first = found.groupBy("_class").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "h")).alias("k"))
+    h, r, own_id, own_h = fresh(docs, "h", "r", "own_id", "own_h")
+    first = first.select(F.col("k.doc_id").alias(own_id), F.col("k.h").alias(own_h))
+    rows = docs.withColumn(h, F.xxhash64("text"))
+    same = rows["doc_id"].eqNullSafe(first[own_id]) & (rows[h] == first[own_h])
+    once = Window.partitionBy("doc_id", h).orderBy(h)
+    return (rows.join(first, same, "left_semi").withColumn(r, F.row_number().over(once))
+            .where(F.col(r) == 1).select(docs.columns))
 
 
 def op8_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import Words, mix, read_table, slices, split_words, word_hashes
+from shelfcast.llm.common import Words, map_arrow, mix, read_table, slices, split_words, word_hashes
 
 WINDOW = 20
 STEM = 6
@@ -135,7 +135,7 @@ def pack(docs: DataFrame, keep: list[str]) -> DataFrame:
                     [part.column("rk"), part.column("doc_id"), pa.array(z, pa.binary()), *[part.column(n) for n in names]],
                     names=["rk", "doc_id", "z", *names])
 
-    return source.mapInArrow(run, ", ".join(["rk long not null", "doc_id long", "z binary",
+    return map_arrow(source, run, ", ".join(["rk long not null", "doc_id long", "z binary",
                                              *[f"{n} {source.schema[n].dataType.simpleString()}" for n in names]]))
 
 
@@ -159,7 +159,7 @@ def _stems(docs: DataFrame, window: int, per_row: bool) -> DataFrame:
                     yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
                                                      names=["stem", "n"])
 
-    return source.mapInArrow(run, "rk long, stem long" if per_row else "stem long, n long")
+    return map_arrow(source, run, "rk long, stem long" if per_row else "stem long, n long")
 
 
 def _suffixes(found: DataFrame, window: int) -> DataFrame:
@@ -212,7 +212,7 @@ def _suffixes(found: DataFrame, window: int) -> DataFrame:
                      pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
                     names=["key", "id", "pos", "rk", "blob"])
 
-    return found.mapInArrow(run, "key long, id long, pos int, rk long, blob binary")
+    return map_arrow(found, run, "key long, id long, pos int, rk long, blob binary")
 
 
 def _repeats(suffixes: DataFrame) -> DataFrame:
@@ -257,7 +257,7 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
         if held:
             yield subtrees(pa.Table.from_batches(held))
 
-    return ordered.mapInArrow(run, "rk long, blob binary")
+    return map_arrow(ordered, run, "rk long, blob binary")
 
 
 def _cut(marked: DataFrame, window: int) -> DataFrame:
@@ -294,7 +294,7 @@ def _cut(marked: DataFrame, window: int) -> DataFrame:
                      pa.array(np.diff(removed[words.first])), *[part.column(c) for c in kept_names]],
                     names=["doc_id", "text", "n_words", "n_removed", *kept_names])
 
-    return marked.mapInArrow(run, ", ".join(["doc_id long", "text string", "n_words long", "n_removed long",
+    return map_arrow(marked, run, ", ".join(["doc_id long", "text string", "n_words long", "n_removed long",
                                              *[f"{c} {marked.schema[c].dataType.simpleString()}" for c in kept_names]]))
 
 

@@ -34,7 +34,7 @@ from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import byte_view, fold, read_table, slices, staged
+from shelfcast.llm.common import byte_view, fold, map_arrow, read_table, slices, staged
 
 TRAIN_ROWS = 20_000
 LEAST_DOCS = 6
@@ -136,7 +136,7 @@ def features(docs: DataFrame, lexicon: Lexicon, keep: list[str]) -> DataFrame:
                                                  names=[*keep, *FEATURES])
 
     kinds = [f"{c} {source.schema[c].dataType.simpleString()}" for c in keep]
-    return source.mapInArrow(run, ", ".join([*kinds, *[f"{f} double" for f in FEATURES]]))
+    return map_arrow(source, run, ", ".join([*kinds, *[f"{f} double" for f in FEATURES]]))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
@@ -174,11 +174,11 @@ def learn_lexicon(training: DataFrame) -> Lexicon:
         return run
 
     sizes = {r["toxic"]: r["n"] for r in training.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    top = (training.where("toxic = 1").select("text").mapInArrow(count(None), "entry string, n long").groupBy("entry")
+    top = (map_arrow(training.where("toxic = 1").select("text"), count(None), "entry string, n long").groupBy("entry")
            .agg(F.sum("n").alias("n")).where(F.col("n") >= LEAST_DOCS).orderBy(F.desc("n"), "entry").limit(MAX_ENTRIES).collect())
     toxic = {r["entry"]: r["n"] for r in top}
     wanted = spark.sparkContext.broadcast(set(toxic))
-    clean = {r["entry"]: r["n"] for r in training.where("toxic = 0").select("text").mapInArrow(count(wanted), "entry string, n long")
+    clean = {r["entry"]: r["n"] for r in map_arrow(training.where("toxic = 0").select("text"), count(wanted), "entry string, n long")
              .groupBy("entry").agg(F.sum("n").alias("n")).collect()}   # at most MAX_ENTRIES rows
     out = Lexicon()
     for entry, n in toxic.items():
