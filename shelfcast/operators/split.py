@@ -74,9 +74,21 @@ def _ranked_key(rows: DataFrame, cols: list[str], r: int, total: int) -> tuple:
             if r < before + counts.get(k, 0):
                 break
             before += counts.get(k, 0)
-        if counts[k] == total:    # copies of one key: the bound itself
-            return bounds[min(k, len(bounds) - 1)]
-        rows, r, total = rows.where(at == k), r - before, counts[k]
+        if counts[k] < total:
+            rows, r, total = rows.where(at == k), r - before, counts[k]
+            continue
+        # most rows are copies of one sampled key: part the rows below it from its copies
+        bound = bounds[min(k, len(bounds) - 1)]
+        same = F.lit(True)
+        for c, v in zip(cols, bound):
+            same = same & (F.col(c) == F.lit(v))
+        above = _struct_after(cols, bound)
+        copies, over = rows.agg(F.count_if(same), F.count_if(above)).first()
+        under = total - copies - over
+        if under <= r < under + copies:
+            return bound
+        rows, r, total = ((rows.where(~same & ~above), r, under) if r < under
+                          else (rows.where(above), r - under - copies, over))
     return tuple(rows.select(*cols).orderBy(*cols).limit(r + 1).collect()[r])
 
 
