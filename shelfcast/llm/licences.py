@@ -7,9 +7,10 @@ as ``none``, on a bounded sample of corpus lines and on sentences that merely
 speak of licences.  A held-out part of the training rows sets the acceptance
 threshold, below which a paragraph is unknown.  An accepted family is confirmed
 only if the paragraph contains most of the word pairs of one of its templates.
+Years, numbers and the holder's name are masked in templates and paragraphs.
 
-Every template pair list holds one of the ``CUES``, so a paragraph without a cue
-cannot be confirmed and is not scored.
+Both conditions have to hold, so the cheaper one comes first: every paragraph's
+word pairs are looked up, and those without most of any template's pairs are not scored.
 
 Edge cases: a null or empty text has no paragraph and no licence; an empty table
 gives an empty result; repeated rows each return a row; other columns are ignored.
@@ -18,6 +19,7 @@ gives an empty result; repeated rows each return a row; other columns are ignore
 from __future__ import annotations
 
 import re
+from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -35,6 +37,7 @@ SAMPLE_ROWS = 400      # documents whose lines stand for text without a licence
 MAX_TERMS = 10_000
 UNIT_WORDS = 40
 CONTAINED = 0.7
+#: Lines with one of these may be parts of a notice and are no examples of ``none``.
 CUES = ("licen", "copyright", "public domain", "permission", "warrant", "redistribut", "spdx", "creative commons", "cc by", "cc0")
 
 #: Notices by licence family.
@@ -96,6 +99,7 @@ TEMPLATES: dict[str, list[str]] = {
         "Released under the Unlicense license.",
         "SPDX-License-Identifier: Unlicense"],
     "proprietary": [
+        "All rights reserved.",
         "Copyright 2020 Example Corporation. All rights reserved.",
         "No part of this work may be reproduced without the prior written permission of the copyright holder.",
         "This software is proprietary and confidential; a commercial license is required."],
@@ -110,10 +114,19 @@ TALK = [
     "Parks are in the public domain of the town.", "The licence plate of the van was missing."]
 _WORD = re.compile(r"[a-z0-9]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_DIGIT = re.compile(r"[0-9]")
+_YEARS = re.compile(r"\b(?:19|20)[0-9]{2}\b(?: (?:(?:19|20)[0-9]{2}|present)\b)*")
+_NUMBERS = re.compile(r"\bv?[0-9]+\b(?: v?[0-9]+\b)*")
+_HOLDER = re.compile(r"\bcopyright (?:c )?xyear (?:by )?(?:[a-z0-9]+ ){1,12}?all rights reserved\b")
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    """Lower-case words; years and numbers (versions) are ``xyear`` and ``xnumber``, the name in a copyright line is ``xholder``."""
+    found = _WORD.findall(text.lower())
+    if not _DIGIT.search(text) and "xyear" not in found:
+        return found
+    masked = _NUMBERS.sub("xnumber", _YEARS.sub("xyear", " ".join(found)))
+    return _HOLDER.sub("copyright xyear xholder all rights reserved", masked).split()
 
 
 def terms(text: str) -> list[str]:
@@ -170,10 +183,29 @@ class Model:
         return (self.families[best], float(p[best])) if p[best] >= self.threshold else (NONE, float(p[best]))
 
 
-def confirmed(family: str, paragraph: str, templates: dict[str, set[frozenset]]) -> float:
-    """Largest share of a template's word pairs that the paragraph contains."""
-    found = pairs(paragraph)
-    return max((len(t & found) / len(t) for t in templates[family]), default=0.0)
+class Templates:
+    """Word pairs of all notices, with the notices of each pair."""
+
+    def __init__(self) -> None:
+        notices = [(f, n) for f, ns in TEMPLATES.items() for n in ns]
+        self.families = [f for f, _ in notices]
+        self.pairs = [frozenset(pairs(n)) for _, n in notices]
+        self.of: dict[tuple[str, str], list[int]] = {}
+        for k, found in enumerate(self.pairs):
+            for pair in found:
+                self.of.setdefault(pair, []).append(k)
+
+    def shares(self, found: set[tuple[str, str]]) -> dict[int, float]:
+        """Share of its word pairs that each notice has among ``found``; notices without any are absent."""
+        counts = Counter(k for pair in self.of.keys() & found for k in self.of[pair])
+        return {k: n / len(self.pairs[k]) for k, n in counts.items()}
+
+    def confirmed(self, paragraph: str) -> dict[str, float]:
+        """Per family the largest share of a notice's word pairs that the paragraph contains."""
+        out: dict[str, float] = {}
+        for k, share in self.shares(pairs(paragraph)).items():
+            out[self.families[k]] = max(out.get(self.families[k], 0.0), share)
+        return out
 
 
 def _variants() -> Iterator[tuple[str, str]]:
@@ -196,12 +228,14 @@ def training_rows(docs: DataFrame, rows: int = SAMPLE_ROWS) -> DataFrame:
         F.pmod(F.xxhash64(F.lit("licence"), "doc_id"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
 
     def background(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        templates = Templates()
         for batch in batches:
-            found = [p for t in batch.column("text").to_pylist() for p in paragraphs(t)[:50] if not has_cue(p.lower())]
+            found = [" ".join(words(p)) for t in batch.column("text").to_pylist() for p in paragraphs(t)[:50]
+                     if not has_cue(p.lower()) and max(templates.confirmed(p).values(), default=0.0) < CONTAINED]
             yield pa.RecordBatch.from_arrays([pa.array([NONE] * len(found), pa.string()), pa.array(found, pa.string())],
                                              names=["family", "text"])
 
-    made = [*_variants(), *[(NONE, f"{a}{t}") for t in TALK for a in ("", "He said: ", "In 2019, ")]]
+    made = [(f, " ".join(words(t))) for f, t in [*_variants(), *[(NONE, f"{a}{t}") for t in TALK for a in ("", "He said: ", "In 2019, ")]]]
     lines = map_arrow(part.select("text"), background, "family string, text string")
     rows_ = spark.createDataFrame(made, "family string, text string").unionByName(lines)
     grams = F.filter(F.split(F.regexp_replace(F.lower("text"), "[^a-z0-9]+", " "), " "), lambda w: w != "")
@@ -243,23 +277,21 @@ def scan(docs: DataFrame, model: Model, contained: float = CONTAINED) -> DataFra
                                      ("containment", pa.float64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        templates = {f: [frozenset(pairs(t)) for t in notices] for f, notices in TEMPLATES.items()}
+        templates = Templates()
         for batch in batches:
             for part in slices(batch):
                 counts, matches = [], []
                 for text in part.column("text").to_pylist():
                     units = paragraphs(text)
                     rows = []
-                    if units and has_cue(text.lower()):
-                        for k, unit in enumerate(units):
-                            if not has_cue(unit.lower()):
-                                continue
-                            family, p = shared.value.classify(unit)
-                            if family == NONE:
-                                continue
-                            share = confirmed(family, unit, templates)
-                            if share >= contained:
-                                rows.append({"paragraph": k, "family": family, "probability": p, "containment": share})
+                    for k, unit in enumerate(units):
+                        shares = templates.confirmed(unit)
+                        if max(shares.values(), default=0.0) < contained:
+                            continue
+                        family, p = shared.value.classify(unit)
+                        share = shares.get(family, 0.0)
+                        if share >= contained:
+                            rows.append({"paragraph": k, "family": family, "probability": p, "containment": share})
                     counts.append(len(units))
                     matches.append(rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(matches, found_type)],

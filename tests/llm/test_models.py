@@ -75,3 +75,15 @@ def test_licences(spark):
     assert rows[100].matches[0].paragraph == 1 and rows[100].n_paragraphs == 3
     assert not rows[200].matches and not rows[201].matches and rows[1].n_paragraphs == 0
     assert licences.scan(docs, model).count() == docs.count() and licences.scan(documents(spark, []), model).count() == 0
+
+
+def test_licence_notices_without_a_cue_word(spark):
+    notices = {"All rights reserved.": "proprietary", "ALL RIGHTS RESERVED": "proprietary", "Copyright 2021 Acme Inc. All rights reserved.": "proprietary",
+               "Copyright (c) 2019-2023 The Foo Project Authors. All rights reserved.": "proprietary", "Licensed under the Apache License, Version 1.1.": "apache"}
+    docs = documents(spark, ODD + [(100 + k, f"some words first\n{n}\nand after", "en", "a") for k, n in enumerate(notices)])
+    rows = {r.doc_id: r for r in licences.scan(docs, licences.train(docs)).collect()}
+    assert [[(m.paragraph, m.family) for m in rows[100 + k].matches] for k in range(len(notices))] == [[(1, f)] for f in notices.values()]
+    assert not rows[4].matches
+    assert licences.words("Copyright (c) 2021 Acme Inc. All rights reserved, v2.0") == "copyright xyear xholder all rights reserved xnumber".split()
+    for text in (n for ns in licences.TEMPLATES.values() for n in ns):
+        assert licences.words(" ".join(licences.words(text))) == licences.words(text)
