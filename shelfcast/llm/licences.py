@@ -12,6 +12,11 @@ Years, numbers and the holder's name are masked in templates and paragraphs.
 Both conditions have to hold, so the cheaper one comes first: every paragraph's
 word pairs are looked up, and those without most of any template's pairs are not scored.
 
+Notices wrapped over several lines are looked for in the word stream of each block of
+lines without a blank one between them (comment marks fall out): where a stretch of at
+most ``SPREAD`` times a template's length holds most of its pairs, the lines it
+touches are scored and confirmed as one paragraph, reported by its first line.
+
 Edge cases: a null or empty text has no paragraph and no licence; an empty table
 gives an empty result; repeated rows each return a row; other columns are ignored.
 """
@@ -37,6 +42,7 @@ SAMPLE_ROWS = 400      # documents whose lines stand for text without a licence
 MAX_TERMS = 10_000
 UNIT_WORDS = 40
 CONTAINED = 0.7
+SPREAD = 2             # a wrapped notice lies within so many times the words of its template
 #: Lines with one of these may be parts of a notice and are no examples of ``none``.
 CUES = ("licen", "copyright", "public domain", "permission", "warrant", "redistribut", "spdx", "creative commons", "cc by", "cc0")
 
@@ -114,6 +120,7 @@ TALK = [
     "Parks are in the public domain of the town.", "The licence plate of the van was missing."]
 _WORD = re.compile(r"[a-z0-9]+")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+")
+_MARK = re.compile(r"^\s*(?:dnl|rem)\s", re.I)   # comment marks that are words
 _DIGIT = re.compile(r"[0-9]")
 _YEARS = re.compile(r"\b(?:19|20)[0-9]{2}\b(?: (?:(?:19|20)[0-9]{2}|present)\b)*")
 _NUMBERS = re.compile(r"\bv?[0-9]+\b(?: v?[0-9]+\b)*")
@@ -140,23 +147,33 @@ def pairs(text: str) -> set[tuple[str, str]]:
     return set(zip(w, w[1:])) or {(x, "") for x in w}
 
 
-def paragraphs(text: str | None) -> list[str]:
-    """Lines with a word; a long line is cut at sentence ends into units of about ``UNIT_WORDS`` words."""
-    out = []
+def blocks(text: str | None) -> list[list[str]]:
+    """Paragraphs: lines with a word, long ones cut at sentence ends into units of about ``UNIT_WORDS`` words; a blank line ends a block."""
+    out: list[list[str]] = [[]]
     for line in (text or "").split("\n"):
         if line.count(" ") < UNIT_WORDS:
             if line.strip():
-                out.append(line)
+                out[-1].append(line)
+            elif out[-1]:
+                out.append([])
+            continue
+        if not line.strip():
+            if out[-1]:
+                out.append([])
             continue
         held: list[str] = []
         for sentence in _SENTENCE.split(line):
             if held and sum(s.count(" ") + 1 for s in held) + sentence.count(" ") >= UNIT_WORDS:
-                out.append(" ".join(held))
+                out[-1].append(" ".join(held))
                 held = []
             held.append(sentence)
         if held:
-            out.append(" ".join(held))
-    return out
+            out[-1].append(" ".join(held))
+    return [b for b in out if b]
+
+
+def paragraphs(text: str | None) -> list[str]:
+    return [unit for block in blocks(text) for unit in block]
 
 
 def has_cue(lower: str) -> bool:
@@ -194,6 +211,7 @@ class Templates:
         for k, found in enumerate(self.pairs):
             for pair in found:
                 self.of.setdefault(pair, []).append(k)
+        self.single = any(b == "" for _, b in self.of)   # a notice of one word
 
     def shares(self, found: set[tuple[str, str]]) -> dict[int, float]:
         """Share of its word pairs that each notice has among ``found``; notices without any are absent."""
@@ -207,6 +225,51 @@ class Templates:
             out[self.families[k]] = max(out.get(self.families[k], 0.0), share)
         return out
 
+    def candidates(self, block: list[str], contained: float = CONTAINED) -> list[tuple[int, int]]:
+        """(first, last) units of the block that hold a share ``contained`` of some notice's pairs: single units, and stretches over several."""
+        tokens = [words(_MARK.sub("", unit)) for unit in block]
+        stream = [w for ws in tokens for w in ws]
+        # a stretch has no more of a notice than the whole block
+        held = set(zip(stream, stream[1:]))
+        if self.single:
+            held |= {(w, "") for w in stream}
+        likely = [k for k, share in self.shares(held).items() if share >= contained]
+        if not likely:
+            return []
+        unit_of = [u for u, ws in enumerate(tokens) for _ in ws]
+        found = {(u, u) for u, unit in enumerate(block) if max(self.confirmed(unit).values(), default=0.0) >= contained}
+        at: dict[tuple[str, str], list[int]] = {}
+        for i, pair in enumerate(zip(stream, stream[1:])):
+            if pair in self.of:
+                at.setdefault(pair, []).append(i)
+        for k in likely:
+            hits = sorted((i, pair) for pair in self.pairs[k] for i in at.get(pair, ()))
+            found.update((unit_of[a], unit_of[b]) for a, b in _stretches(hits, contained * len(self.pairs[k]), SPREAD * (len(self.pairs[k]) + 1)))
+        return sorted(found, key=lambda c: (c[1] - c[0], c))
+
+
+def _stretches(hits: list[tuple[int, tuple[str, str]]], need: float, most: int) -> Iterator[tuple[int, int]]:
+    """(first, last) word of disjoint stretches of at most ``most`` words with ``need`` different pairs, widened by further new pairs."""
+    left, right, inside = 0, 0, Counter()
+    while right < len(hits):
+        i, pair = hits[right]
+        inside[pair] += 1
+        right += 1
+        while hits[left][0] < i + 2 - most or left < right - 1 and inside[hits[left][1]] > 1:
+            inside[hits[left][1]] -= 1
+            if not inside[hits[left][1]]:
+                del inside[hits[left][1]]
+            left += 1
+        if len(inside) < need:
+            continue
+        first, last = hits[left][0], i + 1
+        while right < len(hits) and hits[right][1] not in inside and hits[right][0] + 2 - first <= most:
+            inside[hits[right][1]] += 1
+            last = hits[right][0] + 1
+            right += 1
+        yield first, last
+        left, inside = right, Counter()
+
 
 def _variants() -> Iterator[tuple[str, str]]:
     """(family, text): each notice as it is, among other words, and with other years, names and versions."""
@@ -282,17 +345,20 @@ def scan(docs: DataFrame, model: Model, contained: float = CONTAINED) -> DataFra
             for part in slices(batch):
                 counts, matches = [], []
                 for text in part.column("text").to_pylist():
-                    units = paragraphs(text)
-                    rows = []
-                    for k, unit in enumerate(units):
-                        shares = templates.confirmed(unit)
-                        if max(shares.values(), default=0.0) < contained:
-                            continue
-                        family, p = shared.value.classify(unit)
-                        share = shares.get(family, 0.0)
-                        if share >= contained:
-                            rows.append({"paragraph": k, "family": family, "probability": p, "containment": share})
-                    counts.append(len(units))
+                    rows, before = [], 0
+                    for block in blocks(text):
+                        taken: list[tuple[int, int, str]] = []
+                        for first, last in templates.candidates(block, contained):
+                            unit = " ".join(_MARK.sub("", u) for u in block[first: last + 1])
+                            family, p = shared.value.classify(unit)
+                            share = templates.confirmed(unit).get(family, 0.0)
+                            if share < contained or any(f == family and a <= last and first <= b for a, b, f in taken):
+                                continue
+                            taken.append((first, last, family))
+                            rows.append({"paragraph": before + first, "family": family, "probability": p, "containment": share})
+                        before += len(block)
+                    rows.sort(key=lambda r: (r["paragraph"], r["family"]))
+                    counts.append(before)
                     matches.append(rows)
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(counts, pa.int64()), pa.array(matches, found_type)],
                                                  names=["doc_id", "n_paragraphs", "matches"])

@@ -87,3 +87,32 @@ def test_licence_notices_without_a_cue_word(spark):
     assert licences.words("Copyright (c) 2021 Acme Inc. All rights reserved, v2.0") == "copyright xyear xholder all rights reserved xnumber".split()
     for text in (n for ns in licences.TEMPLATES.values() for n in ns):
         assert licences.words(" ".join(licences.words(text))) == licences.words(text)
+
+
+WRAPPED = {
+    "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights""",
+    "bsd": """// Redistribution and use in source and binary forms, with or without
+// modification, are permitted provided that the following conditions are
+// met:""",
+    "gpl": """ * This program is free software: you can redistribute it and/or modify
+ * it under the terms of the GNU General Public License as published by
+ * the Free Software Foundation, either version 3 of the License, or""",
+    "isc": """dnl Permission to use, copy, modify, and/or distribute this software for any
+dnl purpose with or without fee is hereby granted, provided that the above
+dnl copyright notice and this permission notice appear in all copies.""",
+    "lgpl": """This library is free software; you can redistribute it and/or
+modify it under the terms of the GNU Lesser General Public
+License as published by the Free Software Foundation; either""",
+}
+
+
+def test_wrapped_licence_notices(spark):
+    docs = documents(spark, ODD + [(100 + k, f"some words first\nand more\n\n{n}\n\nand after", "en", "a") for k, n in enumerate(WRAPPED.values())])
+    rows = {r.doc_id: r for r in licences.scan(docs, licences.train(docs)).collect()}
+    assert [[m.family for m in rows[100 + k].matches] for k in range(len(WRAPPED))] == [[f] for f in WRAPPED]
+    assert rows[100].matches[0].paragraph == 2 and rows[100].n_paragraphs == 6
+    halves = WRAPPED["isc"].split("\n")[:2]
+    apart = documents(spark, [(1, f"{halves[0]}\n\n{halves[1]}", "en", "a"), (2, f"{halves[0]}\n{'other words here ' * 12}\n{halves[1]}", "en", "a")])
+    assert all(not r.matches for r in licences.scan(apart, licences.train(docs)).collect())
