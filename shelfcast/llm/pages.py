@@ -99,7 +99,7 @@ def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> bool:
 
 
 def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Blocks of text in page order, and (path, sequence of child labels) of every element."""
+    """Blocks of text in page order, and (path, sequence of child labels) of every element and of the page (path "")."""
     stack = [Element("", "", 0, False, [])]
     blocks: list[Block] = []
     styles: list[tuple[str, str]] = []
@@ -164,7 +164,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             while stack[-1].tag in SAME_LEVEL[tag]:
                 pop()
         up = stack[-1]
-        label = f"{tag}.{names[0]}" if names else tag
+        label = f"{tag}.{names[0]}" if names and tag not in ("html", "body") else tag
         if not up.children or up.children[-1] != label:
             up.children.append(label)
         if tag in VOID:
@@ -176,6 +176,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
     flush()
     while len(stack) > 1:
         pop()
+    if styles or blocks:
+        pop()
     return blocks, styles
 
 
@@ -218,7 +220,7 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, composite) for every node of every host's style tree."""
+    """(host, path, pages, presentation, content, composite) for every node of every host's style tree; its root has the path ""."""
     n, log_n = F.col("n"), F.log("n")
 
     def of(kind: str, x: Column) -> Column:
@@ -229,8 +231,8 @@ def importance(counts: DataFrame) -> DataFrame:
         of("t", log_n).alias("t_log"), of("t", F.lit(1.0)).alias("t_n"))
     own = staged(own, "style-tree")
     parts = F.split("path", "/")
-    up = own.where("t_n > 0").select("host", "t_log", "t_n", F.explode(F.transform(
-        F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))).alias("path"))
+    up = own.where("t_n > 0").select("host", "t_log", "t_n", F.explode(F.array_distinct(F.transform(
+        F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))).alias("path"))
     below = up.groupBy("host", "path").agg(F.sum("t_log").alias("below_log"), F.sum("t_n").alias("below_n"))
     base = F.log(F.greatest("pages", F.lit(2.0)))
     tree = own.join(below, ["host", "path"]).where("pages > 0")
@@ -245,8 +247,8 @@ def importance(counts: DataFrame) -> DataFrame:
 def low_branches(tree: DataFrame) -> DataFrame:
     """(host, low): paths of the branches to remove from the pages of a host; hosts without any are absent."""
     tag = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[^.]*", 0)
-    lively = tree.where("path = 'html/body'").where((F.col("content") >= LIVELY) & (F.col("pages") >= LEAST_PAGES)).select("host")
-    low = tree.where((F.col("composite") < LOW) & (F.col("pages") >= LEAST_PAGES) & ~tag.isin(*sorted(PROSE)))
+    lively = tree.where("path = ''").where((F.col("content") >= LIVELY) & (F.col("pages") >= LEAST_PAGES)).select("host")
+    low = tree.where((F.col("composite") < LOW) & (F.col("pages") >= LEAST_PAGES) & (F.col("path") != "") & ~tag.isin(*sorted(PROSE)))
     return low.join(lively, "host", "left_semi").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
 
 

@@ -211,6 +211,14 @@ def test_style_tree_finds_what_markup_does_not_name(spark):
     assert pages.extract(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("before, after", [('<html><body class="home">', "</body></html>"), ('<html class="no-js"><body id="b">', "</body></html>"),
+                                           ("", ""), ("<div>", "</div>")])
+def test_style_tree_acts_whatever_the_root(spark, before, after):
+    rows = [(k, f"https://h.example/{k}", f'{before}<div class="x9">Join our club today!</div><div class="foo"><p>own {k}</p></div>{after}') for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"own {k}" for k in range(40)}
+
+
 def test_pages_table(spark):
     got = pages.op2_site_style_tree(spark, SF_SMALL)
     rows = got.collect()
