@@ -17,6 +17,12 @@ whatever their entropy; paragraphs, headings and the article itself are never
 judged by entropy, since a paragraph that many pages share is still text.  If a
 page marks its article, only the article's blocks count.
 
+A name is sure if all its parts say noise (``share-buttons``), and a doubtful one if only some
+do (``content-sidebar-wrap``).  Doubtful names count neither inside an article nor
+for paragraphs and headings, and a branch with a high composite importance
+overrules them.  No name or form goes that holds the page's main element or, on a
+page without one, most of the page's text.
+
 The counts are folded per slice of pages before the shuffle; what comes out
 is one row per host, joined back on the host (Spark broadcasts it if it is small).
 
@@ -44,6 +50,8 @@ DECAY = 0.9
 LOW = 0.3           # composite importance under which a branch is noise
 LEAST_PAGES = 10    # hosts with fewer pages are not judged by entropy
 LIVELY = 0.3        # content importance that a host's pages need as a whole
+HIGH = 0.7          # composite importance from which a branch overrules a doubtful name
+DOUBTFUL, SURE = 1, 2
 
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 RAW = set("script style title textarea iframe noembed noframes xmp noscript template svg math".split())
@@ -56,6 +64,11 @@ NOISE_WORDS = set(
     " gdpr notice notices alert sidebar rail aside widget widgets comment comments reply replies disqus respond footer foot header"
     " masthead nav navbar navigation menu menus breadcrumb breadcrumbs share sharing social related recommended newsletter subscribe"
     " subscription signup login popup modal overlay toolbar pagination pager copyright".split())
+#: Parts that only say how a named element is laid out.
+LAYOUT_WORDS = set("area bar block box button buttons container inner item items icons link links list outer panel posts section"
+                   " top bottom left right wrap wrapper".split())
+#: Tags that also wrap whole pages.
+WRAPPERS = {"form", "fieldset"}
 MAIN_NAMES = set("content main-content maincontent article-body articlebody post-content entry-content article post story".split())
 PROSE = set("html body article main p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES_P = set("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main"
@@ -79,29 +92,81 @@ class Element(NamedTuple):
     tag: str
     path: str
     main: int
-    noise: bool
     children: list
+    node: int     # its number in page order; 0 is the page
+
+
+class Node(NamedTuple):
+    up: int
+    path: str
+    tag: str
+    main: bool    # an article or main element
+    noise: int    # what its markup says: 0, DOUBTFUL or SURE
+    fixed: bool   # by a tag or role that is no wrapper
 
 
-def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> bool:
+def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> int:
     if tag in NOISE_TAGS or role in NOISE_ROLES:
-        return True
+        return SURE
     if tag == "header":
-        return not in_main
+        return 0 if in_main else SURE
+    noise = 0
     for name in names:
-        parts = _NAME.split(name)
-        if parts[0] in ("has", "with", "no"):
+        parts = [p for p in _NAME.split(name) if p]
+        if not parts or parts[0] in ("has", "with", "no"):
             continue
         found = NOISE_WORDS.intersection(parts)
-        if found - {"header"} or found and not in_main:
-            return True
-    return False
-
-
-def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
-    """Blocks of text in page order, and (path, sequence of child labels) of every element and of the page (path "")."""
-    stack = [Element("", "", 0, False, [])]
-    blocks: list[Block] = []
+        if not (found - {"header"} or found and not in_main):
+            continue
+        if found.union(LAYOUT_WORDS).issuperset(parts):
+            return SURE
+        if not in_main and tag not in PROSE:
+            noise = DOUBTFUL
+    return noise
+
+
+def noisy(nodes: list[Node], lengths: list[int], high: set[str]) -> list[bool]:
+    """Whether each node goes for what its markup, or that of an element around it, says; ``lengths`` are of the nodes' own texts."""
+    def judged(spared: set[int]) -> list[bool]:
+        out = [False] * len(nodes)
+        for k in range(1, len(nodes)):
+            n = nodes[k]
+            out[k] = out[n.up] or k not in spared and (n.noise == SURE or n.noise == DOUBTFUL and n.path not in high)
+        return out
+
+    def around(k: int) -> set[int]:
+        out = set()
+        while k:
+            out.add(k)
+            k = nodes[k].up
+        return out
+
+    plain = judged(set())
+    if not any(plain):
+        return plain
+    total = list(lengths)
+    for k in range(len(nodes) - 1, 0, -1):
+        total[nodes[k].up] += total[k]
+    # the page's main element: a main one, else the longest article; one in a named element only if it is longer than all other unnamed text
+    mains = [k for k, n in enumerate(nodes) if n.main and n.tag != "article"]
+    if not mains:
+        unnamed = sum(length for length, gone in zip(lengths, plain) if not gone)
+        mains = [k for k, n in enumerate(nodes) if n.main and not n.noise and total[k] and (not plain[k] or total[k] > unnamed)]
+    if mains:
+        return judged(around(max(mains, key=lambda k: total[k])))
+    most = {k for k, n in enumerate(nodes) if n.noise and not n.fixed and 2 * total[k] > total[0]}
+    return judged(most) if most else plain
+
+
+def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tuple[str, str]], set[str]]:
+    """Blocks of text in page order, (path, sequence of child labels) of every element and of the page (path ""), paths of doubtful names.
+
+    ``high`` are the paths whose importance overrules a doubtful name.
+    """
+    stack = [Element("", "", 0, [], 0)]
+    nodes = [Node(0, "", "", False, 0, False)]
+    lengths = [0]
+    texts: list[tuple[int, int, str]] = []   # (node, main, text)
     styles: list[tuple[str, str]] = []
     text: list[str] = []
 
@@ -111,7 +176,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             text.clear()
             if words:
                 top = stack[-1]
-                blocks.append(Block(top.path, " ".join(words), top.main, top.noise))
+                texts.append((top.node, top.main, " ".join(words)))
+                lengths[top.node] += len(texts[-1][2])
 
     def pop() -> None:
         top = stack.pop()
@@ -131,7 +197,7 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         tag = m[2].lower()
         if m[1]:
             if tag not in INLINE or any(e.tag == tag for e in stack[-3:]):
-                flush_needed = tag not in INLINE or stack[-1].noise
+                flush_needed = tag not in INLINE or stack[-1].tag in INLINE
                 if flush_needed:
                     flush()
                 if any(e.tag == tag for e in stack):
@@ -152,7 +218,8 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
         marks = {k.lower(): (a or b or c) for k, a, b, c in _ATTRIBUTE.findall(m[3])} if "=" in m[3] else {}
         names = f"{marks.get('class', '')} {marks.get('id', '')}".lower().split()
         up = stack[-1]
-        noise = names_noise(tag, names, marks.get("role", "").lower(), up.main == 2) if tag not in ("html", "body") else False
+        role = marks.get("role", "").lower()
+        noise = names_noise(tag, names, role, up.main == 2) if tag not in ("html", "body", "main") and role != "main" else 0
         if tag in INLINE and not noise:
             continue
         flush()
@@ -169,21 +236,27 @@ def parse(page: str) -> tuple[list[Block], list[tuple[str, str]]]:
             up.children.append(label)
         if tag in VOID:
             continue
-        main = max(up.main, 2 if tag in ("article", "main") or marks.get("role") == "main" else 1 if MAIN_NAMES.intersection(names) else 0)
-        stack.append(Element(tag, f"{up.path}/{label}".lstrip("/"), main, up.noise or noise, []))
+        is_main = tag in ("article", "main") or role == "main"
+        main = max(up.main, 2 if is_main else 1 if MAIN_NAMES.intersection(names) else 0)
+        stack.append(Element(tag, f"{up.path}/{label}".lstrip("/"), main, [], len(nodes)))
+        nodes.append(Node(up.node, stack[-1].path, tag, is_main, noise,
+                          tag in NOISE_TAGS - WRAPPERS or tag == "header" or role in NOISE_ROLES - WRAPPERS))
+        lengths.append(0)
         if m[3].endswith("/>") and tag not in ("p", "div", "article", "section", "body", "html", "main"):
             pop()
     flush()
     while len(stack) > 1:
         pop()
-    if styles or blocks:
+    if styles or texts:
         pop()
-    return blocks, styles
+    gone = noisy(nodes, lengths, high)
+    blocks = [Block(nodes[k].path, text, main, gone[k]) for k, main, text in texts]
+    return blocks, styles, {n.path for n in nodes if n.noise == DOUBTFUL}
 
 
-def main_text(page: str | None, low: set[str]) -> str:
-    """Text of a page without noise and without the branches in ``low``."""
-    blocks, _ = parse(page or "")
+def main_text(page: str | None, low: set[str], high: set[str] = frozenset()) -> str:
+    """Text of a page without noise and without the branches in ``low``; those in ``high`` overrule doubtful names."""
+    blocks, _, _ = parse(page or "", high)
     kept = [b for b in blocks if not b.noise]
     if low:
         kept = [b for b in kept if not any(b.path == p or b.path.startswith(f"{p}/") for p in low)]
@@ -197,7 +270,7 @@ def host(url: Column) -> Column:
 
 
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): pages of the host on which a node has a style (s), a content (t), or is at all (m)."""
+    """(host, path, kind, feature, n): pages of the host on which a node has a style (s), a content (t), a doubtful name (d), or is at all (m)."""
     source = pages.select(host(F.col("url")).alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -205,9 +278,10 @@ def style_counts(pages: DataFrame) -> DataFrame:
             for part in slices(batch, "html"):
                 counts: Counter = Counter()
                 for where, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    blocks, styles = parse(page or "")
+                    blocks, styles, doubtful = parse(page or "")
                     seen = {(where, p, "s", crc32(s.encode())) for p, s in styles}
                     seen |= {(where, p, "m", 0) for p, _ in styles}
+                    seen |= {(where, p, "d", 0) for p in doubtful}
                     seen |= {(where, b.path, "t", crc32(b.text.encode()) | len(b.text) << 32) for b in blocks}
                     counts.update(seen)
                 keys = list(counts)
@@ -220,14 +294,14 @@ def style_counts(pages: DataFrame) -> DataFrame:
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, composite) for every node of every host's style tree; its root has the path ""."""
+    """(host, path, pages, doubtful, presentation, content, composite) for every node of every host's style tree; its root has the path ""."""
     n, log_n = F.col("n"), F.log("n")
 
     def of(kind: str, x: Column) -> Column:
         return F.sum(F.when(F.col("kind") == kind, x).otherwise(F.lit(0.0)))
 
     own = counts.groupBy("host", "path").agg(
-        of("m", n).alias("pages"), of("s", n).alias("s_n"), of("s", n * log_n).alias("s_nlog"), of("s", F.lit(1.0)).alias("styles"),
+        of("m", n).alias("pages"), of("d", n).alias("doubtful"), of("s", n).alias("s_n"), of("s", n * log_n).alias("s_nlog"), of("s", F.lit(1.0)).alias("styles"),
         of("t", log_n).alias("t_log"), of("t", F.lit(1.0)).alias("t_n"))
     own = staged(own, "style-tree")
     parts = F.split("path", "/")
@@ -240,29 +314,36 @@ def importance(counts: DataFrame) -> DataFrame:
     presentation = F.least(F.lit(1.0), (F.log("s_n") - F.col("s_nlog") / F.col("s_n")) / base)
     tree = tree.withColumn("content", content).withColumn("presentation", presentation)
     weight = F.pow(F.lit(DECAY), "styles")
-    return tree.select("host", "path", "pages", "presentation", "content",
+    return tree.select("host", "path", "pages", "doubtful", "presentation", "content",
                        ((1 - weight) * F.col("presentation") + weight * F.col("content")).alias("composite"))
 
 
 def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, low): paths of the branches to remove from the pages of a host; hosts without any are absent."""
+    """(host, low, high): paths of the branches to remove from the pages of a host, and of those that overrule doubtful names."""
     tag = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[^.]*", 0)
-    lively = tree.where("path = ''").where((F.col("content") >= LIVELY) & (F.col("pages") >= LEAST_PAGES)).select("host")
-    low = tree.where((F.col("composite") < LOW) & (F.col("pages") >= LEAST_PAGES) & (F.col("path") != "") & ~tag.isin(*sorted(PROSE)))
-    return low.join(lively, "host", "left_semi").groupBy("host").agg(F.sort_array(F.collect_list("path")).alias("low"))
+    is_low = (F.col("composite") < LOW) & (F.col("path") != "") & ~tag.isin(*sorted(PROSE))
+    is_high = (F.col("doubtful") > 0) & (F.col("composite") >= HIGH)
+    root = F.col("path") == ""
+    hosts = tree.where(F.col("pages") >= LEAST_PAGES).where(root | is_low | is_high).groupBy("host").agg(
+        F.max(F.when(root, F.col("content"))).alias("content"),
+        F.sort_array(F.collect_list(F.when(is_low, F.col("path")))).alias("low"),
+        F.sort_array(F.collect_list(F.when(is_high, F.col("path")))).alias("high"))
+    low = F.when(F.col("content") >= LIVELY, F.col("low")).otherwise(F.array().cast("array<string>"))
+    return hosts.select("host", low.alias("low"), "high").where("size(low) > 0 or size(high) > 0")
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages``."""
     rules = staged(low_branches(importance(style_counts(pages))), "low-branches").withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
-    rows = rows.join(rules, rows["host"] == rules["_host"], "left").select("page_id", "url", "html", "low")
+    rows = rows.join(rules, rows["host"] == rules["_host"], "left").select("page_id", "url", "html", "low", "high")
     kind = pages.schema["page_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                texts = [main_text(page, set(low or ())) for page, low in zip(part.column("html").to_pylist(), part.column("low").to_pylist())]
+                texts = [main_text(page, set(low or ()), set(high or ())) for page, low, high in
+                         zip(*(part.column(c).to_pylist() for c in ("html", "low", "high")))]
                 yield pa.RecordBatch.from_arrays([part.column("page_id"), part.column("url"), pa.array(texts, pa.string())],
                                                  names=["page_id", "url", "text"])
 

@@ -219,6 +219,25 @@ def test_style_tree_acts_whatever_the_root(spark, before, after):
     assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"own {k}" for k in range(40)}
 
 
+def test_names_do_not_cut_the_main_text():
+    text = lambda html: pages.main_text(html, set())
+    assert text('<div class="content-sidebar-wrap"><main><p>Main text.</p></main><div class="sidebar">x</div></div>') == "Main text."
+    assert text('<form><div class="menu">m</div><article><p>A text that is longer.</p></article></form>') == "A text that is longer."
+    assert text('<form id="aspnetForm"><p>Most of the text of this page.</p></form><p>rest</p>') == "Most of the text of this page.\n\nrest"
+    assert text('<article><h2 id="related-work">Related</h2><section id="social-history"><p>Past</p></section><p class="notice-period">Term</p>'
+                '<div class="share-buttons">Share</div><section id="comments"><p>No, a comment that is longer than all else</p></section></article>'
+                ) == "Related\n\nPast\n\nTerm"
+    assert text('<div><h2 id="related-work">Work</h2><p class="notice-period">Term of notice</p></div>') == "Work\n\nTerm of notice"
+    assert text('<p>A body that is long enough.</p><aside><article>teaser</article></aside><div class="promo-of-day">buy</div>') == "A body that is long enough."
+
+
+def test_high_importance_overrules_a_doubtful_name(spark):
+    rows = [(k, f"https://h.example/{k}", f'<body><div class="notice-text"><p>own {k}</p></div><div class="promo-of-day">Buy now</div>'
+             f'<div class="menu">entry {k}</div><p>Some longer text of page {k}, not named.</p></body>') for k in range(40)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"own {k}\n\nSome longer text of page {k}, not named." for k in range(40)}
+
+
 def test_pages_table(spark):
     got = pages.op2_site_style_tree(spark, SF_SMALL)
     rows = got.collect()
