@@ -525,22 +525,22 @@ def q_respond(spark, sf):
 _TRAINED: dict = {}
 
 
-def _trained(spark, sf):
-    """Seven untuned GBT models (the original ``tune=False`` settings) on the
-    full training frame.  They are saved under the checkpoint folder, keyed
+def _trained(spark, sf, tune=False):
+    """Seven GBT models on the full training frame, untuned (the original ``tune=False``
+    settings) or by the full grid.  They are saved under the checkpoint folder, keyed
     by the state of the input tables, and shared by the model queries of one application."""
     from shelfcast.plans.models import evaluate_models, load_models, models_present, train_models
     from shelfcast.session import ensure_checkpoint_dir
     from shelfcast.sources.testdata import input_stamp
     stamp = input_stamp(spark, sf)
-    key = (spark.sparkContext.applicationId, stamp)
+    key = (spark.sparkContext.applicationId, stamp, tune)
     if key not in _TRAINED:
-        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-models/{stamp}"
+        path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/shelfcast-models{'-tuned' if tune else ''}/{stamp}"
         tf = training_frame(sales_view(spark, sf))
         if models_present(path):
             _TRAINED[key] = evaluate_models(tf, load_models(path))
         else:
-            _TRAINED[key] = train_models(tf, path=path, tune=False)
+            _TRAINED[key] = train_models(tf, path=path, tune=tune)
     return _TRAINED[key]
 
 
@@ -576,3 +576,12 @@ def q_sample_forecast(spark, sf):
     from shelfcast.plans.models import sample_forecast
     res = _trained(spark, sf)
     return sample_forecast(res["split"], res["models"])
+
+
+def q_tuned_models(spark, sf):
+    """M2/M4: the full 16-point, 3-fold grid for all seven horizons; RMSE/MAE/SMAPE per horizon and split."""
+    return _trained(spark, sf, tune=True)["metrics"]
+
+
+#: Queries that train for long; registered, but apart from those that are planned one by one.
+LONG_QUERIES = {"tuned_models": q_tuned_models}

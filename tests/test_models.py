@@ -66,3 +66,40 @@ def test_linear_regressor_in_the_slot_matches_closed_form(spark):
         os.remove(os.path.join(path, "horizon=3", "metadata", f))
     with pytest.raises(Exception):
         load_models(path)       # there, but unreadable
+
+
+def test_tree_counts_share_a_fit(spark):
+    """The same metrics and choice as CrossValidator, which fits every grid point."""
+    from pyspark.ml import Pipeline
+    from pyspark.ml.evaluation import RegressionEvaluator
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
+    from shelfcast.plans.models import fit_horizon, regressor, tree_count_metrics
+    rows = spark.range(300).selectExpr("cast(id % 3 as int) fold", "double(id % 17) x", "double((id * 7) % 23) y", "double((id % 17) * 2 + (id * 7) % 23 % 5) demand_t1").cache()
+    grid = {"maxIter": [2, 4], "maxDepth": [2], "subsamplingRate": [0.8, 1.0]}
+    reg = regressor("demand_t1")
+    pipe = Pipeline(stages=[VectorAssembler(inputCols=["x", "y"], outputCol="features"), reg])
+    b = ParamGridBuilder()
+    for name, values in grid.items():
+        b = b.addGrid(reg.getParam(name), values)
+    cv = CrossValidator(estimator=pipe, estimatorParamMaps=b.build(), evaluator=RegressionEvaluator(metricName="rmse", labelCol="demand_t1"), foldCol="fold").fit(rows)
+    want = {tuple((p.name, v) for p, v in m.items()): x for m, x in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)}
+    got = tree_count_metrics(rows, pipe, "demand_t1", grid, 2)
+    assert {frozenset(k) for k in got} == {frozenset(k) for k in want}
+    for k, x in want.items():
+        assert abs(next(v for g, v in got.items() if set(g) == set(k)) - x) < 1e-9
+    best = fit_horizon(rows, 1, True, ("x", "y"), grid).stages[-1]
+    trees = lambda m: m.toDebugString.split("\n", 1)[1]
+    assert trees(best) == trees(cv.bestModel.stages[-1])
+
+
+def test_tuned_models_is_registered_with_the_full_grid(spark, monkeypatch):
+    import __spark_entry__
+    from shelfcast import catalog
+    from shelfcast.plans import models
+    seen = []
+    monkeypatch.setattr(models, "train_models", lambda tf, **k: seen.append(k) or {"metrics": tf.limit(0)})
+    monkeypatch.setattr(catalog, "_TRAINED", {})
+    __spark_entry__.queries()["tuned_models"](spark, SF_SMALL)
+    assert seen[0]["tune"] is True and "grid" not in seen[0] and models.GRID == dict(
+        maxIter=[100, 150], maxDepth=[4, 6], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0])
