@@ -31,8 +31,8 @@ from shelfcast.llm.common import fold, fresh, map_arrow, read_table, slices, sta
 
 UNKNOWN = "und"
 TRAIN_ROWS = 10_000
-MAX_WORDS = 100_000
-MAX_GRAMS = 60_000
+MAX_WORDS = 200_000
+MAX_GRAMS = 100_000
 LONGEST, SHORTEST = 5, 1
 CACHE = 100_000
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -64,12 +64,24 @@ class Model:
     scores: np.ndarray
 
 
+def shares(counts: dict[str, int], rows: int) -> dict[str, float]:
+    """Rows to take per language, ``rows`` together: all of the small ones, the others an equal number."""
+    out: dict[str, float] = {}
+    left = float(rows)
+    for k, lang in enumerate(sorted(counts, key=lambda x: (counts[x], x))):
+        out[lang] = min(float(counts[lang]), left / (len(counts) - k))
+        left -= out[lang]
+    return out
+
+
 def training_rows(docs: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(lang, text) of a bounded sample of the labelled rows outside fold 0."""
+    """(lang, text) of a bounded sample of the labelled rows outside fold 0, in which every language has its share."""
     labelled = docs.where((fold(F.col("doc_id")) != 0) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    total = labelled.select("doc_id", "lang").count()
-    if total > rows:
-        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < int(rows / total * (1 << 30)))
+    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    cut = {lang: int(n / counts[lang] * (1 << 30)) for lang, n in shares(counts, rows).items() if n < counts[lang]}
+    if cut:
+        most = F.create_map(*[F.lit(x) for pair in cut.items() for x in pair])
+        labelled = labelled.where(F.pmod(F.xxhash64(F.lit("language"), "doc_id"), F.lit(1 << 30)) < F.coalesce(most[F.col("lang")], F.lit(1 << 30)))
     return labelled.select("lang", "text")
 
 
@@ -96,8 +108,17 @@ def train(docs: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     entries = staged(counted.groupBy("kind", "entry", "lang").agg(F.sum("n").alias("n"))
                .groupBy("kind", "entry").agg(F.sum("n").alias("total"), F.collect_list(F.struct("lang", "n")).alias("by"))
                .where("total > 1"), "language-counts")
-    top = {kind: entries.where(F.col("kind") == kind).orderBy(F.desc("total"), "entry").limit(most).select("entry", "by").toArrow()
-           for kind, most in (("w", MAX_WORDS), ("g", MAX_GRAMS))}
+    # an entry counts by its largest share of any language's entries, so a language with few rows keeps its frequent ones as well
+    totals = {(r["kind"], r["lang"]): r["n"] for r in entries.select("kind", F.explode("by").alias("x"))
+              .groupBy("kind", "x.lang").agg(F.sum("x.n").alias("n")).collect()}
+    top = {}
+    for kind, most in (("w", MAX_WORDS), ("g", MAX_GRAMS)):
+        of = [F.lit(x) for (k, lang), n in totals.items() if k == kind for x in (lang, float(n))]
+        found = entries.where(F.col("kind") == kind)
+        if of:
+            share = F.array_max(F.transform("by", lambda x: x["n"] / F.create_map(*of)[x["lang"]]))
+            found = found.orderBy(share.desc(), F.desc("total"), "entry").limit(most)
+        top[kind] = found.select("entry", "by").toArrow()
     return _model(top["w"], top["g"])
 
 

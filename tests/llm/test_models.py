@@ -30,6 +30,21 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language.predict(docs, empty).collect()} == {"und"}
 
 
+def test_small_languages_keep_their_share(spark, monkeypatch):
+    rows = [(i, " ".join(f"{a}{b}common" for a in "abcdefgh" for b in "klmno"), "en", "s") for i in range(800)]
+    rows += [(1000 + i, "zhuvro plimka zhuvro", "xx", "s") for i in range(8)]
+    docs = documents(spark, rows)
+    taken = language.training_rows(docs, rows=100).groupBy("lang").count().collect()
+    small = docs.where((fold(F.col("doc_id")) != 0) & (F.col("lang") == "xx")).count()
+    assert small and dict(map(tuple, taken))["xx"] == small and 50 < dict(map(tuple, taken))["en"] < 150
+    assert language.shares({"a": 3, "b": 500, "c": 90}, 100) == {"a": 3, "b": 48.5, "c": 48.5}
+    monkeypatch.setattr(language, "MAX_WORDS", 20)
+    monkeypatch.setattr(language, "MAX_GRAMS", 20)
+    model = language.train(docs, rows=100)
+    assert len(model.words) == 20 and {"zhuvro", "plimka"} <= set(model.words)
+    assert language.predict(documents(spark, [(1, "plimka", None, None)]), model).first().lang_pred == "xx"
+
+
 def test_language_backs_off_to_shorter_grams(spark):
     rows = [(i, t, lang, "s") for i, (t, lang) in enumerate([("hello world winter", "en"), ("bonjour monde hiver", "fr")] * 30)]
     model = language.train(documents(spark, rows))
