@@ -408,6 +408,29 @@ SELECT *, n // 3 + CASE WHEN n % 3 > 0 THEN 1 ELSE 0 END AS s0,
           n // 3 + CASE WHEN n % 3 > 1 THEN 1 ELSE 0 END AS s1 FROM tr"""), body=f"""
 SELECT {KEYS}, CASE WHEN r <= s0 THEN 0 WHEN r <= s0 + s1 THEN 1 ELSE 2 END AS fold FROM fs""")
 
+UNTIED = ("u", """
+SELECT CASE WHEN l_orderkey % 97 <> 0 THEN CAST(date_trunc('quarter', CAST(l_shipdate AS DATE)) AS DATE) END AS date,
+       CASE WHEN l_orderkey % 89 <> 0 THEN printf('P%06d', l_partkey % 10) END AS product_id,
+       printf('S%04d', l_suppkey % 3) AS store_id,
+       CASE WHEN l_linenumber > 1 THEN CAST(floor(l_quantity / 10) AS DOUBLE) END AS units_sold
+FROM lineitem""")
+U_ORD = "date NULLS FIRST, product_id NULLS FIRST, store_id NULLS FIRST, units_sold NULLS FIRST"
+U_RANK = ("ur", f"SELECT *, row_number() OVER (ORDER BY {U_ORD}) AS r, count(*) OVER () AS n FROM u")
+Q["time_split_untied"] = q(UNTIED, U_RANK, body="""
+SELECT date, product_id, store_id, units_sold,
+       CASE WHEN r <= floor(n * (CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE))) THEN 'train' ELSE 'val' END AS split FROM ur""")
+Q["cv_folds_untied"] = q(UNTIED, U_RANK, body="""
+SELECT date, product_id, store_id, units_sold,
+       CASE WHEN r <= n // 3 + CAST(n % 3 > 0 AS INT) THEN 0 WHEN r <= 2 * (n // 3) + CAST(least(n % 3, 2) AS INT) THEN 1 ELSE 2 END AS fold
+FROM ur""")
+_uw = "OVER (PARTITION BY product_id ORDER BY date NULLS FIRST, store_id NULLS FIRST, units_sold NULLS FIRST)"
+_um = "(PARTITION BY product_id ORDER BY date NULLS FIRST, store_id NULLS FIRST, units_sold NULLS FIRST ROWS BETWEEN 7 PRECEDING AND 1 PRECEDING)"
+Q["untied_features"] = q(UNTIED, body=f"""
+SELECT date, product_id, store_id, units_sold, row_number() {_uw} AS pos, count(*) OVER (PARTITION BY product_id) AS n_rows,
+       lag(units_sold, 1) {_uw} AS lag_1, lag(units_sold, 30) {_uw} AS lag_30, avg(units_sold) OVER {_um} AS rolling_mean_7,
+       lead(units_sold, 1) {_uw} AS demand_t1, lead(units_sold, 7) {_uw} AS demand_t7
+FROM u WHERE product_id IS NOT NULL""")
+
 _preds = " UNION ALL ".join(
     f"SELECT {i} AS horizon, split, CAST(demand_t{i} AS DOUBLE) AS y, "
     f"CAST(coalesce(rolling_mean_7, CAST(0 AS DOUBLE)) AS DOUBLE) AS prediction FROM sp" for i in range(1, 8))

@@ -24,10 +24,10 @@ from shelfcast.operators import profile as prof
 from shelfcast.operators.features import (LAG_COLS, MEAN_COLS, STD_COLS, feature_frame,
                                           model_input, serving_features, training_frame)
 from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
-from shelfcast.operators.split import contiguous_folds, time_split
+from shelfcast.operators.split import contiguous_folds, labelled, order_keys, split_bounds, time_split
 from shelfcast.plans.decisions import constant_forecast, plan_and_alerts, realised_forecast
 from shelfcast.schema import FEATURES_V1, TARGETS
-from shelfcast.sources import messages_view, sales_view
+from shelfcast.sources import messages_view, sales_view, untied_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ("product_id", "date", "src_order", "src_line")
@@ -233,8 +233,8 @@ def q_forecast_clamp(spark, sf):
 
 # ------------------------------------------------------------ split / eval
 def _split_frame(spark, sf):
-    tf = training_frame(sales_view(spark, sf)).persist()
-    return time_split(tf, 0.2)
+    tf = training_frame(sales_view(spark, sf))
+    return time_split(tf, 0.2, keys=order_keys(tf))
 
 
 @query("time_split")
@@ -245,8 +245,33 @@ def q_time_split(spark, sf):
 @query("cv_folds")
 def q_cv_folds(spark, sf):
     """M2 folds: three contiguous blocks of the time-ordered training rows."""
-    tr = _split_frame(spark, sf).where(F.col("split") == "train").persist()
-    return contiguous_folds(tr, 3).select(*KEYS, "fold")
+    tf = training_frame(sales_view(spark, sf))
+    keys = order_keys(tf)
+    cut = split_bounds(keys, 0.2)
+    train, train_keys = (labelled(x, cut, "split").where(F.col("split") == 0).drop("split") for x in (tf, keys))
+    return contiguous_folds(train, 3, keys=train_keys).select(*KEYS, "fold")
+
+
+UNTIED = ("date", "product_id", "store_id", "units_sold")
+
+
+@query("time_split_untied")
+def q_time_split_untied(spark, sf):
+    """O5 on a table without tie-breakers, with missing dates and products and many equal rows."""
+    return time_split(untied_view(spark, sf), 0.2).select(*UNTIED, "split")
+
+
+@query("cv_folds_untied")
+def q_cv_folds_untied(spark, sf):
+    """M2 folds on the same table: equal rows at a cut are divided by their number."""
+    return contiguous_folds(untied_view(spark, sf), 3).select(*UNTIED, "fold")
+
+
+@query("untied_features")
+def q_untied_features(spark, sf):
+    """W1, W2, W4 on the same table: string and floating-point tie-breakers, missing dates first."""
+    out = feature_frame(untied_view(spark, sf), stds=False, calendar=False)
+    return out.select(*UNTIED, "pos", "n_rows", "lag_1", "lag_30", "rolling_mean_7", TARGETS[0], TARGETS[6])
 
 
 def _baseline():

@@ -7,11 +7,15 @@ sends every row of a product to one task; with one hot product holding a
 third of all rows that task would hold a third of the table.  The plan here
 never materialises a whole product in one task:
 
-1. ``with_positions``: rows per (product, day, range of the first tie-breaker)
-   are counted with a partial aggregate.  Running sums over these counts, first
-   within a day, then over a product's days, give every range its
-   starting offset; rows are ranked within their range only, so neither a hot
-   product nor its busiest day is ranked in one task.  The day is carried as a
+1. ``with_positions``: rows per (product, day) are counted with a partial
+   aggregate.  A day of one product with more than ``day_rows`` rows is cut
+   into ranges by keys sampled from it (any type of tie-breaker, skewed or not);
+   the rows of each range are counted too.  Running sums over these counts, within
+   a day, then over a product's days, give every range its starting offset; rows
+   are ranked within their range only, so neither a hot product nor its busiest
+   day is ranked in one task (rows equal in every order column share a range).
+   Where no day is that large, the ranges cost nothing: the sample is joined
+   to an empty list of days.  The day is carried as a
    number with a value for a missing date (which sorts first), so the rows of
    a missing date join their offsets like any other.  The big side is exchanged
    once: the ranking and the join to the offsets share the keys.
@@ -28,41 +32,76 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from shelfcast.sources.sales import order_columns
 
 DEFAULT_CHUNK_ROWS = 1_000_000
 
 
-TIE_RANGE_BITS = 16     # values of the first tie-breaker that are ranked together: 65,536
+DAY_ROWS = 1_000_000    # rows of one product's day that are ranked together
+RANGES_PER_DAY_ROWS = 16    # sampled keys per ``DAY_ROWS`` rows of a larger day
+SEARCH_STEPS = 31       # halvings, enough for any array
 
 
-def _tie_range(sales: DataFrame, ties: list[str]) -> Column:
-    """Order-preserving range number of the first tie-breaker (one range if it is no integer)."""
-    if ties and isinstance(sales.schema[ties[0]].dataType, T.IntegralType):
-        return F.coalesce(F.shiftright(F.col(ties[0]).cast("long"), TIE_RANGE_BITS), F.lit(-(2**63)).cast("long"))
-    return F.lit(0).cast("long")
+def _range_of(cuts: Column, key: Column) -> Column:
+    """How many of the sorted ``cuts`` lie below ``key``, by binary search."""
+    def halve(at, _):
+        mid = F.floor((at["low"] + at["high"]) / 2).cast("int")
+        open_ = at["low"] < at["high"]
+        under = open_ & (F.get(cuts, mid) < key)
+        return F.struct(F.when(under, mid + 1).otherwise(at["low"]).alias("low"),
+                        F.when(open_ & ~under, mid).otherwise(at["high"]).alias("high"))
 
+    ends = F.struct(F.lit(0).alias("low"), F.size(cuts).alias("high"))
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(SEARCH_STEPS)), ends, halve, lambda at: at["low"])
+    return F.when(cuts.isNull(), F.lit(0)).otherwise(found)
 
-def with_positions(sales: DataFrame, order: list[str] | None = None) -> DataFrame:
-    """Add ``pos`` (1-based, by ``order``, missing values first) and ``n_rows`` within each product."""
+
+AT_DAY, AT_RANGE = ("product_id", "_day"), ("product_id", "_day", "_range")
+
+
+def _cuts_of_days(rows: DataFrame, ties: list[str], day_rows: int, number: Column) -> tuple[DataFrame, DataFrame]:
+    """(rows and numbered rows per product and day, sorted cuts of the days with over ``day_rows`` rows).
+
+    Each such day has over ``day_rows`` rows, so there are at most (rows / ``day_rows``) of them, with about 16 cuts for
+    each ``day_rows`` rows: both lists are broadcast.
+    """
+    per_day = rows.groupBy(*AT_DAY).agg(F.count(F.lit(1)).alias("_rows"), F.sum(number).alias("_n"))
+    hot = F.broadcast(per_day.where(F.col("_rows") > day_rows).select(*AT_DAY))
+    sampled = rows.where(F.pmod(F.xxhash64(*ties), F.lit(max(day_rows // RANGES_PER_DAY_ROWS, 1))) == 0)
+    cuts = sampled.join(hot, list(AT_DAY), "left_semi").groupBy(*AT_DAY).agg(F.sort_array(F.collect_set(F.struct(*ties))).alias("_cuts"))
+    return per_day, F.broadcast(cuts)
+
+
+def with_positions(sales: DataFrame, order: list[str] | None = None, day_rows: int = DAY_ROWS, counted: Column | None = None) -> DataFrame:
+    """Add ``pos`` (1-based, by ``order``, missing values first) and ``n_rows`` within each product.
+
+    ``day_rows`` bounds the rows that one task ranks and changes no position.  With ``counted`` only the rows
+    where it holds have a number; any other gets that of the last such row before it (0: none).  Rows without a product
+    belong to no sequence and are left out.
+    """
     order = order or order_columns(sales)
     day, ties = order[0], order[1:]
-    rows = sales.select("*", F.coalesce(F.datediff(day, F.lit("1970-01-01")), F.lit(-(2**31))).alias("_day"),
-                        _tie_range(sales, ties).alias("_range"))
+    rows = sales.where(F.col("product_id").isNotNull()).select(
+        "*", F.coalesce(F.datediff(day, F.lit("1970-01-01")), F.lit(-(2**31))).alias("_day"))
+    number = F.lit(1) if counted is None else counted.cast("int")
     before = (Window.unboundedPreceding, -1)
-    counts = rows.groupBy("product_id", "_day", "_range").agg(F.count(F.lit(1)).alias("_n"))
-    in_day = Window.partitionBy("product_id", "_day").orderBy("_range").rowsBetween(*before)
-    ranges = counts.select("product_id", "_day", "_range", F.coalesce(F.sum("_n").over(in_day), F.lit(0)).alias("_in_day"))
+
+    per_day, cuts = _cuts_of_days(rows, ties, day_rows, number)
+    ranged = rows.join(cuts, list(AT_DAY), "left").withColumn("_range", _range_of(F.col("_cuts"), F.struct(*ties))).drop("_cuts")
+    hot_ranges = (rows.join(cuts, list(AT_DAY)).groupBy(*AT_DAY, _range_of(F.col("_cuts"), F.struct(*ties)).alias("_range"))
+                  .agg(F.sum(number).alias("_n")))
+
+    in_day = Window.partitionBy(*AT_DAY).orderBy("_range").rowsBetween(*before)
+    ranges = hot_ranges.select(*AT_RANGE, F.coalesce(F.sum("_n").over(in_day), F.lit(0)).alias("_in_day"))
     of_days = Window.partitionBy("product_id").orderBy("_day").rowsBetween(*before)
-    days = (counts.groupBy("product_id", "_day").agg(F.sum("_n").alias("_n"))
-            .select("product_id", "_day", F.coalesce(F.sum("_n").over(of_days), F.lit(0)).alias("_earlier"),
-                    F.sum("_n").over(Window.partitionBy("product_id")).alias("n_rows")))
-    offsets = ranges.join(days, ["product_id", "_day"])
-    in_range = Window.partitionBy("product_id", "_day", "_range").orderBy(*(ties or [day]))
-    ranked = rows.withColumn("_rank", F.row_number().over(in_range))
-    return (ranked.join(offsets, ["product_id", "_day", "_range"])
+    days = per_day.select(*AT_DAY, F.coalesce(F.sum("_n").over(of_days), F.lit(0)).alias("_earlier"),
+                          F.sum("_n").over(Window.partitionBy("product_id")).alias("n_rows"))
+    offsets = days.join(F.broadcast(ranges), list(AT_DAY), "left").select(
+        *AT_DAY, "_earlier", "n_rows", F.coalesce("_range", F.lit(0)).alias("_range"), F.coalesce("_in_day", F.lit(0)).alias("_in_day"))
+    in_range = Window.partitionBy(*AT_RANGE).orderBy(*(ties or [day]))
+    rank = F.row_number().over(in_range) if counted is None else F.sum(number).over(in_range.rowsBetween(Window.unboundedPreceding, 0))
+    return (ranged.withColumn("_rank", rank).join(offsets, list(AT_RANGE))
             .select(*sales.columns, (F.col("_earlier") + F.col("_in_day") + F.col("_rank")).cast("long").alias("pos"), "n_rows"))
 
 

@@ -1,4 +1,4 @@
 """Scans and sinks: sales table (CSV/Parquet), test-table views, context JSON."""
 
 from shelfcast.sources.sales import read_sales, normalise_sales, order_columns  # noqa: F401
-from shelfcast.sources.testdata import load_table, materialize_sales, messages_view, sales_view  # noqa: F401
+from shelfcast.sources.testdata import load_table, materialize_sales, messages_view, sales_view, untied_view  # noqa: F401

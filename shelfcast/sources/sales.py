@@ -82,6 +82,10 @@ def normalise_sales(df: DataFrame) -> DataFrame:
 
 
 def order_columns(df: DataFrame) -> list[str]:
-    """Total order inside one product: date, then the available tie-breakers."""
-    tb = [c for c in TIE_BREAKERS if c in df.columns]
-    return ["date", *(tb if tb else ["store_id"])]
+    """Total order inside one product: date, then the tie-breakers; a table without any is ordered by its other columns,
+    store first, so only rows that are equal throughout are left in no order."""
+    ties = [c for c in TIE_BREAKERS if c in df.columns]
+    if ties:
+        return ["date", *ties]
+    known = [f.name for f in SALES if f.name in df.columns and f.name not in ("date", "product_id")]
+    return ["date", *known, *sorted(c for c in df.columns if c not in SALES.fieldNames())]

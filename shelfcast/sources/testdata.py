@@ -116,6 +116,20 @@ def build_sales_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     return normalise_sales(sales)
 
 
+def untied_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sales as a plain file gives them: no tie-breakers, dates and products missing in places, many equal rows.
+
+    Ten products, quarters and rounded values make the rows; every 97th order lacks its date, every 89th its product.
+    """
+    li = load_table(spark, sf_dir, "lineitem")
+    order = F.col("l_orderkey")
+    return normalise_sales(li.select(
+        F.when(order % 97 != 0, F.trunc(F.col("l_shipdate").cast("date"), "quarter")).alias("date"),
+        F.when(order % 89 != 0, product_key(F.col("l_partkey") % 10)).alias("product_id"),
+        store_key(F.col("l_suppkey") % 3).alias("store_id"),
+        F.when(F.col("l_linenumber") > 1, F.floor(F.col("l_quantity") / 10).cast("double")).alias("units_sold")))
+
+
 # Question text per event type of the messages view.
 MESSAGE_TEXT = {
     "purchase": "Do I need to reorder? How much?",

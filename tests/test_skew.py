@@ -48,3 +48,36 @@ def test_missing_dates_units_and_a_hot_day(spark):
     want = df.select("*", F.row_number().over(plain).cast("long").alias("pos"), F.lag("units_sold", 7).over(plain).alias("lag_7"))
     got = feature_frame(df, chunk_rows=97, calendar=False)
     assert sorted(map(str, got.select(cols).collect())) == sorted(map(str, want.select(cols).collect()))
+
+
+def test_a_busy_day_is_cut_by_sampled_keys(spark):
+    """Any splitter count gives the same rows, and no range of a day with most rows is over the stated size, for string and skewed keys."""
+    import datetime as dt
+    import random
+    from shelfcast.operators import sequence
+    rnd = random.Random(5)
+    day = dt.date(2024, 5, 1)
+    rows = [(day if rnd.random() < .8 else day + dt.timedelta(days=rnd.randint(1, 9)), rnd.choice(["A"] * 5 + ["B"]),
+             f"S{int(rnd.expovariate(0.004)):06d}", float(rnd.randint(0, 10**6))) for _ in range(6000)]
+    df = spark.createDataFrame(rows, "date date, product_id string, store_id string, units_sold double")
+    plain = Window.partitionBy("product_id").orderBy("date", "store_id", "units_sold")
+    want = sorted(map(str, df.withColumn("pos", F.row_number().over(plain).cast("long")).collect()))
+    for day_rows in (10**6, 2000, 300, 40):
+        got = sequence.with_positions(df, day_rows=day_rows)
+        assert sorted(map(str, got.drop("n_rows").collect())) == want
+        marked = df.withColumn("_day", F.datediff("date", F.lit("1970-01-01")))
+        ties = ["store_id", "units_sold"]
+        _, cuts = sequence._cuts_of_days(marked, ties, day_rows, F.lit(1))
+        ranges = marked.join(cuts, list(sequence.AT_DAY), "left").groupBy(*sequence.AT_DAY, sequence._range_of(F.col("_cuts"), F.struct(*ties)).alias("r"))
+        sizes = sorted(r["count"] for r in ranges.count().collect())
+        assert sizes[-1] <= day_rows and (day_rows > 4000 or len(sizes) > 4000 // day_rows)
+
+
+def test_rows_without_a_number_take_the_one_before(spark):
+    import datetime as dt
+    from shelfcast.operators.sequence import with_positions
+    rows = [("A", dt.date(2024, 1, d), k, bool(c)) for d, k, c in [(1, 0, 0), (1, 1, 1), (2, 0, 1), (2, 1, 0), (2, 2, 0), (3, 0, 1), (4, 0, 0)]]
+    df = spark.createDataFrame(rows, "product_id string, date date, src_order int, real boolean")
+    for day_rows in (10**6, 1):
+        got = with_positions(df, ["date", "src_order"], day_rows, F.col("real")).orderBy("date", "src_order").collect()
+        assert [r.pos for r in got] == [0, 1, 2, 2, 2, 3, 3] and {r.n_rows for r in got} == {3}
