@@ -50,14 +50,22 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
-    """``df`` written under the checkpoint folder and read back: computed once, and no later query is answered from it.
+def hadoop_path(spark: SparkSession, path: str):
+    """(file system, path) of Hadoop, for whatever store the path names."""
+    there = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return there.getFileSystem(spark._jsc.hadoopConfiguration()), there
 
-    The folder has a name of its own and is removed when the application ends.
-    """
-    spark = df.sparkSession
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder name under the checkpoint folder, removed when the application ends."""
     path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    fs, there = hadoop_path(spark, path)
+    fs.deleteOnExit(there)
+    return path
+
+
+def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """``df`` written under the checkpoint folder and read back: computed once, and no later query is answered from it."""
+    path = path or scratch(df.sparkSession, name)
     df.write.parquet(path)
-    there = spark._jvm.org.apache.hadoop.fs.Path(path)
-    there.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(there)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

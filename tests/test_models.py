@@ -1,13 +1,15 @@
 """Model smoke test at sf0.001: tuned path (1-point grid, contiguous folds),
 save/load round trip, scoring of every product."""
 
+import glob
 import os
 import tempfile
 
 from pyspark.sql import functions as F
 
 from shelfcast.operators.features import serving_features, training_frame
-from shelfcast.plans.models import forecast_next_7_days, load_models, train_models
+from shelfcast.plans.models import (forecast_next_7_days, load_models, models_present, partitions_for, release,
+                                    save_models, train_models)
 from shelfcast.sources import sales_view
 from tests.conftest import SF_SMALL
 
@@ -30,8 +32,7 @@ def test_train_save_load_score(spark):
     loaded = load_models(path)
     assert sorted(loaded) == list(range(1, 8))
     six = tempfile.mkdtemp(prefix="shelfcast-models-six-")
-    for i in range(1, 7):
-        loaded[i].write().save(os.path.join(six, f"horizon={i}"))
+    save_models({i: loaded[i] for i in range(1, 7)}, six)
     partial = load_models(six)
     fc = forecast_next_7_days(serving_features(s, "reference"), partial)
     rows = fc.collect()
@@ -61,9 +62,10 @@ def test_linear_regressor_in_the_slot_matches_closed_form(spark):
         assert abs(got[f"t+{i}"] - want) < 1e-6
     rmse = train.agg(F.sqrt(F.avg(F.pow(F.col("demand_t1") - (F.col("price") * fits["1"]["a"] + fits["1"]["b"]), 2)))).first()[0]
     assert abs(res["metrics"].where("horizon = 1").first().train_rmse - rmse) < 1e-6
-    os.remove(os.path.join(path, "horizon=3", "metadata", "_SUCCESS"))
-    for f in os.listdir(os.path.join(path, "horizon=3", "metadata")):
-        os.remove(os.path.join(path, "horizon=3", "metadata", f))
+    gone = glob.glob(os.path.join(path, "version-*", "horizon=3", "metadata", "part-*"))
+    assert gone
+    for f in gone:
+        os.remove(f)
     with pytest.raises(Exception):
         load_models(path)       # there, but unreadable
 
@@ -84,7 +86,7 @@ def test_tree_counts_share_a_fit(spark):
         b = b.addGrid(reg.getParam(name), values)
     cv = CrossValidator(estimator=pipe, estimatorParamMaps=b.build(), evaluator=RegressionEvaluator(metricName="rmse", labelCol="demand_t1"), foldCol="fold").fit(rows)
     want = {tuple((p.name, v) for p, v in m.items()): x for m, x in zip(cv.getEstimatorParamMaps(), cv.avgMetrics)}
-    got = tree_count_metrics(rows, pipe, "demand_t1", grid, 2)
+    got = tree_count_metrics(pipe.getStages()[0].transform(rows), reg, "demand_t1", grid, 2)
     assert {frozenset(k) for k in got} == {frozenset(k) for k in want}
     for k, x in want.items():
         assert abs(next(v for g, v in got.items() if set(g) == set(k)) - x) < 1e-9
@@ -103,3 +105,55 @@ def test_tuned_models_is_registered_with_the_full_grid(spark, monkeypatch):
     __spark_entry__.queries()["tuned_models"](spark, SF_SMALL)
     assert seen[0]["tune"] is True and "grid" not in seen[0] and models.GRID == dict(
         maxIter=[100, 150], maxDepth=[4, 6], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0])
+
+
+def _linear(label):
+    from pyspark.ml.regression import LinearRegression
+    return LinearRegression(featuresCol="features", labelCol=label, solver="normal")
+
+
+def test_a_training_that_stops_leaves_the_former_set(spark, monkeypatch):
+    """After a stop in the third horizon, loading gives the old seven; a whole set replaces them."""
+    import pytest
+    from pyspark.ml.util import JavaMLWriter
+    tf = training_frame(sales_view(spark, SF_SMALL))
+    path = tempfile.mkdtemp(prefix="shelfcast-versions-")
+    assert not models_present(path)
+    with pytest.raises(ValueError):
+        load_models(path)
+    train_models(tf, path=path, tune=False, features=("price",), estimator=_linear)
+    old = {i: m.stages[-1].coefficients.toArray().tolist() for i, m in load_models(path).items()}
+    assert models_present(path) and sorted(old) == list(range(1, 8))
+    new = train_models(tf, tune=False, features=("discount",), estimator=_linear)
+    saved, save = [], JavaMLWriter.save
+
+    def stopping(self, where):
+        if "horizon=3" in where:
+            raise RuntimeError("stopped")
+        saved.append(where)
+        return save(self, where)
+
+    monkeypatch.setattr(JavaMLWriter, "save", stopping)
+    with pytest.raises(RuntimeError):
+        save_models(new["models"], path)
+    monkeypatch.undo()
+    assert len(saved) >= 2
+    assert {i: m.stages[-1].coefficients.toArray().tolist() for i, m in load_models(path).items()} == old
+    assert save_models(new["models"], path) == 2
+    assert {i: m.stages[0].getInputCols() for i, m in load_models(path).items()} == {i: ["discount"] for i in range(1, 8)}
+
+
+def test_release_frees_one_frame_only(spark):
+    other = spark.range(10).cache()
+    other.count()
+    res = train_models(training_frame(sales_view(spark, SF_SMALL)), tune=False, features=("price",), estimator=_linear)
+    assert res["metrics"].count() == 7 and os.path.isdir(res["frame"].removeprefix("file:"))
+    release(res)
+    assert not os.path.isdir(res["frame"].removeprefix("file:")) and other.storageLevel.useMemory
+    other.unpersist()
+
+
+def test_partitions_follow_the_rows():
+    assert partitions_for(0, 36) == partitions_for(4_600, 36) == 1
+    assert partitions_for(600_000, 36) == 6
+    assert partitions_for(20_000_000_000, 36) == 171_662
