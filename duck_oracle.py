@@ -375,6 +375,46 @@ def serving_sql(mode: str) -> str:
 
 Q["serving_features"] = q(*serving_sql("reference"), body=f"SELECT * {std_replace()} FROM sv")
 Q["serving_features_aligned"] = q(*serving_sql("aligned"), body=f"SELECT * {std_replace()} FROM sv")
+
+
+def requested_sql(mode: str) -> str:
+    lacking = [c for c in PASS if c != "price"]
+    req = ("req", """
+SELECT event_id AS request_id, printf('P%06d', user_id * 15) AS product_id,
+       CASE event_type WHEN 'purchase' THEN DATE '1995-01-02' + CAST(user_id * 17 % 2500 AS INT)
+                       WHEN 'view' THEN DATE '1995-01-02' + CAST(user_id * 17 % 2500 AS INT) + 400
+                       WHEN 'click' THEN DATE '2001-12-01' WHEN 'error' THEN DATE '1994-01-01' ELSE DATE '1998-06-15' END AS date,
+       CAST(floor(value) AS DOUBLE) AS units_sold, CASE WHEN event_id % 2 = 0 THEN value END AS price
+FROM events""")
+    pt = ("pt", "SELECT DISTINCT product_id, date FROM req")
+    over = "(PARTITION BY pt.product_id, pt.date ORDER BY s.date DESC, s.src_order DESC, s.src_line DESC)"
+    h = ("h", f"""
+SELECT pt.product_id, pt.date, s.units_sold, {', '.join(f's.{c}' for c in lacking)}, row_number() OVER {over} AS rd,
+       count(*) OVER (PARTITION BY pt.product_id, pt.date) AS n_rows
+FROM pt JOIN sales s ON s.product_id = pt.product_id AND s.date {'<' if mode == 'aligned' else '<='} pt.date""")
+    aggs = ["max(n_rows) AS n", *[f"max(CASE WHEN rd = 1 THEN {c} END) AS x_{c}" for c in lacking]]
+    top = "{w}" if mode == "aligned" else "least({w}, n_rows - 1)"
+    lag = "{k}" if mode == "aligned" else "least({k}, n_rows)"
+    aggs += [f"max(CASE WHEN rd = {lag.format(k=k)} THEN units_sold END) AS l{k}" for k in LAGS]
+    aggs += [f"avg(CASE WHEN rd <= {top.format(w=w)} THEN units_sold END) AS m{w}" for w in MEANS]
+    aggs += [f"stddev_samp(CASE WHEN rd <= {top.format(w=w)} THEN units_sold END) AS s{w}" for w in STDS]
+    g = ("g", f"SELECT product_id, date, {', '.join(aggs)} FROM h GROUP BY product_id, date")
+    zero = "CAST(0 AS DOUBLE)"
+    if mode == "aligned":
+        cols = [f"l{k} AS lag_{k}" for k in LAGS] + [f"m{w} AS rolling_mean_{w}" for w in MEANS] + [f"s{w} AS rolling_std_{w}" for w in STDS]
+        cols += [("price" if c == "price" else f"x_{c} AS {c}") for c in PASS] + ["units_sold", f"CAST(NULL AS DOUBLE) AS demand"]
+    else:
+        cols = [f"CASE WHEN n IS NULL THEN units_sold ELSE l{k} END AS lag_{k}" for k in LAGS]
+        cols += [f"CASE WHEN n IS NULL OR n = 1 THEN units_sold ELSE m{w} END AS rolling_mean_{w}" for w in MEANS]
+        cols += [f"coalesce(s{w}, {zero}) AS rolling_std_{w}" for w in STDS]
+        cols += [f"coalesce({'price' if c == 'price' else 'x_' + c}, {zero}) AS {c}" for c in PASS]
+    rv = ("rv", f"SELECT request_id, req.product_id, req.date, {', '.join(cols)}, {CAL.replace('date', 'req.date')} "
+                "FROM req LEFT JOIN g ON g.product_id = req.product_id AND g.date = req.date")
+    return q(sales_cte(), req, pt, h, g, rv, body=f"SELECT * {std_replace()} FROM rv")
+
+
+Q["requested_features"] = requested_sql("reference")
+Q["requested_features_aligned"] = requested_sql("aligned")
 _vec_cols = ", ".join((f"coalesce(CAST({c} AS DOUBLE), CAST(0 AS DOUBLE)) AS {c}" if c not in ("units_sold", "demand")
                        else f"CAST(0 AS DOUBLE) AS {c}") for c in MANIFEST)
 Q["serving_vector"] = q(*serving_sql("reference"), ("vec", f"SELECT product_id, {_vec_cols} FROM sv"),

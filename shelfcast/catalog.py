@@ -23,11 +23,12 @@ from shelfcast.operators import evaluation as ev
 from shelfcast.operators import profile as prof
 from shelfcast.operators.features import (LAG_COLS, MEAN_COLS, STD_COLS, feature_frame,
                                           model_input, serving_features, training_frame)
+from shelfcast.operators.requests import requested_features
 from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
 from shelfcast.operators.split import contiguous_folds, labelled, order_keys, split_bounds, time_split
 from shelfcast.plans.decisions import constant_forecast, plan_and_alerts, realised_forecast
 from shelfcast.schema import FEATURES_V1, TARGETS
-from shelfcast.sources import messages_view, sales_view, untied_view
+from shelfcast.sources import messages_view, requests_view, sales_view, untied_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ("product_id", "date", "src_order", "src_line")
@@ -202,6 +203,23 @@ def q_serving_vector(spark, sf):
     return s.select("product_id", F.array(*[py_round(c, 6) for c in cols]).alias("feature_vector"))
 
 
+def _requested(spark, sf, mode):
+    out = requested_features(requests_view(spark, sf), sales_view(spark, sf), mode)
+    return out.select(*[_r6(c) if c in STD_COLS else F.col(c) for c in out.columns])
+
+
+@query("requested_features")
+def q_requested_features(spark, sf):
+    """W8/U1/P8 for requested rows as of their date (reference recipe), products without history included."""
+    return _requested(spark, sf, "reference")
+
+
+@query("requested_features_aligned")
+def q_requested_features_aligned(spark, sf):
+    """The training recipe for requested rows: only rows strictly before the request."""
+    return _requested(spark, sf, "aligned")
+
+
 @query("latest_row")
 def q_latest_row(spark, sf):
     return latest_row(sales_view(spark, sf))

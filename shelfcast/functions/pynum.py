@@ -17,7 +17,7 @@ double Python returns.  Everything stays inside whole-stage codegen.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 _SPLIT = 134217729.0          # 2^27 + 1, Veltkamp split constant
@@ -85,3 +85,33 @@ def py_fmt(x, n: int = 2) -> Column:
         value = f"CAST(({x}) AS DOUBLE)"
         return F.expr(f"IF(({x}) IS NULL, NULL, format_string('%.{n}f', {_round_sql(value, n)}))")
     return F.when(x.isNotNull(), F.format_string(f"%.{n}f", py_round(x, n)))
+
+
+FORMATS_AT_ONCE = 4     # formats per projection: each projection is one generated method
+
+
+def with_formats(df: DataFrame, formats: dict[str, tuple[str, int]]) -> DataFrame:
+    """``df`` with a ``py_fmt`` text per entry (name -> (SQL expression, decimals)).
+
+    The same arithmetic as ``py_fmt``, but every intermediate value is a column of a projection of its own, so the generated
+    code of many formats stays small.
+    """
+    names = list(formats)
+    for at in range(0, len(names), FORMATS_AT_ONCE):
+        some = names[at:at + FORMATS_AT_ONCE]
+        x, p, c, h, f, e = ({name: f"`_{k}_{name}`" for name in some} for k in "xpchfe")
+        scale = {name: f"CAST({float(10 ** formats[name][1])!r} AS DOUBLE)" for name in some}
+        before = df.columns
+        df = df.select("*", *[F.expr(f"CAST(({formats[n][0]}) AS DOUBLE) AS {x[n]}") for n in some])
+        df = df.select("*", *[F.expr(f"abs({x[n]}) * {scale[n]} AS {p[n]}") for n in some],
+                       *[F.expr(f"abs({x[n]}) * CAST({_SPLIT!r} AS DOUBLE) AS {c[n]}") for n in some])
+        df = df.select("*", *[F.expr(f"{c[n]} - ({c[n]} - abs({x[n]})) AS {h[n]}") for n in some],
+                       *[F.expr(f"CAST(floor({p[n]}) AS DOUBLE) AS {f[n]}") for n in some])
+        df = df.select("*", *[F.expr(f"({h[n]} * {scale[n]} - {p[n]}) + (abs({x[n]}) - {h[n]}) * {scale[n]} AS {e[n]}") for n in some])
+        texts = [F.expr(
+            f"format_string('%.{formats[n][1]}f', CASE WHEN isnan({x[n]}) OR {p[n]} >= CAST({_EXACT_LIMIT!r} AS DOUBLE) OR {x[n]} = 0.0D THEN {x[n]} "
+            f"ELSE (({f[n]} + CASE WHEN {p[n]} - {f[n]} > 0.5D THEN 1.0D WHEN {p[n]} - {f[n]} < 0.5D THEN 0.0D WHEN {e[n]} > 0.0D THEN 1.0D "
+            f"WHEN {e[n]} < 0.0D THEN 0.0D ELSE {f[n]} - floor({f[n]} / 2.0D) * 2.0D END) / {scale[n]}) * signum({x[n]}) END) AS `_t_{n}`") for n in some]
+        df = df.select(*[f"`{b}`" for b in before], *[x[n] for n in some], *texts)
+        df = df.select(*[f"`{b}`" for b in before], *[F.expr(f"IF({x[n]} IS NULL, NULL, `_t_{n}`) AS `{n}`") for n in some])
+    return df

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.functions.forecast import array_sum
-from shelfcast.functions.pynum import py_fmt, py_round
+from shelfcast.functions.pynum import py_round, with_formats
 from shelfcast.functions.text import detect_intent
 from shelfcast.schema import CONTEXT, FORECAST_KEYS
 
@@ -119,13 +119,11 @@ def explanations(ctx: DataFrame, keep: tuple = ()) -> DataFrame:
     t = F.col("_total")
     base = base.select("*", (t / 7.0).alias("_avg"), py_round("_total", 2).alias("_total2"),
                        py_round("_total / 7.0D", 2).alias("_avg2"))
-    # every number is formatted once, from a column name (one parsed expression each)
-    base = base.select(
-        "*", py_fmt("_total", 1).alias("_t1"), py_fmt("_avg", 1).alias("_a1"),
-        py_fmt("_total2", 0).alias("_t0"), py_fmt("_avg2", 1).alias("_a21"),
-        py_fmt("_inv_rounded", 0).alias("_i0"), py_fmt("_rop", 0).alias("_r0"),
-        py_fmt("recommended_reorder_quantity", 0).alias("_q0"),
-        *[py_fmt(f"_vals[{i}]", 1).alias(f"_v{i}") for i in range(len(FORECAST_KEYS))])
+    # every number is formatted once, from a column name
+    base = with_formats(base, {
+        "_t1": ("_total", 1), "_a1": ("_avg", 1), "_t0": ("_total2", 0), "_a21": ("_avg2", 1),
+        "_i0": ("_inv_rounded", 0), "_r0": ("_rop", 0), "_q0": ("recommended_reorder_quantity", 0),
+        **{f"_v{i}": (f"_vals[{i}]", 1) for i in range(len(FORECAST_KEYS))}})
     day_by_day = F.concat_ws(", ", *[F.concat(F.lit(f"{k}="), F.col(f"_v{i}"))
                                      for i, k in enumerate(FORECAST_KEYS)])
     forecast_text = F.concat(
@@ -208,15 +206,12 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
     base = base.select("*", array_sum(F.col("_pv")).alias("_ptot"),
                        F.size("daily_sales_history").alias("_n"),
                        array_sum(F.col("daily_sales_history")).alias("_hsum"))
-    base = base.select(
-        "*", *[py_fmt(f"_pv[{i}]", 2).alias(f"_p{i}") for i in range(len(FORECAST_KEYS))],
-        py_fmt("_ptot", 2).alias("_pt"), py_fmt("_ptot / 7.0D", 2).alias("_pa"),
-        py_fmt("_hsum / CAST(_n AS DOUBLE)", 2).alias("_havg"),
-        py_fmt("current_price", 2).alias("_price"), py_fmt("current_inventory", 2).alias("_inv"),
-        py_fmt("recommended_reorder_quantity", 2).alias("_qty"),
-        py_fmt("metadata.safety_stock", 2).alias("_ss"), py_fmt("metadata.reorder_point", 2).alias("_rop2"),
-        py_fmt("metadata.lead_time_demand", 2).alias("_ltd"),
-        py_fmt("metadata.inventory_coverage_days", 1).alias("_cov"))
+    base = with_formats(base, {
+        **{f"_p{i}": (f"_pv[{i}]", 2) for i in range(len(FORECAST_KEYS))},
+        "_pt": ("_ptot", 2), "_pa": ("_ptot / 7.0D", 2), "_havg": ("_hsum / CAST(_n AS DOUBLE)", 2),
+        "_price": ("current_price", 2), "_inv": ("current_inventory", 2), "_qty": ("recommended_reorder_quantity", 2),
+        "_ss": ("metadata.safety_stock", 2), "_rop2": ("metadata.reorder_point", 2), "_ltd": ("metadata.lead_time_demand", 2),
+        "_cov": ("metadata.inventory_coverage_days", 1)})
     # The labels of the prompt.  The template is one SQL expression (parsed once) over the staged
     # columns above; NULL lines are skipped by concat_ws.
     fc_lines = ", ".join(f"concat('  {k}: ', _p{i}, ' units')" for i, k in enumerate(FORECAST_KEYS))

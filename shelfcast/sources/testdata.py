@@ -130,6 +130,17 @@ def untied_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") > 1, F.floor(F.col("l_quantity") / 10).cast("double")).alias("units_sold")))
 
 
+def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requested rows over the events: older than the history, inside it, newer, for unknown products, and repeated."""
+    ev = load_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
+    inside = F.date_add(F.lit("1995-01-02").cast("date"), (F.col("user_id") * 17 % 2500).cast("int"))
+    date = (F.when(F.col("event_type") == "purchase", inside).when(F.col("event_type") == "view", F.date_add(inside, 400))
+            .when(F.col("event_type") == "click", F.lit("2001-12-01").cast("date"))
+            .when(F.col("event_type") == "error", F.lit("1994-01-01").cast("date")).otherwise(F.lit("1998-06-15").cast("date")))
+    return ev.select(F.col("event_id").alias("request_id"), product_key(F.col("user_id") * 15).alias("product_id"), date.alias("date"),
+                     F.floor("value").cast("double").alias("units_sold"), F.when(F.col("event_id") % 2 == 0, F.col("value")).alias("price"))
+
+
 # Question text per event type of the messages view.
 MESSAGE_TEXT = {
     "purchase": "Do I need to reorder? How much?",
