@@ -575,12 +575,12 @@ CTX = (sales_cte(), ("messages", MESSAGES_SQL), numbered2_cte(), aligned_serving
        ("ctx0", """
 SELECT a.product_id AS sku, coalesce(i.product_name, a.product_id) AS product_name,
        coalesce(i.category, 'Unknown') AS category, coalesce(i.region, 'Unknown') AS region,
-       l.l_inv AS current_inventory, coalesce(l.l_price, i.average_price_raw, CAST(0 AS DOUBLE)) AS price_raw,
+       l.l_inv AS current_inventory, l.l_price AS price_raw,
        a.f1, a.f2, a.f3, a.f4, a.f5, a.f6, a.f7,
        a.days AS days_to_stockout, a.risk_level, a.reorder_status AS reorder_needed,
        a.reorder_quantity AS recommended_reorder_quantity, coalesce(r.daily_sales_history, []) AS daily_sales_history,
        a.lead AS lead_time_days, a.safety_stock, a.reorder_point, a.lead_time_demand, a.inventory_coverage_days,
-       coalesce(i.average_price_raw, coalesce(l.l_price, i.average_price_raw, CAST(0 AS DOUBLE))) AS avg_raw,
+       coalesce(i.average_price_raw, l.l_price) AS avg_raw,
        a.overstock_flag, a.alert_message, a.current_inventory AS inv_rounded
 FROM alerts a LEFT JOIN info i ON a.product_id = i.sku LEFT JOIN lr l ON a.product_id = l.product_id
 LEFT JOIN recent r ON a.product_id = r.product_id"""),
@@ -657,21 +657,21 @@ _fc_lines = f" || {_NL} || ".join(f"'  t+{i}: ' || {pyf(f'f{i}', 2)} || ' units'
 Q["prompt_context"] = q(*EX, body=f"""
 SELECT sku, concat_ws({_NL},
   'Product Name: ' || product_name, 'SKU: ' || sku, 'Category: ' || category, 'Region: ' || region,
-  CASE WHEN current_price IS NOT NULL AND current_price <> 0 THEN 'Current Price: $' || {pyf('current_price', 2)} END,
+  CASE WHEN price_raw <> 0 THEN 'Current Price: $' || {pyf('price_raw', 2)} END,
   {_NL} || 'INVENTORY STATUS:',
-  'Current Inventory: ' || {pyf('current_inventory', 2)} || ' units',
+  'Current Inventory: ' || coalesce({pyf('current_inventory', 2)} || ' units', 'unknown'),
   'Days to Stockout: ' || CAST(days_to_stockout AS VARCHAR),
   'Risk Level: ' || risk_level,
-  'Reorder Needed: ' || CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END,
+  'Reorder Needed: ' || CASE WHEN reorder_needed THEN 'Yes' WHEN NOT reorder_needed THEN 'No' END,
   CASE WHEN reorder_needed THEN 'Recommended Reorder Quantity: ' || {pyf('recommended_reorder_quantity', 2)} || ' units' END,
   {_NL} || '7-DAY DEMAND FORECAST:' || {_NL} || {_fc_lines} || {_NL} || '  Total (7-day): ' || {pyf('tot', 2)} || ' units'
       || {_NL} || '  Average daily: ' || {pyf('avg7', 2)} || ' units/day',
   CASE WHEN len(daily_sales_history) > 0 THEN {_NL} || 'RECENT SALES HISTORY (last ' || CAST(len(daily_sales_history) AS VARCHAR)
       || ' days):' || {_NL} || '  ' || {_pylist('daily_sales_history')} END,
-  {_NL} || 'ADDITIONAL METRICS:' || {_NL} || '  Lead Time: ' || CAST(lead_time_days AS VARCHAR) || ' days' || {_NL}
-      || '  Safety Stock: ' || {pyf('safety_stock', 2)} || ' units' || {_NL} || '  Reorder Point: ' || {pyf('reorder_point', 2)}
-      || ' units' || {_NL} || '  Lead Time Demand: ' || {pyf('lead_time_demand', 2)} || ' units' || {_NL}
-      || '  Inventory Coverage: ' || {pyf('inventory_coverage_days', 1)} || ' days') AS prompt
+  {_NL} || 'ADDITIONAL METRICS:' || {_NL} || concat_ws({_NL}, '  Lead Time: ' || CAST(lead_time_days AS VARCHAR) || ' days',
+      '  Safety Stock: ' || {pyf('safety_stock', 2)} || ' units', '  Reorder Point: ' || {pyf('reorder_point', 2)} || ' units',
+      '  Lead Time Demand: ' || {pyf('lead_time_demand', 2)} || ' units',
+      '  Inventory Coverage: ' || {pyf('inventory_coverage_days', 1)} || ' days')) AS prompt
 FROM ex1""")
 
 def _any(words):
@@ -711,6 +711,43 @@ SELECT m.message_id, m.product_id, m.intent,
   CASE WHEN e.sku IS NOT NULL AND m.intent IN ('risk', 'summary') THEN e.risk_level END AS alerts_risk_level
 FROM mi m LEFT JOIN exq e ON m.product_id = e.sku""")
 
+# -- missing stock, prices and units: a forecast, but neither plan nor alert without stock --------------------
+GAPS = ("sales", f"""
+SELECT * REPLACE (CASE WHEN src_order % 5 <> 0 THEN inventory_level END AS inventory_level,
+                  CASE WHEN src_order % 7 <> 0 THEN price END AS price, CASE WHEN src_order % 3 <> 0 THEN units_sold END AS units_sold)
+FROM ({SALES_SQL})""")
+_ctes = dict(CTX)
+_null = ("reorder_status days risk_level alert_message overstock_flag inventory_coverage_days reorder_quantity recommendation decision_risk "
+         "forecast_7day_total").split()
+_blank = ", ".join(f"CASE WHEN inv IS NOT NULL THEN {c} END AS {c}" for c in _null)
+_ctes["alerts"] = f"SELECT * REPLACE ({_blank}) FROM ({_ctes['alerts']})"
+GAPS_CTX = (GAPS, *[(n, s) for n, s in _ctes.items() if n != "sales"])
+GAPS_EX = (*GAPS_CTX, *EX[len(CTX):])
+_NOINV = "Cannot generate inventory recommendation without forecast and inventory data."
+GAPS_TEXTS = ("gt", f"""
+SELECT sku, {_body_expr('explain_forecast')} AS forecast_explanation, total_7day, average_daily,
+       CASE WHEN current_inventory IS NULL THEN '{_NOINV}' ELSE {_body_expr('explain_inventory')} END AS inventory_explanation,
+       CASE WHEN current_inventory IS NULL THEN '{_NOINV}' ELSE {_body_expr('explain_risk')} END AS risk_explanation,
+       CASE WHEN current_inventory IS NULL THEN '{_NOINV}' ELSE {_body_expr('explain_summary')} END AS summary_explanation,
+       CASE WHEN current_inventory IS NULL THEN 'Missing forecast or current_inventory in data_inputs' END AS error,
+       reorder_point, risk_level FROM ex1""")
+Q["gaps_plan"] = q(*GAPS_CTX, body="""
+SELECT product_id, current_inventory, lead_time_demand, safety_stock, reorder_point, reorder_status, reorder_quantity, days AS days_to_stockout,
+       decision_risk, recommendation, risk_level, alert_message, overstock_flag, inventory_coverage_days, forecast_7day_total FROM alerts""")
+Q["gaps_context"] = q(*GAPS_CTX, body=Q["sku_context"].rsplit("\n)\n", 1)[1])
+Q["gaps_explanations"] = q(*GAPS_EX, GAPS_TEXTS, body="SELECT * EXCLUDE (reorder_point, risk_level) FROM gt")
+Q["gaps_prompt"] = q(*GAPS_EX, body="\nSELECT sku, concat_ws(" + Q["prompt_context"].rsplit("\nSELECT sku, concat_ws(", 1)[1])
+Q["gaps_respond"] = q(*GAPS_EX, GAPS_TEXTS, ("mi", f"SELECT message_id, product_id, {_INTENT} AS intent FROM messages"), body=f"""
+SELECT m.message_id, m.product_id, m.intent,
+  CASE m.intent WHEN 'forecast' THEN coalesce(e.forecast_explanation, 'Cannot generate forecast without latest data.')
+                WHEN 'reorder' THEN coalesce(e.inventory_explanation, '{_NOINV}') WHEN 'risk' THEN coalesce(e.risk_explanation, '{_NOINV}')
+                ELSE coalesce(e.summary_explanation, 'Unable to generate summary without forecast.') END AS response_text,
+  CASE WHEN e.sku IS NULL THEN 'Missing data for the product' WHEN m.intent <> 'forecast' THEN e.error END AS error,
+  e.sku IS NOT NULL AND m.intent IN ('forecast', 'summary') AS has_forecast,
+  CASE WHEN e.error IS NULL AND m.intent IN ('reorder', 'risk', 'summary') THEN e.reorder_point END AS inventory_reorder_point,
+  CASE WHEN e.error IS NULL AND m.intent IN ('risk', 'summary') THEN e.risk_level END AS alerts_risk_level
+FROM mi m LEFT JOIN gt e ON m.product_id = e.sku""")
+
 Q["eval_metrics"] = q(*metrics_ctes(), body=f"""
 SELECT target, {', '.join(pyr(c, 6) + ' AS ' + c for c in ('train_rmse', 'train_mae', 'val_rmse', 'val_mae'))} FROM m""")
 _fm = "MAP {" + ", ".join(f"'t+{i}': demand_t{i}" for i in range(1, 8)) + "}"

@@ -28,7 +28,7 @@ from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
 from shelfcast.operators.split import contiguous_folds, labelled, order_keys, split_bounds, time_split
 from shelfcast.plans.decisions import constant_forecast, plan_and_alerts, realised_forecast
 from shelfcast.schema import FEATURES_V1, TARGETS
-from shelfcast.sources import messages_view, requests_view, sales_view, untied_view
+from shelfcast.sources import gaps_view, messages_view, requests_view, sales_view, untied_view
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 KEYS = ("product_id", "date", "src_order", "src_line")
@@ -466,11 +466,11 @@ def q_forecast_7day_estimate(spark, sf):
 
 
 # ------------------------------------------------------ context / answers
-def _context(spark, sf):
+def _context(spark, sf, view=sales_view):
     """C2 with the constant-rate forecast as a map (the model stand-in)."""
     from shelfcast.functions.forecast import forecast_map
     from shelfcast.operators.features import product_state
-    st = product_state(sales_view(spark, sf), modes=("aligned",), columns=("rolling_mean_7",))
+    st = product_state(view(spark, sf), modes=("aligned",), columns=("rolling_mean_7",))
     rate = F.coalesce(F.col("_al_mean_7"), F.lit(0.0))
     fc = ctxops.with_state_forecast(st, forecast_map(F.array_repeat(rate, 7)))
     return ctxops.sku_context(ctxops.decide_for_context(fc))
@@ -488,7 +488,10 @@ def q_sku_snapshot(spark, sf):
 @query("sku_context")
 def q_sku_context(spark, sf):
     """C2/C3 (constant-rate forecast as the model stand-in), flattened."""
-    c = _context(spark, sf)
+    return _flat_context(_context(spark, sf))
+
+
+def _flat_context(c):
     return c.select(
         "sku", "product_name", "category", "region", "current_inventory",
         _r6("current_price"),
@@ -564,6 +567,42 @@ def q_respond(spark, sf):
                     F.col("alerts.risk_level").alias("alerts_risk_level"))
 
 
+# ------------------------------------------------- missing stock, prices, units
+@query("gaps_plan")
+def q_gaps_plan(spark, sf):
+    """I9/AL7 where stock is missing: a forecast, but no plan and no alert."""
+    p = plan_and_alerts(constant_forecast(gaps_view(spark, sf)))
+    return p.select("product_id", "current_inventory", "lead_time_demand", "safety_stock", "reorder_point", "reorder_status", "reorder_quantity",
+                    "days_to_stockout", "decision_risk", "recommendation", "risk_level", "alert_message", "overstock_flag",
+                    "inventory_coverage_days", F.col("forecast_summary.forecast_7day_total").alias("forecast_7day_total"))
+
+
+@query("gaps_context")
+def q_gaps_context(spark, sf):
+    """C2/C3 with missing values."""
+    return _flat_context(_context(spark, sf, gaps_view))
+
+
+@query("gaps_explanations")
+def q_gaps_explanations(spark, sf):
+    """C5 with missing values: all four texts and the error."""
+    return ctxops.explanations(_context(spark, sf, gaps_view))
+
+
+@query("gaps_prompt")
+def q_gaps_prompt(spark, sf):
+    """C6 with missing values."""
+    return ctxops.prompt_context(_context(spark, sf, gaps_view))
+
+
+@query("gaps_respond")
+def q_gaps_respond(spark, sf):
+    """C7 with missing values: the answers, which parts they carry, and the error."""
+    r = ctxops.respond(messages_view(spark, sf), _context(spark, sf, gaps_view))
+    return r.select("message_id", "product_id", "intent", "response_text", "error", F.col("forecast").isNotNull().alias("has_forecast"),
+                    F.col("inventory.reorder_point").alias("inventory_reorder_point"), F.col("alerts.risk_level").alias("alerts_risk_level"))
+
+
 # ------------------------------------------------------- model (rows only)
 _TRAINED: dict = {}
 

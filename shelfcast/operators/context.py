@@ -234,7 +234,7 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
       concat('Current Inventory: ', coalesce(_inv, 'unknown'), CASE WHEN _inv IS NULL THEN '' ELSE ' units' END),
       concat('Days to Stockout: ', CAST(days_to_stockout AS STRING)),
       concat('Risk Level: ', risk_level),
-      concat('Reorder Needed: ', CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END),
+      CASE WHEN reorder_needed IS NOT NULL THEN concat('Reorder Needed: ', CASE WHEN reorder_needed THEN 'Yes' ELSE 'No' END) END,
       CASE WHEN reorder_needed THEN concat('Recommended Reorder Quantity: ', _qty, ' units') END,
       concat('\\n7-DAY DEMAND FORECAST:\\n', concat_ws('\\n', {fc_lines}),
              '\\n  Total (7-day): ', _pt, ' units', '\\n  Average daily: ', _pa, ' units/day'),
@@ -242,9 +242,9 @@ def prompt_context(ctx: DataFrame) -> DataFrame:
         CASE WHEN _n <= 14 THEN concat('  ', {hist_repr})
              ELSE concat('  Last 7 days: ', {last7_repr}, '\\n  Average: ', _havg,
                          ' units/day\\n  Trend: ', {trend}) END) END,
-      concat('\\nADDITIONAL METRICS:\\n  Lead Time: ', CAST(metadata.lead_time_days AS STRING),
-             ' days\\n  Safety Stock: ', _ss, ' units\\n  Reorder Point: ', _rop2,
-             ' units\\n  Lead Time Demand: ', _ltd, ' units\\n  Inventory Coverage: ', _cov, ' days'))"""
+      concat('\\nADDITIONAL METRICS:\\n', concat_ws('\\n', concat('  Lead Time: ', CAST(metadata.lead_time_days AS STRING), ' days'),
+             concat('  Safety Stock: ', _ss, ' units'), concat('  Reorder Point: ', _rop2, ' units'),
+             concat('  Lead Time Demand: ', _ltd, ' units'), concat('  Inventory Coverage: ', _cov, ' days'))))"""
     return base.select("sku", F.expr(prompt).alias("prompt"))
 
 

@@ -73,11 +73,11 @@ def days_to_stockout(days: Column, inv: Column) -> Column:
 
 
 def decision_risk(inv: Column, rop: Column, days: Column, lead: Column) -> Column:
-    """Lower-case risk of the decision."""
+    """Lower-case risk of the decision; none without stock."""
     return (F.when(inv <= rop,
                    F.when((days > 0) & (days <= lead), F.lit("high")).otherwise(F.lit("medium")))
             .when(inv <= rop * F.lit(1.2), F.lit("medium"))
-            .otherwise(F.lit("low")))
+            .when(inv.isNotNull(), F.lit("low")))
 
 
 # Recommendation sentences (placeholders filled below).

@@ -130,6 +130,15 @@ def untied_view(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.when(F.col("l_linenumber") > 1, F.floor(F.col("l_quantity") / 10).cast("double")).alias("units_sold")))
 
 
+def gaps_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The sales view with a fixed share of missing stock, prices and units."""
+    order = F.col("src_order")
+    return sales_view(spark, sf_dir).withColumns({
+        "inventory_level": F.when(order % 5 != 0, F.col("inventory_level")),
+        "price": F.when(order % 7 != 0, F.col("price")),
+        "units_sold": F.when(order % 3 != 0, F.col("units_sold"))})
+
+
 def requests_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Requested rows over the events: older than the history, inside it, newer, for unknown products, and repeated."""
     ev = load_table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value")
