@@ -547,8 +547,7 @@ def q_explain_summary(spark, sf):
 
 @query("prompt_context")
 def q_prompt_context(spark, sf):
-    c = _context(spark, sf).withColumn("current_price", py_round("current_price", 6))
-    return ctxops.prompt_context(c)
+    return ctxops.prompt_context(_context(spark, sf))
 
 
 @query("detect_intent")
