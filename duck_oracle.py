@@ -330,6 +330,7 @@ Q["demand_targets"] = q(*FEAT, body=f"SELECT {KEYS}, units_sold, {', '.join(TGT)
 Q["calendar_features"] = q(sales_cte(), body=f"SELECT {KEYS}, {CAL} FROM sales")
 Q["date_text"] = q(sales_cte(), body=f"SELECT {KEYS}, strftime(date, '%Y-%m-%d') AS date_text FROM sales")
 Q["training_frame"] = q(*FEAT, tf_cte(), body=f"SELECT * {std_replace()} FROM tf")
+Q["layout_training_frame"] = Q["training_frame"]
 _inc = " OR ".join(f"{t} IS NULL" for t in TGT)
 Q["dropped_rows"] = q(*FEAT, body=f"""
 SELECT count(*) AS initial_rows, count(*) FILTER (WHERE {_inc}) AS dropped_rows,
@@ -711,6 +712,33 @@ SELECT m.message_id, m.product_id, m.intent,
   CASE WHEN e.sku IS NOT NULL AND m.intent IN ('risk', 'summary') THEN e.risk_level END AS alerts_risk_level
 FROM mi m LEFT JOIN exq e ON m.product_id = e.sku""")
 
+# -- the model path with least squares in the regressor slot -------------------------------------------
+_lx = "coalesce(rolling_mean_7, CAST(0 AS DOUBLE))"
+_fits = ", ".join(f"regr_slope(demand_t{i}, {_lx}) AS a{i}, regr_intercept(demand_t{i}, {_lx}) AS b{i}" for i in range(1, 8))
+LINEAR = (*SPLIT, ("fit", f"SELECT {_fits} FROM sp WHERE split = 'train'"))
+_lpreds = " UNION ALL ".join(f"SELECT {i} AS horizon, split, CAST(demand_t{i} AS DOUBLE) AS y, a{i} * {_lx} + b{i} AS prediction FROM sp, fit"
+                             for i in range(1, 8))
+_lm = metrics_ctes()
+Q["linear_metrics"] = q(*LINEAR, ("preds", _lpreds), _lm[-1],
+                        body=f"SELECT target, horizon, {', '.join(pyr(c, 6) + ' AS ' + c for c in MCOLS)} FROM m")
+_serve = serving_sql("reference")
+_lf = ", ".join(f"greatest(CAST(0 AS DOUBLE), a{i} * {_lx} + b{i}) AS p{i}" for i in range(1, 8))
+_lt = ", ".join(f"{pyr(f'p{i}', 6)} AS t{i}" for i in range(1, 7))
+Q["linear_forecast"] = q(*LINEAR, *[c for c in _serve if c[0] not in {n for n, _ in LINEAR}], ("lf", f"SELECT product_id, {_lf} FROM sv, fit"),
+                         body=f"SELECT product_id, {_lt}, CAST(0 AS DOUBLE) AS t7 FROM lf")
+Q["linear_sample_forecast"] = q(*LINEAR, ("lv", """
+SELECT * FROM sp WHERE split = 'val' ORDER BY date DESC, product_id DESC, src_order DESC, src_line DESC LIMIT 1"""),
+                                ("lf", f"SELECT product_id, {_lf} FROM lv, fit"), body=f"SELECT product_id, {_lt}, {pyr('p7', 6)} AS t7 FROM lf")
+_foldfit = " UNION ALL ".join(f"""
+SELECT {i} AS horizon, {k} AS fold, (SELECT sqrt(avg(pow(demand_t{i} - (a * x + b), 2))) FROM lfold WHERE fold = {k}) AS rmse
+FROM (SELECT regr_slope(demand_t{i}, x) AS a, regr_intercept(demand_t{i}, x) AS b FROM lfold WHERE fold <> {k})""" for i in range(1, 8) for k in range(3))
+Q["linear_folds"] = q(*SPLIT, ("tr", """
+SELECT *, row_number() OVER (ORDER BY date, product_id, src_order, src_line) AS r, count(*) OVER () AS n FROM sp WHERE split = 'train'"""),
+                      ("lfold", f"""
+SELECT *, {_lx} AS x, CASE WHEN r <= n // 3 + CAST(n % 3 > 0 AS INT) THEN 0 WHEN r <= 2 * (n // 3) + CAST(least(n % 3, 2) AS INT) THEN 1 ELSE 2 END AS fold
+FROM tr"""), ("ff", _foldfit), ("fr", "SELECT horizon, avg(rmse) AS rmse FROM ff GROUP BY horizon"),
+                      body=f"SELECT horizon, {pyr('rmse', 6)} AS rmse FROM fr")
+
 # -- missing stock, prices and units: a forecast, but neither plan nor alert without stock --------------------
 GAPS = ("sales", f"""
 SELECT * REPLACE (CASE WHEN src_order % 5 <> 0 THEN inventory_level END AS inventory_level,

@@ -22,7 +22,7 @@ from shelfcast.operators import context as ctxops
 from shelfcast.operators import evaluation as ev
 from shelfcast.operators import profile as prof
 from shelfcast.operators.features import (LAG_COLS, MEAN_COLS, STD_COLS, feature_frame,
-                                          model_input, serving_features, training_frame)
+                                          layout_features, model_input, serving_features, training_frame)
 from shelfcast.operators.requests import requested_features
 from shelfcast.operators.snapshot import latest_row, product_info, recent_sales
 from shelfcast.operators.split import contiguous_folds, labelled, order_keys, split_bounds, time_split
@@ -148,6 +148,20 @@ def q_training_frame(spark, sf):
     return _tf_out(training_frame(sales_view(spark, sf)))
 
 
+@query("layout_training_frame")
+def q_layout_training_frame(spark, sf):
+    """The training frame read from a stored layout, whose windows need no exchange."""
+    return _tf_out(layout_features(stored_layout(spark, sf), drop_incomplete=True))
+
+
+def stored_layout(spark, sf, buckets=16):
+    """The sales of the test tables in a layout of its own under the checkpoint folder."""
+    from shelfcast.session import scratch
+    from shelfcast.sources.layout import store_sales
+    path = scratch(spark, "sales-layout")
+    return store_sales(sales_view(spark, sf), path.rsplit("/", 1)[1].replace("-", "_"), path, buckets)
+
+
 @query("dropped_rows")
 def q_dropped_rows(spark, sf):
     from shelfcast.operators.features import dropped_rows
@@ -659,6 +673,65 @@ def q_sample_forecast(spark, sf):
     return sample_forecast(res["split"], res["models"])
 
 
+# ------------------------------------- the model path with an estimator that SQL can restate
+LINEAR_FEATURES = ("rolling_mean_7",)
+
+
+def _least_squares(label):
+    from pyspark.ml.regression import LinearRegression
+    return LinearRegression(featuresCol="features", labelCol=label, solver="normal")
+
+
+def _linear(spark, sf):
+    """Seven least-squares models in the regressor slot: trained, stored and loaded like any others."""
+    from shelfcast.plans.models import load_models, train_models
+    from shelfcast.session import scratch
+    path = scratch(spark, "linear-models")
+    res = train_models(training_frame(sales_view(spark, sf)), path=path, tune=False, features=LINEAR_FEATURES, estimator=_least_squares)
+    return {**res, "models": load_models(path)}
+
+
+def _seven(fc, *keep):
+    return fc.select(*keep, *[py_round(F.col("forecast")[f"t+{i}"], 6).alias(f"t{i}") for i in range(1, 8)])
+
+
+@query("linear_metrics")
+def q_linear_metrics(spark, sf):
+    """RMSE, MAE and SMAPE of the seven models per split."""
+    m = _linear(spark, sf)["metrics"]
+    return m.select("target", "horizon", *[_r6(c) for c in m.columns if c not in ("target", "horizon")])
+
+
+@query("linear_folds")
+def q_linear_folds(spark, sf):
+    """M2: the mean RMSE over three contiguous folds per horizon."""
+    from shelfcast.plans.models import assembler, fold_rmse, model_frame
+    from shelfcast.session import staged
+    frame = staged(model_frame(training_frame(sales_view(spark, sf)), LINEAR_FEATURES, extra=("date", "product_id", "pos")), "linear-frame")
+    train = time_split(frame, 0.2).where(F.col("split") == "train").drop("split")
+    rows = staged(assembler(LINEAR_FEATURES).transform(contiguous_folds(train, 3)).select("features", "fold", *TARGETS), "linear-folds")
+    found = [(i, fold_rmse(rows, i, LINEAR_FEATURES, _least_squares)) for i in range(1, 8)]
+    return spark.createDataFrame(found, "horizon int, rmse double").select("horizon", _r6("rmse"))
+
+
+@query("linear_forecast")
+def q_linear_forecast(spark, sf):
+    """Every product's forecast by a stored set without the seventh horizon, which scores 0.0."""
+    from shelfcast.plans.models import forecast_next_7_days, load_models, save_models
+    from shelfcast.session import scratch
+    models, path = _linear(spark, sf)["models"], scratch(spark, "linear-models")
+    save_models({i: models[i] for i in range(1, 7)}, path)
+    return _seven(forecast_next_7_days(serving_features(sales_view(spark, sf), "reference"), load_models(path)), "product_id")
+
+
+@query("linear_sample_forecast")
+def q_linear_sample_forecast(spark, sf):
+    """M8: forecast from the last validation row."""
+    from shelfcast.plans.models import sample_forecast
+    res = _linear(spark, sf)
+    return _seven(sample_forecast(res["split"], res["models"]), "product_id")
+
+
 def q_tuned_models(spark, sf):
     """M2/M4: the full 16-point, 3-fold grid for all seven horizons; RMSE/MAE/SMAPE per horizon and split."""
     return _trained(spark, sf, tune=True)["metrics"]

@@ -56,7 +56,14 @@ def feature_frame(sales: DataFrame, *, lags: bool = True, means: bool = True,
     (``sequence``).  ``chunk_rows`` bounds a task and changes no row.
     """
     positioned = with_positions(sales)
-    halo, w = chunked_window(positioned, lookback=MAX_LOOKBACK, lookahead=HORIZONS if targets else 0, chunk_rows=chunk_rows)
+    halo, _ = chunked_window(positioned, lookback=MAX_LOOKBACK, lookahead=HORIZONS if targets else 0, chunk_rows=chunk_rows)
+    return layout_features(halo, lags=lags, means=means, stds=stds, targets=targets, calendar=calendar, drop_incomplete=drop_incomplete)
+
+
+def layout_features(halo: DataFrame, *, lags: bool = True, means: bool = True, stds: bool = True, targets: bool = True,
+                    calendar: bool = True, drop_incomplete: bool = False) -> DataFrame:
+    """The same columns over rows that are cut into chunks already: a stored layout (``sources.layout``) needs no exchange here."""
+    w = Window.partitionBy("product_id", "_chunk").orderBy("pos")
     out = finish_chunked(halo.select("*", *_window_columns(w, lags=lags, means=means, stds=stds, targets=targets)))
     if calendar:
         out = out.select("*", *calendar_columns(F.col("date")))
