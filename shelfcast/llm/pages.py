@@ -1,30 +1,33 @@
 """Main text of web pages by a site style tree (operator 2).
 
-Pages of one host are merged into a style tree: a node is a path of element
-labels (tag and class or id), equal siblings share a node.  Per node the tree
-counts its presentation styles (sequences of child labels) and its contents (texts, link
-targets) over the host's pages.  A content feature on all pages says nothing,
-one on a single page everything: a feature on ``n`` of ``m`` pages has entropy
-``log_m n``, and a branch's content importance is one minus the mean over the
-features below it.  With ``l`` presentation styles of entropy ``E`` the composite
-importance is ``(1 - g^l) E + g^l content`` with ``g`` = 0.9.  Branches below a
-threshold go from every page of the host.
-
-Entropy alone can't tell on hosts with few pages, and menus whose entries change
-from page to page look important.  So elements whose tag, role or class names
+Pages of one host are merged into a style tree: a node is a chain of element
+labels (tag and class or id) from the page down, equal siblings share a node.  Per node the tree
+counts its presentation styles (sequences of child labels) and its content features
+over the host's pages.  Features are the words and link targets of a block, each
+weighing as often as it occurs; a paragraph or heading is one feature
+with the weight of its words.  A feature on all pages of a node says nothing, one on a
+single page everything: on ``n`` of ``m`` pages it has entropy ``log_m n``, and a node's
+content importance is one minus the weighted mean over the features below it.  Presentation importance is
+the entropy of the node's ``l`` styles.  Both are drawn towards 1/2 by ``PRIOR`` pages, so nodes that
+few pages have are judged with care, and the composite importance is
+``(1 - g^l) presentation + g^l content`` with ``g`` = 0.9.  A branch goes from every page of its
+host if its composite is under ``LOW`` times the content importance of the host's pages as a whole.
+
+Entropy alone can't tell menus whose entries change or reader comments, which look important.  So elements whose tag, role or class names
 menus, headers, footers, sidebars, notices, adverts, forms or comments go
 whatever their entropy; paragraphs, headings and the article itself are never
-judged by entropy, since a paragraph that many pages share is still text.  If a
-page marks its article, only the article's blocks count.
+judged by entropy, since a paragraph that many pages share is still text.  If the
+elements that a page marks as its article hold most of its text, only their blocks count.
 
-A name is sure if all its parts say noise (``share-buttons``), and a doubtful one if only some
+A name is sure if all its parts say noise (``share-buttons``, ``topnav``), and a doubtful one if only some
 do (``content-sidebar-wrap``).  Doubtful names count neither inside an article nor
 for paragraphs and headings, and a branch with a high composite importance
 overrules them.  No name or form goes that holds the page's main element or, on a
 page without one, most of the page's text.
 
 The counts are folded per slice of pages before the shuffle; what comes out
-is one row per host, joined back on the host (Spark broadcasts it if it is small).
+is one short row per host (only the uppermost branches), joined back on the host (Spark broadcasts it if it is small).
+Elements nested deeper than ``DEEP`` levels belong to their ancestor's node, so work and memory are linear in a page's length.
 
 Edge cases: null or empty html gives an empty text; a null url belongs to the
 host ``""``; cut-off pages end where they end, an unfinished tag is dropped;
@@ -47,9 +50,11 @@ from pyspark.sql import functions as F
 from shelfcast.llm.common import map_arrow, read_table, slices, staged
 
 DECAY = 0.9
-LOW = 0.3           # composite importance under which a branch is noise
-LEAST_PAGES = 10    # hosts with fewer pages are not judged by entropy
-LIVELY = 0.3        # content importance that a host's pages need as a whole
+LOW = 0.3           # share of the host's content importance under which a branch is noise
+PRIOR = 4           # pages that the neutral importance 1/2 counts for
+DEEP = 64           # levels of nodes
+ARTICLE_SHARE = 0.5     # of a page's text that its article elements must hold to stand alone
+NAMED_SHARE = 0.75      # the same for elements that are only named like one
 HIGH = 0.7          # composite importance from which a branch overrules a doubtful name
 DOUBTFUL, SURE = 1, 2
 
@@ -82,15 +87,15 @@ _NAME = re.compile(r"[^a-z0-9]+")
 
 
 class Block(NamedTuple):
-    path: str
+    node: int     # its element's number in page order
     text: str
     main: int     # 2: in an article or main element, 1: in an element named like one, 0: neither
     noise: bool   # in an element whose markup says what it is
+    links: list   # targets of the links in it
 
 
 class Element(NamedTuple):
     tag: str
-    path: str
     main: int
     children: list
     node: int     # its number in page order; 0 is the page
@@ -98,13 +103,31 @@ class Element(NamedTuple):
 
 class Node(NamedTuple):
     up: int
-    path: str
+    id: int       # of the style tree's node: a hash of the labels from the page down
+    depth: int
     tag: str
     main: bool    # an article or main element
     noise: int    # what its markup says: 0, DOUBTFUL or SURE
     fixed: bool   # by a tag or role that is no wrapper
 
 
+def below(up: int, label: str) -> int:
+    """The style tree's node for an element with this label under node ``up``."""
+    x = (up ^ crc32(label.encode()) ^ len(label) << 32) * 0x9E3779B97F4A7C15 & (1 << 64) - 1
+    x = (x ^ x >> 29) * 0xBF58476D1CE4E5B9 & (1 << 64) - 1
+    return (x ^ x >> 32) >> 1
+
+
+def name_parts(name: str) -> list[str]:
+    """Parts of a class or id; one that two known words make up counts as these (``topnav``, ``commentlist``)."""
+    known, out = NOISE_WORDS | LAYOUT_WORDS, []
+    for part in (p for p in _NAME.split(name) if p):
+        cut = 0 if part in known else next((i for i in range(2, len(part) - 1) if part[:i] in known and part[i:] in known
+                                            and not NOISE_WORDS.isdisjoint((part[:i], part[i:]))), 0)
+        out += [part[:cut], part[cut:]] if cut else [part]
+    return out
+
+
 def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> int:
     if tag in NOISE_TAGS or role in NOISE_ROLES:
         return SURE
@@ -112,7 +135,7 @@ def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> int:
         return 0 if in_main else SURE
     noise = 0
     for name in names:
-        parts = [p for p in _NAME.split(name) if p]
+        parts = name_parts(name)
         if not parts or parts[0] in ("has", "with", "no"):
             continue
         found = NOISE_WORDS.intersection(parts)
@@ -125,13 +148,13 @@ def names_noise(tag: str, names: list[str], role: str, in_main: bool) -> int:
     return noise
 
 
-def noisy(nodes: list[Node], lengths: list[int], high: set[str]) -> list[bool]:
+def noisy(nodes: list[Node], lengths: list[int], high: set[int]) -> list[bool]:
     """Whether each node goes for what its markup, or that of an element around it, says; ``lengths`` are of the nodes' own texts."""
     def judged(spared: set[int]) -> list[bool]:
         out = [False] * len(nodes)
         for k in range(1, len(nodes)):
             n = nodes[k]
-            out[k] = out[n.up] or k not in spared and (n.noise == SURE or n.noise == DOUBTFUL and n.path not in high)
+            out[k] = out[n.up] or k not in spared and (n.noise == SURE or n.noise == DOUBTFUL and n.id not in high)
         return out
 
     def around(k: int) -> set[int]:
@@ -158,17 +181,22 @@ def noisy(nodes: list[Node], lengths: list[int], high: set[str]) -> list[bool]:
     return judged(most) if most else plain
 
 
-def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tuple[str, str]], set[str]]:
-    """Blocks of text in page order, (path, sequence of child labels) of every element and of the page (path ""), paths of doubtful names.
+class Page(NamedTuple):
+    blocks: list[Block]     # in page order
+    styles: list[tuple[int, str]]   # (node, sequence of child labels) of every element and of the page
+    nodes: list[Node]
 
-    ``high`` are the paths whose importance overrules a doubtful name.
-    """
-    stack = [Element("", "", 0, [], 0)]
-    nodes = [Node(0, "", "", False, 0, False)]
+
+def parse(page: str, high: set[int] = frozenset()) -> Page:
+    """Blocks, styles and nodes of a page; ``high`` are the nodes whose importance overrules a doubtful name."""
+    stack = [Element("", 0, [], 0)]
+    nodes = [Node(0, 0, 0, "", False, 0, False)]
     lengths = [0]
-    texts: list[tuple[int, int, str]] = []   # (node, main, text)
-    styles: list[tuple[str, str]] = []
+    texts: list[tuple[int, int, str, list]] = []   # (node, main, text, links)
+    styles: list[tuple[int, str]] = []
     text: list[str] = []
+    links: list[str] = []
+    open_tags: Counter = Counter()
 
     def flush() -> None:
         if text:
@@ -176,12 +204,14 @@ def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tu
             text.clear()
             if words:
                 top = stack[-1]
-                texts.append((top.node, top.main, " ".join(words)))
+                texts.append((top.node, top.main, " ".join(words), links.copy()))
                 lengths[top.node] += len(texts[-1][2])
+        links.clear()
 
     def pop() -> None:
         top = stack.pop()
-        styles.append((top.path, " ".join(top.children)))
+        open_tags[top.tag] -= 1
+        styles.append((top.node, " ".join(top.children)))
 
     at, end = 0, len(page)
     while at < end:
@@ -200,7 +230,7 @@ def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tu
                 flush_needed = tag not in INLINE or stack[-1].tag in INLINE
                 if flush_needed:
                     flush()
-                if any(e.tag == tag for e in stack):
+                if open_tags[tag] > 0:
                     while stack[-1].tag != tag:
                         pop()
                     pop()
@@ -221,9 +251,13 @@ def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tu
         role = marks.get("role", "").lower()
         noise = names_noise(tag, names, role, up.main == 2) if tag not in ("html", "body", "main") and role != "main" else 0
         if tag in INLINE and not noise:
+            if "href" in marks:
+                links.append(marks["href"])
             continue
         flush()
-        if tag in CLOSES_P and any(e.tag == "p" for e in stack):
+        if "href" in marks:
+            links.append(marks["href"])
+        if tag in CLOSES_P and open_tags["p"] > 0:
             while stack[-1].tag != "p":
                 pop()
             pop()
@@ -238,8 +272,10 @@ def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tu
             continue
         is_main = tag in ("article", "main") or role == "main"
         main = max(up.main, 2 if is_main else 1 if MAIN_NAMES.intersection(names) else 0)
-        stack.append(Element(tag, f"{up.path}/{label}".lstrip("/"), main, [], len(nodes)))
-        nodes.append(Node(up.node, stack[-1].path, tag, is_main, noise,
+        over = nodes[up.node]
+        stack.append(Element(tag, main, [], len(nodes)))
+        open_tags[tag] += 1
+        nodes.append(Node(up.node, below(over.id, label) if over.depth < DEEP else over.id, min(over.depth + 1, DEEP), tag, is_main, noise,
                           tag in NOISE_TAGS - WRAPPERS or tag == "header" or role in NOISE_ROLES - WRAPPERS))
         lengths.append(0)
         if m[3].endswith("/>") and tag not in ("p", "div", "article", "section", "body", "html", "main"):
@@ -250,18 +286,35 @@ def parse(page: str, high: set[str] = frozenset()) -> tuple[list[Block], list[tu
     if styles or texts:
         pop()
     gone = noisy(nodes, lengths, high)
-    blocks = [Block(nodes[k].path, text, main, gone[k]) for k, main, text in texts]
-    return blocks, styles, {n.path for n in nodes if n.noise == DOUBTFUL}
+    return Page([Block(k, text, main, gone[k], targets) for k, main, text, targets in texts],
+                [(nodes[k].id, style) for k, style in styles], nodes)
 
 
-def main_text(page: str | None, low: set[str], high: set[str] = frozenset()) -> str:
-    """Text of a page without noise and without the branches in ``low``; those in ``high`` overrule doubtful names."""
-    blocks, _, _ = parse(page or "", high)
-    kept = [b for b in blocks if not b.noise]
+def main_text(page: str | None, low: set[int] = frozenset(), high: set[int] = frozenset()) -> str:
+    """Text of a page without noise and without the branches under the nodes ``low``; ``high`` nodes overrule doubtful names."""
+    found = parse(page or "", high)
+    kept = [b for b in found.blocks if not b.noise]
     if low:
-        kept = [b for b in kept if not any(b.path == p or b.path.startswith(f"{p}/") for p in low)]
-    level = max((b.main for b in kept), default=0)
-    return "\n\n".join(b.text for b in kept if b.main == level)
+        gone = [False] * len(found.nodes)
+        for k, n in enumerate(found.nodes):
+            gone[k] = n.id in low or k > 0 and gone[n.up]
+        kept = [b for b in kept if not gone[b.node]]
+    total = sum(len(b.text) for b in kept)
+    for level, share in ((2, ARTICLE_SHARE), (1, NAMED_SHARE)):
+        part = [b for b in kept if b.main >= level]
+        if part and sum(len(b.text) for b in part) > share * total:
+            kept = part
+            break
+    return "\n\n".join(b.text for b in kept)
+
+
+def block_features(block: Block, tag: str) -> Counter:
+    """Content features of a block and how often they occur: words and link targets, or a paragraph or heading as a whole."""
+    if tag in PROSE and tag:
+        return Counter({crc32(block.text.encode()) | len(block.text) << 32: len(block.text.split())})
+    found = Counter(crc32(w.encode()) for w in block.text.lower().split())
+    found.update(crc32(t.encode()) | 1 << 62 for t in block.links)
+    return found
 
 
 def host(url: Column) -> Column:
@@ -269,72 +322,101 @@ def host(url: Column) -> Column:
     return F.coalesce(found, F.lit(""))
 
 
+def page_counts(page: str) -> dict[tuple[int, str, int], int]:
+    """(node, kind, feature) -> weight on one page.
+
+    Kinds: the node is there (m; feature 1 for prose), has a style (s), a content feature (t, weight: occurrences), a doubtful
+    name (d), a parent (u), or holds the content of a node below it or its own (a).
+    """
+    found = parse(page)
+    out: dict[tuple[int, str, int], int] = {}
+    for n in found.nodes if found.styles else ():
+        out[n.id, "m", int(n.tag in PROSE)] = 1
+        if n.noise == DOUBTFUL:
+            out[n.id, "d", 0] = 1
+        if n.id != found.nodes[n.up].id:
+            out[n.id, "u", found.nodes[n.up].id] = 1
+    for node, style in found.styles:
+        out[node, "s", crc32(style.encode())] = 1
+    for b in found.blocks:
+        leaf = found.nodes[b.node]
+        for feature, times in block_features(b, leaf.tag).items():
+            out[leaf.id, "t", feature] = out.get((leaf.id, "t", feature), 0) + times
+        k = b.node
+        while (found.nodes[k].id, "a", leaf.id) not in out:
+            out[found.nodes[k].id, "a", leaf.id] = 1
+            k = found.nodes[k].up
+    return out
+
+
 def style_counts(pages: DataFrame) -> DataFrame:
-    """(host, path, kind, feature, n): pages of the host on which a node has a style (s), a content (t), a doubtful name (d), or is at all (m)."""
+    """(host, node, kind, feature, n, w): pages of the host on which ``page_counts`` has an entry, and the sum of its weights."""
     source = pages.select(host(F.col("url")).alias("host"), "html")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "html"):
-                counts: Counter = Counter()
+                pages_of: Counter = Counter()
+                weights: Counter = Counter()
                 for where, page in zip(part.column("host").to_pylist(), part.column("html").to_pylist()):
-                    blocks, styles, doubtful = parse(page or "")
-                    seen = {(where, p, "s", crc32(s.encode())) for p, s in styles}
-                    seen |= {(where, p, "m", 0) for p, _ in styles}
-                    seen |= {(where, p, "d", 0) for p in doubtful}
-                    seen |= {(where, b.path, "t", crc32(b.text.encode()) | len(b.text) << 32) for b in blocks}
-                    counts.update(seen)
-                keys = list(counts)
+                    for key, weight in page_counts(page or "").items():
+                        pages_of[where, *key] += 1
+                        weights[where, *key] += weight
+                keys = list(pages_of)
                 yield pa.RecordBatch.from_arrays(
-                    [*[pa.array([k[i] for k in keys], pa.string()) for i in range(3)], pa.array([k[3] for k in keys], pa.int64()),
-                     pa.array(list(counts.values()), pa.int64())], names=["host", "path", "kind", "feature", "n"])
+                    [pa.array([k[0] for k in keys], pa.string()), pa.array([k[1] for k in keys], pa.int64()), pa.array([k[2] for k in keys], pa.string()),
+                     pa.array([k[3] for k in keys], pa.int64()), pa.array(list(pages_of.values()), pa.int64()), pa.array(list(weights.values()), pa.int64())],
+                    names=["host", "node", "kind", "feature", "n", "w"])
 
-    rows = map_arrow(source, run, "host string, path string, kind string, feature long, n long")
-    return rows.groupBy("host", "path", "kind", "feature").agg(F.sum("n").alias("n"))
+    rows = map_arrow(source, run, "host string, node long, kind string, feature long, n long, w long")
+    return rows.groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"), F.sum("w").alias("w"))
 
 
 def importance(counts: DataFrame) -> DataFrame:
-    """(host, path, pages, doubtful, presentation, content, composite) for every node of every host's style tree; its root has the path ""."""
-    n, log_n = F.col("n"), F.log("n")
+    """(host, node, pages, prose, doubtful, presentation, content, composite) for every node of every host's style tree; its root is node 0."""
+    n, w, log_n = F.col("n"), F.col("w"), F.log("n")
 
     def of(kind: str, x: Column) -> Column:
         return F.sum(F.when(F.col("kind") == kind, x).otherwise(F.lit(0.0)))
 
-    own = counts.groupBy("host", "path").agg(
-        of("m", n).alias("pages"), of("d", n).alias("doubtful"), of("s", n).alias("s_n"), of("s", n * log_n).alias("s_nlog"), of("s", F.lit(1.0)).alias("styles"),
-        of("t", log_n).alias("t_log"), of("t", F.lit(1.0)).alias("t_n"))
-    own = staged(own, "style-tree")
-    parts = F.split("path", "/")
-    up = own.where("t_n > 0").select("host", "t_log", "t_n", F.explode(F.array_distinct(F.transform(
-        F.sequence(F.lit(0), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/")))).alias("path"))
-    below = up.groupBy("host", "path").agg(F.sum("t_log").alias("below_log"), F.sum("t_n").alias("below_n"))
+    own = counts.where("kind in ('m', 'd', 's', 't')").groupBy("host", "node").agg(
+        F.max(F.when(F.col("kind") == "m", n)).alias("pages"), F.max(F.when(F.col("kind") == "m", F.col("feature"))).alias("prose"),
+        of("d", n).alias("doubtful"), of("s", n).alias("s_n"), of("s", n * log_n).alias("s_nlog"), of("s", F.lit(1.0)).alias("styles"),
+        of("t", w * log_n).alias("t_log"), of("t", w).alias("t_w"))
     base = F.log(F.greatest("pages", F.lit(2.0)))
-    tree = own.join(below, ["host", "path"]).where("pages > 0")
-    content = F.lit(1.0) - F.least(F.lit(1.0), F.col("below_log") / (F.col("below_n") * base))
-    presentation = F.least(F.lit(1.0), (F.log("s_n") - F.col("s_nlog") / F.col("s_n")) / base)
-    tree = tree.withColumn("content", content).withColumn("presentation", presentation)
+    leaves = own.where("t_w > 0").select("host", F.col("node").alias("leaf"), (F.col("t_w") - F.col("t_log") / base).alias("kept"), "t_w")
+    held = counts.where("kind = 'a'").select("host", "node", F.col("feature").alias("leaf"))
+    content = held.join(leaves, ["host", "leaf"]).groupBy("host", "node").agg((F.sum("kept") / F.sum("t_w")).alias("content"))
+    tree = own.join(content, ["host", "node"])
+
+    def drawn(x: Column) -> Column:
+        return (F.col("pages") * x + PRIOR * 0.5) / (F.col("pages") + PRIOR)
+
+    entropy = F.least(F.lit(1.0), (F.log("s_n") - F.col("s_nlog") / F.col("s_n")) / base)
+    tree = tree.withColumn("presentation", drawn(F.coalesce(entropy, F.lit(0.0)))).withColumn("content", drawn(F.greatest(F.lit(0.0), F.col("content"))))
     weight = F.pow(F.lit(DECAY), "styles")
-    return tree.select("host", "path", "pages", "doubtful", "presentation", "content",
+    return tree.select("host", "node", "pages", "prose", "doubtful", "presentation", "content",
                        ((1 - weight) * F.col("presentation") + weight * F.col("content")).alias("composite"))
 
 
-def low_branches(tree: DataFrame) -> DataFrame:
-    """(host, low, high): paths of the branches to remove from the pages of a host, and of those that overrule doubtful names."""
-    tag = F.regexp_extract(F.element_at(F.split("path", "/"), -1), "^[^.]*", 0)
-    is_low = (F.col("composite") < LOW) & (F.col("path") != "") & ~tag.isin(*sorted(PROSE))
-    is_high = (F.col("doubtful") > 0) & (F.col("composite") >= HIGH)
-    root = F.col("path") == ""
-    hosts = tree.where(F.col("pages") >= LEAST_PAGES).where(root | is_low | is_high).groupBy("host").agg(
-        F.max(F.when(root, F.col("content"))).alias("content"),
-        F.sort_array(F.collect_list(F.when(is_low, F.col("path")))).alias("low"),
-        F.sort_array(F.collect_list(F.when(is_high, F.col("path")))).alias("high"))
-    low = F.when(F.col("content") >= LIVELY, F.col("low")).otherwise(F.array().cast("array<string>"))
-    return hosts.select("host", low.alias("low"), "high").where("size(low) > 0 or size(high) > 0")
+def low_branches(counts: DataFrame) -> DataFrame:
+    """(host, low, high): the uppermost nodes of the branches to remove from the pages of a host, and those that overrule doubtful names."""
+    tree = importance(counts)
+    whole = tree.where("node = 0").select("host", F.col("content").alias("whole"))
+    judged = tree.where("node <> 0").join(whole, "host")
+    low = judged.where((F.col("prose") == 0) & (F.col("composite") < LOW * F.col("whole"))).select("host", "node")
+    ups = counts.where("kind = 'u'").select("host", "node", F.col("feature").alias("up"))
+    inner = low.join(ups, ["host", "node"]).join(low.select("host", F.col("node").alias("up")), ["host", "up"], "left_semi")
+    top = low.join(inner, ["host", "node"], "left_anti").withColumn("kind", F.lit("low"))
+    high = judged.where((F.col("doubtful") > 0) & (F.col("composite") >= HIGH)).select("host", "node", F.lit("high").alias("kind"))
+    return top.unionByName(high).groupBy("host").agg(*[
+        F.sort_array(F.collect_list(F.when(F.col("kind") == k, F.col("node")))).alias(k) for k in ("low", "high")])
 
 
 def extract(pages: DataFrame) -> DataFrame:
     """(page_id, url, text) for every row of ``pages``."""
-    rules = staged(low_branches(importance(style_counts(pages))), "low-branches").withColumnRenamed("host", "_host")
+    counts = staged(style_counts(pages), "style-tree")
+    rules = staged(low_branches(counts), "low-branches").withColumnRenamed("host", "_host")
     rows = pages.select("page_id", "url", "html", host(F.col("url")).alias("host"))
     rows = rows.join(rules, rows["host"] == rules["_host"], "left").select("page_id", "url", "html", "low", "high")
     kind = pages.schema["page_id"].dataType.simpleString()

@@ -51,7 +51,8 @@ SECOND_PERSON = set("you your yours yourself u ur du dich dir dein deine euch ih
                     " ustedes tus vosotros".split())
 _WORDS = re.compile(r"[^\W\d_]+")
 _SHOUT = re.compile(r"\b[A-ZÄÖÜÉÈÀÑÓÍ]{3,}\b")
-_MASKED = re.compile(r"[^\W\d_]+[*@$013457!]+[^\W_]+")
+#: Letters, masking characters, letters or digits; tried only where a run of letters begins and never inside it, so the scan is linear.
+_MASKED = re.compile(r"(?<![^\W\d_])[^\W\d_]++[*@$013457!]+[^\W_]+")
 _UNMASK = str.maketrans({"@": "a", "$": "s", "0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "!": "i", "*": None})
 FEATURES = ["log_words", "fixed_hits", "fixed_density", "word_hits", "word_density", "word_odds", "stem_hits", "stem_density",
             "stem_odds", "near_you", "you_density", "capitals", "shouting", "exclamations", "questions", "punctuation",

@@ -131,3 +131,21 @@ def test_wrapped_licence_notices(spark):
     halves = WRAPPED["isc"].split("\n")[:2]
     apart = documents(spark, [(1, f"{halves[0]}\n\n{halves[1]}", "en", "a"), (2, f"{halves[0]}\n{'other words here ' * 12}\n{halves[1]}", "en", "a")])
     assert all(not r.matches for r in licences.scan(apart, licences.train(docs)).collect())
+
+
+def test_a_text_without_white_space_takes_linear_time(spark):
+    """A megabyte of letters, with and without masks, gives the same hits as the plain pattern on small texts."""
+    import random
+    import re
+    import time
+
+    import pyarrow as pa
+    from shelfcast.llm import toxicity
+    plain = re.compile(r"[^\W\d_]+[*@$013457!]+[^\W_]+")
+    rnd = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rnd.choice("abé*@1!5_ -") for _ in range(rnd.randint(0, 30)))
+        assert toxicity._MASKED.findall(text) == plain.findall(text)
+    began = time.perf_counter()
+    rows = toxicity.feature_rows(pa.array(["x" * 1_000_000, "日" * 300_000, "aB1" * 300_000, "!" * 1_000_000, "A" * 1_000_000]), toxicity.Lexicon())
+    assert rows.shape[0] == 5 and time.perf_counter() - began < 20

@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 
 import duckdb
 import numpy as np
@@ -238,6 +239,72 @@ def test_high_importance_overrules_a_doubtful_name(spark):
     assert {r.page_id: r.text for r in pages.extract(df).collect()} == {k: f"own {k}\n\nSome longer text of page {k}, not named." for k in range(40)}
 
 
+def test_importance_against_plain_counts(spark):
+    """Entropies and importances of every node recomputed page by page."""
+    rnd = random.Random(2)
+    words = [f"w{i}" for i in range(30)]
+    text = lambda n: " ".join(rnd.choices(words, k=n))
+    rows = [(k, f"https://h{k % 3}.example/{k}", f'<body><ul class="m"><li><a href="/{rnd.choice(words)}">{text(1)}</a><li>same</ul><div class="x">{text(3)}</div>'
+             + "".join(rnd.choice([f"<p>{text(9)}</p>", "<p>shared words</p>", f"<div><b>{text(2)}</b></div>"]) for _ in range(rnd.randint(0, 4)))) for k in range(50)]
+    got = {(r.host, r.node): r for r in pages.importance(pages.style_counts(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    for host in range(3):
+        site = [pages.parse(html) for k, _, html in rows if k % 3 == host]
+        has = {}        # node -> pages, styles, (leaf, feature) -> pages, occurrences
+        for i, page in enumerate(site):
+            for n in page.nodes:
+                has.setdefault(n.id, (set(), {}, {}))[0].add(i)
+            for node, style in page.styles:
+                has[node][1].setdefault(style, set()).add(i)
+            for b in page.blocks:
+                leaf = page.nodes[b.node]
+                for feature, times in pages.block_features(b, leaf.tag).items():
+                    k, above = b.node, set()
+                    while True:
+                        above.add(page.nodes[k].id)
+                        if k == 0:
+                            break
+                        k = page.nodes[k].up
+                    for node in above:
+                        of = has[node][2].setdefault((leaf.id, feature), [set(), 0])
+                        of[0].add(i)
+                        of[1] += times
+        for node, (on, styles, features) in has.items():
+            if not features:
+                assert (f"h{host}.example", node) not in got
+                continue
+            m, r = len(on), got[f"h{host}.example", node]
+            kept = sum(t * (1 - math.log(len(p)) / math.log(max(len(has[leaf][0]), 2))) for (leaf, _), (p, t) in features.items())
+            content = (m * max(0.0, kept / sum(t for _, t in features.values())) + 2) / (m + 4)
+            total = sum(len(p) for p in styles.values())
+            entropy = -sum(len(p) / total * math.log(len(p) / total) for p in styles.values()) / math.log(max(m, 2))
+            presentation = (m * min(1.0, entropy) + 2) / (m + 4)
+            weight = 0.9 ** len(styles)
+            assert r.pages == m and math.isclose(r.content, content, abs_tol=1e-9) and math.isclose(r.presentation, presentation, abs_tol=1e-9)
+            assert math.isclose(r.composite, (1 - weight) * presentation + weight * content, abs_tol=1e-9)
+
+
+def test_no_element_named_like_an_article_discards_the_rest():
+    rest = "All the rest of a long article that goes on."
+    for name in ("content", "story", "post"):
+        assert pages.main_text(f'<div class="{name}"><p>Short intro.</p></div><div class="text"><p>{rest}</p></div>') == f"Short intro.\n\n{rest}"
+    assert pages.main_text(f"<article><p>Teaser.</p></article><div><p>{rest}</p></div>") == f"Teaser.\n\n{rest}"
+    assert pages.main_text(f"<article><p>{rest}</p></article><div><p>Teaser.</p></div>") == rest
+
+
+@pytest.mark.parametrize("name", ["topnav", "commentlist", "cookiebar", "adbox", "social-links", "navbar_top"])
+def test_joined_names_say_noise(name):
+    assert pages.main_text(f'<div class="{name}">x y</div><p>The text of the page.</p>') == "The text of the page."
+
+
+def test_deep_nesting_is_linear():
+    depth = 40_000
+    began = time.perf_counter()
+    page = "<div>" * depth + "<p>deep</p>" + "</div>" * depth + "<p>end</p>"
+    assert pages.main_text(page) == "deep\n\nend"
+    counts = pages.page_counts(page)
+    assert time.perf_counter() - began < 10 and len(counts) < 10 * pages.DEEP
+
+
 def test_pages_table(spark):
     got = pages.op2_site_style_tree(spark, SF_SMALL)
     rows = got.collect()
