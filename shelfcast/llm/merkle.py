@@ -15,9 +15,10 @@ that differ are opened.  Likeness is the share of characters in matched
 branches, ``2 * matched / (chars a + chars b)``; ``differing`` lists the unmatched leaves with
 their places.
 
-``next document`` pairs neighbours in id order without a global sort: ids are cut
-into ranges, each range's first document is also sent to the range before it,
-and each range is walked in order.
+``next document`` pairs neighbours in the order of (id, text hash) without a global sort: sampled
+keys cut them into ranges, as many as the rows need; each
+range's first document is also sent to the range before it, and each range is walked in order,
+one document at a time.
 
 Edge cases: a null text counts as empty; the empty text has a root of its own and
 likeness 1 to itself, 0 to others; documents with the same id (or null ids, which
@@ -32,15 +33,16 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import map_arrow, read_table, slices
+from shelfcast.llm.common import map_arrow, read_table, slices, staged
 
 PIECE = 160
 SECTION = 8
-MAX_RANGES = 8192
+RANGE_ROWS = (500, 50_000)   # fewest and most rows of a range, on average
 _LEAF = re.compile(r"[^.!?…]{1,%d}[.!?…]*\s*|[.!?…]+\s*" % PIECE)
 _WORD = re.compile(r"\s*\S+\s*|\s+")
 SHORT = 120
@@ -157,34 +159,65 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, fingerprint string")
 
 
-def _in_ranges(docs: DataFrame, rows: int) -> DataFrame:
-    """(range, after, doc_id, th, text): every row in its id range, and each range's first id again (``after``) in the range before."""
-    total = docs.select("doc_id").count()
-    count = max(1, min(MAX_RANGES, -(-total // rows)))
-    steps = [i / count for i in range(1, count)]
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"))
-    cuts = sorted({int(c) for c in ids.stat.approxQuantile("doc_id", steps, 0.1 / count)}) if steps else []
-    table = F.array(*[F.lit(c).cast("long") for c in cuts]) if cuts else F.array().cast("array<bigint>")
-    place = F.when(F.col("doc_id").isNull(), F.lit(0)).otherwise(F.size(F.filter(table, lambda c: c <= F.col("doc_id"))))
-    firsts = {r["range"]: r["first"]["doc_id"] for r in ids.withColumn("range", place).groupBy("range").agg(
-        F.min(F.struct("doc_id")).alias("first")).collect()}   # one row per range
-    order = sorted(firsts)
-    before = {r: order[k - 1] for k, r in enumerate(order)}    # the first range comes after the last
-    size = len(cuts) + 1
-    first = F.array(*[F.lit(firsts.get(r)).cast("long") for r in range(size)])
-    prior = F.array(*[F.lit(before.get(r, 0)) for r in range(size)])
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text").withColumn("range", place)
-    own = F.struct(F.col("range").alias("range"), F.lit(0).alias("after"))
-    again = F.struct(F.get(prior, F.col("range")).alias("range"), F.lit(1).alias("after"))
-    is_first = F.get(first, F.col("range")).eqNullSafe(F.col("doc_id"))
-    placed = source.withColumn("to", F.explode(F.when(is_first, F.array(own, again)).otherwise(F.array(own))))
-    return placed.select("to.range", "to.after", "doc_id", "th", "text")
-
-
-def with_next(docs: DataFrame, rows: int = 500) -> DataFrame:
+_KEY = np.dtype([("known", "i1"), ("id", "<i8"), ("th", "<i8")])    # a missing id comes first
+
+
+def _keys_of(ids: pa.Array, hashes: pa.Array) -> np.ndarray:
+    out = np.zeros(len(ids), _KEY)
+    out["known"] = ids.is_valid().to_numpy(zero_copy_only=False)
+    out["id"] = ids.fill_null(0).to_numpy()
+    out["th"] = hashes.fill_null(0).to_numpy()
+    return out
+
+
+def _in_ranges(docs: DataFrame, rows: int | None) -> DataFrame:
+    """(range, after, doc_id, th, text): every row in its range of keys, and each range's first key again (``after``) in the range before.
+
+    One key in ``rows`` is a cut.  The cuts and the ranges' first keys (17 bytes each) are the only lists that all tasks get.
+    """
+    spark = docs.sparkSession
+    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("th"), "text")
+    keys = staged(source.select("doc_id", "th"), "neighbour-keys")
+    if rows is None:
+        low, high = RANGE_ROWS
+        rows = max(low, min(high, keys.count() // (4 * int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    picked = keys.where(F.pmod(F.xxhash64("doc_id", "th"), F.lit(rows)) == 0).distinct().toArrow()
+    cuts = np.sort(_keys_of(picked.column("doc_id").combine_chunks(), picked.column("th").combine_chunks()))
+
+    def lowest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            own = np.sort(_keys_of(batch.column("doc_id"), batch.column("th")))
+            place = np.searchsorted(cuts, own, side="right")
+            head = np.flatnonzero(np.diff(place, prepend=-1) != 0)
+            yield pa.RecordBatch.from_arrays([pa.array(place[head]), *[pa.array(own[f][head].astype(np.int64)) for f in _KEY.names]],
+                                             names=["range", *_KEY.names])
+
+    firsts = map_arrow(keys, lowest, "range long, known long, id long, th long").groupBy("range").agg(
+        F.min(F.struct(*_KEY.names)).alias("first")).orderBy("range").collect()     # one row per range
+    ranges = np.array([r["range"] for r in firsts], np.int64)
+    heads = np.array([tuple(r["first"]) for r in firsts], _KEY)
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                own = _keys_of(part.column("doc_id"), part.column("th"))
+                at = np.searchsorted(cuts, own, side="right")
+                which = np.searchsorted(ranges, at)
+                first = np.flatnonzero(heads[which] == own)
+                again = part.take(pa.array(first))
+                for rows_, where, after in ((part, at, 0), (again, ranges[which[first] - 1], 1)):   # the first range comes after the last
+                    yield pa.RecordBatch.from_arrays([pa.array(where.astype(np.int64)), pa.array(np.full(len(where), after, np.int32)),
+                                                      *[rows_.column(c) for c in ("doc_id", "th", "text")]], names=names)
+
+    names = ["range", "after", "doc_id", "th", "text"]
+    return map_arrow(source, place, "range long, after int, doc_id long, th long, text string")
+
+
+def with_next(docs: DataFrame, rows: int | None = None) -> DataFrame:
     """(doc_id, text, edited_text, fingerprint, edited_fingerprint, near_edited, near_next) for every row.
 
-    The edited text has its last quarter replaced by as much of the next document's beginning.
+    The edited text has its last quarter replaced by as much of the next document's beginning.  ``rows`` is the average
+    number of rows in a range (default: by the number of rows and shuffle partitions); it changes no result.
     """
     walked = _in_ranges(docs, rows).repartition("range").sortWithinPartitions("range", "after", "doc_id", "th")
 

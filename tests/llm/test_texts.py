@@ -82,6 +82,53 @@ def test_merkle_likeness_and_differing_branches():
     assert merkle.likeness(merkle.fingerprint(""), a) == 0 and merkle.likeness(merkle.fingerprint(""), merkle.fingerprint("")) == 1
 
 
+def plain_likeness(a, b):
+    """Characters in branches that both trees have, largest first, counted from the trees themselves."""
+    x, y = merkle.tree(a), merkle.tree(b)
+    total, matched = len(a) + len(b), 0
+    if a == b:
+        return 1.0
+    for depth in range(3):
+        names = [n[0] for n in y]
+        rest = []
+        for n in x:
+            if n[0] in names:
+                names.remove(n[0])
+                matched += 2 * n[1]
+            else:
+                rest.append(n)
+        left, gone = [], [n[0] for n in y]
+        for n in names:
+            gone.remove(n)
+        for n in y:
+            if n[0] in gone:
+                gone.remove(n[0])
+            else:
+                left.append(n)
+        if depth < 2:
+            x, y = [c for n in rest for c in n[2]], [c for n in left for c in n[2]]
+    return matched / total if total else 1.0
+
+
+def test_merkle_likeness_against_plain_matching(spark):
+    docs = sorted((tuple(r) for r in spark.read.parquet(f"{SF_SMALL}/documents.parquet").select("doc_id", "text").collect()))
+    got = {r.doc_id: r for r in merkle.with_next(spark.read.parquet(f"{SF_SMALL}/documents.parquet")).collect()}
+    for k, (i, text) in enumerate(docs):
+        text, other = text or "", docs[(k + 1) % len(docs)][1] or ""
+        quarter = len(text) // 4
+        edited = text[:len(text) - quarter] + other[:quarter]
+        assert got[i].edited_text == edited
+        assert math.isclose(got[i].near_edited, plain_likeness(text, edited)) and math.isclose(got[i].near_next, plain_likeness(text, other))
+
+
+def test_merkle_many_rows_with_one_id_are_cut(spark):
+    docs = documents(spark, [(None, f"text {i}", "en", "a") for i in range(400)] + [(7, f"other {i}", "en", "a") for i in range(400)])
+    sizes = [r["count"] for r in merkle._in_ranges(docs, 20).where("after = 0").groupBy("range").count().collect()]
+    assert sum(sizes) == 800 and max(sizes) < 200 and len(sizes) > 20
+    got = merkle.with_next(docs, 20).collect()
+    assert len(got) == 800 and sorted(r.text for r in got) == sorted(r.text for r in docs.collect())
+
+
 @pytest.mark.parametrize("rows", [1, 3, 500])
 def test_merkle_odd_rows(spark, rows):
     got = merkle.with_next(clashing(documents(spark, ODD)), rows).collect()
