@@ -135,7 +135,7 @@ def split_words(texts: pa.Array) -> Words:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1
-_POWERS = np.ones(1, dtype=np.uint64)
+_POWERS = np.empty(0, dtype=np.uint64)     # grows with the longest word; the first power is the base itself
 
 
 def mix(x: np.ndarray) -> np.ndarray:

@@ -4,24 +4,24 @@ A window is ``window`` consecutive words of one document.  A word goes if it
 is covered by a window whose word sequence also starts earlier (smaller id, or
 the same document at an earlier word).  Windows are judged on the input.
 
-The work is a prefix-partitioned suffix tree, pruned to depth ``window``:
-
-* Suffixes (windows) are routed by a short prefix.  Equal windows share the
-  smallest hash among their ``STEM``-word pieces, and neighbouring windows
-  mostly share it too, so that piece, the *stem*, names the group and one row
-  carries a whole run of neighbouring suffixes.
-* Stems are counted over the whole corpus.  A stem that occurs once is a leaf
-  high in the tree and is dropped with all suffixes under it; only suffixes
+Minimiser routing and groups of equal hashes stand in for suffix trees: whether a
+window occurs earlier only asks for equal windows, not for their order.
+
+* Equal windows share the smallest hash among their ``STEM``-word pieces, and
+  neighbouring windows mostly share it too, so that piece, the *stem*, names the group and one row
+  carries a whole run of neighbouring windows.
+* Stems are counted over the whole corpus.  Windows under a stem that occurs once are dropped; only those
   under repeated stems travel.
 * A stem with more than ``GROUP_LIMIT`` occurrences is too large for one
-  group: its suffixes are routed by their full ``window``-word prefix.  So
-  prefixes have the length that keeps each group in memory.
-* In a group the suffixes are sorted by their prefix, id and position.  Those
-  with equal prefixes hang under one internal node at depth ``window``; all but
-  its first leaf start a repeat.  Neighbouring repeats join to maximal ones.
+  group: its windows are routed one by one by their full hash and a part number, as many parts as keep each group
+  under the limit.  Each part's first window goes on to a second round, where the parts of one
+  window meet; all others in a part are repeats already.
+* In a group the windows are sorted by hash, id and position.  Of those
+  with equal hashes all but the first start a repeat.  Neighbouring repeats join to maximal ones.
 
 A map task folds equal windows of its slice before anything is shuffled, so a
-passage that a third of all documents share sends one row per slice.
+passage that a third of all documents share sends one row per slice.  Rows are told apart by id and a
+hash of id and text, so documents with different ids never share a key.
 
 Windows are compared by 96 bits of two independent hashes.
 
@@ -39,10 +39,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from shelfcast.llm.common import Words, map_arrow, mix, read_table, slices, split_words, word_hashes
+from shelfcast.llm.common import Words, map_arrow, mix, read_table, slices, split_words, staged, word_hashes
 
 WINDOW = 20
 STEM = 6
@@ -120,10 +120,15 @@ def _texts(packed: pa.Array) -> pa.Array:
     return pa.array([inflate(z) if z is not None else None for z in packed.to_pylist()], type=pa.binary())
 
 
+def _row_key() -> list[Column]:
+    """``id`` (a missing one is the smallest number) and ``rk``, a hash of id and text."""
+    return [F.coalesce(F.col("doc_id").cast("long"), F.lit(-(2**63)).cast("long")).alias("id"), F.xxhash64("doc_id", "text").alias("rk")]
+
+
 def pack(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """(rk, doc_id, z, k0, k1, ...): a row key, the id, the compressed text that both joins shuffle, and the kept columns."""
+    """(id, rk, doc_id, z, k0, k1, ...): the two parts of a row's key, the id, the compressed text that both joins shuffle, and the kept columns."""
     names = [f"k{i}" for i in range(len(keep))]
-    source = docs.select(F.xxhash64("doc_id", "text").alias("rk"), F.col("doc_id").cast("long").alias("doc_id"), "text",
+    source = docs.select(*_row_key(), F.col("doc_id").cast("long").alias("doc_id"), "text",
                          *[F.col(c).alias(n) for c, n in zip(keep, names)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -132,16 +137,16 @@ def pack(docs: DataFrame, keep: list[str]) -> DataFrame:
             for part in slices(batch):
                 z = [deflate(t.encode()) if t is not None else None for t in part.column("text").to_pylist()]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column("rk"), part.column("doc_id"), pa.array(z, pa.binary()), *[part.column(n) for n in names]],
-                    names=["rk", "doc_id", "z", *names])
+                    [part.column("id"), part.column("rk"), part.column("doc_id"), pa.array(z, pa.binary()), *[part.column(n) for n in names]],
+                    names=["id", "rk", "doc_id", "z", *names])
 
-    return map_arrow(source, run, ", ".join(["rk long not null", "doc_id long", "z binary",
+    return map_arrow(source, run, ", ".join(["id long not null", "rk long not null", "doc_id long", "z binary",
                                              *[f"{n} {source.schema[n].dataType.simpleString()}" for n in names]]))
 
 
 def _stems(docs: DataFrame, window: int, per_row: bool) -> DataFrame:
-    """Per slice (stem, n), or per row of ``docs`` (rk, stem)."""
-    source = docs.select(F.xxhash64("doc_id", "text").alias("rk"), "text")
+    """Per slice (stem, n), or per row of ``docs`` (id, rk, stem)."""
+    source = docs.select(*_row_key(), "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -152,18 +157,21 @@ def _stems(docs: DataFrame, window: int, per_row: bool) -> DataFrame:
                     text = w.text[w.run]
                     order, head = _first_of_equal([text, stem], [])
                     once = order[head == np.arange(len(head))]
-                    rk = part.column("rk").to_numpy()[text[once]]
-                    yield pa.RecordBatch.from_arrays([pa.array(rk), pa.array(stem[once].view(np.int64))], names=["rk", "stem"])
+                    key = [pa.array(part.column(c).to_numpy()[text[once]]) for c in ("id", "rk")]
+                    yield pa.RecordBatch.from_arrays([*key, pa.array(stem[once].view(np.int64))], names=["id", "rk", "stem"])
                 else:
                     values, counts = np.unique(stem, return_counts=True)
                     yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))],
                                                      names=["stem", "n"])
 
-    return map_arrow(source, run, "rk long, stem long" if per_row else "stem long, n long")
+    return map_arrow(source, run, "id long, rk long, stem long" if per_row else "stem long, n long")
+
+
+_SUFFIX = "key long, id long, pos int, rk long, blob binary, hot boolean"
 
 
 def _suffixes(found: DataFrame, window: int) -> DataFrame:
-    """(key, id, pos, rk, blob): suffix runs under repeated stems; ``pos`` -1 marks repeats already proven in a slice."""
+    """(key, id, pos, rk, blob, hot): runs of windows under repeated stems; ``pos`` -1 marks repeats already proven in a slice."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -175,56 +183,60 @@ def _suffixes(found: DataFrame, window: int) -> DataFrame:
                 salt = np.uint64(0xC2B2AE3D27D4EB4F)
                 known = mix(stems.field("stem").to_numpy().view(np.uint64) + owner.astype(np.uint64) * salt)
                 order = np.argsort(known)
-                known, hot = known[order], stems.field("hot").to_numpy(zero_copy_only=False)[order]
+                known, parts = known[order], stems.field("parts").to_numpy()[order]
                 mine = mix(w.stem + w.text.astype(np.uint64) * salt)
                 place = np.minimum(np.searchsorted(known, mine), max(len(known) - 1, 0))
                 which = np.flatnonzero(known[place] == mine) if len(known) else np.empty(0, np.int64)
                 h, h2 = w.prefixes(which)
-                text, pos, stem, hot = w.text[which], w.position[which], w.stem[which], hot[place[which]]
-                rk = part.column("rk").to_numpy()[text]
-                doc = part.column("id").to_numpy()[text]
-                order, head = _first_of_equal([h, h2], [doc, pos])
+                text, pos, stem, parts = w.text[which], w.position[which], w.stem[which], parts[place[which]]
+                rk = part.column("rk").to_numpy()
+                doc = part.column("id").to_numpy()
+                order, head = _first_of_equal([h, h2], [doc[text], pos])
                 first = order[head]
-                later = (doc[order] != doc[first]) | (pos[order] != pos[first])
+                later = (doc[text[order]] != doc[text[first]]) | (pos[order] != pos[first])
                 proven = order[later]
-                proven = proven[np.lexsort((pos[proven], rk[proven]))]
+                proven = proven[np.lexsort((pos[proven], text[proven]))]
                 ship = np.sort(order[head == np.arange(len(head))])
-                columns: list[list] = [[], [], [], [], []]
-                for r, blob in _ranges(rk[proven], pos[proven]):
-                    for c, x in zip(columns, (r, 0, -1, r, blob)):
+                columns: list[list] = [[], [], [], [], [], []]
+                for t, blob in _ranges(text[proven], pos[proven]):
+                    for c, x in zip(columns, (int(rk[t]), int(doc[t]), -1, int(rk[t]), blob, False)):
                         c.append(x)
                 entries = np.zeros(len(ship), dtype=_ENTRY)
                 entries["h"], entries["h2"] = h[ship], h2[ship]
                 if len(ship):
-                    s_hot, s_text, s_pos, s_stem = hot[ship], text[ship], pos[ship], stem[ship]
+                    s_parts, s_text, s_pos, s_stem = parts[ship], text[ship], pos[ship], stem[ship]
+                    s_hot = s_parts > 1
                     new = np.concatenate(([True], s_hot[1:] | s_hot[:-1] | (np.diff(s_text) != 0) | (np.diff(s_pos) != 1)
                                           | (s_stem[1:] != s_stem[:-1])))
                     at = np.flatnonzero(new)
-                    key = np.where(s_hot[at], h[ship][at], s_stem[at]).view(np.int64)
+                    row = mix(rk[s_text[at]].view(np.uint64) + s_pos[at].astype(np.uint64) * salt)
+                    dealt = mix(h[ship][at] + (row % s_parts[at].astype(np.uint64)) * salt)     # a part of the window's group
+                    key = np.where(s_hot[at], dealt, s_stem[at]).view(np.int64)
                     ends = np.concatenate((at[1:], [len(ship)]))
                     columns[0] += key.tolist()
-                    columns[1] += doc[ship][at].tolist()
+                    columns[1] += doc[s_text[at]].tolist()
                     columns[2] += s_pos[at].tolist()
-                    columns[3] += rk[ship][at].tolist()
+                    columns[3] += rk[s_text[at]].tolist()
                     columns[4] += [entries[a:b].tobytes() for a, b in zip(at.tolist(), ends.tolist())]
+                    columns[5] += s_hot[at].tolist()
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int32()),
-                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary())],
-                    names=["key", "id", "pos", "rk", "blob"])
+                     pa.array(columns[3], pa.int64()), pa.array(columns[4], pa.binary()), pa.array(columns[5], pa.bool_())],
+                    names=["key", "id", "pos", "rk", "blob", "hot"])
 
-    return map_arrow(found, run, "key long, id long, pos int, rk long, blob binary")
+    return map_arrow(found, run, _SUFFIX)
 
 
-def _repeats(suffixes: DataFrame) -> DataFrame:
-    """(rk, blob): packed ranges of window starts that are repeats of an earlier window."""
+def _grouped(suffixes: DataFrame) -> DataFrame:
+    """One round: repeats as (id, rk, blob of packed ranges, ``pos`` -1), and the first windows of hot groups, keyed by their whole hash."""
     ordered = suffixes.repartition("key").sortWithinPartitions("key")
 
-    def subtrees(t: pa.Table) -> pa.RecordBatch:
+    def groups(t: pa.Table) -> pa.RecordBatch:
         t = t.combine_chunks()
-        pos = t.column("pos").to_numpy()
-        rk, blobs = t.column("rk").to_numpy(), t.column("blob").to_pylist()
-        out_rk = rk[pos < 0].tolist()
-        out = [b for b, p in zip(blobs, pos.tolist()) if p < 0]
+        pos, hot = t.column("pos").to_numpy(), t.column("hot").to_numpy()
+        rk, ids, blobs = t.column("rk").to_numpy(), t.column("id").to_numpy(), t.column("blob").to_pylist()
+        done = np.flatnonzero(pos < 0)
+        out = [(int(rk[r]), int(ids[r]), -1, int(rk[r]), blobs[r], False) for r in done.tolist()]
         rows = np.flatnonzero(pos >= 0)
         if len(rows):
             entries = np.frombuffer(b"".join([blobs[r] for r in rows.tolist()]), dtype=_ENTRY)
@@ -232,15 +244,24 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
             heads = np.cumsum(sizes) - sizes
             row = np.repeat(rows, sizes)
             start = pos[row] + (np.arange(len(entries)) - np.repeat(heads, sizes))
-            key, doc = t.column("key").to_numpy()[row], t.column("id").to_numpy()[row]
+            key, doc = t.column("key").to_numpy()[row], ids[row]
             order, head = _first_of_equal([key, entries["h"], entries["h2"]], [doc, start])
             first = order[head]
             later = order[(doc[order] != doc[first]) | (start[order] != start[first])]
-            later = later[np.lexsort((start[later], rk[row[later]]))]
-            for r, blob in _ranges(rk[row[later]], start[later]):
-                out_rk.append(r)
-                out.append(blob)
-        return pa.RecordBatch.from_arrays([pa.array(out_rk, pa.int64()), pa.array(out, pa.binary())], names=["rk", "blob"])
+            later = later[np.lexsort((start[later], rk[row[later]], doc[later]))]
+            own = row[later]
+            owner = np.cumsum((np.diff(rk[own], prepend=rk[own[:1]]) != 0) | (np.diff(ids[own], prepend=ids[own[:1]]) != 0))
+            names = own[np.searchsorted(owner, np.arange(owner[-1] + 1))] if len(own) else own
+            for o, blob in _ranges(owner, start[later]):
+                r = names[o]
+                out.append((int(rk[r]), int(ids[r]), -1, int(rk[r]), blob, False))
+            for e in order[head == np.arange(len(head))].tolist():
+                if hot[row[e]]:
+                    r = row[e]
+                    out.append((int(entries["h"][e].view(np.int64)), int(ids[r]), int(start[e]), int(rk[r]), entries[e].tobytes(), False))
+        columns = list(zip(*out)) if out else [[]] * 6
+        kinds = [pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.bool_()]
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=["key", "id", "pos", "rk", "blob", "hot"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
@@ -249,20 +270,27 @@ def _repeats(suffixes: DataFrame) -> DataFrame:
                 continue
             keys = batch.column("key").to_numpy()
             cut = int(np.searchsorted(keys, keys[-1], side="left"))
-            if cut == 0:
+            if cut == 0:    # one group so far; its size is bounded
                 held.append(batch)
                 continue
-            yield subtrees(pa.Table.from_batches([*held, batch.slice(0, cut)]))
+            yield groups(pa.Table.from_batches([*held, batch.slice(0, cut)]))
             held = [batch.slice(cut)]
         if held:
-            yield subtrees(pa.Table.from_batches(held))
+            yield groups(pa.Table.from_batches(held))
+
+    return map_arrow(ordered, run, _SUFFIX)
 
-    return map_arrow(ordered, run, "rk long, blob binary")
+
+def _repeats(suffixes: DataFrame) -> DataFrame:
+    """(id, rk, blob): packed ranges of window starts that are repeats of an earlier window."""
+    found = staged(_grouped(suffixes), "repeats")
+    second = _grouped(found.where("pos >= 0"))      # the parts of hot windows meet, one window each
+    return found.where("pos < 0").unionByName(second).select("id", "rk", "blob")
 
 
 def _cut(marked: DataFrame, window: int) -> DataFrame:
     """Remove the covered words of each text; kept columns stay."""
-    kept_names = [c for c in marked.columns if c not in ("rk", "doc_id", "z", "blobs")]
+    kept_names = [c for c in marked.columns if c not in ("id", "rk", "doc_id", "z", "blobs")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,14 +333,12 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, limit: int = GROUP_LIM
     """
     packed = pack(docs, keep or [])
     repeated = (_stems(docs, window, per_row=False).groupBy("stem").agg(F.sum("n").alias("n")).where("n > 1")
-                .select("stem", (F.col("n") > limit).alias("hot")))
+                .select("stem", F.when(F.col("n") > limit, F.ceil(F.col("n") / limit)).otherwise(1).cast("long").alias("parts")))
     per_row = _stems(docs, window, per_row=True).join(repeated, "stem")
-    candidates = per_row.groupBy("rk").agg(F.collect_set(F.struct("stem", "hot")).alias("stems"))
-    smallest = F.lit(-(2**63)).cast("long")
-    found = packed.join(candidates, "rk").select("rk", F.coalesce("doc_id", smallest).alias("id"), "z", "stems")
-    repeats = _repeats(_suffixes(found, window))
-    blobs = repeats.groupBy("rk").agg(F.collect_list("blob").alias("blobs"))
-    return _cut(packed.join(blobs, "rk", "left"), window)
+    candidates = per_row.groupBy("id", "rk").agg(F.collect_set(F.struct("stem", "parts")).alias("stems"))
+    found = packed.join(candidates, ["id", "rk"]).select("id", "rk", "z", "stems")
+    blobs = _repeats(_suffixes(found, window)).groupBy("id", "rk").agg(F.collect_set("blob").alias("blobs"))
+    return _cut(packed.join(blobs, ["id", "rk"], "left"), window)
 
 
 def deduplicated(docs: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -156,3 +156,16 @@ def test_query_digest(spark):
     for r in got.select("doc_id", "n_words", "n_removed", F.col("kept_sha256")).collect():
         i, n, gone, kept = want[r.doc_id]
         assert (r.n_words, r.n_removed, r.kept_sha256) == (n, gone, hashlib.sha256(kept.encode()).hexdigest())
+
+
+def test_word_hashes_do_not_depend_on_earlier_words():
+    """A word hashes alike whether or not longer words were hashed before it."""
+    import subprocess
+    import sys
+
+    import pyarrow as pa
+    from shelfcast.llm.common import split_words, word_hashes
+    word_hashes(split_words(pa.array(["w" * 500])))
+    code = "import pyarrow as pa; from shelfcast.llm.common import *; print(word_hashes(split_words(pa.array(['a b c']))).tolist())"
+    alone = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, check=True).stdout
+    assert alone.strip() == str(word_hashes(split_words(pa.array(["a b c"]))).tolist())
