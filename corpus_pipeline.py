@@ -6,13 +6,11 @@ the columns of ``documents`` (the last one returns ids and digests).
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from shelfcast.llm import bpe, language, mixing, simhash, substrings
-from shelfcast.llm.common import read_table, shared_folder
+from shelfcast.llm.common import read_table, staged
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,12 +51,8 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages one after the other, each written as Parquet to the shared folder and read again."""
+    """The stages one after the other, each written as Parquet to the shared folder and read again; the folders go when the application ends."""
     docs = read_table(spark, sf_dir, "documents")
-    base = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
-        path = f"{base}/{k}-{name}"
-        out = stage(spark, docs, sf_dir)
-        out.write.parquet(path)
-        docs = spark.read.schema(out.schema).parquet(path)
+        docs = staged(stage(spark, docs, sf_dir), f"pipeline-{k}-{name}")
     return docs.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256", F.octet_length("ids").alias("n_bytes"))
