@@ -737,5 +737,5 @@ def q_tuned_models(spark, sf):
     return _trained(spark, sf, tune=True)["metrics"]
 
 
-#: Queries that train for long; registered, but apart from those that are planned one by one.
+#: Queries that train for long; called by name, not registered (README gives the times).
 LONG_QUERIES = {"tuned_models": q_tuned_models}

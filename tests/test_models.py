@@ -95,14 +95,13 @@ def test_tree_counts_share_a_fit(spark):
     assert trees(best) == trees(cv.bestModel.stages[-1])
 
 
-def test_tuned_models_is_registered_with_the_full_grid(spark, monkeypatch):
-    import __spark_entry__
+def test_tuned_models_takes_the_full_grid(spark, monkeypatch):
     from shelfcast import catalog
     from shelfcast.plans import models
     seen = []
     monkeypatch.setattr(models, "train_models", lambda tf, **k: seen.append(k) or {"metrics": tf.limit(0)})
     monkeypatch.setattr(catalog, "_TRAINED", {})
-    __spark_entry__.queries()["tuned_models"](spark, SF_SMALL)
+    catalog.LONG_QUERIES["tuned_models"](spark, SF_SMALL)
     assert seen[0]["tune"] is True and "grid" not in seen[0] and models.GRID == dict(
         maxIter=[100, 150], maxDepth=[4, 6], stepSize=[0.05, 0.1], subsamplingRate=[0.8, 1.0])
 

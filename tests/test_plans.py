@@ -14,7 +14,8 @@ def _plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-MODEL_QUERIES = {"forecast_next_7_days", "model_metrics", "sku_context_model", "sample_forecast"}
+MODEL_QUERIES = {"forecast_next_7_days", "model_metrics", "sku_context_model", "sample_forecast",
+                 "linear_metrics", "linear_folds", "linear_forecast", "linear_sample_forecast"}
 
 
 @pytest.mark.parametrize("name", sorted(set(catalog.QUERIES) - MODEL_QUERIES))
@@ -48,3 +49,13 @@ def test_building_a_query_only_reads_schemas(spark, monkeypatch):
         assert len(tracker.getJobIdsForGroup(group)) <= len(reads)
     finally:
         spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("name", ["prompt_context", "respond", "explain_summary", "alerts"])
+def test_generated_code_compiles(spark, name):
+    """No headline query falls back from generated code that is too large."""
+    spark.conf.set("spark.sql.codegen.fallback", "false")
+    try:
+        catalog.QUERIES[name](spark, SF_SMALL).write.format("noop").mode("overwrite").save()
+    finally:
+        spark.conf.unset("spark.sql.codegen.fallback")
