@@ -17,6 +17,7 @@ from shelfcast.llm.quality import op10_quality_cascade
 from shelfcast.llm.ranked import ORACLE_SQL as RANKED_SQL
 from shelfcast.llm.ranked import op13_ranked_search
 from shelfcast.llm.simhash import op8_simhash_near_dedup
+from shelfcast.llm.substrings import ORACLE_SQL as SUBSTRINGS_SQL
 from shelfcast.llm.substrings import op3_substring_dedup
 from shelfcast.llm.toxicity import op4_toxicity_gbt
 
@@ -37,6 +38,7 @@ QUERIES = {
 }
 
 ORACLE: dict[str, str] = {
+    "op3_substring_dedup": SUBSTRINGS_SQL,
     "op10_quality_cascade": QUALITY_SQL,
     "op11_merkle_manifest": MANIFEST_SQL,
     "op12_chat_format": CHAT_SQL,

@@ -354,3 +354,17 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     cut = remove_repeats(read_table(spark, sf_dir, "documents"))
     kept = F.trim(F.regexp_replace(F.coalesce("text", F.lit("")), "[\\x20\\x09-\\x0D]+", " "))
     return cut.select("doc_id", "n_words", "n_removed", F.sha2(F.encode(kept, "UTF-8"), 256).alias("kept_sha256"))
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+v AS (SELECT r, doc_id, range(1, len(w) - 18) AS starts, [md5(array_to_string(w[i:i + 19], ' ')) FOR i IN range(1, len(w) - 18)] AS hs FROM d WHERE len(w) >= 20),
+x AS (SELECT r, doc_id, unnest(starts) AS s, unnest(hs) AS h FROM v),
+f AS (SELECT h, min({'id': doc_id, 's': s}) AS lowest FROM x GROUP BY h),
+c AS (SELECT DISTINCT r, unnest(range(s, s + 20)) AS p FROM x JOIN f USING (h) WHERE {'id': doc_id, 's': s} > lowest),
+u AS (SELECT r, unnest(w) AS word, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT r, string_agg(word, ' ' ORDER BY p) AS kept FROM u ANTI JOIN c USING (r, p) GROUP BY r),
+n AS (SELECT r, count(*) AS n_removed FROM c GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256
+FROM d LEFT JOIN n USING (r) LEFT JOIN k USING (r)
+"""
