@@ -116,16 +116,18 @@ RECENT = 14
 
 
 def product_state(sales: DataFrame, modes=("reference", "aligned"),
-                  columns: tuple[str, ...] | None = None) -> DataFrame:
+                  columns: tuple[str, ...] | None = None, profile: bool = True) -> DataFrame:
     """One row per product with everything the latest-row jobs need.
 
-    Two passes over ``sales``, both skew-safe: the last 31 rows per product
-    (map-side top-k) and a partial aggregate (row count, first row, average
-    price).  The two per-product results are joined and folded into:
-    ``n_rows``, ``first`` (units/category/region/store of the first row),
-    ``average_price``, ``latest`` (the whole latest row), ``recent`` (last
-    14 units, oldest first) and the serving aggregates of the requested
-    recipes (``modes``), restricted to ``columns`` (feature names) if given.
+    One pass over ``sales`` (map-side top-k) keeps the last 31 rows per product
+    and folds them into ``n_rows`` (no more than the rows kept: 31 stands for
+    more), ``latest`` (the whole latest row), ``recent`` (last 14 units, oldest
+    first) and the serving aggregates of the requested recipes (``modes``),
+    restricted to ``columns`` (feature names) if given.
+
+    ``profile`` adds ``first`` (units/category/region/store of the first row)
+    and ``average_price``, which need every row: a second pass, as a partial
+    aggregate.  Jobs that only score or decide leave it out.
     """
     def want(name):
         return columns is None or name in columns
@@ -135,19 +137,15 @@ def product_state(sales: DataFrame, modes=("reference", "aligned"),
         # aligned windows reach w + 1 rows back; the recent history needs 14
         need = [int(c.rsplit("_", 1)[1]) + 1 for c in columns if c.rsplit("_", 1)[-1].isdigit()]
         reach = max([RECENT, *need])
+    sales = sales.where(F.col("product_id").isNotNull())
     tail = tail_rows(sales, reach)
-    ordv = _ord_struct(sales)
-    ext = sales.groupBy("product_id").agg(
-        F.count(F.lit(1)).alias("n_rows"),
-        F.min_by(F.struct("units_sold", "category", "region", "store_id"), ordv).alias("first"),
-        F.avg("price").alias("average_price"))
-    t = tail.join(ext, "product_id")
+    # partitioned and sorted as the top-k left it: no exchange, no sort
+    t = tail.withColumn("n_rows", F.count(F.lit(1)).over(Window.partitionBy("product_id")))
     u, rd, n = F.col("units_sold"), F.col("rd"), F.col("n_rows")
     fields = [c for c in sales.columns if c != "product_id"]
     aggs: list[Column] = [
         F.min_by(F.struct(*[F.col(c) for c in fields]), rd).alias("latest"),
-        F.first("n_rows").alias("n_rows"), F.first("first").alias("first"),
-        F.first("average_price").alias("average_price"),
+        F.max("n_rows").alias("n_rows"),
         F.sort_array(F.collect_list(F.when(rd <= RECENT, F.struct(rd.alias("rd"), u.alias("u")))),
                      asc=False).alias("_recent"),
     ]
@@ -168,7 +166,13 @@ def product_state(sales: DataFrame, modes=("reference", "aligned"),
         if al and want(f"rolling_std_{w}"):
             aggs.append(F.stddev_samp(F.when((rd >= 2) & (rd <= w + 1), u)).alias(f"_al_std_{w}"))
     g = t.groupBy("product_id").agg(*aggs)
-    return g.select("*", F.transform("_recent", lambda x: x["u"]).alias("recent")).drop("_recent")
+    state = g.select("*", F.transform("_recent", lambda x: x["u"]).alias("recent")).drop("_recent")
+    if not profile:
+        return state
+    ext = sales.groupBy("product_id").agg(
+        F.min_by(F.struct("units_sold", "category", "region", "store_id"), _ord_struct(sales)).alias("first"),
+        F.avg("price").alias("average_price"))
+    return state.join(ext, "product_id")
 
 
 def serving_columns(mode: str = "reference") -> list[Column]:
@@ -214,7 +218,7 @@ def serving_columns(mode: str = "reference") -> list[Column]:
 
 def serving_features(sales: DataFrame, mode: str = "reference") -> DataFrame:
     """One feature row per product for its latest row (see ``serving_columns``)."""
-    return product_state(sales, modes=(mode,)).select("product_id", *serving_columns(mode))
+    return product_state(sales, modes=(mode,), profile=False).select("product_id", *serving_columns(mode))
 
 
 def pass_through_features(latest: DataFrame, sales: DataFrame) -> DataFrame:

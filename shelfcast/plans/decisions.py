@@ -27,7 +27,7 @@ def constant_forecast(sales: DataFrame, as_map: bool = False) -> DataFrame:
     The daily rate is the latest row's mean of its previous 7 rows; as a
     scalar (X3) or as the map ``t+1..t+7`` a model would return (X5).
     """
-    st = product_state(sales, modes=("aligned",), columns=("rolling_mean_7",))
+    st = product_state(sales, modes=("aligned",), columns=("rolling_mean_7",), profile=False)
     rate = F.coalesce(F.col("_al_mean_7"), F.lit(0.0))
     fc = forecast_map(F.array_repeat(rate, HORIZONS)) if as_map else rate
     return st.select("product_id", fc.alias("forecast"),

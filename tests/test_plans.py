@@ -30,6 +30,15 @@ def test_serving_uses_map_side_top_k(spark):
     assert "WindowGroupLimit" in plan
 
 
+@pytest.mark.parametrize("name", ["serving_features", "serving_features_aligned", "inventory_plan", "alerts"])
+def test_latest_row_jobs_read_the_sales_once(spark, name):
+    plan = _plan(catalog.QUERIES[name](spark, SF_SMALL))
+    assert plan.rfind("Aggregate") < plan.find("WindowGroupLimit")   # aggregates only meet the rows that the top-k left
+    scans = [line for line in plan.split("\n") if "FileScan" in line]
+    for table in ("lineitem", "part", "supplier", "nation", "region"):
+        assert sum(f"/{table}.parquet" in line for line in scans) == 1, table
+
+
 def test_feature_windows_are_partitioned(spark):
     s = sales_view(spark, SF_SMALL)
     plan = _plan(feature_frame(s))
