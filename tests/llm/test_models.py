@@ -1,5 +1,6 @@
 """Language, toxicity and licence models: held-out accuracy and odd rows."""
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from shelfcast.llm import language, licences, toxicity
@@ -104,6 +105,51 @@ def test_licence_notices_without_a_cue_word(spark):
         assert licences.words(" ".join(licences.words(text))) == licences.words(text)
 
 
+#: sentences in no template: family, version and clause, or nothing (denied, foreign, or only mentioned)
+UNSEEN = {
+    "Licensed under CC BY-NC-ND 4.0.": ("cc-by-nc-nd", "4.0", None),
+    "Attribution-NoDerivatives 4.0": ("cc-by-nd", "4.0", None),
+    "This work is not licensed under the GNU General Public License, version 3.": None,
+    "Released under the GNU Lesser General Public License.": ("lgpl", None, None),
+    "Released under the GNU Affero General Public License.": ("agpl", None, None),
+    "SPDX-License-Identifier: GPL-2.0-only": ("gpl", "2.0", "only"),
+    "SPDX-License-Identifier: LGPL-3.0-only": ("lgpl", "3.0", "only"),
+    "MIT License": ("mit", None, None),
+    "Everything in this folder is offered under the MIT License.": ("mit", None, None),
+    "Dual use is fine; the sources carry the Apache License, version 2.0.": ("apache", "2.0", None),
+    "The photos are shared under CC BY-SA 3.0.": ("cc-by-sa", "3.0", None),
+    "You can copy this under the GNU GPL, version 2 or any later version.": ("gpl", "2", "or-later"),
+    "Our library is free software under the BSD 2-Clause License.": ("bsd", None, None),
+    "This tool is not distributed under the MIT License.": None,
+    "The images are not available under CC BY 4.0.": None,
+    "She wrote a thesis about the GNU General Public License.": None,
+    "Released under the Eclipse Public License.": None,
+    "Licensed under the Open Software License 3.0": None,
+    "Licensed under the Vim License.": None,
+}
+
+
+def test_licences_in_no_template(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    model = licences.train(docs)
+    assert 0.5 <= model.threshold <= 0.9 and 0.25 <= model.temperature <= 8
+    rows = documents(spark, [(k, f"some words first\n{n}\nand after", "en", "a") for k, n in enumerate(UNSEEN)])
+    got = {r.doc_id: [tuple(m)[1:4] for m in r.matches] for r in licences.scan(rows, model).collect()}
+    assert got == {k: [w] if w else [] for k, w in enumerate(UNSEEN.values())}
+
+
+def test_licence_training_rows_are_bounded_and_repeatable(spark):
+    docs = spark.read.parquet(f"{SF_MID}/documents.parquet")
+    drawn = lambda: sorted((r.family, r.text, r.held) for r in licences.training_rows(docs, lines=50).collect())
+    made = list(licences._variants())
+    first = drawn()
+    assert first == drawn() and len(first) == len(made) + 50
+    # calibration alone: three of four rows of probability 0.8 right, all above; logits give the probabilities
+    model = licences.Model(["a", "none"], {}, np.zeros((0, 2)), np.log([0.8, 0.2]), 0.5)
+    assert licences.calibrate(model, [("a", "x")] * 3 + [("none", "x")]).threshold == 0.9
+    assert abs(model.probabilities("x")[0] - 0.75) < 0.02     # tempered towards the share that is right
+
+
 WRAPPED = {
     "mit": """Permission is hereby granted, free of charge, to any person obtaining a copy
 of this software and associated documentation files (the "Software"), to deal
