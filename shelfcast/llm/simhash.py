@@ -11,8 +11,8 @@ Finding the links is exact and runs on distinct fingerprints only:
 * With at most ``k`` differing bits, at least one of ``k + 1`` blocks of bits
   is the same, so a fingerprint is filed under each of its blocks.  A block
   value with too many members is filed again under blocks of its remaining
-  bits (the same argument holds there), and what is still too large is dealt
-  out as pairs of parts, so no task ever holds a large group.
+  bits (the same argument holds there), and again under the bits then left;
+  what is still too large is dealt out as pairs of parts, so no task ever holds a large group.
 * Within a group the table of Hamming distances to reference fingerprints
   (pivots) decides: by the triangle inequality two fingerprints within ``k``
   bits have no coordinate more than ``k`` apart.  The group is sorted by its
@@ -21,7 +21,7 @@ Finding the links is exact and runs on distinct fingerprints only:
 * A group reports a spanning forest of its links, not its pairs.
 
 Components come from rounds of large-star / small-star, each written to the
-shared folder.
+shared folder.  A component is named in parts, so a very large one is in no single task.
 
 Edge cases: a null or empty text has fingerprint 0; fewer words than the
 shingle length give one shingle of all words; repeated rows each return a row;
@@ -44,6 +44,8 @@ from shelfcast.llm.common import fresh, map_arrow, read_table, slices, staged
 
 PIVOTS = 8
 GROUP_LIMIT = 4096
+LEVELS = 3             # a group of the last level shares about 31 bits
+CLASS_PARTS = 64
 _RNG = np.random.default_rng(20)
 PIVOT_VALUES = _RNG.integers(0, 2**64, size=PIVOTS, dtype=np.uint64)
 
@@ -97,30 +99,38 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
-def _filed(fps: DataFrame, max_distance: int, limit: int) -> DataFrame:
-    """(key, fp, side): every fingerprint under its groups; only one side's pairs with the other count where both occur."""
-    masks = _blocks(list(range(64)), max_distance + 1)
-    first = fps.select("fp", F.explode(F.array(*[
-        F.struct(F.lit(i).alias("block"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("value"))
-        for i, m in enumerate(masks)])).alias("f")).select("fp", "f.block", "f.value")
-    hot = first.groupBy("block", "value").agg(F.count("*").alias("n")).where(F.col("n") > limit)
-    marked = first.join(hot, ["block", "value"], "left")
-    cold = marked.where("n is null").select(F.xxhash64("block", "value").alias("key"), "fp", F.lit(0).alias("side"))
-    rests = [_blocks([b for b in range(64) if not m >> b & 1], max_distance + 1) for m in masks]
-    sub = F.coalesce(*[F.when(F.col("block") == i, F.array(*[
-        F.struct(F.lit(j).alias("sub"), F.col("fp").bitwiseAND(F.lit(_signed(r))).alias("rest"))
-        for j, r in enumerate(rest)])) for i, rest in enumerate(rests)])
-    second = (marked.where("n is not null").select("block", "value", "fp", F.explode(sub).alias("s"))
-              .select("fp", F.xxhash64("block", "value", "s.sub", "s.rest").alias("key")))
-    large = second.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > limit)
-    dealt = second.join(large, "key", "left").withColumn(
-        "parts", F.coalesce(F.ceil(F.col("m") / F.lit(limit)), F.lit(1)).cast("long"))
+def _filed(fps: DataFrame, max_distance: int, limit: int, levels: int = LEVELS) -> DataFrame:
+    """(key, fp, side): every fingerprint under its groups; only one side's pairs with the other count where both occur.
+
+    Two fingerprints that link differ in at most ``max_distance`` bits, so they agree in one of ``max_distance + 1`` blocks of any set of
+    bits.  Groups over ``limit`` are filed again under blocks of the bits they have not compared yet, ``levels`` times in all; what is
+    still too large then is dealt to parts that meet pairwise.
+    """
+    count = max_distance + 1
+    rests = [list(range(64))]      # per path of blocks taken so far: the bits left
+    rows = fps.select("fp", F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"))
+    filed = None
+    for _ in range(levels):
+        masks = [_blocks(bits, count) for bits in rests]
+        table = F.array(*[F.array(*[F.lit(_signed(m)) for m in ms]) for ms in masks])
+        rows = (rows.select("fp", "path", "key", F.posexplode(F.element_at(table, F.col("path") + 1)).alias("block", "mask"))
+                .select("fp", (F.col("path") * count + F.col("block")).alias("path"), "key", F.col("fp").bitwiseAND(F.col("mask")).alias("value"))
+                .select("fp", "path", F.xxhash64("key", "path", "value").alias("key")))
+        rests = [[b for b in bits if not m >> b & 1] for bits, ms in zip(rests, masks) for m in ms]
+        hot = rows.groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > limit)
+        marked = rows.join(hot, "key", "left")
+        done = marked.where("m is null").select("key", "fp", F.lit(0).alias("side"))
+        filed = done if filed is None else filed.unionByName(done)
+        rows = staged(marked.where("m is not null"), "hot-blocks")
+        if rows.isEmpty():
+            return filed
+        large, rows = rows, rows.drop("m")
+    dealt = large.withColumn("parts", F.ceil(F.col("m") / F.lit(limit)).cast("long"))
     part = F.pmod(F.xxhash64("fp"), F.col("parts"))
     dealt = dealt.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
     a, b = F.least("part", "other"), F.greatest("part", "other")
-    warm = dealt.select(F.xxhash64("key", a, b).alias("key"), "fp",
-                        F.when(a == b, 0).otherwise(F.when(F.col("part") == a, 1).otherwise(2)).alias("side"))
-    return cold.unionByName(warm)
+    return filed.unionByName(dealt.select(F.xxhash64("key", a, b).alias("key"), "fp",
+                                          F.when(a == b, 0).otherwise(F.when(F.col("part") == a, 1).otherwise(2)).alias("side")))
 
 
 def group_links(key: np.ndarray, fp: np.ndarray, side: np.ndarray, max_distance: int) -> tuple[np.ndarray, np.ndarray]:
@@ -225,10 +235,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 4, max_distance: int = 4, se
     rows = staged(fingerprints(docs, shingle, seed, keep), "fingerprints")
     distinct = rows.groupBy("fp").agg(F.min("doc_id").alias("rep"))
     roots = staged(components(links(distinct, max_distance)), "roots")
+    # a component may hold a third of all fingerprints: named in parts, its smallest id found over the parts
     placed = distinct.join(roots, distinct.fp == roots.node, "left").select(
-        "fp", "rep", F.coalesce("root", "fp").alias("_class"))
-    smallest = placed.groupBy("_class").agg(F.min("rep").alias("component_id"))
-    named = staged(placed.join(smallest, "_class").select("fp", "_class", "component_id"), "components")
+        "fp", "rep", F.coalesce("root", "fp").alias("_class"), F.pmod(F.xxhash64("fp"), F.lit(CLASS_PARTS)).alias("part"))
+    parts = placed.groupBy("_class", "part").agg(F.min("rep").alias("least"))
+    smallest = parts.withColumn("component_id", F.min("least").over(Window.partitionBy("_class"))).drop("least")
+    named = staged(placed.join(smallest, ["_class", "part"]).select("fp", "_class", "component_id"), "components")
     return rows.join(named, "fp").select("doc_id", *keep, "fp", "component_id", "_class")
 
 
