@@ -42,7 +42,7 @@ from shelfcast.llm.common import map_arrow, read_table, slices
 VOCABULARY = "word_bpe_49k.json"
 LEAF = 2048
 LONG_TEXT = 1 << 20
-CACHE = 200_000
+CACHE = 50_000      # pieces; half as many words again: about 25 MB, which a worker keeps while other stages run
 _MARKS = tuple(bytes([b]) for b in b".,:;!?|")
 
 

@@ -61,7 +61,17 @@ def staged(df: DataFrame, name: str) -> DataFrame:
 def map_arrow(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | StructType) -> DataFrame:
     """``df.mapInArrow`` with batches of at most ``BATCH_BYTES``: rows are whole texts, so a row count does not bound a worker's memory."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(tidied(run), schema)
+
+
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, after which a worker gives back the memory that it no longer uses: workers live through all stages of a job, so each would keep the most that any stage took."""
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        for pool in (pa.default_memory_pool(), pa.system_memory_pool()):
+            pool.release_unused()
+
+    return whole
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

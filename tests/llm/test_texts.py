@@ -357,3 +357,18 @@ def test_pages_table(spark):
     rows = got.collect()
     assert len(rows) == spark.read.parquet(f"{SF_SMALL}/pages.parquet").count()
     assert all(r.n_chars == len(r.text) and "<" not in r.text[:1] and "&copy" not in r.text for r in rows)
+
+
+def test_a_worker_gives_back_what_a_stage_took():
+    """Workers outlive a stage: unused memory is released after it, and the codec's caches stay small."""
+    import pyarrow as pa
+    from shelfcast.llm import bpe
+    from shelfcast.llm.common import tidied
+    seen = []
+    batch = pa.RecordBatch.from_arrays([pa.array([1])], names=["a"])
+    assert [b.num_rows for b in tidied(lambda it: (seen.append(b) or b for b in it))(iter([batch, batch]))] == [1, 1] and len(seen) == 2
+    codec = bpe.Codec(bpe.vocabulary_path())
+    for k in range(4):
+        words = [("".join(chr(97 + int(d)) for d in str(k * 30_000 + i)) + "x").encode() for i in range(30_000)]
+        codec.encode([b" ".join(words)])
+    assert max(len(codec.cache), len(codec.words)) <= 110_000
