@@ -16,6 +16,16 @@ def spark():
     yield s
 
 
+@pytest.fixture(autouse=True)
+def _nothing_cached_for_the_next_test():
+    """What a test has cached itself goes with it: others count what the session keeps."""
+    yield
+    from pyspark.sql import SparkSession
+    s = SparkSession.getActiveSession()
+    if s is not None:
+        s.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def duck():
     import duckdb
