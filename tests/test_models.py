@@ -156,3 +156,26 @@ def test_partitions_follow_the_rows():
     assert partitions_for(0, 36) == partitions_for(4_600, 36) == 1
     assert partitions_for(600_000, 36) == 6
     assert partitions_for(20_000_000_000, 36) == 171_662
+
+
+def test_horizons_are_stored_together(spark, monkeypatch):
+    """No model waits until another one is stored, and what is loaded is what was trained."""
+    import threading
+    from pyspark.ml import PipelineModel
+    from pyspark.ml.feature import VectorAssembler
+    rows = spark.range(40).selectExpr("double(id) x", *[f"double(id * {i} + 1) demand_t{i}" for i in range(1, 8)])
+    stage = VectorAssembler(inputCols=["x"], outputCol="features")
+    models = {i: PipelineModel([stage, _linear(f"demand_t{i}").fit(stage.transform(rows))]) for i in range(1, 8)}
+    all_begun, write = threading.Barrier(7), PipelineModel.write
+
+    def writing(self):
+        all_begun.wait(timeout=30)      # broken unless seven are being stored
+        return write(self)
+
+    path = tempfile.mkdtemp(prefix="shelfcast-together-")
+    monkeypatch.setattr(PipelineModel, "write", writing)
+    assert save_models(models, path) == 1
+    monkeypatch.undo()
+    loaded = load_models(path)
+    assert {i: m.stages[-1].coefficients.toArray().tolist() for i, m in loaded.items()} == {
+        i: m.stages[-1].coefficients.toArray().tolist() for i, m in models.items()}
