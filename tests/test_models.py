@@ -179,3 +179,19 @@ def test_horizons_are_stored_together(spark, monkeypatch):
     loaded = load_models(path)
     assert {i: m.stages[-1].coefficients.toArray().tolist() for i, m in loaded.items()} == {
         i: m.stages[-1].coefficients.toArray().tolist() for i, m in models.items()}
+
+
+def test_fits_at_once_share_the_cores(spark, monkeypatch):
+    """M4: seven fits at once have no more partitions each than the cores need; a frame larger than that keeps its own number."""
+    from pyspark.ml import PipelineModel
+    from shelfcast.plans import models
+    assert [models.partitions_per_fit(5, cores, 7) for cores in (4, 7, 8, 12, 64)] == [5, 1, 2, 2, 5]
+    assert models.partitions_per_fit(9, 8, 4) == 9 and models.partitions_per_fit(1, 8, 7) == 1 and models.partitions_per_fit(5, 8, 1) == 5
+    cores = spark.sparkContext.defaultParallelism
+    rows = spark.range(0, 400, 1, cores).selectExpr("double(id) x", "if(id < 320, 'train', 'val') split", *[f"double(id * {i}) demand_t{i}" for i in range(1, 8)])
+    seen, fit = [], models.fit_horizon
+    monkeypatch.setattr(models, "_split_frame", lambda *a: rows)
+    monkeypatch.setattr(models, "partitions_for", lambda *a: cores)
+    monkeypatch.setattr(models, "fit_horizon", lambda train, *a: seen.append((train.rdd.getNumPartitions(), train.count())) or fit(train, *a))
+    res = train_models(rows, tune=False, features=("x",), estimator=_linear)
+    assert seen == [(-(-cores // 7), 320)] * 7 and all(isinstance(m, PipelineModel) for m in res["models"].values())
